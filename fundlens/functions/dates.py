@@ -32,8 +32,9 @@ def floor_month(c: Column) -> Column:
 
 
 def ceiling_month(c: Column) -> Column:
-    """First day of the next month (a date already on the 1st stays)."""
-    return F.when(F.dayofmonth(c) == 1, c).otherwise(F.add_months(F.trunc(c, "month"), 1))
+    """First day of the next month; a date on the 1st also moves on (the
+    boundary rule of the source's month ceiling for dates)."""
+    return F.add_months(F.trunc(c, "month"), 1)
 
 
 def shift_years(c: Column, n: int) -> Column:

@@ -40,7 +40,10 @@ def accrue_from_rate(report: DataFrame, sk: Sequence[str] = SERIES, dc: str = DA
     """``precierre = lag(close) * factor``; ``rendimientos = precierre - lag(close)``.
 
     The first row of each series has no previous close and is dropped.
+    Rows with a NULL series key (an unknown subtype) belong to no series:
+    they could never match the facts and are dropped first.
     """
+    report = report.dropna(subset=list(sk))
     w = series_window(sk, dc)
     prev = F.lag("valor_fondo_cierre_dia_t").over(w)
     rn = F.row_number().over(w)

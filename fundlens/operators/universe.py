@@ -34,11 +34,26 @@ def filter_latest_date(df: DataFrame, dc: str = DATE) -> DataFrame:
 def active_series(df: DataFrame, sk: Sequence[str] = SERIES, dc: str = DATE) -> DataFrame:
     """Series whose last date equals the global last date."""
     last_by = df.groupBy(*sk).agg(F.max(dc).alias("_last"))
-    last = df.agg(F.max(dc).alias("_glast"))
+    last = last_by.agg(F.max("_last").alias("_glast"))
     keep = last_by.join(F.broadcast(last), F.col("_last") == F.col("_glast"), "left_semi").select(*sk)
     return semi(df, keep, sk)
 
 
+def active_long_series(df: DataFrame, days: int = 365, sk: Sequence[str] = SERIES,
+                       dc: str = DATE) -> DataFrame:
+    """U1 then U2 in one aggregate pass (U4's screen).
+
+    Per-series last date and row count in one ``groupBy`` (no exchange when
+    ``df`` is already partitioned by the series key); the global last date
+    is the max of the per-series maxima, a tiny aggregate.
+    """
+    per = df.groupBy(*sk).agg(F.max(dc).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    glast = per.agg(F.max("_last").alias("_glast"))
+    keep = (per.join(F.broadcast(glast), F.col("_last") == F.col("_glast"), "left_semi")
+            .where(F.col("_n") > days).select(*sk))
+    return semi(df, keep, sk)
+
+
 def long_series(df: DataFrame, days: int = 365, sk: Sequence[str] = SERIES) -> DataFrame:
     """Series with more than ``days`` rows, strictly."""
     keep = df.groupBy(*sk).count().where(F.col("count") > days).select(*sk)
@@ -57,13 +72,14 @@ def base_share_class(df: DataFrame, dc: str = DATE, fund: str = "cod",
     """
     last = filter_latest_date(df, dc).select(fund, part, investors, value)
     w_fund = Window.partitionBy(fund)
-    w_top = Window.partitionBy(fund).orderBy(F.col(investors).desc(), F.col(value).desc(),
-                                             F.col(part).asc_nulls_last())
-    cand = (last.withColumn("_nulls", F.sum(F.col(investors).isNull().cast("int")).over(w_fund))
-            .withColumn("_vnulls", F.sum(F.col(value).isNull().cast("int")).over(w_fund))
-            .withColumn("_rn", F.row_number().over(w_top)))
-    base = (cand.where((F.col("_rn") == 1) & (F.col("_nulls") == 0) & (F.col("_vnulls") == 0)
-                       & (F.col(investors) > 0))
+    top = (last.withColumn("_max_inv", F.max(investors).over(w_fund))
+           .withColumn("_inv_nulls", F.sum(F.col(investors).isNull().cast("int")).over(w_fund))
+           .where((F.col("_inv_nulls") == 0) & (F.col(investors) == F.col("_max_inv"))
+                  & (F.col(investors) > 0)))
+    w_top = Window.partitionBy(fund).orderBy(F.col(value).desc(), F.col(part).asc_nulls_last())
+    base = (top.withColumn("_val_nulls", F.sum(F.col(value).isNull().cast("int")).over(w_fund))
+            .withColumn("_rn", F.row_number().over(w_top))
+            .where((F.col("_val_nulls") == 0) & (F.col("_rn") == 1))
             .select(fund, part))
     return semi(df, base, [fund, part])
 

@@ -18,9 +18,16 @@ from fundlens.functions.dates import py_add_months, py_floor_year
 from fundlens.operators.dims import clean_dims
 from fundlens.operators.panel import clean_panel
 from fundlens.sources import adapter
+from fundlens.session import materialize
 from fundlens.sources.landed import fund_dims_raw, fund_facts, report_rows
 
 _AS_OF_CACHE: dict[tuple[int, str], _dt.date] = {}
+_TABLE_CACHE: dict[tuple, DataFrame] = {}
+CACHE_TABLES = True  # reuse materialised panels across queries of one session
+
+
+def clear_cache() -> None:
+    _TABLE_CACHE.clear()
 
 FACTS_STATUS = "F"   # facts come from these line-status rows ...
 REPORT_STATUS = "O"  # ... and the report extract from the others
@@ -57,9 +64,42 @@ class Ctx:
     def report(self) -> DataFrame:
         return report_rows(adapter.report_rows_text(self.spark, self.sf_dir, REPORT_STATUS))
 
-    def panel(self, years: int = 2) -> DataFrame:
-        """``get_fics_facts(from = 1 Jan years back)``: merged, padded, grown."""
-        return clean_panel(self.facts(years), self.report(), self.as_of)
+    def panel(self, years: int = 2, materialized: bool = True) -> DataFrame:
+        """``get_fics_facts(from = 1 Jan years back)``: merged, padded, grown.
+
+        Materialised (checkpoint) because screens and reports reuse it.
+        """
+        df = clean_panel(self.facts(years), self.report(), self.as_of)
+        if not materialized:
+            return df
+        return self._cached(("panel", years), lambda: materialize(df))
+
+    def _cached(self, key: tuple, build):
+        full = (id(self.spark), self.sf_dir) + key
+        if not CACHE_TABLES:
+            return build()
+        if full not in _TABLE_CACHE:
+            _TABLE_CACHE[full] = build()
+        return _TABLE_CACHE[full]
+
+    def base5(self) -> DataFrame:
+        """Base universe (U5): 5-year panel, active, long, base share class."""
+        from fundlens.operators.universe import active_long_series, base_share_class
+
+        def build():
+            return materialize(base_share_class(active_long_series(self.panel(5))))
+        return self._cached(("base5",), build)
+
+    def dashboard(self) -> tuple[DataFrame, DataFrame]:
+        """Dashboard facts and dims with display names."""
+        from fundlens.plans.report import dashboard_tables
+        return dashboard_tables(self.panel(1), self.dims(2))
+
+    def scratch_path(self, name: str) -> str:
+        """A fresh folder under the session's checkpoint directory."""
+        import uuid
+        from fundlens.session import ensure_checkpoint_dir
+        return f"{ensure_checkpoint_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
 
     def dims_raw(self, years: int = 2) -> DataFrame:
         return fund_dims_raw(adapter.dims_rows(self.spark, self.sf_dir), self.years_back(years), self.as_of)

@@ -13,6 +13,13 @@ import math
 
 SQRT365 = repr(math.sqrt(365))
 
+TYPE_CODE = ("CASE n.n_regionkey WHEN 0 THEN '5' WHEN 1 THEN '85' WHEN 2 THEN '87' "
+             "WHEN 3 THEN '5' WHEN 4 THEN '85' END")
+TYPE_NAME = ("CASE n.n_regionkey WHEN 0 THEN 'SOCIEDADES FIDUCIARIAS' "
+             "WHEN 1 THEN 'SOCIEDADES COMISIONISTAS DE BOLSA' "
+             "WHEN 2 THEN 'SOCIEDADES ADMINISTRADORAS DE INVERSION' "
+             "WHEN 3 THEN 'FIDUCIARIAS DEL EXTERIOR' WHEN 4 THEN 'COMISIONISTAS DEL EXTERIOR' END")
+
 
 def r(expr: str, n: int) -> str:
     """Spark-compatible rounding of a DOUBLE expression."""
@@ -52,7 +59,7 @@ def lines(name: str, status: str | None) -> str:
 def fact_rows(name: str, lines_cte: str) -> str:
     return f"""{name} AS (
   SELECT d.fecha_corte,
-         CAST(n.n_regionkey AS VARCHAR) AS tipo_entidad,
+         {TYPE_CODE} AS tipo_entidad,
          CAST(n.n_nationkey AS VARCHAR) AS codigo_entidad,
          CAST(d.l_suppkey % 8 AS VARCHAR) AS subtipo_negocio,
          CAST(d.l_suppkey AS VARCHAR) AS codigo_negocio,
@@ -94,7 +101,7 @@ def report(name: str, lines_cte: str) -> str:
     close2 = "round(d.pre + d.inflow - d.outflow, 2)"
     return f"""{name} AS (
   SELECT d.fecha_corte,
-         CAST(n.n_regionkey AS VARCHAR) || '_' || CAST(n.n_nationkey AS VARCHAR) || '_' ||
+         {TYPE_CODE} || '_' || CAST(n.n_nationkey AS VARCHAR) || '_' ||
          CAST(CASE d.l_suppkey % 8 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 5 THEN 1 END AS VARCHAR)
          || '_' || CAST(d.l_suppkey AS VARCHAR) AS cod,
          d.l_returnflag AS tipo_participacion,
@@ -119,7 +126,7 @@ def report_accrued(name: str, rep_cte: str) -> str:
          valor_fondo_cierre_dia_t, numero_inversionistas, numero_unidades_fondo_cierre,
          valor_unidad_operaciones
   FROM (SELECT *, lag(valor_fondo_cierre_dia_t) OVER w AS prev, row_number() OVER w AS rn
-        FROM {rep_cte}
+        FROM {rep_cte} WHERE cod IS NOT NULL AND tipo_participacion IS NOT NULL
         WINDOW w AS (PARTITION BY cod, tipo_participacion ORDER BY fecha_corte)) t
   WHERE rn > 1
 )"""
@@ -236,3 +243,75 @@ def active_long(name: str, src: str, days: int = 365, key: str = "cod, tipo_part
                     HAVING max({dc}) = (SELECT max({dc}) FROM {src}))
     AND ({key}) IN (SELECT {key} FROM {src} GROUP BY {key} HAVING count(*) > {days})
 )"""
+
+
+def dims_chain() -> list[str]:
+    """Distinct raw dims over the 2-year range and their cleaning."""
+    from fundlens.operators.dims import SHORT_NAMES
+    short = ", ".join(f"('{k}', '{v}')" for k, v in SHORT_NAMES)
+    return [f"""dims_raw AS (
+  SELECT DISTINCT {TYPE_CODE} AS tipo_entidad, {TYPE_NAME} AS nombre_tipo_entidad,
+         CAST(n.n_nationkey AS VARCHAR) AS codigo_entidad, n.n_name AS nombre_entidad,
+         CAST(l.l_suppkey % 8 AS VARCHAR) AS subtipo_negocio, CAST(l.l_suppkey AS VARCHAR) AS codigo_negocio,
+         'FONDO ' || s.s_name || CASE WHEN l.l_suppkey % 10 = 0 AND year(l.l_shipdate) >= 2001
+                                      THEN ' II' ELSE '' END AS nombre_patrimonio
+  FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey
+  JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey, params
+  WHERE CAST(l.l_shipdate AS DATE) BETWEEN params.y2 AND params.as_of
+    AND CAST(l.l_suppkey % 8 AS VARCHAR) NOT IN ('7')
+)""", f"""short_names(cod_empresa, nombre_corto) AS (VALUES {short})""", """dims AS (
+  SELECT d.cod,
+         CASE WHEN starts_with(d.nombre_tipo_entidad, 'SOCIEDADES ADMINISTRADORAS DE INVERSI') THEN 'ADMINISTRADORAS'
+              WHEN contains(d.nombre_tipo_entidad, 'COMISIONISTAS') THEN 'COMISIONISTAS'
+              WHEN contains(d.nombre_tipo_entidad, 'FIDUCIARIA') THEN 'FIDUCIARIAS'
+              ELSE d.nombre_tipo_entidad END AS nombre_tipo_entidad,
+         coalesce(sn.nombre_corto, d.nombre_entidad) AS nombre_entidad,
+         regexp_replace(regexp_replace(upper(d.nombre_patrimonio),
+           'CARTERA COLECTIVA|CARTERA CON COMPARTIMENTOS|F.I.C.|CON PARTICIPACIONES DIFERENCIALES|FIC|FONDO DE INVERSI.*?N COLECTIVA|FONDO',
+           '', 'g'), '^\\s+|\\s+$', '', 'g') AS nombre_patrimonio
+  FROM (SELECT coalesce(tipo_entidad, 'NA') || '_' || coalesce(codigo_entidad, 'NA') || '_' ||
+               coalesce(subtipo_negocio, 'NA') || '_' || coalesce(codigo_negocio, 'NA') AS cod,
+               nombre_tipo_entidad, nombre_entidad, nombre_patrimonio
+        FROM dims_raw) d
+  LEFT JOIN short_names sn ON sn.cod_empresa = regexp_extract(d.cod, '\\d*_\\d*')
+)"""]
+
+
+def dashboard_chain() -> list[str]:
+    """Dashboard facts (1-year panel, active + long) and their dims."""
+    return panel_chain("y1", name="panel1") + dims_chain() + [
+        active_long("dash_facts", "panel1"),
+        "dash_dims AS (SELECT * FROM dims WHERE cod IN (SELECT cod FROM dash_facts))",
+    ]
+
+
+def base_share(name: str, src: str) -> str:
+    """Per fund the participation with most investors on the last day."""
+    return f"""{name}_top AS (
+  SELECT * FROM (
+    SELECT cod, tipo_participacion, numero_inversionistas, valor_fondo_cierre_dia_t,
+           max(numero_inversionistas) OVER (PARTITION BY cod) AS max_inv,
+           count(*) FILTER (WHERE numero_inversionistas IS NULL) OVER (PARTITION BY cod) AS inv_nulls
+    FROM {src} WHERE fecha_corte = (SELECT max(fecha_corte) FROM {src})) t
+  WHERE inv_nulls = 0 AND numero_inversionistas = max_inv AND numero_inversionistas > 0
+),
+{name}_keys AS (
+  SELECT cod, tipo_participacion FROM (
+    SELECT cod, tipo_participacion,
+           count(*) FILTER (WHERE valor_fondo_cierre_dia_t IS NULL) OVER (PARTITION BY cod) AS val_nulls,
+           row_number() OVER (PARTITION BY cod ORDER BY valor_fondo_cierre_dia_t DESC,
+                              tipo_participacion ASC NULLS LAST) AS rn
+    FROM {name}_top) t
+  WHERE val_nulls = 0 AND rn = 1
+),
+{name} AS (
+  SELECT * FROM {src} WHERE (cod, tipo_participacion) IN (SELECT cod, tipo_participacion FROM {name}_keys)
+)"""
+
+
+def base5_chain() -> list[str]:
+    """5-year panel -> active -> long -> base share class."""
+    return panel_chain("y5", name="panel5") + [
+        active_long("al5", "panel5"),
+        base_share("base5", "al5"),
+    ]

@@ -59,43 +59,8 @@ def dashboard(ctx):
     return dashboard_tables(panel, ctx.dims(2))
 
 
-def _dims_sql() -> list[str]:
-    """Cleaned dims (J3) over the 2-year range."""
-    short = ", ".join(f"('{k}', '{v}')" for k, v in __import__(
-        "fundlens.operators.dims", fromlist=["SHORT_NAMES"]).SHORT_NAMES)
-    return [f"""dims_raw AS (
-  SELECT DISTINCT CAST(n.n_regionkey AS VARCHAR) AS tipo_entidad, r.r_name AS nombre_tipo_entidad,
-         CAST(n.n_nationkey AS VARCHAR) AS codigo_entidad, n.n_name AS nombre_entidad,
-         CAST(l.l_suppkey % 8 AS VARCHAR) AS subtipo_negocio, CAST(l.l_suppkey AS VARCHAR) AS codigo_negocio,
-         'FONDO ' || s.s_name || CASE WHEN l.l_suppkey % 10 = 0 AND year(l.l_shipdate) >= 2001
-                                      THEN ' II' ELSE '' END AS nombre_patrimonio
-  FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey
-  JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey, params
-  WHERE CAST(l.l_shipdate AS DATE) BETWEEN params.y2 AND params.as_of
-    AND CAST(l.l_suppkey % 8 AS VARCHAR) NOT IN ('7')
-)""", f"""short_names(cod_empresa, nombre_corto) AS (VALUES {short})""", """dims AS (
-  SELECT d.cod,
-         CASE WHEN starts_with(d.nombre_tipo_entidad, 'SOCIEDADES ADMINISTRADORAS DE INVERSI') THEN 'ADMINISTRADORAS'
-              WHEN contains(d.nombre_tipo_entidad, 'COMISIONISTAS') THEN 'COMISIONISTAS'
-              WHEN contains(d.nombre_tipo_entidad, 'FIDUCIARIA') THEN 'FIDUCIARIAS'
-              ELSE d.nombre_tipo_entidad END AS nombre_tipo_entidad,
-         coalesce(sn.nombre_corto, d.nombre_entidad) AS nombre_entidad,
-         regexp_replace(regexp_replace(upper(d.nombre_patrimonio),
-           'CARTERA COLECTIVA|CARTERA CON COMPARTIMENTOS|F.I.C.|CON PARTICIPACIONES DIFERENCIALES|FIC|FONDO DE INVERSI.*?N COLECTIVA|FONDO',
-           '', 'g'), '^\\s+|\\s+$', '', 'g') AS nombre_patrimonio
-  FROM (SELECT coalesce(tipo_entidad, 'NA') || '_' || coalesce(codigo_entidad, 'NA') || '_' ||
-               coalesce(subtipo_negocio, 'NA') || '_' || coalesce(codigo_negocio, 'NA') AS cod,
-               nombre_tipo_entidad, nombre_entidad, nombre_patrimonio
-        FROM dims_raw) d
-  LEFT JOIN short_names sn ON sn.cod_empresa = regexp_extract(d.cod, '\\d*_\\d*')
-)"""]
-
-
 def _dashboard_sql() -> list[str]:
-    return O.panel_chain("y1", name="panel1") + _dims_sql() + [
-        O.active_long("dash_facts", "panel1"),
-        "dash_dims AS (SELECT * FROM dims WHERE cod IN (SELECT cod FROM dash_facts))",
-    ]
+    return O.dashboard_chain()
 
 
 _SUMMARY_SQL = O.with_ctes(_dashboard_sql() + [f"""risk AS (

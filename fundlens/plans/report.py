@@ -19,7 +19,7 @@ from fundlens.functions.numeric import fixed_label, millions_label, percent_labe
 from fundlens.functions.text import ellipsis
 from fundlens.operators.joins import semi
 from fundlens.operators.rolling import DAYS_PER_YEAR, clamp_period, multi_period_risk, rolling_generic
-from fundlens.operators.universe import active_series, filter_latest_date, long_series
+from fundlens.operators.universe import active_long_series, filter_latest_date
 
 # --- fixed values: display names of the dashboard tables --------------------
 DASHBOARD_FACT_NAMES = [
@@ -51,7 +51,7 @@ def dashboard_tables(panel: DataFrame, dims: DataFrame, min_days: int = 365) ->
     Facts: active series with more than ``min_days`` rows, display names.
     Dims: only funds present in the facts (semi join), display names.
     """
-    facts = long_series(active_series(panel), min_days)
+    facts = active_long_series(panel, min_days)
     facts = rename_all(facts, DASHBOARD_FACT_NAMES)
     d = semi(dims, facts, "cod")
     return facts, rename_all(d, DASHBOARD_DIM_NAMES)

@@ -56,3 +56,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local_dir = tempfile.mkdtemp(prefix="fundlens-ckpt-")
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir()
+
+
+def materialize(df):
+    """Cut the lineage of an intermediate that several plans reuse.
+
+    Reliable ``checkpoint()`` into the session's checkpoint directory (the
+    shared folder on a cluster); the checkpointed plan keeps the
+    partitioning and ordering of ``df``, so a later window or aggregate on
+    the same keys needs no new exchange. Survives executor loss, unlike a
+    cache or a local checkpoint.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

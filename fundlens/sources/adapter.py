@@ -24,6 +24,22 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(15,2)"
 
+# --- fixed values of the stand-in: region -> entity type code and name -----
+# (chosen so that the short-name lookup and the type classifier both bite)
+ENTITY_TYPE_CODE = ["5", "85", "87", "5", "85"]
+ENTITY_TYPE_NAME = [
+    "SOCIEDADES FIDUCIARIAS",
+    "SOCIEDADES COMISIONISTAS DE BOLSA",
+    "SOCIEDADES ADMINISTRADORAS DE INVERSION",
+    "FIDUCIARIAS DEL EXTERIOR",
+    "COMISIONISTAS DEL EXTERIOR",
+]
+# ---------------------------------------------------------------------------
+
+
+def _by_region(values: list[str]):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("n_regionkey") + 1)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,7 +83,7 @@ def fund_rows(spark: SparkSession, sf_dir: str, linestatus: str | None = None) -
     close = (F.col("_pre") + F.col("_in") - F.col("_out")).cast("double")
     return d.select(
         "fecha_corte",
-        F.col("n_regionkey").cast("string").alias("tipo_entidad"),
+        _by_region(ENTITY_TYPE_CODE).alias("tipo_entidad"),
         F.col("n_nationkey").cast("string").alias("codigo_entidad"),
         (F.col("l_suppkey") % 8).cast("string").alias("subtipo_negocio"),
         F.col("l_suppkey").cast("string").alias("codigo_negocio"),
@@ -110,8 +126,8 @@ def dims_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     renamed = (F.col("l_suppkey") % 10 == 0) & (F.year("l_shipdate") >= 2001)
     return d.select(
         F.to_date("l_shipdate").alias("fecha_corte"),
-        F.col("n_regionkey").cast("string").alias("tipo_entidad"),
-        F.col("r_name").alias("nombre_tipo_entidad"),
+        _by_region(ENTITY_TYPE_CODE).alias("tipo_entidad"),
+        _by_region(ENTITY_TYPE_NAME).alias("nombre_tipo_entidad"),
         F.col("n_nationkey").cast("string").alias("codigo_entidad"),
         F.col("n_name").alias("nombre_entidad"),
         (F.col("l_suppkey") % 8).cast("string").alias("subtipo_negocio"),
@@ -150,7 +166,7 @@ def report_rows_text(spark: SparkSession, sf_dir: str, linestatus: str = "O") ->
     rate_pct = F.col("_rate_sum").cast("double") / F.col("_lines").cast("double") * 100.0
     return d.select(
         F.date_format("fecha_corte", "dd/MM/yyyy").alias("fecha_corte"),
-        F.col("n_regionkey").cast("string").alias("tipo_entidad"),
+        _by_region(ENTITY_TYPE_CODE).alias("tipo_entidad"),
         F.col("n_nationkey").cast("string").alias("cod_entidad"),
         F.col("l_suppkey").cast("string").alias("cod_negocio"),
         name.alias("subtipo_negocio"),
