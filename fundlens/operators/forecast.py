@@ -118,7 +118,7 @@ def holdout_split(df: DataFrame, days: int = HORIZON, dc: str = "fecha_corte") -
 
 
 def cv_plan(df: DataFrame, assess: int = HORIZON, skip: int = HORIZON, max_folds: int = 13,
-            dc: str = "fecha_corte", key: str = "cod") -> DataFrame:
+            dc: str = "fecha_corte", key: str | None = "cod") -> DataFrame:
     """Expanding-window folds, newest first (F16).
 
     Fold ``k`` (1 = newest) assesses the ``assess`` days ending
@@ -134,10 +134,11 @@ def cv_plan(df: DataFrame, assess: int = HORIZON, skip: int = HORIZON, max_folds
         F.date_sub("_last", (F.col("fold") - 1) * skip + assess - 1).alias("_a_start"))
     first = df.agg(F.min(dc).alias("_first"))
     bounds = bounds.crossJoin(F.broadcast(first)).where(F.col("_a_start") > F.col("_first"))
-    rows = df.select(key, dc).crossJoin(F.broadcast(bounds))
+    keys = [key] if key else []
+    rows = df.select(*keys, dc).crossJoin(F.broadcast(bounds))
     rows = rows.where(F.col(dc) <= F.col("_a_end")).withColumn(
         "role", F.when(F.col(dc) >= F.col("_a_start"), F.lit("assessment")).otherwise(F.lit("analysis")))
-    return rows.select("fold", key, dc, "role")
+    return rows.select("fold", *keys, dc, "role")
 
 
 # --- features (M2-M5) --------------------------------------------------------------
@@ -173,6 +174,25 @@ def mean_scaling(df: DataFrame, col: str = "creci_dia", key: str = "cod") -> Dat
     return df.withColumn(f"{col}_scaled", F.col(col) / F.col("scale"))
 
 
+def seasonal_naive_future(model_rows: DataFrame, horizon: int = HORIZON, season: int = 7,
+                          key: str = "cod", dc: str = "fecha_corte", value: str = "creci_dia") -> DataFrame:
+    """Seasonal-naive forecast of the ``horizon`` days after each series'
+    last date: the last observed ``season`` days repeated. Output
+    ``(cod, fecha_corte, mean)``; a join on the source day, no loop."""
+    last = model_rows.groupBy(key).agg(F.max(dc).alias("_last"))
+    steps = last.select(key, "_last", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_h"))
+    steps = steps.select(key, F.date_add("_last", F.col("_h")).alias(dc),
+                         F.date_add("_last", (F.col("_h") - 1) % season - (season - 1)).alias("_src"))
+    src = model_rows.select(key, F.col(dc).alias("_src"), F.col(value).alias("mean"))
+    return steps.join(src, [key, "_src"], "left").select(key, dc, "mean")
+
+
+def with_bands(pred: DataFrame, inner: float = 0.0005, outer: float = 0.001) -> DataFrame:
+    """Fixed-width interval bands around a point forecast (q05/q25/q75/q95)."""
+    m = F.col("mean")
+    return pred.withColumns({"q05": m - outer, "q25": m - inner, "q75": m + inner, "q95": m + outer})
+
+
 # --- evaluation (D9, E6, M10, M11) -----------------------------------------------
 
 def seasonal_naive(actual: DataFrame, start: DataFrame | _dt.date, horizon: int = HORIZON, lag: int = 7,

@@ -127,16 +127,11 @@ def representative_fund(df: DataFrame, value: str = "rent_30", fund: str = "cod"
     those; keep the least distance, then the highest median (ties kept).
     A NULL anywhere in an entity's inputs drops the entity (NA propagation).
     """
-    per_fund = df.groupBy(entity, fund).agg(
-        F.median(value).alias("mediana"),
-        F.sum(F.col(value).isNull().cast("int")).alias("_nulls"),
-    )
+    from fundlens.operators.stats import grouped_min_median
+
     w = Window.partitionBy(entity)
-    scored = (per_fund
-              .withColumn("_ent_nulls", F.sum("_nulls").over(w))
-              .withColumn("mediana_emp", F.median("mediana").over(w))
-              .withColumn("cercania", F.abs(F.col("mediana") - F.col("mediana_emp")))
-              .where(F.col("_ent_nulls") == 0))
+    scored = (grouped_min_median(df, entity, fund, value)
+              .withColumn("cercania", F.abs(F.col("mediana") - F.col("mediana_emp"))))
     closest = scored.withColumn("_min", F.min("cercania").over(w)).where(F.col("cercania") == F.col("_min"))
     best = closest.withColumn("_max", F.max("mediana").over(w)).where(F.col("mediana") == F.col("_max"))
     return best.select(entity, fund, "mediana", "mediana_emp", "cercania")

@@ -63,7 +63,7 @@ def _dashboard_sql() -> list[str]:
     return O.dashboard_chain()
 
 
-_SUMMARY_SQL = O.with_ctes(_dashboard_sql() + [f"""risk AS (
+SUMMARY_CTES = _dashboard_sql() + [f"""risk AS (
   SELECT *, {O.rent_sql('crecimiento_dia', 30)} AS rent_30,
          {O.rent_sql('crecimiento_dia', 365)} AS rent_365,
          {O.vol_sql('crecimiento_dia', 30)} AS vol_30,
@@ -76,7 +76,8 @@ _SUMMARY_SQL = O.with_ctes(_dashboard_sql() + [f"""risk AS (
          r.numero_unidades_fondo_cierre AS unidades,
          """ + O.r("r.valor_unidad_operaciones", 2) + """ AS valor_unidad
   FROM risk r LEFT JOIN dash_dims d ON d.cod = r.cod
-  WHERE r.fecha_corte = (SELECT max(fecha_corte) FROM dash_facts))"""],
+  WHERE r.fecha_corte = (SELECT max(fecha_corte) FROM dash_facts))"""]
+_SUMMARY_SQL = O.with_ctes(SUMMARY_CTES,
     sql_select_rounded([("nombre_entidad", False), ("fondo", False), ("participacion", False),
                         ("rent_30", True), ("rent_365", True), ("vol_30", True), ("vol_365", True),
                         ("valor_cierre", True), ("rendimientos", True), ("valor_transacciones", True),

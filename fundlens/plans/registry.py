@@ -53,3 +53,4 @@ def sql_select_rounded(cols: list[tuple[str, bool]], src: str, where: str = "")
 # import the query modules for their registrations
 from fundlens.plans import queries_core  # noqa: E402,F401
 from fundlens.plans import queries_ops  # noqa: E402,F401
+from fundlens.plans import queries_stats  # noqa: E402,F401
