@@ -237,3 +237,155 @@ def holdout_eval(pred: DataFrame, actual: DataFrame, keys: Sequence[str] = ("cod
         F.avg(x.between(F.col("q05"), F.col("q95")).cast("double")).alias("coverage_90"),
         F.avg(x.between(F.col("q25"), F.col("q75")).cast("double")).alias("coverage_50"),
         F.count(F.lit(1)).alias("n"))
+
+
+# --- models (M6-M9, A10, N2) ---------------------------------------------------------
+
+DIRECT_LAGS = [n for n in TARGET_LAGS if n >= HORIZON]
+RECURSIVE_LAGS = [1, 2, 3, 4, 5, 6, 7, 14, 21, 28]
+COVARIATES = ["trm", "ipc", "dia_no_habil"]
+CALENDAR = ["day_of_week", "day_of_month", "day_of_year"]
+
+
+def model_features(ds: DataFrame, lags: Sequence[int], key: str = "cod", dc: str = "fecha_corte",
+                   target: str = "creci_dia") -> tuple[DataFrame, list[str]]:
+    """Lag + calendar + known-covariate columns; missing lags (series start,
+    horizon) are 0 with the age feature telling the model how much history
+    there is."""
+    out = calendar_features(lag_features(ds, target, lags, key, dc), dc)
+    out = out.withColumn("age", F.log10(F.lit(2.0) + (F.row_number().over(
+        Window.partitionBy(key).orderBy(dc)) - 1)))
+    lag_cols = [f"lag_{n}" for n in lags]
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in lag_cols + COVARIATES})
+    return out, lag_cols + COVARIATES + CALENDAR + ["age"]
+
+
+def fit_direct(train: DataFrame, feature_cols: Sequence[str], kind: str = "gbt", seed: int = 4981,
+               target: str = "creci_dia"):
+    """Global direct model (M6): features only use lags >= horizon, so one
+    fitted model serves all 28 steps. ``kind``: ``gbt`` or ``linear``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, LinearRegression
+
+    asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
+    if kind == "gbt":
+        reg = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="mean",
+                           maxDepth=4, maxIter=30, seed=seed)
+    else:
+        reg = LinearRegression(featuresCol="features", labelCol=target, predictionCol="mean",
+                               regParam=1e-6, solver="normal")
+    rows = train.where(F.col(target).isNotNull())
+    return Pipeline(stages=[asm, reg]).fit(rows)
+
+
+def predict(model, rows: DataFrame, key: str = "cod", dc: str = "fecha_corte") -> DataFrame:
+    return model.transform(rows).select(key, dc, "mean")
+
+
+def fit_recursive(train: DataFrame, feature_cols: Sequence[str], target: str = "creci_dia"):
+    """One-step global linear model (M7), fitted by Spark ML."""
+    return fit_direct(train, feature_cols, kind="linear", target=target)
+
+
+def forecast_recursive(ds: DataFrame, horizon: int = HORIZON, lags: Sequence[int] = RECURSIVE_LAGS,
+                       key: str = "cod", dc: str = "fecha_corte", target: str = "creci_dia") -> DataFrame:
+    """Recursive forecast (M7): fit a one-step model, then run the
+    ``horizon`` steps per series inside one ``applyInPandas`` (N2), each
+    step feeding its prediction to the next. Only the last ``max(lags)``
+    observed days of each series travel to the Python worker."""
+    import numpy as np
+    import pandas as pd
+
+    feats, cols = model_features(ds, lags, key, dc, target)
+    model = fit_recursive(feats, cols, target)
+    lr = model.stages[-1]
+    coef = [float(c) for c in lr.coefficients]
+    intercept = float(lr.intercept)
+    lag_list = list(lags)
+    cov_cols = list(COVARIATES)
+    max_lag = max(lag_list)
+
+    hist = ds.where(F.col(target).isNotNull())
+    last = hist.groupBy(key).agg(F.max(dc).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    recent = hist.join(last, key).where(F.col(dc) > F.date_sub("_last", max_lag)).select(
+        key, dc, target, *cov_cols, "_n")
+    future = ds.where(F.col(target).isNull()).join(last, key).select(key, dc, target, *cov_cols, "_n")
+    both = recent.unionByName(future)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(dc)
+        obs = pdf[pdf[target].notna()]
+        fut = pdf[pdf[target].isna()]
+        values = list(obs[target].astype(float))
+        n_hist = int(pdf["_n"].iloc[0]) if len(pdf) else 0
+        preds = []
+        for i, (_, row) in enumerate(fut.iterrows()):
+            x = [values[-n] if len(values) >= n else 0.0 for n in lag_list]
+            x += [0.0 if pd.isna(row[c]) else float(row[c]) for c in cov_cols]
+            d = pd.Timestamp(row[dc])
+            x += [float(d.weekday()), float(d.day), float(d.dayofyear)]
+            x += [float(np.log10(2.0 + n_hist + i))]
+            y = intercept + float(np.dot(coef, x))
+            values.append(y)
+            preds.append(y)
+        return pd.DataFrame({key: fut[key].values, dc: fut[dc].values, "mean": preds})
+
+    schema = f"{key} string, {dc} date, mean double"
+    return both.groupBy(key).applyInPandas(run, schema)
+
+
+def backtest(ds: DataFrame, folds: int = 13, horizon: int = HORIZON, kind: str = "linear",
+             key: str = "cod", dc: str = "fecha_corte", target: str = "creci_dia") -> DataFrame:
+    """Expanding-window backtest (M9): ``folds`` windows of ``horizon`` days.
+
+    Per fold the direct model is fitted on the analysis rows and predicts
+    the assessment rows; the seasonal-naive control predicts the same rows.
+    Output ``(model, fold, cod, fecha_corte, h, mean, actual)``.
+    """
+    rows = ds.where(F.col(target).isNotNull())
+    feats, cols = model_features(rows, DIRECT_LAGS, key, dc, target)
+    feats = feats.checkpoint(eager=True)
+    plan = cv_plan(rows, horizon, horizon, folds, dc, key=None).where(F.col("role") == "assessment")
+    bounds = plan.groupBy("fold").agg(F.min(dc).alias("_start"), F.max(dc).alias("_end")).collect()
+    parts = []
+    for b in sorted(bounds, key=lambda r: r["fold"]):
+        train = feats.where(F.col(dc) < F.lit(b["_start"]))
+        test = feats.where((F.col(dc) >= F.lit(b["_start"])) & (F.col(dc) <= F.lit(b["_end"])))
+        model = fit_direct(train, cols, kind)
+        pred = model.transform(test).select(key, dc, "mean", F.col(target).alias("actual"))
+        parts.append(pred.select(F.lit(f"direct_{kind}").alias("model"), F.lit(b["fold"]).alias("fold"),
+                                 key, dc, (F.datediff(dc, F.lit(b["_start"])) + 1).alias("h"), "mean", "actual"))
+        naive = seasonal_naive(rows, b["_start"], horizon, 7, key, dc, target)
+        naive = naive.join(test.select(key, dc, F.col(target).alias("actual")), [key, dc])
+        parts.append(naive.select(F.lit("seasonal_naive").alias("model"), F.lit(b["fold"]).alias("fold"),
+                                  key, dc, (F.datediff(dc, F.lit(b["_start"])) + 1).alias("h"), "mean", "actual"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def forecast_quantiles(pred: DataFrame, residuals: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS,
+                       key: str = "cod", dc: str = "fecha_corte") -> DataFrame:
+    """Quantile levels around the mean (M8): the exact percentile of the
+    backtest residuals (actual - mean) per horizon step, added to the mean.
+    Monotone in the level by construction."""
+    res = residuals.select("h", (F.col("actual") - F.col("mean")).alias("_r")).dropna()
+    qs = res.groupBy("h").agg(F.percentile("_r", list(levels)).alias("_q"))
+    first = pred.groupBy(key).agg(F.min(dc).alias("_first"))
+    p = pred.join(first, key).withColumn("h", F.datediff(dc, "_first") + 1).drop("_first")
+    out = p.join(F.broadcast(qs), "h", "left")
+    names = {lv: f"q{int(round(lv * 100)):02d}" for lv in levels}
+    return out.select(key, dc, "h", "mean", *[(F.col("mean") + F.col("_q")[i]).alias(names[lv])
+                                             for i, lv in enumerate(levels)])
+
+
+def save_model(model, path: str) -> None:
+    """Persist a fitted pipeline (A10)."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+    return PipelineModel.load(path)

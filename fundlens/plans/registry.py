@@ -54,3 +54,4 @@ def sql_select_rounded(cols: list[tuple[str, bool]], src: str, where: str = "")
 from fundlens.plans import queries_core  # noqa: E402,F401
 from fundlens.plans import queries_ops  # noqa: E402,F401
 from fundlens.plans import queries_stats  # noqa: E402,F401
+from fundlens.plans import queries_ml  # noqa: E402,F401
