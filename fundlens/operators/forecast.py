@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundlens.functions.dates import is_weekend
@@ -274,7 +274,7 @@ def fit_direct(train: DataFrame, feature_cols: Sequence[str], kind: str = "gbt",
                            maxDepth=4, maxIter=30, seed=seed)
     else:
         reg = LinearRegression(featuresCol="features", labelCol=target, predictionCol="mean",
-                               regParam=1e-6, solver="normal")
+                               regParam=0.0, solver="normal")
     rows = train.where(F.col(target).isNotNull())
     return Pipeline(stages=[asm, reg]).fit(rows)
 
@@ -335,35 +335,127 @@ def forecast_recursive(ds: DataFrame, horizon: int = HORIZON, lags: Sequence[int
     return both.groupBy(key).applyInPandas(run, schema)
 
 
+def fold_bounds(rows: DataFrame, folds: int = 13, assess: int = HORIZON, skip: int = HORIZON,
+                dc: str = "fecha_corte") -> list[tuple[int, _dt.date, _dt.date]]:
+    """``(fold, start, end)`` of the assessment windows, newest first (F16)."""
+    lo, hi = rows.agg(F.min(dc), F.max(dc)).first()
+    out = []
+    for k in range(1, folds + 1):
+        end = hi - _dt.timedelta(days=(k - 1) * skip)
+        start = end - _dt.timedelta(days=assess - 1)
+        if start > lo:
+            out.append((k, start, end))
+    return out
+
+
+def _fold_of(dc: str, bounds) -> Column:
+    """Fold whose assessment window holds the date, else NULL."""
+    expr = None
+    for k, start, end in bounds:
+        cond = (F.col(dc) >= F.lit(start)) & (F.col(dc) <= F.lit(end))
+        expr = F.when(cond, F.lit(k)) if expr is None else expr.when(cond, F.lit(k))
+    return expr
+
+
+def _train_bucket(dc: str, bounds) -> Column:
+    """Bucket ``b``: the row trains every fold ``k <= b`` (0 = no fold)."""
+    expr = None
+    for k, start, _ in sorted(bounds, key=lambda b: b[1], reverse=True):
+        cond = F.col(dc) >= F.lit(start)
+        expr = F.when(cond, F.lit(k - 1)) if expr is None else expr.when(cond, F.lit(k - 1))
+    return expr.otherwise(F.lit(len(bounds)))
+
+
+def _linear_fold_coefficients(feats: DataFrame, cols: Sequence[str], bounds, dc: str, target: str,
+                              ridge: float = 1e-9) -> list[tuple[int, list[float]]]:
+    """Least-squares coefficients of every expanding fold from ONE pass.
+
+    The normal equations of fold ``k`` are sums over the rows before its
+    start, i.e. over the training buckets ``>= k``: one grouped aggregate of
+    ``x_i x_j`` and ``x_i y`` per bucket, then cumulative sums and a small
+    (d+1)^2 solve per fold on the driver.
+    """
+    import numpy as np
+
+    xs = [F.lit(1.0)] + [F.col(c).cast("double") for c in cols]
+    d = len(xs)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i in range(d):
+        for j in range(i, d):
+            aggs.append(F.sum(xs[i] * xs[j]).alias(f"g_{i}_{j}"))
+        aggs.append(F.sum(xs[i] * F.col(target)).alias(f"b_{i}"))
+    rows = feats.where(F.col(target).isNotNull()).withColumn("_bucket", _train_bucket(dc, bounds))
+    stats = {r["_bucket"]: r for r in rows.groupBy("_bucket").agg(*aggs).collect()}
+    out = []
+    g_acc = np.zeros((d, d))
+    b_acc = np.zeros(d)
+    for k in range(len(bounds), 0, -1):      # oldest fold first: buckets accumulate
+        r = stats.get(k)
+        if r is not None:
+            for i in range(d):
+                b_acc[i] += r[f"b_{i}"] or 0.0
+                for j in range(i, d):
+                    v = r[f"g_{i}_{j}"] or 0.0
+                    g_acc[i, j] += v
+                    if i != j:
+                        g_acc[j, i] += v
+        if g_acc[0, 0] <= d:
+            continue
+        scale = np.maximum(np.sqrt(np.diag(g_acc)), 1e-300)
+        gs = g_acc / np.outer(scale, scale) + ridge * np.eye(d)
+        w = np.linalg.lstsq(gs, b_acc / scale, rcond=None)[0] / scale
+        out.append((k, [float(v) for v in w]))
+    return out
+
+
 def backtest(ds: DataFrame, folds: int = 13, horizon: int = HORIZON, kind: str = "linear",
              key: str = "cod", dc: str = "fecha_corte", target: str = "creci_dia") -> DataFrame:
     """Expanding-window backtest (M9): ``folds`` windows of ``horizon`` days.
 
-    Per fold the direct model is fitted on the analysis rows and predicts
-    the assessment rows; the seasonal-naive control predicts the same rows.
-    Output ``(model, fold, cod, fecha_corte, h, mean, actual)``.
+    Every fold fits the direct model on the rows before its window and
+    predicts the window; the seasonal-naive control (the last observed week
+    repeated) predicts the same rows. Output
+    ``(model, fold, cod, fecha_corte, h, mean, actual)``.
+
+    ``kind='linear'`` solves all folds from one aggregate pass and predicts
+    all windows in one join; ``kind='gbt'`` fits one Spark ML model per fold.
     """
     rows = ds.where(F.col(target).isNotNull())
     feats, cols = model_features(rows, DIRECT_LAGS, key, dc, target)
     feats = feats.checkpoint(eager=True)
-    plan = cv_plan(rows, horizon, horizon, folds, dc, key=None).where(F.col("role") == "assessment")
-    bounds = plan.groupBy("fold").agg(F.min(dc).alias("_start"), F.max(dc).alias("_end")).collect()
-    parts = []
-    for b in sorted(bounds, key=lambda r: r["fold"]):
-        train = feats.where(F.col(dc) < F.lit(b["_start"]))
-        test = feats.where((F.col(dc) >= F.lit(b["_start"])) & (F.col(dc) <= F.lit(b["_end"])))
-        model = fit_direct(train, cols, kind)
-        pred = model.transform(test).select(key, dc, "mean", F.col(target).alias("actual"))
-        parts.append(pred.select(F.lit(f"direct_{kind}").alias("model"), F.lit(b["fold"]).alias("fold"),
-                                 key, dc, (F.datediff(dc, F.lit(b["_start"])) + 1).alias("h"), "mean", "actual"))
-        naive = seasonal_naive(rows, b["_start"], horizon, 7, key, dc, target)
-        naive = naive.join(test.select(key, dc, F.col(target).alias("actual")), [key, dc])
-        parts.append(naive.select(F.lit("seasonal_naive").alias("model"), F.lit(b["fold"]).alias("fold"),
-                                  key, dc, (F.datediff(dc, F.lit(b["_start"])) + 1).alias("h"), "mean", "actual"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    bounds = fold_bounds(feats, folds, horizon, horizon, dc)
+    starts = {k: s for k, s, _ in bounds}
+    spark = ds.sparkSession
+    start_df = spark.createDataFrame([(k, s) for k, s in starts.items()], "fold int, _start date")
+    test = (feats.withColumn("fold", _fold_of(dc, bounds)).where(F.col("fold").isNotNull())
+            .join(F.broadcast(start_df), "fold"))
+    test = test.withColumn("h", F.datediff(dc, "_start") + 1)
+
+    if kind == "linear":
+        coefs = _linear_fold_coefficients(feats, cols, bounds, dc, target)
+        coef_df = spark.createDataFrame(coefs, "fold int, _w array<double>")
+        xs = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in cols])
+        dot = F.aggregate(F.zip_with(xs, F.col("_w"), lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
+        direct = test.join(F.broadcast(coef_df), "fold").select(
+            F.lit("direct_linear").alias("model"), "fold", key, dc, "h", dot.alias("mean"),
+            F.col(target).alias("actual"))
+    else:
+        parts = []
+        for k, start, end in bounds:
+            model = fit_direct(feats.where(F.col(dc) < F.lit(start)), cols, kind)
+            part = model.transform(test.where(F.col("fold") == k))
+            parts.append(part.select(F.lit(f"direct_{kind}").alias("model"), "fold", key, dc, "h", "mean",
+                                     F.col(target).alias("actual")))
+        direct = parts[0]
+        for p in parts[1:]:
+            direct = direct.unionByName(p)
+
+    # seasonal naive: the last observed week before the window, repeated
+    src = test.withColumn("_src", F.date_add("_start", ((F.col("h") - 1) % 7) - 7))
+    obs = rows.select(key, F.col(dc).alias("_src"), F.col(target).alias("mean"))
+    naive = src.join(obs, [key, "_src"], "left").select(
+        F.lit("seasonal_naive").alias("model"), "fold", key, dc, "h", "mean", F.col(target).alias("actual"))
+    return direct.unionByName(naive)
 
 
 def forecast_quantiles(pred: DataFrame, residuals: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS,

@@ -31,7 +31,9 @@ FLOWS = ("rendimientos_abonados", "transaccciones_netas")
 
 
 def series_window(sk: Sequence[str] = SERIES, dc: str = DATE):
-    return Window.partitionBy(*sk).orderBy(F.col(dc).asc_nulls_last())
+    """Series order. Dates are never NULL past the typed range filter, so one
+    ordering spec (ascending) is used everywhere and sorts can be shared."""
+    return Window.partitionBy(*sk).orderBy(F.col(dc))
 
 
 # --- second source: accrual by lag (F1) ---------------------------------------
@@ -58,20 +60,41 @@ def accrue_from_rate(report: DataFrame, sk: Sequence[str] = SERIES, dc: str = DA
 
 def merge_sources(facts: DataFrame, report: DataFrame, as_of: _dt.date,
                   sk: Sequence[str] = SERIES, dc: str = DATE) -> DataFrame:
-    """Stack the report rows under the facts.
+    """Stack the report rows under the facts.
 
-    Report rows are kept only for series seen in the facts since the first
-    day of the previous month (semi join) and only for days the facts do not
-    already hold (anti join); their net flow is close minus pre-close.
+    Report rows are accrued by lag within their series (the first row
+    dropped), kept only for series seen in the facts since the first day of
+    the previous month (D1), and only for days the facts do not already
+    hold (D2); their net flow is close minus pre-close (B3).
+
+    Planned as one union and windows on the series key instead of semi /
+    anti joins: each source is read once and the whole merge shares the
+    single hash partitioning on ``sk`` that the padding uses next
+    (partitioning on ``sk`` also satisfies windows keyed on ``sk + more``).
     """
     since = py_floor_month(py_add_months(as_of, -1))
-    recent = facts.where(F.col(dc) >= F.lit(since)).select(*sk).distinct()
-    acc = accrue_from_rate(report, sk, dc)
-    acc = semi(acc, recent, sk)
-    acc = acc.withColumn("transaccciones_netas",
-                         F.col("valor_fondo_cierre_dia_t") - F.col("precierre_fondo_dia_t"))
-    acc = anti(acc, facts, [dc, *sk])
-    return facts.unionByName(acc, allowMissingColumns=True)
+    rep = report.dropna(subset=list(sk)).withColumn("_src", F.lit(1))
+    u = facts.withColumn("_src", F.lit(0)).unionByName(rep, allowMissingColumns=True)
+    is_rep = F.col("_src") == 1
+    # facts rows first, then report rows, each by date: the previous row of
+    # a report row is a report row unless it is the first of its series
+    w_src = Window.partitionBy(*sk).orderBy(F.col("_src"), F.col(dc))
+    u = u.withColumns({"_prev": F.lag("valor_fondo_cierre_dia_t").over(w_src),
+                       "_prev_src": F.lag("_src").over(w_src)})
+    fact_recent = F.max(F.when(~is_rep & (F.col(dc) >= F.lit(since)), 1).otherwise(0))
+    fact_same_day = F.max(F.when(~is_rep, 1).otherwise(0))
+    u = u.withColumns({"_recent": fact_recent.over(Window.partitionBy(*sk)),
+                       "_same_day": fact_same_day.over(Window.partitionBy(*sk, dc))})
+    keep = ~is_rep | ((F.col("_prev_src") == 1) & (F.col("_recent") == 1) & (F.col("_same_day") == 0))
+    pre = F.col("_prev") * F.col("factor_dia")
+    u = u.where(keep).withColumns({
+        "precierre_fondo_dia_t": F.when(is_rep, pre).otherwise(F.col("precierre_fondo_dia_t")),
+        "rendimientos_abonados": F.when(is_rep, pre - F.col("_prev")).otherwise(F.col("rendimientos_abonados")),
+    })
+    u = u.withColumn("transaccciones_netas", F.when(
+        is_rep, F.col("valor_fondo_cierre_dia_t") - F.col("precierre_fondo_dia_t")).otherwise(
+        F.col("transaccciones_netas")))
+    return u.select(*facts.columns)
 
 
 # --- padding and filling (F2-F4) ------------------------------------------------

@@ -34,17 +34,17 @@ DAYS_PER_YEAR = 365
 
 
 def _frame(sk: Sequence[str], dc: str, period: int):
-    return (Window.partitionBy(*sk).orderBy(F.col(dc).asc_nulls_last())
+    return (Window.partitionBy(*sk).orderBy(F.col(dc))
             .rowsBetween(-(period - 1), Window.currentRow))
 
 
 def _running(sk: Sequence[str], dc: str):
-    return (Window.partitionBy(*sk).orderBy(F.col(dc).asc_nulls_last())
+    return (Window.partitionBy(*sk).orderBy(F.col(dc))
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def _ordered(sk: Sequence[str], dc: str):
-    return Window.partitionBy(*sk).orderBy(F.col(dc).asc_nulls_last())
+    return Window.partitionBy(*sk).orderBy(F.col(dc))
 
 
 def rolling(df: DataFrame, col: str, period: int, agg: Callable[[Column], Column],

@@ -54,6 +54,35 @@ def active_long_series(df: DataFrame, days: int = 365, sk: Sequence[str] = SERIE
     return semi(df, keep, sk)
 
 
+def screen_universe(df: DataFrame, days: int = 365, base: bool = True, sk: Sequence[str] = SERIES,
+                    dc: str = DATE, fund: str = "cod", part: str = "tipo_participacion",
+                    investors: str = "numero_inversionistas",
+                    value: str = "valor_fondo_cierre_dia_t") -> DataFrame:
+    """U1 + U2 (+ U3) from ONE aggregate pass over the panel.
+
+    Per series: last date, row count, and investors / closing value on its
+    last date (``max_by``). Active series end on the global last date, so
+    their last row *is* the last-day row the base-share rule looks at. The
+    selection runs on the small per-series table; the panel is read once
+    more for the final semi join.
+    """
+    per = df.groupBy(*sk).agg(F.max(dc).alias("_last"), F.count(F.lit(1)).alias("_n"),
+                              F.max_by(investors, dc).alias("_inv"), F.max_by(value, dc).alias("_val"))
+    glast = per.agg(F.max("_last").alias("_glast"))
+    keep = (per.join(F.broadcast(glast), F.col("_last") == F.col("_glast"), "left_semi")
+            .where(F.col("_n") > days))
+    if base:
+        w_fund = Window.partitionBy(fund)
+        keep = (keep.withColumn("_max_inv", F.max("_inv").over(w_fund))
+                .withColumn("_inv_nulls", F.sum(F.col("_inv").isNull().cast("int")).over(w_fund))
+                .where((F.col("_inv_nulls") == 0) & (F.col("_inv") == F.col("_max_inv")) & (F.col("_inv") > 0)))
+        w_top = Window.partitionBy(fund).orderBy(F.col("_val").desc(), F.col(part))
+        keep = (keep.withColumn("_val_nulls", F.sum(F.col("_val").isNull().cast("int")).over(w_fund))
+                .withColumn("_rn", F.row_number().over(w_top))
+                .where((F.col("_val_nulls") == 0) & (F.col("_rn") == 1)))
+    return semi(df, keep.select(*sk), sk)
+
+
 def long_series(df: DataFrame, days: int = 365, sk: Sequence[str] = SERIES) -> DataFrame:
     """Series with more than ``days`` rows, strictly."""
     keep = df.groupBy(*sk).count().where(F.col("count") > days).select(*sk)

@@ -18,7 +18,7 @@ from fundlens.functions.dates import py_add_months, py_floor_year
 from fundlens.operators.dims import clean_dims
 from fundlens.operators.panel import clean_panel
 from fundlens.sources import adapter
-from fundlens.session import materialize
+from fundlens.session import materialize, materialize_bucketed
 from fundlens.sources.landed import fund_dims_raw, fund_facts, report_rows
 
 _AS_OF_CACHE: dict[tuple[int, str], _dt.date] = {}
@@ -72,7 +72,8 @@ class Ctx:
         df = clean_panel(self.facts(years), self.report(), self.as_of)
         if not materialized:
             return df
-        return self._cached(("panel", years), lambda: materialize(df))
+        return self._cached(("panel", years), lambda: materialize_bucketed(
+            df, ["cod", "tipo_participacion"], ["cod", "tipo_participacion", "fecha_corte"], name="panel"))
 
     def _cached(self, key: tuple, build):
         full = (id(self.spark), self.sf_dir) + key
@@ -84,10 +85,12 @@ class Ctx:
 
     def base5(self) -> DataFrame:
         """Base universe (U5): 5-year panel, active, long, base share class."""
-        from fundlens.operators.universe import active_long_series, base_share_class
+        from fundlens.operators.universe import screen_universe
 
         def build():
-            return materialize(base_share_class(active_long_series(self.panel(5))))
+            return materialize_bucketed(screen_universe(self.panel(5), 365, base=True),
+                                        ["cod", "tipo_participacion"],
+                                        ["cod", "tipo_participacion", "fecha_corte"], name="base")
         return self._cached(("base5",), build)
 
     def dashboard(self) -> tuple[DataFrame, DataFrame]:

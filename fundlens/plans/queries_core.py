@@ -6,7 +6,7 @@ from fundlens.operators.panel import clean_panel
 from fundlens.operators.rolling import multi_period_risk
 from fundlens.operators.universe import active_series, long_series
 from fundlens.plans import oracle as O
-from fundlens.plans.registry import register, sql_select_rounded
+from fundlens.plans.catalog import register, sql_select_rounded
 from fundlens.plans.report import dashboard_tables, summary_table
 
 PANEL_COLS = [("fecha_corte", False), ("cod", False), ("tipo_participacion", False),

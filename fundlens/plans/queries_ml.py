@@ -11,7 +11,7 @@ from fundlens.operators import cluster as CL
 from fundlens.operators import forecast as FC
 from fundlens.operators.universe import best_config
 from fundlens.plans.queries_stats import _ds, _moving
-from fundlens.plans.registry import register
+from fundlens.plans.catalog import register
 
 REPS = 3  # repetitions per base clustering in the registered queries (source: 100)
 KS = (5, 7, 9)

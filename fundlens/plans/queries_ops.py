@@ -19,7 +19,7 @@ from fundlens.operators.rolling import multi_period_risk
 from fundlens.operators.universe import (best_config, extreme_per_group, filter_exclude_period,
                                          filter_latest_date, filter_recent_calendar, first_per_group)
 from fundlens.plans import oracle as O
-from fundlens.plans.registry import register, sql_select_rounded
+from fundlens.plans.catalog import register, sql_select_rounded
 from fundlens.plans.report import DASHBOARD_DIM_NAMES, DASHBOARD_FACT_NAMES, format_display, rename_all, summary_table
 from fundlens.sources import adapter
 from fundlens.sources.landed import (FACT_COLUMNS, filter_between_notin, holidays, macro_daily,

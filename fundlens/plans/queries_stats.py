@@ -20,7 +20,7 @@ from fundlens.operators.universe import (active_series, base_share_class, cluste
 from fundlens.plans import oracle as O
 from fundlens.plans.queries_core import SUMMARY_CTES
 from fundlens.plans.queries_ops import _DASH_DIM_SQL, _FEST, _IPC, _TRM, NUM, PANEL, SHOCK, sel
-from fundlens.plans.registry import register
+from fundlens.plans.catalog import register
 from fundlens.plans.report import (forecast_projection, forecast_report, rename_all, return_curves,
                                    summary_table)
 from fundlens.sources import adapter

@@ -58,6 +58,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def materialize_bucketed(df, keys, sort_by=(), buckets: int | None = None, name: str = "panel"):
+    """Write ``df`` as a table bucketed (and sorted) by ``keys`` in the
+    checkpoint folder and read it back.
+
+    Unlike a checkpoint, the scan of a bucketed table reports its hash
+    partitioning, so later aggregates, windows and joins on ``keys`` run
+    without shuffling this table (only the other side of a join moves).
+    The bucket count defaults to ``spark.sql.shuffle.partitions``; size it
+    so that a bucket fits comfortably in a task.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"fundlens_{name}_{uuid.uuid4().hex[:12]}"
+    path = f"{root}/tables/{table}"
+    writer = df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(n, *keys)
+    if sort_by:
+        writer = writer.sortBy(*sort_by)
+    writer.saveAsTable(table)
+    return spark.table(table)
+
+
 def materialize(df):
     """Cut the lineage of an intermediate that several plans reuse.
 
