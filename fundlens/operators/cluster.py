@@ -43,9 +43,16 @@ def fund_vectors(df: DataFrame, col: str = "crecimiento_dia", key: str = "cod",
 
 
 def embed_2d(vecs: DataFrame, key: str = "cod", k: int = 2) -> DataFrame:
-    """``(cod, x, y, map)``: principal-component map of the fund vectors."""
-    model = PCA(k=k, inputCol="features", outputCol="map").fit(vecs)
-    out = model.transform(vecs).select(key, "map")
+    """``(cod, x, y, map)``: principal-component map of the fund vectors.
+
+    With ``k`` or fewer funds there is no spread to project: all sit at 0.
+    """
+    if vecs.count() <= k:
+        zero = array_to_vector(F.array(*[F.lit(0.0)] * k))
+        out = vecs.select(key, zero.alias("map"))
+    else:
+        model = PCA(k=k, inputCol="features", outputCol="map").fit(vecs)
+        out = model.transform(vecs).select(key, "map")
     arr = vector_to_array("map")
     return out.select(key, arr[0].alias("x"), arr[1].alias("y"), "map")
 
@@ -73,8 +80,12 @@ def member_labels(points: DataFrame, k: int, algorithms: Sequence[str] = ALGORIT
     for a in algorithms:
         for r in range(reps):
             sample = pts.sample(fraction=fraction, seed=seed + r)
-            model = _estimator(a, k, seed + r, features).fit(sample)
-            lab = model.transform(sample).select(key, F.col("label").cast("int").alias("label"))
+            n = sample.count()
+            if n < 2 or k < 2:      # nothing to split: one cluster
+                lab = sample.select(key, F.lit(0).alias("label"))
+            else:
+                model = _estimator(a, min(k, n), seed + r, features).fit(sample)
+                lab = model.transform(sample).select(key, F.col("label").cast("int").alias("label"))
             parts.append(lab.select(key, F.lit(a).alias("algorithm"), F.lit(k).alias("k"),
                                     F.lit(f"{a}-{r}").alias("run"), "label"))
     out = parts[0]
@@ -111,14 +122,20 @@ def co_association(labels: DataFrame, a: str, b: str, key: str = "cod") -> DataF
 def consensus_cluster(labels: DataFrame, k: int, seed: int = SEED, key: str = "cod") -> DataFrame:
     """Consensus partition ``(cod, cluster)`` of the base clusterings (L4)."""
     votes = label_vectors(labels, k, key)
+    n = votes.count()
+    if n < 2 or k < 2:
+        return votes.select(key, F.lit(0).alias("cluster"))
+    k = min(k, n)
     model = KMeans(k=k, seed=seed, featuresCol="votes", predictionCol="cluster", maxIter=50).fit(votes)
     return model.transform(votes).select(key, F.col("cluster").cast("int").alias("cluster"))
 
 
 def silhouette(points: DataFrame, assignment: DataFrame, key: str = "cod", features: str = "map",
-               label: str = "cluster") -> float:
+               label: str = "cluster") -> float | None:
     """Spark's silhouette (squared Euclidean) of an assignment on the map."""
     j = points.select(key, features).join(assignment.select(key, label), key)
+    if j.select(label).distinct().count() < 2:
+        return None     # undefined for a single cluster (NULL sorts last in best_config)
     ev = ClusteringEvaluator(featuresCol=features, predictionCol=label)
     return float(ev.evaluate(j))
 

@@ -401,7 +401,8 @@ def _linear_fold_coefficients(feats: DataFrame, cols: Sequence[str], bounds, dc:
                         g_acc[j, i] += v
         if g_acc[0, 0] <= d:
             continue
-        scale = np.maximum(np.sqrt(np.diag(g_acc)), 1e-300)
+        diag = np.diag(g_acc)
+        scale = np.where(diag > 0, np.sqrt(np.where(diag > 0, diag, 1.0)), 1.0)  # all-zero column: w = 0
         gs = g_acc / np.outer(scale, scale) + ridge * np.eye(d)
         w = np.linalg.lstsq(gs, b_acc / scale, rcond=None)[0] / scale
         out.append((k, [float(v) for v in w]))

@@ -64,15 +64,23 @@ class Ctx:
     def report(self) -> DataFrame:
         return report_rows(adapter.report_rows_text(self.spark, self.sf_dir, REPORT_STATUS))
 
-    def panel(self, years: int = 2, materialized: bool = True) -> DataFrame:
+    def panel(self, years: int = 2, materialized: bool | str = "auto") -> DataFrame:
         """``get_fics_facts(from = 1 Jan years back)``: merged, padded, grown.
 
-        Materialised (checkpoint) because screens and reports reuse it.
+        ``materialized=True`` writes it once as a table bucketed by series
+        (for plans that read it several times); ``"auto"`` reuses such a
+        table when one exists and otherwise stays lazy (single-use plans).
         """
+        key = ("panel", years)
+        full = (id(self.spark), self.sf_dir) + key
+        if materialized == "auto":
+            if CACHE_TABLES and full in _TABLE_CACHE:
+                return _TABLE_CACHE[full]
+            materialized = False
         df = clean_panel(self.facts(years), self.report(), self.as_of)
         if not materialized:
             return df
-        return self._cached(("panel", years), lambda: materialize_bucketed(
+        return self._cached(key, lambda: materialize_bucketed(
             df, ["cod", "tipo_participacion"], ["cod", "tipo_participacion", "fecha_corte"], name="panel"))
 
     def _cached(self, key: tuple, build):
@@ -88,7 +96,7 @@ class Ctx:
         from fundlens.operators.universe import screen_universe
 
         def build():
-            return materialize_bucketed(screen_universe(self.panel(5), 365, base=True),
+            return materialize_bucketed(screen_universe(self.panel(5, materialized=True), 365, base=True),
                                         ["cod", "tipo_participacion"],
                                         ["cod", "tipo_participacion", "fecha_corte"], name="base")
         return self._cached(("base5",), build)
@@ -96,7 +104,7 @@ class Ctx:
     def dashboard(self) -> tuple[DataFrame, DataFrame]:
         """Dashboard facts and dims with display names."""
         from fundlens.plans.report import dashboard_tables
-        return dashboard_tables(self.panel(1), self.dims(2))
+        return dashboard_tables(self.panel(1, materialized=True), self.dims(2))
 
     def scratch_path(self, name: str) -> str:
         """A fresh folder under the session's checkpoint directory."""

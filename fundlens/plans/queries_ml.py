@@ -30,7 +30,7 @@ def _map(ctx):
 
 def _k(ctx, k=5):
     n = _map(ctx).count()
-    return max(2, min(k, n - 1))
+    return min(k, max(n - 1, 1))
 
 
 def _sweep(ctx):
