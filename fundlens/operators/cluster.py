@@ -37,8 +37,7 @@ def fund_vectors(df: DataFrame, col: str = "crecimiento_dia", key: str = "cod",
     arr = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(dc, col))).alias("_pts"))
     arr = arr.select(key, F.transform("_pts", lambda p: p[col].cast("double")).alias("_v"))
     arr = arr.withColumn("n", F.size("_v"))
-    longest = arr.agg(F.max("n").alias("_max"))
-    arr = arr.join(F.broadcast(longest), F.col("n") == F.col("_max"), "left_semi")
+    arr = arr.where(F.col("n") == arr.agg(F.max("n")).scalar())
     return arr.select(key, "n", array_to_vector("_v").alias("features"))
 
 

@@ -34,12 +34,14 @@ def join_macro(df: DataFrame, trm_rows: DataFrame, ipc_rows: DataFrame, holiday_
     """Left join the daily rate, the daily-padded monthly index and the
     holiday flag on the date (D5).
 
-    The macro tables have one row per calendar day (tens of thousands of
-    rows for a century) and are broadcast; missing holidays are FALSE.
+    The macro tables have one row per calendar day; no hint is given, so
+    AQE broadcasts them when their runtime size is under the broadcast
+    threshold and falls back to a shuffle join otherwise. Missing holidays
+    are FALSE.
     """
-    trm = F.broadcast(macro_daily(trm_rows).withColumnRenamed("fecha", "_d_trm"))
-    ipc = F.broadcast(macro_monthly(ipc_rows).withColumnRenamed("fecha", "_d_ipc"))
-    fest = F.broadcast(holidays(holiday_rows).withColumnRenamed("fecha", "_d_fest"))
+    trm = macro_daily(trm_rows).withColumnRenamed("fecha", "_d_trm")
+    ipc = macro_monthly(ipc_rows).withColumnRenamed("fecha", "_d_ipc")
+    fest = holidays(holiday_rows).withColumnRenamed("fecha", "_d_fest")
     out = (df.join(trm, F.col(dc) == F.col("_d_trm"), "left")
            .join(ipc, F.col(dc) == F.col("_d_ipc"), "left")
            .join(fest, F.col(dc) == F.col("_d_fest"), "left"))
@@ -50,14 +52,11 @@ def join_macro(df: DataFrame, trm_rows: DataFrame, ipc_rows: DataFrame, holiday_
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Z-score of columns over the whole frame as it stands.
 
-    One scalar aggregate (mean and sample sd per column) joined back as a
-    one-row broadcast: no unpartitioned window.
+    Mean and sample sd are scalar subqueries over the frame (the optimizer
+    merges them into one aggregate): no unpartitioned window, no join.
     """
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
-                   *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(stats))
-    out = out.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in cols})
-    return out.drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+    return df.withColumns({c: (F.col(c) - df.agg(F.avg(c)).scalar()) / df.agg(F.stddev_samp(c)).scalar()
+                           for c in cols})
 
 
 def extend_future(df: DataFrame, horizon: int = HORIZON, key: str = "cod",
@@ -109,12 +108,8 @@ def holdout_split(df: DataFrame, days: int = HORIZON, dc: str = "fecha_corte") -
     The cutoff is the ``days``-th largest distinct date: a distinct + top-k
     over dates (one row per calendar day), joined back as a scalar.
     """
-    dates = df.select(dc).distinct()
-    cutoff = dates.orderBy(F.col(dc).desc()).limit(days).agg(F.min(dc).alias("_cut"))
-    marked = df.crossJoin(F.broadcast(cutoff))
-    test = marked.where(F.col(dc) >= F.col("_cut")).drop("_cut")
-    train = marked.where(F.col(dc) < F.col("_cut")).drop("_cut")
-    return train, test
+    cut = df.select(dc).distinct().orderBy(F.col(dc).desc()).limit(days).agg(F.min(dc)).scalar()
+    return df.where(F.col(dc) < cut), df.where(F.col(dc) >= cut)
 
 
 def cv_plan(df: DataFrame, assess: int = HORIZON, skip: int = HORIZON, max_folds: int = 13,
@@ -125,17 +120,11 @@ def cv_plan(df: DataFrame, assess: int = HORIZON, skip: int = HORIZON, max_folds
     ``(k-1) * skip`` days before the last date; training is every earlier
     day (cumulative). Output long ``(fold, key, date, role)``.
     """
-    spark = df.sparkSession
-    last = df.agg(F.max(dc).alias("_last"))
-    folds = spark.range(1, max_folds + 1).select(F.col("id").cast("int").alias("fold"))
-    bounds = folds.crossJoin(F.broadcast(last)).select(
-        "fold",
-        F.date_sub("_last", (F.col("fold") - 1) * skip).alias("_a_end"),
-        F.date_sub("_last", (F.col("fold") - 1) * skip + assess - 1).alias("_a_start"))
-    first = df.agg(F.min(dc).alias("_first"))
-    bounds = bounds.crossJoin(F.broadcast(first)).where(F.col("_a_start") > F.col("_first"))
+    bounds = fold_bounds(df, max_folds, assess, skip, dc)   # one small min/max action
     keys = [key] if key else []
-    rows = df.select(*keys, dc).crossJoin(F.broadcast(bounds))
+    folds = F.array(*[F.struct(F.lit(k).alias("fold"), F.lit(s).alias("_a_start"), F.lit(e).alias("_a_end"))
+                      for k, s, e in bounds])
+    rows = df.select(*keys, dc, F.explode(folds).alias("_f")).select(*keys, dc, "_f.*")
     rows = rows.where(F.col(dc) <= F.col("_a_end")).withColumn(
         "role", F.when(F.col(dc) >= F.col("_a_start"), F.lit("assessment")).otherwise(F.lit("analysis")))
     return rows.select("fold", *keys, dc, "role")
@@ -201,8 +190,8 @@ def seasonal_naive(actual: DataFrame, start: DataFrame | _dt.date, horizon: int
     src = actual.select(key, F.date_add(dc, lag).alias(dc), F.col(value).alias("mean"))
     target = actual.select(key, dc)
     if isinstance(start, DataFrame):
-        target = target.crossJoin(F.broadcast(start.select(F.col(start.columns[0]).alias("_s"))))
-        target = target.where((F.col(dc) >= F.col("_s")) & (F.col(dc) < F.date_add("_s", horizon))).drop("_s")
+        s = start.select(start.columns[0]).scalar()
+        target = target.where((F.col(dc) >= s) & (F.col(dc) < F.date_add(s, horizon)))
     else:
         target = target.where((F.col(dc) >= F.lit(start)) & (F.col(dc) < F.lit(start + _dt.timedelta(horizon))))
     return target.join(src, [key, dc], "inner")

@@ -62,18 +62,24 @@ def acf(df: DataFrame, col: str, lags: Sequence[int], dc: str = "fecha_corte",
     """
     x = df.select(*by, dc, F.col(col).alias("_x")).dropna(subset=["_x"])
     x = with_index(x, dc, by)
-    stats = x.groupBy(*by).agg(F.avg("_x").alias("_m"))
-    x = x.join(F.broadcast(stats), list(by), "inner") if by else x.crossJoin(F.broadcast(stats))
+    if by:   # per-series means: a grouped aggregate joined on the series key
+        x = x.join(x.groupBy(*by).agg(F.avg("_x").alias("_m")), list(by))
+    else:    # one series: the mean is a scalar subquery
+        x = x.withColumn("_m", x.agg(F.avg("_x")).scalar())
     x = x.withColumn("_d", F.col("_x") - F.col("_m"))
-    denom = x.groupBy(*by).agg(F.sum(F.col("_d") * F.col("_d")).alias("_den"))
-    spark = df.sparkSession
-    lag_df = spark.createDataFrame([(int(k),) for k in lags], "lag int")
-    left = x.select(*by, "_i", F.col("_d").alias("_a")).crossJoin(F.broadcast(lag_df))
+    # each row meets each lag once: explode the lag list, then an equi-join
+    # on the row index pairs x_t with x_{t+k}
+    left = x.select(*by, "_i", F.col("_d").alias("_a"),
+                    F.explode(F.array(*[F.lit(int(k)) for k in lags])).alias("lag"))
     left = left.withColumn("_j", F.col("_i") + F.col("lag"))
     right = x.select(*by, F.col("_i").alias("_j"), F.col("_d").alias("_b"))
-    pairs = left.join(right, [*by, "_j"])
-    num = pairs.groupBy(*by, "lag").agg(F.sum(F.col("_a") * F.col("_b")).alias("_num"))
-    out = num.join(denom, list(by), "inner") if by else num.crossJoin(F.broadcast(denom))
+    num = left.join(right, [*by, "_j"]).groupBy(*by, "lag").agg(
+        F.sum(F.col("_a") * F.col("_b")).alias("_num"))
+    if by:
+        denom = x.groupBy(*by).agg(F.sum(F.col("_d") * F.col("_d")).alias("_den"))
+        out = num.join(denom, list(by))
+    else:
+        out = num.withColumn("_den", x.agg(F.sum(F.col("_d") * F.col("_d"))).scalar())
     return out.select(*by, "lag", (F.col("_num") / F.col("_den")).alias("acf"))
 
 
@@ -87,15 +93,14 @@ def ccf(df: DataFrame, col: str, others: Sequence[str], lags: Sequence[int],
     cols = [col, *others]
     x = df.select(dc, *cols).dropna()
     x = with_index(x, dc)
-    stats = x.agg(F.count(F.lit(1)).alias("_n"),
-                  *[F.avg(c).alias(f"_m_{c}") for c in cols],
-                  *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    x = x.crossJoin(F.broadcast(stats))
+    # scalar subqueries over the same input (merged into one aggregate by the optimizer)
+    x = x.withColumns({"_n": x.agg(F.count(F.lit(1))).scalar(),
+                       **{f"_m_{c}": x.agg(F.avg(c)).scalar() for c in cols},
+                       **{f"_s_{c}": x.agg(F.stddev_pop(c)).scalar() for c in cols}})
     x = x.withColumns({f"_d_{c}": F.col(c) - F.col(f"_m_{c}") for c in cols})
-    spark = df.sparkSession
-    lag_df = spark.createDataFrame([(int(k),) for k in lags], "lag int")
     ys = x.select("_i", "_n", *[F.col(f"_d_{o}").alias(f"_y_{o}") for o in others],
-                  *[F.col(f"_s_{c}") for c in cols]).crossJoin(F.broadcast(lag_df))
+                  *[F.col(f"_s_{c}") for c in cols],
+                  F.explode(F.array(*[F.lit(int(k)) for k in lags])).alias("lag"))
     ys = ys.withColumn("_j", F.col("_i") + F.col("lag"))
     xs = x.select(F.col("_i").alias("_j"), F.col(f"_d_{col}").alias("_xd"))
     pairs = ys.join(xs, "_j")
@@ -121,7 +126,8 @@ def decompose(df: DataFrame, col: str, dc: str = "fecha_corte", period: int = 7,
     phase = x.groupBy(*by, "_phase").agg(F.avg(F.col("observed") - F.col("trend")).alias("_s"))
     wp = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     phase = phase.withColumn("season", F.col("_s") - F.avg("_s").over(wp)).drop("_s")
-    out = x.join(F.broadcast(phase), [*by, "_phase"], "left")
+    # ``period`` rows per series: broadcast only for the single-series case
+    out = x.join(phase if by else F.broadcast(phase), [*by, "_phase"], "left")
     out = out.withColumn("remainder", F.col("observed") - F.col("trend") - F.col("season"))
     return out.select(*by, dc, "observed", "trend", "season", "remainder")
 

@@ -1,10 +1,11 @@
 """Universe screens over series (U1-U8) and the filters/top-k they use
 (C2-C5, C8, G3-G5).
 
-Global maxima are scalar aggregates joined back as a one-row broadcast
-(never an unpartitioned window); per-series statistics are ``groupBy``
-aggregates semi-joined back, so each screen is one shuffle on the series
-key, with partial (map-side) aggregation.
+Global maxima are scalar subqueries (``DataFrame.scalar()``: evaluated
+once, used as a literal, pushed into scans where possible) -- never an
+unpartitioned window or a cross join. Per-series statistics are
+``groupBy`` aggregates (partial, map-side) semi-joined back on the series
+key; on a table bucketed by that key the big side does not move.
 """
 
 from __future__ import annotations
@@ -20,22 +21,19 @@ from fundlens.operators.panel import DATE, SERIES
 
 
 def with_global(df: DataFrame, name: str, agg) -> DataFrame:
-    """Attach a scalar aggregate of ``df`` to every row (one-row broadcast)."""
-    scalar = df.agg(agg.alias(name))
-    return df.crossJoin(F.broadcast(scalar))
+    """Attach a scalar aggregate of ``df`` to every row (scalar subquery)."""
+    return df.withColumn(name, df.agg(agg).scalar())
 
 
 def filter_latest_date(df: DataFrame, dc: str = DATE) -> DataFrame:
     """Rows at the global last date."""
-    last = df.agg(F.max(dc).alias("_last"))
-    return df.join(F.broadcast(last), F.col(dc) == F.col("_last"), "left_semi")
+    return df.where(F.col(dc) == df.agg(F.max(dc)).scalar())
 
 
 def active_series(df: DataFrame, sk: Sequence[str] = SERIES, dc: str = DATE) -> DataFrame:
     """Series whose last date equals the global last date."""
     last_by = df.groupBy(*sk).agg(F.max(dc).alias("_last"))
-    last = last_by.agg(F.max("_last").alias("_glast"))
-    keep = last_by.join(F.broadcast(last), F.col("_last") == F.col("_glast"), "left_semi").select(*sk)
+    keep = last_by.where(F.col("_last") == last_by.agg(F.max("_last")).scalar()).select(*sk)
     return semi(df, keep, sk)
 
 
@@ -48,9 +46,8 @@ def active_long_series(df: DataFrame, days: int = 365, sk: Sequence[str] = SERIE
     is the max of the per-series maxima, a tiny aggregate.
     """
     per = df.groupBy(*sk).agg(F.max(dc).alias("_last"), F.count(F.lit(1)).alias("_n"))
-    glast = per.agg(F.max("_last").alias("_glast"))
-    keep = (per.join(F.broadcast(glast), F.col("_last") == F.col("_glast"), "left_semi")
-            .where(F.col("_n") > days).select(*sk))
+    keep = (per.where((F.col("_last") == per.agg(F.max("_last")).scalar()) & (F.col("_n") > days))
+            .select(*sk))
     return semi(df, keep, sk)
 
 
@@ -68,9 +65,7 @@ def screen_universe(df: DataFrame, days: int = 365, base: bool = True, sk: Seque
     """
     per = df.groupBy(*sk).agg(F.max(dc).alias("_last"), F.count(F.lit(1)).alias("_n"),
                               F.max_by(investors, dc).alias("_inv"), F.max_by(value, dc).alias("_val"))
-    glast = per.agg(F.max("_last").alias("_glast"))
-    keep = (per.join(F.broadcast(glast), F.col("_last") == F.col("_glast"), "left_semi")
-            .where(F.col("_n") > days))
+    keep = per.where((F.col("_last") == per.agg(F.max("_last")).scalar()) & (F.col("_n") > days))
     if base:
         w_fund = Window.partitionBy(fund)
         keep = (keep.withColumn("_max_inv", F.max("_inv").over(w_fund))
@@ -142,8 +137,7 @@ def moving_funds(df: DataFrame, since: _dt.date, min_share: float = 0.5, fund: s
     )
     # a NULL flow makes the share NA in the source, and the fund drops out
     stats = stats.where((F.col("_flow_n") == F.col("_n")) & (F.col("_mov") / F.col("_n") >= min_share))
-    longest = stats.agg(F.max("_n").alias("_max_n"))
-    keep = stats.join(F.broadcast(longest), F.col("_n") == F.col("_max_n"), "left_semi").select(fund)
+    keep = stats.where(F.col("_n") == stats.agg(F.max("_n")).scalar()).select(fund)
     return (semi(recent, keep, fund).select(dc, fund, value)
             .dropna(subset=[dc, fund, value]))
 

@@ -132,7 +132,7 @@ register("count_by_series", O.with_ctes(P2, "SELECT cod, tipo_participacion, cou
 
 register("max_date_by_series", O.with_ctes(P2, """SELECT cod, tipo_participacion, max(fecha_corte) AS max_fecha,
   (SELECT max(fecha_corte) FROM panel) AS max_global FROM panel GROUP BY ALL"""))(
-    lambda ctx: (lambda per: per.crossJoin(F.broadcast(per.agg(F.max("max_fecha").alias("max_global")))))(
+    lambda ctx: (lambda per: per.withColumn("max_global", per.agg(F.max("max_fecha")).scalar()))(
         ctx.panel(2).groupBy(*SERIES).agg(F.max("fecha_corte").alias("max_fecha"))))
 
 IDX_CTES = O.base5_chain() + ["""idx AS (SELECT fecha_corte, quantile_cont(crecimiento_dia, 0.5) AS mean_creci
@@ -406,9 +406,9 @@ register("grouped_map", O.with_ctes(O.base5_chain(), sel(["cod", "n", "mean", "s
                                for i in range(1, 8)) + " FROM lastw GROUP BY cod"))
 def _pivot_wide(ctx):
     b = ctx.base5()
-    last = b.agg(F.max("fecha_corte").alias("_l"))
-    w = b.crossJoin(F.broadcast(last)).where(F.col("fecha_corte") > F.date_sub("_l", 7))
-    w = w.withColumn("k", F.concat(F.lit("d_"), (F.datediff("_l", "fecha_corte") + 1).cast("string")))
+    last = b.agg(F.max("fecha_corte")).scalar()
+    w = b.where(F.col("fecha_corte") > F.date_sub(last, 7))
+    w = w.withColumn("k", F.concat(F.lit("d_"), (F.datediff(last, "fecha_corte") + 1).cast("string")))
     return ST.pivot_wide(w, "cod", "k", "crecimiento_dia", [f"d_{i}" for i in range(1, 8)])
 
 
@@ -468,8 +468,8 @@ def _ccf(ctx):
     trm_rows, ipc_rows, _ = _macro(ctx)
     from fundlens.sources.landed import macro_daily, macro_monthly
     x = _index(ctx)
-    x = x.join(F.broadcast(macro_daily(trm_rows)), F.col("fecha_corte") == F.col("fecha"), "left").drop("fecha")
-    x = x.join(F.broadcast(macro_monthly(ipc_rows)), F.col("fecha_corte") == F.col("fecha"), "left").drop("fecha")
+    x = x.join(macro_daily(trm_rows), F.col("fecha_corte") == F.col("fecha"), "left").drop("fecha")
+    x = x.join(macro_monthly(ipc_rows), F.col("fecha_corte") == F.col("fecha"), "left").drop("fecha")
     x = filter_exclude_period(x, *SHOCK)
     return ST.ccf(x, "mean_creci", ["trm", "ipc"], range(0, 366))
 
@@ -521,8 +521,8 @@ def _trend_vs_macro(ctx):
     from fundlens.sources.landed import macro_daily, macro_monthly
     trm_rows, ipc_rows, _ = _macro(ctx)
     d = ST.decompose(_index(ctx), "mean_creci").select("fecha_corte", F.col("trend").alias("creci_trend"))
-    d = d.join(F.broadcast(macro_daily(trm_rows)), F.col("fecha_corte") == F.col("fecha"), "left").drop("fecha")
-    d = d.join(F.broadcast(macro_monthly(ipc_rows)), F.col("fecha_corte") == F.col("fecha"), "left").drop("fecha")
+    d = d.join(macro_daily(trm_rows), F.col("fecha_corte") == F.col("fecha"), "left").drop("fecha")
+    d = d.join(macro_monthly(ipc_rows), F.col("fecha_corte") == F.col("fecha"), "left").drop("fecha")
     z = FC.standardize(d, ["creci_trend", "trm", "ipc"])
     return ST.unpivot_long(z, ["fecha_corte"], ["creci_trend", "trm", "ipc"])
 
@@ -559,10 +559,10 @@ def parameter_grid(spark, n_items_df=None, algorithms=ALGORITHMS, ks=GRID_KS):
     masks = spark.range(1, 2 ** len(algorithms)).select(F.col("id").cast("int").alias("subset"))
     names = F.concat_ws("+", *[F.when((F.col("subset").bitwiseAND(1 << i)) != 0, F.lit(a))
                                for i, a in enumerate(algorithms)])
-    grid = masks.withColumn("algorithms", names).crossJoin(
-        spark.createDataFrame([(k,) for k in ks], "k int"))
+    grid = masks.select("subset", names.alias("algorithms"),
+                        F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
     if n_items_df is not None:
-        grid = grid.crossJoin(F.broadcast(n_items_df)).where(F.col("k") < F.col("n")).drop("n")
+        grid = grid.where(F.col("k") < n_items_df.select(n_items_df.columns[0]).scalar())
     return grid
 
 
