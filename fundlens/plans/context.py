@@ -23,11 +23,13 @@ from fundlens.sources.landed import fund_dims_raw, fund_facts, report_rows
 
 _AS_OF_CACHE: dict[tuple[int, str], _dt.date] = {}
 _TABLE_CACHE: dict[tuple, DataFrame] = {}
+_REQUESTS: dict[tuple, int] = {}
 CACHE_TABLES = True  # reuse materialised panels across queries of one session
 
 
 def clear_cache() -> None:
     _TABLE_CACHE.clear()
+    _REQUESTS.clear()
 
 FACTS_STATUS = "F"   # facts come from these line-status rows ...
 REPORT_STATUS = "O"  # ... and the report extract from the others
@@ -76,7 +78,10 @@ class Ctx:
         if materialized == "auto":
             if CACHE_TABLES and full in _TABLE_CACHE:
                 return _TABLE_CACHE[full]
-            materialized = False
+            # the first request stays lazy (single-use plans); a repeated one
+            # in the same session materialises the panel for the rest
+            _REQUESTS[full] = _REQUESTS.get(full, 0) + 1
+            materialized = CACHE_TABLES and _REQUESTS[full] > 1
         df = clean_panel(self.facts(years), self.report(), self.as_of)
         if not materialized:
             return df

@@ -39,9 +39,14 @@ def _sweep(ctx):
 
 register("fund_vectors")(lambda ctx: _vectors(ctx).select("cod", "n", vector_to_array("features").alias("features")))
 register("embed_2d")(lambda ctx: _map(ctx).select("cod", "x", "y"))
-register("cluster_members")(lambda ctx: CL.member_labels(_map(ctx), _k(ctx), reps=REPS))
-register("consensus_cluster")(
-    lambda ctx: CL.consensus_cluster(CL.member_labels(_map(ctx), _k(ctx), reps=REPS), _k(ctx)))
+def _members(ctx, k, algorithms=CL.ALGORITHMS):
+    """Base clusterings, fitted once per session and (k, algorithms)."""
+    return ctx._cached(("members", k, tuple(algorithms)), lambda: CL.member_labels(
+        _map(ctx), k, algorithms, REPS).checkpoint(eager=True))
+
+
+register("cluster_members")(lambda ctx: _members(ctx, _k(ctx)))
+register("consensus_cluster")(lambda ctx: CL.consensus_cluster(_members(ctx, _k(ctx)), _k(ctx)))
 register("silhouette_sweep")(lambda ctx: _sweep(ctx))
 
 
@@ -54,7 +59,7 @@ def _cluster_assignment(ctx):
     else:
         best = best_config(sweep).first()
         best_k, chosen = best["k"], best["algorithms"].split("+")
-    labels = CL.consensus_cluster(CL.member_labels(_map(ctx), best_k, chosen, REPS), best_k)
+    labels = CL.consensus_cluster(_members(ctx, best_k).where(F.col("algorithm").isin(*chosen)), best_k)
     dims = ctx.dims(2).select("cod", "nombre_entidad", "nombre_patrimonio")
     return CL.cluster_assignment(_map(ctx), labels, dims)
 
