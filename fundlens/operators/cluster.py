@@ -141,11 +141,12 @@ def silhouette(points: DataFrame, assignment: DataFrame, key: str = "cod", featu
 
 def silhouette_sweep(points: DataFrame, ks: Sequence[int] = (5, 7, 9),
                      algorithms: Sequence[str] = ALGORITHMS, reps: int = 5, seed: int = SEED,
-                     key: str = "cod") -> DataFrame:
+                     key: str = "cod", members=None) -> DataFrame:
     """Score every non-empty algorithm subset x k.
 
     Base clusterings are fitted once per (algorithm, k, repetition) and
-    shared by all subsets that contain the algorithm. Returns
+    shared by all subsets that contain the algorithm (``members(k)`` may
+    supply them, e.g. from a cache). Returns
     ``(n, subset, algorithms, k, silhouette)``; ``n`` numbers the configs.
     """
     spark = points.sparkSession
@@ -155,7 +156,8 @@ def silhouette_sweep(points: DataFrame, ks: Sequence[int] = (5, 7, 9),
     for k in ks:
         if k >= n_points:
             continue
-        base = member_labels(points, k, algorithms, reps, seed, key=key).checkpoint(eager=True)
+        base = (members(k) if members is not None
+                else member_labels(points, k, algorithms, reps, seed, key=key).checkpoint(eager=True))
         for mask in range(1, 2 ** len(algorithms)):
             chosen = [a for i, a in enumerate(algorithms) if mask & (1 << i)]
             n += 1

@@ -34,7 +34,8 @@ def _k(ctx, k=5):
 
 
 def _sweep(ctx):
-    return ctx._cached(("sweep",), lambda: CL.silhouette_sweep(_map(ctx), KS, reps=REPS).checkpoint(eager=True))
+    return ctx._cached(("sweep",), lambda: CL.silhouette_sweep(
+        _map(ctx), KS, reps=REPS, members=lambda k: _members(ctx, k)).checkpoint(eager=True))
 
 
 register("fund_vectors")(lambda ctx: _vectors(ctx).select("cod", "n", vector_to_array("features").alias("features")))
