@@ -18,7 +18,7 @@ from fundlens.functions.dates import py_add_months, py_floor_year
 from fundlens.operators.dims import clean_dims
 from fundlens.operators.panel import clean_panel
 from fundlens.sources import adapter
-from fundlens.session import materialize, materialize_bucketed
+from fundlens.session import materialize, materialize_bucketed, session_key
 from fundlens.sources.landed import fund_dims_raw, fund_facts, report_rows
 
 _AS_OF_CACHE: dict[tuple[int, str], _dt.date] = {}
@@ -36,7 +36,7 @@ REPORT_STATUS = "O"  # ... and the report extract from the others
 
 
 def as_of(spark: SparkSession, sf_dir: str) -> _dt.date:
-    key = (id(spark), sf_dir)
+    key = (session_key(spark), sf_dir)
     if key not in _AS_OF_CACHE:
         li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
         _AS_OF_CACHE[key] = li.agg(F.max(F.to_date("l_shipdate"))).first()[0]
@@ -74,7 +74,7 @@ class Ctx:
         table when one exists and otherwise stays lazy (single-use plans).
         """
         key = ("panel", years)
-        full = (id(self.spark), self.sf_dir) + key
+        full = (session_key(self.spark), self.sf_dir) + key
         if materialized == "auto":
             if CACHE_TABLES and full in _TABLE_CACHE:
                 return _TABLE_CACHE[full]
@@ -89,7 +89,7 @@ class Ctx:
             df, ["cod", "tipo_participacion"], ["cod", "tipo_participacion", "fecha_corte"], name="panel"))
 
     def _cached(self, key: tuple, build):
-        full = (id(self.spark), self.sf_dir) + key
+        full = (session_key(self.spark), self.sf_dir) + key
         if not CACHE_TABLES:
             return build()
         if full not in _TABLE_CACHE:

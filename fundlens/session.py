@@ -35,6 +35,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def session_key(spark: SparkSession) -> tuple:
+    """Identity of a live session for caches of plans bound to it: the
+    application id changes with every SparkContext, so a stopped session's
+    DataFrames are never served to a new one."""
+    return (spark.sparkContext.applicationId, id(spark))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory of the session.
 

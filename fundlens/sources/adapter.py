@@ -57,8 +57,17 @@ def _by_region(values: list[str]):
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("n_regionkey") + 1)
 
 
+_READERS: dict[tuple, DataFrame] = {}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Lazy scan of one driver table; the reader (schema from the Parquet
+    footers) is built once per session and reused by every plan."""
+    from fundlens.session import session_key
+    key = (session_key(spark), sf_dir, name)
+    if key not in _READERS:
+        _READERS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _READERS[key]
 
 
 def _daily_lines(spark: SparkSession, sf_dir: str, linestatus: str | None) -> DataFrame:
