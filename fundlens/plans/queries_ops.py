@@ -377,7 +377,7 @@ register("date_shift", O.with_ctes(_DATES_SQL, """SELECT d,
                                   shift_months(F.col("d"), -6).alias("minus_6m")))
 
 
-@register("weekday_flags", O.with_ctes(_DATES_SQL + [_FEST], """SELECT d, isodow(d) AS dia_semana,
+@register("weekday_flags", O.with_ctes(_DATES_SQL + [_FEST], """SELECT d, CAST(isodow(d) AS INTEGER) AS dia_semana,
   isodow(d) IN (6, 7) AS fin_de_semana,
   CAST(coalesce(h.festivo, FALSE) OR isodow(d) IN (6, 7) AS DOUBLE) AS dia_no_habil
   FROM days LEFT JOIN festivos h ON h.fecha = days.d"""))

@@ -257,7 +257,7 @@ register("rmse", O.with_ctes(DS_CTES, sel(["rmse", "n"], """(SELECT sqrt(avg(pow
 
 
 @register("leaderboard", O.with_ctes(DS_CTES, sel(["model", "rmse", "n", "rank"], """(
-  SELECT *, rank() OVER (ORDER BY rmse, model) AS rank FROM (
+  SELECT *, CAST(rank() OVER (ORDER BY rmse, model) AS INTEGER) AS rank FROM (
     SELECT model, sqrt(avg(pow(p.mean - t.creci_dia, 2))) AS rmse, count(*) AS n
     FROM (SELECT 'naive_7' AS model, * FROM naive7 UNION ALL SELECT 'naive_1', * FROM naive1) p
     JOIN test t USING (cod, fecha_corte) GROUP BY model) s) t""")))
@@ -364,7 +364,7 @@ register("rolling_return_gross", O.with_ctes(P2, sel(_K + ["rent_brut_30"], f"(S
 _GS = ["max_fecha", "n", "mov", "mediana"]
 register("group_stat_over", O.with_ctes(P2, sel(_K + _GS, """(SELECT fecha_corte, cod, tipo_participacion, crecimiento_dia,
   max(fecha_corte) OVER w AS max_fecha, count(*) OVER w AS n,
-  sum(CASE WHEN transaccciones_netas <> 0 THEN 1 ELSE 0 END) OVER w AS mov,
+  CAST(sum(CASE WHEN transaccciones_netas <> 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS mov,
   median(crecimiento_dia) OVER w AS mediana FROM panel WINDOW w AS (PARTITION BY cod, tipo_participacion)) t""")))(
     lambda ctx: ST.group_stat_over(ctx.panel(2).select(*_K, "transaccciones_netas"), SERIES, {
         "max_fecha": F.max("fecha_corte"), "n": F.count(F.lit(1)),
@@ -530,8 +530,9 @@ def _trend_vs_macro(ctx):
 # ============================== 2.13 features (M2-M5) ==============================
 
 register("calendar_features", O.with_ctes(DS_CTES, sel(DS_COLS + ["day_of_week", "day_of_month", "day_of_year"],
-    """(SELECT *, isodow(fecha_corte) - 1 AS day_of_week, dayofmonth(fecha_corte) AS day_of_month,
-        dayofyear(fecha_corte) AS day_of_year FROM ds) t""")))(lambda ctx: FC.calendar_features(_ds(ctx)))
+    """(SELECT *, CAST(isodow(fecha_corte) - 1 AS INTEGER) AS day_of_week,
+        CAST(dayofmonth(fecha_corte) AS INTEGER) AS day_of_month,
+        CAST(dayofyear(fecha_corte) AS INTEGER) AS day_of_year FROM ds) t""")))(lambda ctx: FC.calendar_features(_ds(ctx)))
 _LAGW = "PARTITION BY cod ORDER BY fecha_corte"
 NUM.update(f"lag_{n}" for n in FC.TARGET_LAGS)
 register("lag_features", O.with_ctes(DS_CTES, sel(DS_COLS + [f"lag_{n}" for n in FC.TARGET_LAGS],
