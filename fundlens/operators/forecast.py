@@ -53,9 +53,11 @@ def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Z-score of columns over the whole frame as it stands.
 
     Mean and sample sd are scalar subqueries over the frame (the optimizer
-    merges them into one aggregate): no unpartitioned window, no join.
+    merges them into one aggregate): no unpartitioned window, no join. A
+    constant column (sd 0) gives NULL instead of an ANSI division error.
     """
-    return df.withColumns({c: (F.col(c) - df.agg(F.avg(c)).scalar()) / df.agg(F.stddev_samp(c)).scalar()
+    return df.withColumns({c: F.try_divide(F.col(c) - df.agg(F.avg(c)).scalar(),
+                                           df.agg(F.stddev_samp(c)).scalar())
                            for c in cols})
 
 

@@ -80,7 +80,7 @@ def acf(df: DataFrame, col: str, lags: Sequence[int], dc: str = "fecha_corte",
         out = num.join(denom, list(by))
     else:
         out = num.withColumn("_den", x.agg(F.sum(F.col("_d") * F.col("_d"))).scalar())
-    return out.select(*by, "lag", (F.col("_num") / F.col("_den")).alias("acf"))
+    return out.select(*by, "lag", F.try_divide(F.col("_num"), F.col("_den")).alias("acf"))
 
 
 def ccf(df: DataFrame, col: str, others: Sequence[str], lags: Sequence[int],
@@ -104,8 +104,8 @@ def ccf(df: DataFrame, col: str, others: Sequence[str], lags: Sequence[int],
     ys = ys.withColumn("_j", F.col("_i") + F.col("lag"))
     xs = x.select(F.col("_i").alias("_j"), F.col(f"_d_{col}").alias("_xd"))
     pairs = ys.join(xs, "_j")
-    aggs = [(F.sum(F.col("_xd") * F.col(f"_y_{o}")) / F.first("_n")
-             / (F.first(f"_s_{col}") * F.first(f"_s_{o}"))).alias(o) for o in others]
+    aggs = [F.try_divide(F.sum(F.col("_xd") * F.col(f"_y_{o}")) / F.first("_n"),
+                         F.first(f"_s_{col}") * F.first(f"_s_{o}")).alias(o) for o in others]
     wide = pairs.groupBy("lag").agg(*aggs)
     return wide.unpivot("lag", list(others), "variable", "ccf")
 

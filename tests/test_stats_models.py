@@ -197,3 +197,11 @@ def test_cluster_pipeline(spark):
     assert all(len(v) == 1 for v in groups.values())         # planted blocks recovered
     sweep = CL.silhouette_sweep(pts, ks=(3,), reps=2).collect()
     assert len(sweep) == 7 and all(-1 <= r["silhouette"] <= 1 for r in sweep)
+
+
+def test_constant_series_gives_null_not_error(spark):
+    rows = [(D(2020, 1, 1) + dt.timedelta(days=i), 1.0, 2.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "fecha_corte date, v double, w double")
+    assert FC.standardize(df, ["v"]).first()["v"] is None
+    assert ST.acf(df, "v", [1]).first()["acf"] is None
+    assert ST.ccf(df, "v", ["w"], [0]).first()["ccf"] is None
