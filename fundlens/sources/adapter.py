@@ -54,7 +54,7 @@ ENTITY_TYPE_NAME = [
 
 
 def _by_region(values: list[str]):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("n_regionkey") + 1)
+    return F.try_element_at(F.array(*[F.lit(v) for v in values]), F.col("n_regionkey") + 1)
 
 
 _READERS: dict[tuple, DataFrame] = {}
