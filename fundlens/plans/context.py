@@ -67,7 +67,7 @@ class Ctx:
         return report_rows(adapter.report_rows_text(self.spark, self.sf_dir, REPORT_STATUS))
 
     def panel(self, years: int = 2, materialized: bool | str = "auto") -> DataFrame:
-        """``get_fics_facts(from = 1 Jan years back)``: merged, padded, grown.
+        """Fact panel from 1 January ``years`` back to ``as_of``: merged, padded, grown.
 
         ``materialized=True`` writes it once as a table bucketed by series
         (for plans that read it several times); ``"auto"`` reuses such a

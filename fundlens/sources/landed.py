@@ -192,11 +192,11 @@ def holidays(rows: DataFrame) -> DataFrame:
 def write_dashboard(facts: DataFrame, dims: DataFrame, path: str) -> None:
     """Write the dashboard facts (partitioned by year) and dims as Parquet."""
     (facts.withColumn("anio", F.year("Fecha")).write.mode("overwrite")
-     .partitionBy("anio").parquet(f"{path}/fics_disponibles"))
-    dims.write.mode("overwrite").parquet(f"{path}/fics_dims")
+     .partitionBy("anio").parquet(f"{path}/dashboard_facts"))
+    dims.write.mode("overwrite").parquet(f"{path}/dashboard_dims")
 
 
 def read_dashboard(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    facts = spark.read.parquet(f"{path}/fics_disponibles").drop("anio")
-    dims = spark.read.parquet(f"{path}/fics_dims")
+    facts = spark.read.parquet(f"{path}/dashboard_facts").drop("anio")
+    dims = spark.read.parquet(f"{path}/dashboard_dims")
     return facts, dims
