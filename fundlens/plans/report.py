@@ -92,8 +92,9 @@ def summary_table(facts: DataFrame, dims: DataFrame, n1=30, n2=365, titles: bool
     periods = [p1] if p1 == p2 else [p1, p2]
     sk, dc = ("cod", "Participacion"), "Fecha"
     last = filter_latest_date(facts, dc)
-    stats = _last_rows_stats(semi(facts, last, sk), periods, sk, dc,
-                             "crecimiento_dia")
+    # statistics of every series' last rows; the left join from the last-day
+    # rows keeps only series present on that day (no extra semi join needed)
+    stats = _last_rows_stats(facts, periods, sk, dc, "crecimiento_dia")
     rows = last.drop("precierre_fondo_dia_t", "crecimiento_dia").join(stats, list(sk), "left")
     rows = rows.join(dims.drop("Tipo Entidad"), "cod", "left")
     rent = [f"rent_{p}" for p in periods]
