@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundlens.llm import chat, exact, minhash, topk, urls
+from fundlens.llm import chat, exact, minhash, suffix_dedup, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,6 +35,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(chat.with_probe(_table(spark, sf_dir, "conversations"))))
 
 
+@_query()
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove the bytes of all documents that 400-byte repeats cover."""
+    return suffix_dedup.digest(suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), width=400))
+
+
 @_query()
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 4-word shingles, 80 %."""
