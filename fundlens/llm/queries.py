@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundlens.llm import chat, exact, minhash, suffix_dedup, topk, urls
+from fundlens.llm import chat, exact, langid, minhash, suffix_dedup, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by a model of the documents not held out."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 @_query()
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations and read the digests back from the output."""
