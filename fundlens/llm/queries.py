@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundlens.llm import chat, exact, langid, minhash, suffix_dedup, topk, urls
+from fundlens.llm import bpe, chat, exact, langid, minhash, suffix_dedup, topk, urls
+
+#: Vocabulary file of the registered queries; the operators take any path.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,6 +51,15 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), width=400))
 
 
+@_query()
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document; counts and digests of both."""
+    ids = bpe.encode(_table(spark, sf_dir, "documents"), VOCABULARY)
+    both = bpe.decode(ids, VOCABULARY)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @_query()
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 4-word shingles, 80 %."""
