@@ -19,6 +19,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from fundlens.llm.common import byte_view, c, ragged, text_steps
 from fundlens.llm.words import WordEncoder
@@ -164,7 +165,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
       result. ``path`` must be readable where the tasks run.
     """
     rows = df.select(c(id_col).alias("doc_id"), c(text_col).cast("string").alias("text"))
-    schema = rows.select("doc_id").schema.add("ids", "binary")
+    schema = StructType([rows.schema["doc_id"], StructField("ids", BinaryType())])
 
     def run(batches):
         _, encoder = _encoder(path)
@@ -182,7 +183,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     included, as this vocabulary (which has no decoder) decodes. Null ids
     decode to the empty text; an id outside the vocabulary to nothing."""
     rows = df.select(c(id_col).alias("doc_id"), c(ids_col).alias("ids"))
-    schema = rows.schema.add("decoded", "string")
+    schema = StructType([*rows.schema.fields, StructField("decoded", StringType())])
 
     def run(batches):
         pool, at = _decoder(path)

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fundlens.llm.common import c, text_steps
 
@@ -221,7 +222,7 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text", lang_out
                       F.when(has_letter, text).alias("_text"))
     shared = spark.sparkContext.broadcast(model)
     names = [f"_c{i}" for i in range(len(keep))]
-    schema = inner.drop("_text").schema.add("_lang", "string").add("_score", "double")
+    schema = T.StructType([*inner.schema.fields[:-1], T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
 
     def run(batches):
         m = shared.value
