@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundlens.llm import bpe, chat, exact, langid, minhash, suffix_dedup, topk, urls
+from fundlens.llm import bpe, chat, exact, langid, minhash, packing, suffix_dedup, topk, urls
 
 #: Vocabulary file of the registered queries; the operators take any path.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), VOCABULARY, capacity=2048, end_id=1)
+
+
 @_query()
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations and read the digests back from the output."""
