@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundlens.llm import bpe, chat, exact, langid, minhash, packing, suffix_dedup, topk, urls
+from fundlens.llm import bpe, chat, exact, langid, lines, minhash, packing, suffix_dedup, topk, urls
 
 #: Vocabulary file of the registered queries; the operators take any path.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +72,13 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+@_query()
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop the lines of all documents whose template recurs in ten or more."""
+    out = lines.drop_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 @_query(topk.ORACLE)
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products of every 50th vector against all others."""

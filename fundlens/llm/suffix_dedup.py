@@ -32,9 +32,11 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fundlens.llm.common import c, mix64, partitions, powers, ragged, text_steps, written
 
@@ -320,9 +322,10 @@ def repeated_spans(docs: DataFrame, width: int = 400, most: int = MOST) -> DataF
     return spans
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
     text = F.coalesce(c(text_col).cast("string"), F.lit(""))
-    return df.select(c(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
+    return df.select(c(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"),
+                     F.struct(F.lit(0).alias("_"), *[c(x) for x in carry]).alias("carry"))
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -336,10 +339,11 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400,
-                     most: int = MOST) -> DataFrame:
-    """``(id, n_bytes, spans, kept)``, one row per input row: the removed
-    maximal byte spans ``array<struct<lo, hi>>`` and the remaining bytes
-    (binary; a cut may split a UTF-8 character).
+                     most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, n_bytes, spans, kept)``, one row per input row, and the columns
+    named in ``carry``: the removed maximal byte spans
+    ``array<struct<lo, hi>>`` and the remaining bytes (binary; a cut may split
+    a UTF-8 character, see ``whole_characters``).
 
     * texts are UTF-8 bytes, null counts as empty; matches never cross texts;
     * a text shorter than ``width`` bytes loses nothing;
@@ -348,11 +352,15 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     * null ids are kept; other columns (whatever their names) are ignored;
       an empty table gives an empty result. Ids are integers.
     """
-    docs = _keyed(df, id_col, text_col)
-    spans = written(repeated_spans(docs, width, most), "spans")
+    docs = _keyed(df, id_col, text_col, carry)
+    spans = written(repeated_spans(docs.drop("carry"), width, most), "spans")
     per_doc = spans.groupBy("doc_id", "tk").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     both = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["doc_id"]) & (docs["tk"] == per_doc["tk"]), "left")
-    both = both.select(docs["doc_id"], "text", "lo", "hi")
+    both = both.select(docs["doc_id"], "text", "lo", "hi", "carry")
+    schema = T.StructType([
+        T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))),
+        T.StructField("kept", T.BinaryType()), both.schema["carry"]])
 
     def run(batches):
         for rows, data, offs in text_steps(batches, "text", 2 * STEP):
@@ -370,10 +378,20 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 spans.append([{"lo": int(a), "hi": int(b)} for a, b in zip(lo, hi)])
             yield pa.record_batch({"doc_id": rows.column(0), "n_bytes": pa.array(np.diff(offs)),
                                    "spans": pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
-                                   "kept": pa.array(kept, pa.binary())})
+                                   "kept": pa.array(kept, pa.binary()), "carry": rows.column(4)})
 
-    out = both.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<lo: long, hi: long>>, kept binary")
-    return out.withColumnRenamed("doc_id", id_col)
+    out = both.mapInArrow(run, schema)
+    return out.select(F.col("doc_id").alias(id_col), "n_bytes", "spans", "kept", *[F.col("carry").getField(x).alias(x) for x in carry])
+
+
+def whole_characters(kept: Column) -> Column:
+    """Remaining bytes as text; bytes of a character that a cut has split go."""
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return text(kept)
 
 
 def digest(result: DataFrame, id_col: str = "doc_id") -> DataFrame:
