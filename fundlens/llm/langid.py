@@ -182,13 +182,13 @@ def sample_of(df: DataFrame, where: Column, text_col: str, lang_col: str, sample
     among the rows that ``where`` selects, chosen by content hash."""
     rows = (df.where(where).select(c(lang_col).cast("string").alias("lang"), c(text_col).cast("string").alias("text"))
             .where(F.col("lang").isNotNull() & (F.octet_length("text") <= longest) & (F.length("text") > 0)))
-    # one hash of rows per language: about twice the sample passes, then the smallest hashes stay
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # about three times the sample passes a hash threshold per language, then the smallest hashes stay
+    h = F.xxhash64("text")
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).collect()}
     if not counts:
         return rows.limit(0)
-    h = F.xxhash64("text")
     shares = F.create_map(*[F.lit(x) for k, n in sorted(counts.items())
-                            for x in (k, (2 ** 63 - 1) * min(2 * sample, n) // n)])
+                            for x in (k, (2 ** 63 - 1) * min(3 * sample, n) // n)])
     few = rows.where(F.shiftrightunsigned(h, 1) <= shares[F.col("lang")]).select("lang", "text", h.alias("h")).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return few.withColumn("r", rank).where(F.col("r") <= sample).select("lang", "text")
