@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 
 def safe_growth(pre: Column, yld: Column) -> Column:
-    """``pre / (pre - yield) - 1`` with a zero denominator giving 0.
+    """``pre / (pre - yield) - 1``; a zero denominator and a growth that is
+    NaN or infinite give 0.
 
-    Spark's ANSI division raises on zero, so the guard comes first; a NULL
+    Spark's ANSI division raises on zero, so that guard comes first; a NULL
     input keeps the result NULL.
     """
     den = pre - yld
-    return F.when(den == 0, F.lit(0.0)).otherwise(pre / den - 1)
+    return F.when(den == 0, F.lit(0.0)).otherwise(nan_inf_to(pre / den - 1, 0.0))
 
 
 def daily_factor(annual_pct: Column, days: int = 365) -> Column:
@@ -31,6 +32,11 @@ def nan_inf_to(c: Column, value: float = 0.0) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(value)).otherwise(c)
 
 
+def nan_to_null(c: Column) -> Column:
+    """NaN is a missing value: NULL."""
+    return F.when(~F.isnan(c), c)
+
+
 def millions_label(c: Column) -> Column:
     """``$`` + thousands-grouped floor(x / 1e6) + ``M``."""
     return F.concat(F.lit("$"), F.format_number(F.floor(c / 1e6), 0), F.lit("M"))

@@ -16,11 +16,11 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundlens.functions.dates import py_add_months, py_floor_month
-from fundlens.functions.numeric import safe_growth
+from fundlens.functions.numeric import nan_to_null, safe_growth
 from fundlens.operators.joins import anti, semi
 
 SERIES = ("cod", "tipo_participacion")
@@ -135,18 +135,18 @@ def pad_daily(df: DataFrame, carry: Sequence[str] = CARRY, sk: Sequence[str] = S
 
 
 def fill_flows(df: DataFrame) -> DataFrame:
-    """Flows NULL -> 0; pre-close NULL -> closing value."""
+    """Missing (NULL or NaN) flows -> 0; missing pre-close -> closing value."""
     return df.withColumns({
-        "rendimientos_abonados": F.coalesce("rendimientos_abonados", F.lit(0.0)),
-        "transaccciones_netas": F.coalesce("transaccciones_netas", F.lit(0.0)),
-        "precierre_fondo_dia_t": F.coalesce("precierre_fondo_dia_t", "valor_fondo_cierre_dia_t"),
+        "rendimientos_abonados": F.coalesce(nan_to_null(F.col("rendimientos_abonados")), F.lit(0.0)),
+        "transaccciones_netas": F.coalesce(nan_to_null(F.col("transaccciones_netas")), F.lit(0.0)),
+        "precierre_fondo_dia_t": F.coalesce(nan_to_null(F.col("precierre_fondo_dia_t")), "valor_fondo_cierre_dia_t"),
     })
 
 
 def daily_growth(df: DataFrame) -> DataFrame:
     """Round yield and pre-close to 1 decimal; ``g = pre / (pre - yield) - 1``.
 
-    A zero denominator gives 0 (the source's Inf/NaN -> 0), NULL stays NULL.
+    A growth that is not finite gives 0, NULL stays NULL.
     """
     df = df.withColumns({
         "rendimientos_abonados": F.round("rendimientos_abonados", 1),
@@ -168,7 +168,3 @@ def clean_panel(facts: DataFrame, report: DataFrame | None = None,
     rows = facts if report is None else merge_sources(facts, report, as_of)
     panel = daily_growth(fill_flows(pad_daily(rows)))
     return panel.select(*PANEL_ORDER)
-
-
-def growth_column(pre: Column, yld: Column) -> Column:
-    return safe_growth(F.round(pre, 1), F.round(yld, 1))

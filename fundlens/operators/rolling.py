@@ -4,19 +4,15 @@ All frames are trailing ``rowsBetween(-(p-1), 0)`` on the series window and
 are NULL until the frame holds ``p`` non-NULL values (a NULL inside the
 frame makes the result NULL, as in the source's ``prod``/``sd``).
 
-Two evaluation methods give the same numbers:
-
-* ``frame``  -- the aggregate over the moving frame. Spark re-aggregates a
-  sliding frame for each row, O(n*p).
-* ``prefix`` -- running sums over ``unboundedPreceding..currentRow`` (one
-  pass, O(n)) differenced with their value ``p`` rows back by ``lag``.
-  The product is evaluated as ``sign * exp(sum log|1+g|)`` with a running
-  count of zero and negative factors, so it is exact in the presence of
-  ``1+g <= 0`` as well. The variance uses running sums of ``x - c`` and its
-  square, with ``c`` the series' first value, which keeps the cancellation
-  small. Used by default for ``p > 60``.
-
-Both methods use a single window partitioning, hence no extra shuffle.
+Products and spreads use one method for every ``p``, O(n) and without
+cancellation: the series is cut into blocks of ``p`` rows, so a trailing frame
+is the tail of one block and the head of the next. Statistics of each head and
+each tail are running aggregates (count, mean, squared deviations, product),
+and the two parts are combined. A value only enters frames that contain it: a
+huge or not-a-number day leaves no trace in later frames.
+
+All windows partition by the series (and its blocks), hence no extra shuffle.
+``rolling`` evaluates any other aggregate over the plain moving frame.
 """
 
 from __future__ import annotations
@@ -29,7 +25,6 @@ from pyspark.sql import functions as F
 
 from fundlens.operators.panel import DATE, SERIES
 
-PREFIX_THRESHOLD = 60
 DAYS_PER_YEAR = 365
 
 
@@ -38,15 +33,6 @@ def _frame(sk: Sequence[str], dc: str, period: int):
             .rowsBetween(-(period - 1), Window.currentRow))
 
 
-def _running(sk: Sequence[str], dc: str):
-    return (Window.partitionBy(*sk).orderBy(F.col(dc))
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-
-def _ordered(sk: Sequence[str], dc: str):
-    return Window.partitionBy(*sk).orderBy(F.col(dc))
-
-
 def rolling(df: DataFrame, col: str, period: int, agg: Callable[[Column], Column],
             name: str | None = None, sk: Sequence[str] = SERIES, dc: str = DATE,
             full: bool = True) -> DataFrame:
@@ -63,131 +49,109 @@ def rolling(df: DataFrame, col: str, period: int, agg: Callable[[Column], Column
     return df.withColumn(name or f"{col}_{period}", value)
 
 
-def _method(period: int, method: str) -> str:
-    if method == "auto":
-        return "prefix" if period > PREFIX_THRESHOLD else "frame"
-    return method
-
-
-def _prefix_columns(df: DataFrame, col: str, tag: str, sk: Sequence[str], dc: str,
-                    product: bool, spread: bool) -> DataFrame:
-    """Running (cumulative) sums needed by the prefix method, one window pass."""
-    run = _running(sk, dc)
-    x = F.col(col)
-    f = 1 + x
-    cols = {f"_{tag}_n": F.sum(F.when(x.isNotNull(), 1).otherwise(0)).over(run)}
+def _head_tail(df: DataFrame, col: str, period: int, tag: str, sk: Sequence[str], dc: str,
+               product: bool, spread: bool) -> DataFrame:
+    """Statistics of each row's block from its start to the row (head) and
+    from the row to its end (tail), then the tail of the frame's first row
+    brought to its last: columns ``_<tag>_h*`` and ``_<tag>_t*``."""
+    x = F.col(col).cast("double")
+    block = F.floor((F.col("_r_at") - 1) / period)
+    df = df.withColumn(f"_{tag}_b", block)
+    head = (Window.partitionBy(*sk, f"_{tag}_b").orderBy(F.col(dc))
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    tail = (Window.partitionBy(*sk, f"_{tag}_b").orderBy(F.col(dc).desc())
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    aggs = {"n": F.count(x)}
     if product:
-        cols[f"_{tag}_z"] = F.sum(F.when(f == 0, 1).otherwise(0)).over(run)
-        cols[f"_{tag}_neg"] = F.sum(F.when(f < 0, 1).otherwise(0)).over(run)
-        cols[f"_{tag}_log"] = F.sum(F.when(f != 0, F.log(F.abs(f))).otherwise(F.lit(0.0))).over(run)
+        aggs["p"] = F.product(1 + x)
     if spread:
-        shift = F.first(x, ignorenulls=True).over(run)
-        cols[f"_{tag}_shift"] = shift
-    df = df.withColumns(cols)
-    if spread:
-        d = x - F.col(f"_{tag}_shift")
-        df = df.withColumns({
-            f"_{tag}_s1": F.sum(F.coalesce(d, F.lit(0.0))).over(run),
-            f"_{tag}_s2": F.sum(F.coalesce(d * d, F.lit(0.0))).over(run),
-        })
-    return df
-
-
-def _windowed(tag: str, part: str, period: int, sk: Sequence[str], dc: str) -> Column:
-    s = F.col(f"_{tag}_{part}")
-    return s - F.coalesce(F.lag(s, period).over(_ordered(sk, dc)), F.lit(0))
-
-
-def _prefix_product(tag: str, period: int, sk: Sequence[str], dc: str) -> Column:
-    n_ok = _windowed(tag, "n", period, sk, dc)
-    n_zero = _windowed(tag, "z", period, sk, dc)
-    n_neg = _windowed(tag, "neg", period, sk, dc)
-    log_sum = _windowed(tag, "log", period, sk, dc)
-    sign = F.when(n_neg % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
-    value = F.when(n_zero > 0, F.lit(0.0)).otherwise(sign * F.exp(log_sum))
-    return F.when(n_ok == period, value)
+        aggs |= {"m": F.avg(x), "v": F.var_pop(x)}
+    df = df.withColumns({f"_{tag}_h{k}": a.over(head) for k, a in aggs.items()})
+    df = df.withColumns({f"_{tag}_s{k}": a.over(tail) for k, a in aggs.items()})
+    back = Window.partitionBy(*sk).orderBy(F.col(dc))
+    whole = F.col("_r_at") % period == 0                  # the frame is one block: the head is all of it
+    return df.withColumns({f"_{tag}_t{k}": F.when(~whole, F.lag(f"_{tag}_s{k}", period - 1).over(back)) for k in aggs})
 
 
-def _prefix_stddev(tag: str, period: int, sk: Sequence[str], dc: str) -> Column:
-    n_ok = _windowed(tag, "n", period, sk, dc)
-    s1 = _windowed(tag, "s1", period, sk, dc)
-    s2 = _windowed(tag, "s2", period, sk, dc)
-    var = (s2 - s1 * s1 / period) / (period - 1)
-    return F.when(n_ok == period, F.sqrt(F.greatest(var, F.lit(0.0))))
+def _full(tag: str, period: int) -> Column:
+    """The frame holds ``period`` rows, none of them NULL."""
+    n = F.col(f"_{tag}_hn") + F.coalesce(F.col(f"_{tag}_tn"), F.lit(0))
+    return (F.col("_r_at") >= period) & (n == period)
 
 
-def _frame_product(col: str, period: int, sk: Sequence[str], dc: str) -> Column:
-    w = _frame(sk, dc, period)
-    x = F.col(col)
-    return F.when(F.count(x).over(w) == period, F.product(1 + x).over(w))
+def _product(tag: str, period: int) -> Column:
+    return F.when(_full(tag, period), F.col(f"_{tag}_hp") * F.coalesce(F.col(f"_{tag}_tp"), F.lit(1.0)))
 
 
-def _frame_stddev(col: str, period: int, sk: Sequence[str], dc: str) -> Column:
-    w = _frame(sk, dc, period)
-    x = F.col(col)
-    return F.when(F.count(x).over(w) == period, F.stddev_samp(x).over(w))
+def _stddev(tag: str, period: int) -> Column:
+    """Sample standard deviation from both parts' counts, means and variances; NULL for one row."""
+    if period < 2:
+        return F.lit(None).cast("double")
+    hn, tn = F.col(f"_{tag}_hn"), F.coalesce(F.col(f"_{tag}_tn"), F.lit(0))
+    apart = F.col(f"_{tag}_hm") - F.coalesce(F.col(f"_{tag}_tm"), F.col(f"_{tag}_hm"))
+    squares = (F.col(f"_{tag}_hv") * hn + F.coalesce(F.col(f"_{tag}_tv"), F.lit(0.0)) * tn
+               + apart * apart * (hn * tn / period))
+    return F.when(_full(tag, period), F.sqrt(squares / (period - 1)))
 
 
 def rolling_stats(df: DataFrame, specs: Sequence[tuple[str, str, int, str]],
-                  sk: Sequence[str] = SERIES, dc: str = DATE, method: str = "auto") -> DataFrame:
-    """Add trailing-window statistics in one pass over the series window.
+                  sk: Sequence[str] = SERIES, dc: str = DATE) -> DataFrame:
+    """Add trailing-window statistics of the series.
 
     ``specs`` holds ``(name, kind, period, column)`` with ``kind`` one of
     ``ann`` (annualised return), ``gross`` (gross return), ``vol``
-    (annualised volatility). Running sums of the prefix method are computed
-    once per input column and shared by all periods.
+    (annualised volatility). The parts of a (period, column) are computed
+    once and shared.
     """
-    need: dict[str, set[str]] = {}
+    need: dict[tuple[int, str], set[str]] = {}
     for _, kind, period, col in specs:
-        if _method(period, method) == "prefix":
-            need.setdefault(col, set()).add("spread" if kind == "vol" else "product")
+        if kind not in ("ann", "gross", "vol"):
+            raise ValueError(f"unknown rolling kind {kind!r}")
+        need.setdefault((period, col), set()).add("spread" if kind == "vol" else "product")
+    out = df.withColumn("_r_at", F.row_number().over(Window.partitionBy(*sk).orderBy(F.col(dc))))
     tags = {}
-    out = df
-    for i, (col, kinds) in enumerate(need.items()):
-        tags[col] = f"r{i}"
-        out = _prefix_columns(out, col, tags[col], sk, dc, "product" in kinds, "spread" in kinds)
+    for i, ((period, col), kinds) in enumerate(need.items()):
+        tags[period, col] = f"r{i}"
+        out = _head_tail(out, col, period, f"r{i}", sk, dc, "product" in kinds, "spread" in kinds)
     exprs = {}
     for name, kind, period, col in specs:
-        prefix = _method(period, method) == "prefix"
-        if kind in ("ann", "gross"):
-            gross = _prefix_product(tags[col], period, sk, dc) if prefix else _frame_product(col, period, sk, dc)
-            exprs[name] = (F.pow(gross, F.lit(DAYS_PER_YEAR / period)) - 1) if kind == "ann" else gross - 1
-        elif kind == "vol":
-            sd = _prefix_stddev(tags[col], period, sk, dc) if prefix else _frame_stddev(col, period, sk, dc)
-            exprs[name] = sd * F.lit(math.sqrt(DAYS_PER_YEAR))
+        tag = tags[period, col]
+        if kind == "ann":
+            exprs[name] = F.pow(_product(tag, period), F.lit(DAYS_PER_YEAR / period)) - 1
+        elif kind == "gross":
+            exprs[name] = _product(tag, period) - 1
         else:
-            raise ValueError(f"unknown rolling kind {kind!r}")
+            exprs[name] = _stddev(tag, period) * F.lit(math.sqrt(DAYS_PER_YEAR))
     out = out.withColumns(exprs)
-    temps = [c for c in out.columns if c.startswith("_r") and c not in df.columns]
-    return out.drop(*temps)
+    return out.drop(*[c for c in out.columns if c.startswith("_r") and c not in df.columns])
 
 
 def rolling_return_ann(df: DataFrame, period: int = 30, col: str = "crecimiento_dia",
-                       sk: Sequence[str] = SERIES, dc: str = DATE, method: str = "auto",
+                       sk: Sequence[str] = SERIES, dc: str = DATE,
                        name: str | None = None) -> DataFrame:
     """``rent_p = prod(1 + g)^(365/p) - 1`` over the last ``p`` days."""
-    return rolling_stats(df, [(name or f"rent_{period}", "ann", period, col)], sk, dc, method)
+    return rolling_stats(df, [(name or f"rent_{period}", "ann", period, col)], sk, dc)
 
 
 def rolling_vol_ann(df: DataFrame, period: int = 30, col: str = "crecimiento_dia",
-                    sk: Sequence[str] = SERIES, dc: str = DATE, method: str = "auto",
+                    sk: Sequence[str] = SERIES, dc: str = DATE,
                     name: str | None = None) -> DataFrame:
     """``vol_p = sd(g) * sqrt(365)`` over the last ``p`` days (F8)."""
-    return rolling_stats(df, [(name or f"vol_{period}", "vol", period, col)], sk, dc, method)
+    return rolling_stats(df, [(name or f"vol_{period}", "vol", period, col)], sk, dc)
 
 
 def rolling_return_gross(df: DataFrame, period: int = 30, col: str = "crecimiento_dia",
-                         sk: Sequence[str] = SERIES, dc: str = DATE, method: str = "auto",
+                         sk: Sequence[str] = SERIES, dc: str = DATE,
                          name: str | None = None) -> DataFrame:
     """``rent_brut_p = prod(1 + g) - 1``."""
-    return rolling_stats(df, [(name or f"rent_brut_{period}", "gross", period, col)], sk, dc, method)
+    return rolling_stats(df, [(name or f"rent_brut_{period}", "gross", period, col)], sk, dc)
 
 
 def rent_vol(df: DataFrame, period: int = 30, col: str = "crecimiento_dia",
-             sk: Sequence[str] = SERIES, dc: str = DATE, method: str = "auto") -> DataFrame:
+             sk: Sequence[str] = SERIES, dc: str = DATE) -> DataFrame:
     """Annualised return and volatility of one period (``rent_p``, ``vol_p``)."""
     return rolling_stats(df, [(f"rent_{period}", "ann", period, col),
-                              (f"vol_{period}", "vol", period, col)], sk, dc, method)
+                              (f"vol_{period}", "vol", period, col)], sk, dc)
 
 
 def clamp_period(value, default: int, low: int = 1, high: int = 365) -> int:
@@ -200,7 +164,7 @@ def clamp_period(value, default: int, low: int = 1, high: int = 365) -> int:
 
 
 def multi_period_risk(df: DataFrame, periods: Sequence[int] = (30, 365), col: str = "crecimiento_dia",
-                      sk: Sequence[str] = SERIES, dc: str = DATE, method: str = "auto") -> DataFrame:
+                      sk: Sequence[str] = SERIES, dc: str = DATE) -> DataFrame:
     """Return and volatility for several periods in one frame.
 
     Equal periods are computed once. All expressions share the partitioning,
@@ -211,11 +175,11 @@ def multi_period_risk(df: DataFrame, periods: Sequence[int] = (30, 365), col: st
         if p not in seen:
             seen.append(p)
     specs = [(f"rent_{p}", "ann", p, col) for p in seen] + [(f"vol_{p}", "vol", p, col) for p in seen]
-    return rolling_stats(df, specs, sk, dc, method)
+    return rolling_stats(df, specs, sk, dc)
 
 
 def rolling_generic(df: DataFrame, cols: Sequence[str], period: int = 30, value_col: str | None = None,
-                    sk: Sequence[str] = ("cod",), dc: str = DATE, method: str = "auto") -> DataFrame:
+                    sk: Sequence[str] = ("cod",), dc: str = DATE) -> DataFrame:
     """Annualised rolling return over several columns.
 
     When ``value_col`` is given, the other columns are first coalesced with
@@ -224,4 +188,4 @@ def rolling_generic(df: DataFrame, cols: Sequence[str], period: int = 30, value_
     out = df
     if value_col is not None:
         out = out.withColumns({c: F.coalesce(F.col(c), F.col(value_col)) for c in cols if c != value_col})
-    return rolling_stats(out, [(c, "ann", period, c) for c in cols], sk, dc, method)
+    return rolling_stats(out, [(c, "ann", period, c) for c in cols], sk, dc)

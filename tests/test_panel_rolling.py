@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fundlens.operators.joins import anti, semi
-from fundlens.operators.panel import (CARRY, accrue_from_rate, clean_panel, fill_flows, locf, merge_sources,
-                                      pad_daily)
+from fundlens.operators.panel import (CARRY, accrue_from_rate, clean_panel, daily_growth, fill_flows, locf,
+                                      merge_sources, pad_daily)
 from fundlens.operators.rolling import (multi_period_risk, rolling, rolling_return_ann, rolling_return_gross,
                                         rolling_stats, rolling_vol_ann)
 
@@ -88,38 +88,53 @@ def test_clean_panel_columns(spark):
     assert p.columns[-1] == "crecimiento_dia" and p.where("crecimiento_dia IS NULL").count() == 1
 
 
-def _random_series(spark, n=400, seed=7, with_nonpositive=False):
+def _random_series(spark, n=400, seed=7, odd=None):
+    """Two series of ``n`` days with a NULL on day 300; ``odd`` maps days to other values."""
     rnd = random.Random(seed)
     rows = []
     for cod in ("a", "b"):
         for i in range(n):
             g = rnd.gauss(0.0003, 0.002)
-            if with_nonpositive and i in (50, 230):
-                g = -1.0 if i == 50 else -1.5
+            if cod == "a":
+                g = (odd or {}).get(i, g)
             if i == 300:
                 g = None
             rows.append((D(2019, 1, 1) + dt.timedelta(days=i), cod, "A", g))
     return spark.createDataFrame(rows, "fecha_corte date, cod string, tipo_participacion string, crecimiento_dia double")
 
 
-@pytest.mark.parametrize("nonpos", [False, True])
-def test_prefix_equals_frame(spark, nonpos):
-    df = _random_series(spark, with_nonpositive=nonpos)
-    for p in (5, 30, 120):
-        specs_f = [(f"r{p}", "ann", p, "crecimiento_dia"), (f"g{p}", "gross", p, "crecimiento_dia"),
-                   (f"v{p}", "vol", p, "crecimiento_dia")]
-        a = {(r["cod"], r["fecha_corte"]): r for r in rolling_stats(df, specs_f, method="frame").collect()}
-        b = {(r["cod"], r["fecha_corte"]): r for r in rolling_stats(df, specs_f, method="prefix").collect()}
-        assert a.keys() == b.keys()
-        for k in a:
-            for c in (f"r{p}", f"g{p}", f"v{p}"):
-                x, y = a[k][c], b[k][c]
+@pytest.mark.parametrize("odd", [{}, {50: -1.0, 230: -1.5}, {20: 1e6}, {20: 1e3, 200: -1e5}, {40: float("nan")},
+                                 {40: float("inf"), 250: float("-inf")}])
+def test_rolling_equals_the_moving_frame(spark, odd):
+    """Every period agrees with the aggregate over the plain frame, after a spike, a NaN or an infinity too."""
+    df = _random_series(spark, odd=odd)
+    for p in (1, 2, 5, 30, 61, 120, 365):
+        got = rolling_stats(df, [("r", "ann", p, "crecimiento_dia"), ("g", "gross", p, "crecimiento_dia"),
+                                 ("v", "vol", p, "crecimiento_dia")])
+        got = rolling(rolling(got, "crecimiento_dia", p, lambda c: F.product(1 + c), "prod"), "crecimiento_dia", p, F.stddev_samp, "sd")
+        got = got.withColumn("ann", F.pow("prod", F.lit(365 / p)) - 1)
+        for r in got.collect():
+            gross, sd = r["prod"], r["sd"]
+            want = {"g": None if gross is None else gross - 1, "v": None if sd is None else sd * 365 ** 0.5}
+            want["r"] = r["ann"]
+            for c, x in want.items():
+                y = r[c]
                 if x is None or y is None:
-                    assert x is None and y is None, (k, c, x, y)
-                elif np.isnan(x):
-                    assert np.isnan(y)
+                    assert x is None and y is None, (p, r)
+                elif np.isnan(x) or np.isinf(x):
+                    assert np.isnan(y) if np.isnan(x) else y == x, (p, r)
                 else:
-                    assert y == pytest.approx(x, rel=1e-9, abs=1e-12), (k, c)
+                    assert y == pytest.approx(x, rel=1e-9, abs=1e-12), (p, c, r)
+
+
+def test_growth_that_is_not_finite_is_zero(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(D(2020, 1, 1 + i), *v) for i, v in enumerate([(nan, 1.0), (10.0, nan), (inf, 1.0), (10.0, inf), (10.0, 1.0), (None, 1.0)])]
+    df = spark.createDataFrame([(d, y, 0.0, p, 100.0) for d, p, y in rows],
+                               "fecha_corte date, rendimientos_abonados double, transaccciones_netas double, "
+                               "precierre_fondo_dia_t double, valor_fondo_cierre_dia_t double")
+    got = [r[0] for r in daily_growth(fill_flows(df)).orderBy("fecha_corte").select("crecimiento_dia").collect()]
+    assert got == [pytest.approx(100 / 99 - 1), 0.0, 0.0, pytest.approx(-1.0), pytest.approx(10 / 9 - 1), pytest.approx(100 / 99 - 1)]
 
 
 def test_gross_vs_annualised(spark):
@@ -131,7 +146,7 @@ def test_gross_vs_annualised(spark):
 
 def test_vol_matches_numpy(spark):
     df = _random_series(spark, n=100)
-    out = rolling_vol_ann(df, 10, method="prefix").where("cod = 'a'").orderBy("fecha_corte").collect()
+    out = rolling_vol_ann(df, 10).where("cod = 'a'").orderBy("fecha_corte").collect()
     g = np.array([r["crecimiento_dia"] for r in out], dtype=float)
     for i in (9, 50, 99):
         assert out[i]["vol_10"] == pytest.approx(np.std(g[i - 9:i + 1], ddof=1) * np.sqrt(365), rel=1e-9)

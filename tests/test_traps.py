@@ -40,15 +40,14 @@ def _series(spark, values, start=D(2020, 1, 1), cod="c", part="A"):
                                        "crecimiento_dia double")
 
 
-@pytest.mark.parametrize("method", ["frame", "prefix"])
-def test_t3_t4_null_in_frame_and_short_series(spark, method):
+def test_t3_t4_null_in_frame_and_short_series(spark):
     df = _series(spark, [0.01, 0.02, None, 0.01, 0.0, 0.01])
-    out = rolling_return_ann(df, 3, method=method).orderBy("fecha_corte").collect()
+    out = rolling_return_ann(df, 3).orderBy("fecha_corte").collect()
     vals = [r["rent_3"] for r in out]
     assert vals[0] is None and vals[1] is None           # frame not full yet
     assert vals[2] is None and vals[3] is None and vals[4] is None  # NULL inside the frame
     assert vals[5] == pytest.approx((1.01 * 1.0 * 1.01) ** (365 / 3) - 1)
-    short = rolling_return_ann(_series(spark, [0.01, 0.02]), 30, method=method)
+    short = rolling_return_ann(_series(spark, [0.01, 0.02]), 30)
     assert all(r["rent_30"] is None for r in short.collect())
 
 
