@@ -10,8 +10,8 @@
    for registers that agree by chance; pairs far below the threshold go.
 4. The rest are verified on the full shingle sets; verified links form
    components. Members of a bucket that ended in another component than its
-   pivot are tried again with further pivots (1, 2, 4, ...), until every
-   bucket is settled: no link is left out because a bucket is large.
+   pivot are settled exactly, whatever the bucket's size: a link that is left
+   needs shingles outside the pivot's set that both have (``_open_pairs``).
 """
 
 from __future__ import annotations
@@ -166,26 +166,64 @@ class _Search:
         both = both.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
         return _estimated(both, self.least)
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are links on their full shingle sets."""
-        pairs = written(pairs.select("a", "b"), "pairs")
-        if pairs.isEmpty():
-            return pairs
-        ends = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
-        ids = ends.join(self.classes.select("digest", "rep"), "digest").select(F.col("rep").alias("_rep"))
-        ids = ids.distinct()
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """``(digest, elements)``: the full shingle sets of classes ``node``."""
+        ids = nodes.join(self.classes.select(F.col("digest").alias("node"), "rep"), "node").select(F.col("rep").alias("_rep")).distinct()
         texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["_rep"]), "left_semi")
         # a row that occurs many times is one set
-        sets = written(_profiles(texts, self.size, None).where("n > 0").groupBy("digest")
+        return written(_profiles(texts, self.size, None).where("n > 0").groupBy("digest")
                        .agg(F.first("elements").alias("elements")), "sets")
+
+    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs that are links on their full shingle sets."""
         mine = sets.select(F.col("digest").alias("b"), F.col("elements").alias("set_b"))
         other = sets.select(F.col("digest").alias("a"), F.col("elements").alias("set_a"))
-        both = pairs.join(mine, "b").join(other, "a")
+        both = pairs.select("a", "b").join(mine, "b").join(other, "a")
         inter = F.size(F.array_intersect("set_a", "set_b"))
         both = both.select("a", "b", inter.alias("i"), (F.size("set_a") + F.size("set_b")).alias("s"))
         return written(both.where(100 * F.col("i") >= self.percent * (F.col("s") - F.col("i"))).select("a", "b").distinct(), "edges")
 
 
+def _open_pairs(members: DataFrame, minor: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket that can still be links, without pairing a bucket's
+    members with each other.
+
+    ``members`` (pivot, node) are the buckets' members, ``minor`` those that
+    are not linked with their pivot p. Sets x and y are a link only if
+    (100 + percent) * |x & y| >= percent * (|x| + |y|). What x and y share
+    lies in p, at most min(|x & p|, |y & p|), or is one of the shingles
+    outside p that occur in several sets. A minor x lacks k of these for
+    the smallest y: y shares one of its rarest such shingles, all but k - 1
+    of them. For a y so small that k is 0, sizes alone select it.
+    """
+    own = sets.select(F.col("digest").alias("node"), F.col("elements").alias("e"))
+    whole = sets.select(F.col("digest").alias("pivot"), F.col("elements").alias("e_p"))
+    info = members.where("node != pivot").join(own, "node").join(whole, "pivot")
+    info = written(info.select("pivot", "node", F.size("e").alias("n"), F.size(F.array_intersect("e", "e_p")).alias("i"),
+                               F.array_except("e", "e_p").alias("rest")), "info")
+    common = written(sets.select(F.explode("elements").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "common")
+    per_set = Window.partitionBy("pivot", "node")
+    rest = info.select("pivot", "node", "n", "i", F.explode("rest").alias("s")).join(common, "s")
+    rest = written(rest.withColumns({"at": F.row_number().over(per_set.orderBy("c", "s")), "more": F.count(F.lit(1)).over(per_set)}), "rest")
+    smallest = info.groupBy("pivot").agg(F.min("n").alias("smallest"))
+    minor = written(info.select("pivot", "node", "n", "i").join(minor, ["pivot", "node"], "left_semi").join(smallest, "pivot"), "minor")
+    side = lambda df, t: df.select("pivot", *[F.col(x).alias(f"{x}_{t}") for x in df.columns if x != "pivot"])
+    sizes_fit = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+    need = percent * (F.col("n_x") + F.col("n_y"))
+    lacks = F.greatest(F.lit(1), F.ceil(percent * (F.col("n") + F.col("smallest")) / (100 + percent)).cast("int") - F.col("i"))
+    rare = (rest.join(minor.select("pivot", "node", lacks.alias("k")), ["pivot", "node"]).where(F.col("at") <= F.col("more") - F.col("k") + 1)
+            .select("pivot", "node", "n", "i", "s", "more"))
+    by_shingle = (side(rare, "x").withColumnRenamed("s_x", "s").join(
+        side(rest.select("pivot", "node", "n", "i", "s", "more"), "y").withColumnRenamed("s_y", "s"), ["pivot", "s"])
+        .where((F.col("node_x") != F.col("node_y")) & sizes_fit
+               & ((100 + percent) * (F.least("i_x", "i_y") + F.least("more_x", "more_y")) >= need)))
+    reach = minor.where((100 + percent) * F.col("i") >= percent * (F.col("n") + F.col("smallest"))).select("pivot", "node", "n", "i")
+    by_size = (side(reach, "x").join(side(info.select("pivot", "node", "n", "i"), "y"), "pivot")
+               .where((F.col("node_x") != F.col("node_y")) & sizes_fit & ((100 + percent) * F.least("i_x", "i_y") >= need)))
+    pairs = by_shingle.select("node_x", "node_y").union(by_size.select("node_x", "node_y"))
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def _labelled(df: DataFrame, key: str, labels: DataFrame | None, out: str) -> DataFrame:
     if labels is None:
         return df.withColumn(out, F.col(key))
@@ -224,46 +262,42 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     band = classes.select("digest", "regs", F.explode(F.sequence(F.lit(0), F.lit(k // ROWS - 1))).alias("band"))
     rows = band.select(F.xxhash64("band", F.substring(F.col("regs"), F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("key"),
                        F.col("digest").alias("node"))
-    pivots = written(rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m"))
-                     .where("m > 1").select("key", "pivot"), "pivots")
-    met = rows.join(pivots, "key").where("node != pivot")
-    pairs = met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    likely = written(search.estimate(pairs), "likely")
+    sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
+    met = written(rows.join(sizes, "key"), "met")
+    # pivot: the member that shares its buckets with most others, as the original of a group of copies does
+    score = written(met.groupBy("node").agg(F.sum("m").alias("score")), "score")
+    pivots = written(met.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("p"))
+                     .select("key", F.col("p.node").alias("pivot")), "pivots")
+    met = written(met.select("key", "node").join(pivots, "key"), "met")
+    pairs = met.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    likely = written(search.estimate(pairs).join(score.withColumnRenamed("node", "a"), "a"), "likely")
+    sets = search.sets_of(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct())
 
     # first each member with one pivot, then the pairs that this leaves between components
-    t = percent / 100
-    one = likely.groupBy("b").agg(F.min(F.struct((F.col("est") < t).alias("low"), "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    edges = search.verify(one)
+    first = F.min(F.struct((F.col("est") < percent / 100).alias("low"), (-F.col("score")).alias("order"), "a"))
+    one = written(likely.groupBy("b").agg(first.alias("x")).select(F.col("x.a").alias("a"), "b"), "pairs")
+    edges = search.verify(one, sets)
     labels = components(edges)
-    for side in ("a", "b"):
-        likely = _labelled(likely, side, labels, f"root_{side}")
-    rest = likely.where("root_a != root_b").join(one, ["a", "b"], "left_anti")
-    more = search.verify(rest)
+    rest = _labelled(_labelled(likely, "a", labels, "root_a"), "b", labels, "root_b").where("root_a != root_b")
+    more = search.verify(rest.join(one, ["a", "b"], "left_anti"), sets)
     if not more.isEmpty():
         edges = edges.union(more)
         labels = components(edges)
 
-    # Buckets whose members ended in several components. Of two unlinked members one at least is outside the
-    # pivot's component ("minor"); each such member is paired, in batches of 1, 2, 4, ... a bucket, with all members
-    # that are in another component than itself by then.
-    placed = _labelled(_labelled(met.select("key", "node", "pivot"), "node", labels, "root"), "pivot", labels, "pivot_root")
+    # Buckets whose members ended in several components: of two unlinked members one at least is outside the
+    # pivot's component.
+    placed = _labelled(_labelled(met, "node", labels, "root"), "pivot", labels, "pivot_root")
     minor = written(placed.where("root != pivot_root").select("key", "node", "pivot"), "minor")
     if not minor.isEmpty():
-        members = written(met.select("key", "node").join(minor.select("key").distinct(), "key", "left_semi"), "members")
-    width = 1
-    while not minor.isEmpty():
-        placed = _labelled(_labelled(minor, "node", labels, "root"), "pivot", labels, "pivot_root").where("root != pivot_root")
-        ranked = written(placed.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("node"))), "minor")
-        heads = written(ranked.where(F.col("at") <= width).select("key", F.col("node").alias("a"), F.col("root").alias("root_a")), "heads")
-        others = _labelled(members, "node", labels, "root")
-        pairs = (others.join(heads, "key").where("root != root_a")
-                 .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-        more = search.verify(search.estimate(pairs))
+        members = met.join(minor.select("key").distinct(), "key", "left_semi").select("pivot", "node").distinct()
+        members = written(members, "members")
+        sets = search.sets_of(members.select("node").union(members.select(F.col("pivot").alias("node"))).distinct())
+        pairs = _open_pairs(members, minor.select("pivot", "node").distinct(), sets, percent)
+        tested = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = _labelled(_labelled(pairs, "a", labels, "root_a"), "b", labels, "root_b").where("root_a != root_b")
+        more = search.verify(search.estimate(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")), sets)
         if not more.isEmpty():
-            edges = edges.union(more)
-            labels = components(edges)
-        minor = ranked.where(F.col("at") > width).select("key", "node", "pivot")
-        width *= 2
+            labels = components(edges.union(more))
 
     rooted = _labelled(classes.select("digest", "rep"), "digest", labels, "root")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
