@@ -5,19 +5,23 @@
   fund's list is bounded by its days in the window.
 * ``embed_2d``: 2-d map of the funds (PCA).
 * ``member_labels``: base clusterings (k-means, Gaussian mixture, bisecting
-  k-means) over repetitions on random subsamples, long
-  ``(cod, run, label)``.
+  k-means) over repetitions; each is fitted on a hash subsample and labels
+  every fund, long ``(cod, run, label)``.
 * ``consensus_cluster``: each fund becomes the one-hot vector of its labels
   across runs; the dot product of two such vectors is their co-association
   count, so k-means on them partitions the co-association similarity
   without materialising fund pairs.
 * ``silhouette_sweep``: every (algorithm subset, k) of the grid, scored by
   Spark's silhouette on the 2-d map; ``best_config`` picks the winner.
+
+``k`` is never changed: with fewer than ``k + 1`` funds there is no
+clustering, and labels and scores are NULL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 
 SEED = 4981
 ALGORITHMS = ("kmeans", "gmm", "bisecting")
+PARALLEL_FITS = 8
 
 
 def fund_vectors(df: DataFrame, col: str = "crecimiento_dia", key: str = "cod",
@@ -66,31 +71,46 @@ def _estimator(name: str, k: int, seed: int, features: str):
     raise ValueError(f"unknown algorithm {name!r}")
 
 
-def member_labels(points: DataFrame, k: int, algorithms: Sequence[str] = ALGORITHMS, reps: int = 5,
+def _pool(tasks: Sequence, run) -> list:
+    """Run independent fits concurrently: the jobs of one are small next to a cluster."""
+    with ThreadPoolExecutor(max_workers=min(PARALLEL_FITS, max(1, len(tasks)))) as pool:
+        return list(pool.map(run, tasks))
+
+
+def member_labels(points: DataFrame, k: int, algorithms: Sequence[str] = ALGORITHMS, reps: int = 100,
                   seed: int = SEED, fraction: float = 0.8, key: str = "cod", features: str = "map") -> DataFrame:
     """Base clusterings ``(cod, algorithm, k, run, label)`` (L3).
 
-    Each repetition clusters a random ``fraction`` of the funds (the
-    subsampling of consensus clustering); a fund outside the sample has no
-    label in that run. One Spark ML fit per (algorithm, repetition).
+    Each (algorithm, repetition) is fitted on a subsample of its own, about
+    ``fraction`` of the funds chosen by hash (so it does not depend on how
+    the rows are partitioned), and then labels **all** funds. A run whose
+    subsample holds no more than ``k`` funds is fitted on all of them. With
+    ``k`` funds or fewer every label is NULL.
     """
     pts = points.select(key, features)
-    parts = []
-    for a in algorithms:
-        for r in range(reps):
-            sample = pts.sample(fraction=fraction, seed=seed + r)
-            n = sample.count()
-            if n < 2 or k < 2:      # nothing to split: one cluster
-                lab = sample.select(key, F.lit(0).alias("label"))
-            else:
-                model = _estimator(a, min(k, n), seed + r, features).fit(sample)
-                lab = model.transform(sample).select(key, F.col("label").cast("int").alias("label"))
-            parts.append(lab.select(key, F.lit(a).alias("algorithm"), F.lit(k).alias("k"),
-                                    F.lit(f"{a}-{r}").alias("run"), "label"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    runs = [(a, r) for a in algorithms for r in range(reps)]
+    tagged = lambda df, a, r: df.select(key, F.lit(a).alias("algorithm"), F.lit(k).alias("k"), F.lit(f"{a}-{r}").alias("run"), "label")
+    def part(a, r):
+        return F.pmod(F.xxhash64(F.col(key), F.lit(a), F.lit(r), F.lit(seed)), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000))
+    sizes = pts.agg(F.count(F.lit(1)), *[F.count_if(part(a, r)) for a, r in runs]).first()
+    if not 2 <= k < sizes[0]:
+        empty = pts.withColumn("label", F.lit(None).cast("int"))
+        return _union([tagged(empty, a, r) for a, r in runs])
+
+    def fit(task):
+        i, (a, r) = task
+        sample = pts.where(part(a, r)) if sizes[i + 1] > k else pts
+        model = _estimator(a, k, seed + r, features).fit(sample)
+        return tagged(model.transform(pts).select(key, F.col("label").cast("int").alias("label")), a, r)
+
+    return _union(_pool(list(enumerate(runs)), fit))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """Balanced union: plans of depth log(n)."""
+    while len(parts) > 1:
+        parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def label_vectors(labels: DataFrame, k: int, key: str = "cod") -> DataFrame:
@@ -119,12 +139,11 @@ def co_association(labels: DataFrame, a: str, b: str, key: str = "cod") -> DataF
 
 
 def consensus_cluster(labels: DataFrame, k: int, seed: int = SEED, key: str = "cod") -> DataFrame:
-    """Consensus partition ``(cod, cluster)`` of the base clusterings (L4)."""
+    """Consensus partition ``(cod, cluster)`` of the base clusterings (L4):
+    one row per fund; NULL where the base labels are (``k`` funds or fewer)."""
+    if not labels.where(F.col("label").isNull()).isEmpty():
+        return labels.select(key).distinct().withColumn("cluster", F.lit(None).cast("int"))
     votes = label_vectors(labels, k, key)
-    n = votes.count()
-    if n < 2 or k < 2:
-        return votes.select(key, F.lit(0).alias("cluster"))
-    k = min(k, n)
     model = KMeans(k=k, seed=seed, featuresCol="votes", predictionCol="cluster", maxIter=50).fit(votes)
     return model.transform(votes).select(key, F.col("cluster").cast("int").alias("cluster"))
 
@@ -139,30 +158,33 @@ def silhouette(points: DataFrame, assignment: DataFrame, key: str = "cod", featu
     return float(ev.evaluate(j))
 
 
-def silhouette_sweep(points: DataFrame, ks: Sequence[int] = (5, 7, 9),
-                     algorithms: Sequence[str] = ALGORITHMS, reps: int = 5, seed: int = SEED,
+def silhouette_sweep(points: DataFrame, grid: DataFrame, reps: int = 100, seed: int = SEED,
                      key: str = "cod", members=None) -> DataFrame:
-    """Score every non-empty algorithm subset x k.
+    """Score every row ``(subset, algorithms, k)`` of the grid.
 
     Base clusterings are fitted once per (algorithm, k, repetition) and
     shared by all subsets that contain the algorithm (``members(k)`` may
-    supply them, e.g. from a cache). Returns
-    ``(n, subset, algorithms, k, silhouette)``; ``n`` numbers the configs.
+    supply them, e.g. from a table). The configurations are scored
+    concurrently. Returns ``(n, subset, algorithms, k, silhouette)``, one
+    row per grid row; the score is NULL where ``k`` is not below the number
+    of funds.
     """
     spark = points.sparkSession
     n_points = points.count()
-    rows = []
-    n = 0
-    for k in ks:
-        if k >= n_points:
-            continue
-        base = (members(k) if members is not None
-                else member_labels(points, k, algorithms, reps, seed, key=key).checkpoint(eager=True))
-        for mask in range(1, 2 ** len(algorithms)):
-            chosen = [a for i, a in enumerate(algorithms) if mask & (1 << i)]
-            n += 1
-            cons = consensus_cluster(base.where(F.col("algorithm").isin(*chosen)), k, seed, key)
-            rows.append((n, mask, "+".join(chosen), k, silhouette(points, cons, key)))
+    configs = [(r["subset"], r["algorithms"], r["k"]) for r in grid.orderBy("k", "subset").collect()]
+    names = sorted({a for _, algos, _ in configs for a in algos.split("+")}, key=ALGORITHMS.index)
+    base = {}
+    for k in sorted({k for *_, k in configs if 2 <= k < n_points}):
+        base[k] = members(k) if members is not None else member_labels(points, k, names, reps, seed, key=key).checkpoint(eager=True)
+
+    def score(task):
+        n, (subset, algos, k) = task
+        if k not in base:
+            return n, subset, algos, k, None
+        cons = consensus_cluster(base[k].where(F.col("algorithm").isin(*algos.split("+"))), k, seed, key)
+        return n, subset, algos, k, silhouette(points, cons, key)
+
+    rows = _pool(list(enumerate(configs, 1)), score)
     return spark.createDataFrame(rows, "n int, subset int, algorithms string, k int, silhouette double")
 
 

@@ -3,9 +3,8 @@ C6, C7, D5, D9, E6, A10, N2).
 
 Data preparation is plain DataFrame work (joins, windows, ``sequence``).
 Models are Spark ML estimators fitted on the whole panel (global models,
-one row per series-day); the recursive forecaster runs its 28 steps inside
-one ``applyInPandas`` per series with the fitted coefficients shipped as a
-broadcast (a handful of doubles), so no step loops over the driver.
+one row per series-day); the recursive forecaster runs its 28 steps as one
+``aggregate`` per series, so no step loops over the driver.
 """
 
 from __future__ import annotations
@@ -178,25 +177,42 @@ def seasonal_naive_future(model_rows: DataFrame, horizon: int = HORIZON, season:
     return steps.join(src, [key, "_src"], "left").select(key, dc, "mean")
 
 
-def with_bands(pred: DataFrame, inner: float = 0.0005, outer: float = 0.001) -> DataFrame:
-    """Fixed-width interval bands around a point forecast (q05/q25/q75/q95)."""
-    m = F.col("mean")
-    return pred.withColumns({"q05": m - outer, "q25": m - inner, "q75": m + inner, "q95": m + outer})
+def naive_residuals(model_rows: DataFrame, start: _dt.date, folds: int = 12, horizon: int = HORIZON, season: int = 7,
+                    key: str = "cod", dc: str = "fecha_corte", value: str = "creci_dia") -> DataFrame:
+    """Errors ``(actual, mean)`` of the seasonal-naive control on the
+    ``folds`` windows of ``horizon`` days before ``start``; each window only
+    uses days before itself."""
+    origin = F.date_add(F.lit(start), (-horizon * F.ceil(F.datediff(F.lit(start), F.col(dc)) / horizon)).cast("int"))
+    rows = model_rows.where((F.col(dc) < F.lit(start)) & (F.col(dc) >= F.lit(start - _dt.timedelta(horizon * folds))))
+    return _from_origin(rows.withColumn("_origin", origin), model_rows, season, key, dc, value).select(
+        F.col(value).alias("actual"), "mean")
+
+
+def residual_bands(pred: DataFrame, residuals: DataFrame) -> DataFrame:
+    """Interval bands q05 / q25 / q75 / q95 around a point forecast: the
+    percentiles of ``actual - mean`` of earlier forecasts, added to the mean."""
+    levels = {"q05": 0.05, "q25": 0.25, "q75": 0.75, "q95": 0.95}
+    qs = residuals.agg(F.percentile(F.col("actual") - F.col("mean"), list(levels.values())).alias("q")).first()["q"]
+    qs = qs or [None] * len(levels)
+    return pred.withColumns({n: F.col("mean") + F.lit(q).cast("double") for n, q in zip(levels, qs)})
 
 
 # --- evaluation (D9, E6, M10, M11) -----------------------------------------------
 
-def seasonal_naive(actual: DataFrame, start: DataFrame | _dt.date, horizon: int = HORIZON, lag: int = 7,
+def _from_origin(rows: DataFrame, actual: DataFrame, season: int, key: str, dc: str, value: str) -> DataFrame:
+    """``rows`` (with ``_origin``) and ``mean``: the last ``season`` days before the origin, repeated."""
+    src = F.date_add("_origin", (F.pmod(F.datediff(F.col(dc), F.col("_origin")), F.lit(season)) - season).cast("int"))
+    obs = actual.select(key, F.col(dc).alias("_src"), F.col(value).alias("mean"))
+    return rows.withColumn("_src", src).join(obs, [key, "_src"], "inner").drop("_src", "_origin")
+
+
+def seasonal_naive(actual: DataFrame, start: _dt.date, horizon: int = HORIZON, lag: int = 7,
                    key: str = "cod", dc: str = "fecha_corte", value: str = "creci_dia") -> DataFrame:
-    """Seasonal-naive control: value ``lag`` days earlier, for dates on/after ``start``."""
-    src = actual.select(key, F.date_add(dc, lag).alias(dc), F.col(value).alias("mean"))
-    target = actual.select(key, dc)
-    if isinstance(start, DataFrame):
-        s = start.select(start.columns[0]).scalar()
-        target = target.where((F.col(dc) >= s) & (F.col(dc) < F.date_add(s, horizon)))
-    else:
-        target = target.where((F.col(dc) >= F.lit(start)) & (F.col(dc) < F.lit(start + _dt.timedelta(horizon))))
-    return target.join(src, [key, dc], "inner")
+    """Seasonal-naive control for the ``horizon`` days from ``start`` on: the
+    last ``lag`` days before ``start`` repeated. No value on or after
+    ``start`` is read."""
+    target = actual.select(key, dc).where((F.col(dc) >= F.lit(start)) & (F.col(dc) < F.lit(start + _dt.timedelta(horizon))))
+    return _from_origin(target.withColumn("_origin", F.lit(start)), actual, lag, key, dc, value).select(key, dc, "mean")
 
 
 def rmse(pred: DataFrame, actual: DataFrame, keys: Sequence[str] = ("cod", "fecha_corte"),
@@ -281,49 +297,39 @@ def fit_recursive(train: DataFrame, feature_cols: Sequence[str], target: str = "
 
 def forecast_recursive(ds: DataFrame, horizon: int = HORIZON, lags: Sequence[int] = RECURSIVE_LAGS,
                        key: str = "cod", dc: str = "fecha_corte", target: str = "creci_dia") -> DataFrame:
-    """Recursive forecast (M7): fit a one-step model, then run the
-    ``horizon`` steps per series inside one ``applyInPandas`` (N2), each
-    step feeding its prediction to the next. Only the last ``max(lags)``
-    observed days of each series travel to the Python worker."""
-    import numpy as np
-    import pandas as pd
+    """Recursive forecast (M7): fit a one-step linear model, then run the
+    ``horizon`` steps, each feeding its prediction to the next, as one
+    ``aggregate`` over a fund's horizon rows with the recent values as state.
 
+    Everything but the lag terms is known beforehand and summed per row. A
+    fund's arrays hold its last ``max(lags)`` days and its horizon.
+    """
     feats, cols = model_features(ds, lags, key, dc, target)
-    model = fit_recursive(feats, cols, target)
-    lr = model.stages[-1]
-    coef = [float(c) for c in lr.coefficients]
-    intercept = float(lr.intercept)
-    lag_list = list(lags)
-    cov_cols = list(COVARIATES)
-    max_lag = max(lag_list)
+    lr = fit_recursive(feats, cols, target).stages[-1]
+    coef = dict(zip(cols, [float(c) for c in lr.coefficients]))
 
     hist = ds.where(F.col(target).isNotNull())
     last = hist.groupBy(key).agg(F.max(dc).alias("_last"), F.count(F.lit(1)).alias("_n"))
-    recent = hist.join(last, key).where(F.col(dc) > F.date_sub("_last", max_lag)).select(
-        key, dc, target, *cov_cols, "_n")
-    future = ds.where(F.col(target).isNull()).join(last, key).select(key, dc, target, *cov_cols, "_n")
-    both = recent.unionByName(future)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(dc)
-        obs = pdf[pdf[target].notna()]
-        fut = pdf[pdf[target].isna()]
-        values = list(obs[target].astype(float))
-        n_hist = int(pdf["_n"].iloc[0]) if len(pdf) else 0
-        preds = []
-        for i, (_, row) in enumerate(fut.iterrows()):
-            x = [values[-n] if len(values) >= n else 0.0 for n in lag_list]
-            x += [0.0 if pd.isna(row[c]) else float(row[c]) for c in cov_cols]
-            d = pd.Timestamp(row[dc])
-            x += [float(d.weekday()), float(d.day), float(d.dayofyear)]
-            x += [float(np.log10(2.0 + n_hist + i))]
-            y = intercept + float(np.dot(coef, x))
-            values.append(y)
-            preds.append(y)
-        return pd.DataFrame({key: fut[key].values, dc: fut[dc].values, "mean": preds})
-
-    schema = f"{key} string, {dc} date, mean double"
-    return both.groupBy(key).applyInPandas(run, schema)
+    recent = (hist.join(last, key).where(F.col(dc) > F.date_sub("_last", max(lags)))
+              .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(dc, target))).alias("_past")))
+    future = ds.where(F.col(target).isNull()).join(last, key)
+    known = F.lit(float(lr.intercept)) + coef["age"] * F.log10(F.lit(2.0) + F.col("_n") + F.datediff(dc, "_last") - 1)
+    future = calendar_features(future, dc)
+    for c in COVARIATES + CALENDAR:
+        known = known + coef[c] * F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    steps = future.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(dc), known.alias("known")))).alias("_steps"))
+
+    def step(values: Column, row: Column) -> Column:
+        y = row["known"]
+        for n in lags:
+            y = y + coef[f"lag_{n}"] * F.coalesce(F.try_element_at(values, F.lit(-n)), F.lit(0.0))
+        return F.concat(values, F.array(y))
+
+    past = F.transform("_past", lambda p: p[target].cast("double"))
+    path = F.aggregate("_steps", past, step)
+    out = steps.join(recent, key).select(key, "_steps", F.slice(path, F.size("_past") + 1, F.size("_steps")).alias("_y"))
+    return out.select(key, F.explode(F.arrays_zip(F.col("_steps")[dc].alias(dc), F.col("_y").alias("mean"))).alias("_r")).select(
+        key, F.col("_r")[dc].alias(dc), F.col("_r")["mean"].alias("mean"))
 
 
 def fold_bounds(rows: DataFrame, folds: int = 13, assess: int = HORIZON, skip: int = HORIZON,

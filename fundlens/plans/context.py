@@ -9,6 +9,7 @@ predicate is a literal and reaches the Parquet scan as a pushed filter.
 from __future__ import annotations
 
 import datetime as _dt
+import threading
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,18 +19,23 @@ from fundlens.functions.dates import py_add_months, py_floor_year
 from fundlens.operators.dims import clean_dims
 from fundlens.operators.panel import clean_panel
 from fundlens.sources import adapter
-from fundlens.session import materialize, materialize_bucketed, session_key
+from fundlens.session import drop_materialized, materialize_bucketed, session_key
 from fundlens.sources.landed import fund_dims_raw, fund_facts, report_rows
 
-_AS_OF_CACHE: dict[tuple[int, str], _dt.date] = {}
+_AS_OF_CACHE: dict[tuple, _dt.date] = {}
 _TABLE_CACHE: dict[tuple, DataFrame] = {}
-_REQUESTS: dict[tuple, int] = {}
+_LOCK = threading.RLock()
 CACHE_TABLES = True  # reuse materialised panels across queries of one session
+ROWS_PER_BUCKET = 2_000_000
 
 
 def clear_cache() -> None:
-    _TABLE_CACHE.clear()
-    _REQUESTS.clear()
+    """Forget all shared intermediates and drop their tables from the catalog."""
+    with _LOCK:
+        _TABLE_CACHE.clear()
+        _AS_OF_CACHE.clear()
+    drop_materialized()
+
 
 FACTS_STATUS = "F"   # facts come from these line-status rows ...
 REPORT_STATUS = "O"  # ... and the report extract from the others
@@ -66,50 +72,44 @@ class Ctx:
     def report(self) -> DataFrame:
         return report_rows(adapter.report_rows_text(self.spark, self.sf_dir, REPORT_STATUS))
 
-    def panel(self, years: int = 2, materialized: bool | str = "auto") -> DataFrame:
+    def panel(self, years: int = 2, lazy: bool = False) -> DataFrame:
         """Fact panel from 1 January ``years`` back to ``as_of``: merged, padded, grown.
 
-        ``materialized=True`` writes it once as a table bucketed by series
-        (for plans that read it several times); ``"auto"`` reuses such a
-        table when one exists and otherwise stays lazy (single-use plans).
+        Written once per session as a table bucketed by series; ``lazy``
+        gives the plan instead, for a query that reads it a single time.
         """
-        key = ("panel", years)
-        full = (session_key(self.spark), self.sf_dir) + key
-        if materialized == "auto":
-            if CACHE_TABLES and full in _TABLE_CACHE:
-                return _TABLE_CACHE[full]
-            # the first request stays lazy (single-use plans); a repeated one
-            # in the same session materialises the panel for the rest
-            _REQUESTS[full] = _REQUESTS.get(full, 0) + 1
-            materialized = CACHE_TABLES and _REQUESTS[full] > 1
-        df = clean_panel(self.facts(years), self.report(), self.as_of)
-        if not materialized:
-            return df
-        return self._cached(key, lambda: materialize_bucketed(
-            df, ["cod", "tipo_participacion"], ["cod", "tipo_participacion", "fecha_corte"], name="panel"))
+        def plan():
+            return clean_panel(self.facts(years), self.report(), self.as_of)
+        if lazy:
+            return plan()
+        return self._cached(("panel", years), lambda: self._bucketed(plan(), "panel"))
+
+    def _bucketed(self, df: DataFrame, name: str) -> DataFrame:
+        """A series table; the number of buckets follows the rows of the fact source (a footer count)."""
+        rows = self.spark.read.parquet(f"{self.sf_dir}/lineitem.parquet").count()
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_BUCKET))
+        return materialize_bucketed(df, ["cod", "tipo_participacion"], ["cod", "tipo_participacion", "fecha_corte"],
+                                    buckets=buckets, name=name)
 
     def _cached(self, key: tuple, build):
         full = (session_key(self.spark), self.sf_dir) + key
         if not CACHE_TABLES:
             return build()
-        if full not in _TABLE_CACHE:
-            _TABLE_CACHE[full] = build()
-        return _TABLE_CACHE[full]
+        with _LOCK:
+            if full not in _TABLE_CACHE:
+                _TABLE_CACHE[full] = build()
+            return _TABLE_CACHE[full]
 
     def base5(self) -> DataFrame:
         """Base universe (U5): 5-year panel, active, long, base share class."""
         from fundlens.operators.universe import screen_universe
 
-        def build():
-            return materialize_bucketed(screen_universe(self.panel(5, materialized=True), 365, base=True),
-                                        ["cod", "tipo_participacion"],
-                                        ["cod", "tipo_participacion", "fecha_corte"], name="base")
-        return self._cached(("base5",), build)
+        return self._cached(("base5",), lambda: self._bucketed(screen_universe(self.panel(5), 365, base=True), "base"))
 
     def dashboard(self) -> tuple[DataFrame, DataFrame]:
         """Dashboard facts and dims with display names."""
         from fundlens.plans.report import dashboard_tables
-        return dashboard_tables(self.panel(1, materialized=True), self.dims(2))
+        return dashboard_tables(self.panel(1), self.dims(2))
 
     def scratch_path(self, name: str) -> str:
         """A fresh folder under the session's checkpoint directory."""

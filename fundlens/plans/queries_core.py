@@ -7,7 +7,7 @@ from fundlens.operators.rolling import multi_period_risk
 from fundlens.operators.universe import active_series, long_series
 from fundlens.plans import oracle as O
 from fundlens.plans.catalog import register, sql_select_rounded
-from fundlens.plans.report import dashboard_tables, summary_table
+from fundlens.plans.report import summary_table
 
 PANEL_COLS = [("fecha_corte", False), ("cod", False), ("tipo_participacion", False),
               ("rendimientos_abonados", True), ("precierre_fondo_dia_t", True),
@@ -29,7 +29,7 @@ register("scan_facts", O.with_ctes(
     sql_select_rounded(PANEL_COLS + [("crecimiento_dia", True)], "panel")))
 def _clean_panel(ctx):
     """Merged, padded, filled panel with daily growth (default 2-year range)."""
-    return ctx.panel(2)
+    return ctx.panel(2, lazy=True)
 
 
 # --- F10 multi_period_risk ------------------------------------------------------------
@@ -49,16 +49,11 @@ _RISK_SQL = O.with_ctes(
 @register("multi_period_risk", _RISK_SQL)
 def _multi_period_risk(ctx):
     """Annualised 30- and 365-day return and volatility on every panel row."""
-    p = ctx.panel(2).select("fecha_corte", "cod", "tipo_participacion", "crecimiento_dia")
+    p = ctx.panel(2, lazy=True).select("fecha_corte", "cod", "tipo_participacion", "crecimiento_dia")
     return multi_period_risk(p, (30, 365))
 
 
 # --- J4 / J5 dashboard ---------------------------------------------------------------------
-def dashboard(ctx):
-    panel = ctx.panel(1)
-    return dashboard_tables(panel, ctx.dims(2))
-
-
 def _dashboard_sql() -> list[str]:
     return O.dashboard_chain()
 
@@ -87,5 +82,5 @@ _SUMMARY_SQL = O.with_ctes(SUMMARY_CTES,
 @register("summary_table", _SUMMARY_SQL)
 def _summary_table(ctx):
     """Flagship: last-day summary of the dashboard universe (periods 30/365)."""
-    facts, dims = dashboard(ctx)
+    facts, dims = ctx.dashboard()
     return summary_table(facts, dims, 30, 365)

@@ -1,6 +1,6 @@
 """Registered model queries: clustering (L1-L6), forecasting (M6-M9) and the
 model store (A10). Model outputs have no SQL twin (rows-only checks); their
-invariants are asserted in ``tests/test_models.py``."""
+invariants are asserted in ``tests/test_stats_models.py``."""
 
 from __future__ import annotations
 
@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from fundlens.operators import cluster as CL
 from fundlens.operators import forecast as FC
 from fundlens.operators.universe import best_config
-from fundlens.plans.queries_stats import _ds, _moving
+from fundlens.plans.queries_stats import GRID_KS, _ds, _moving, parameter_grid
 from fundlens.plans.catalog import register
 
-REPS = 3  # repetitions per base clustering in the registered queries (source: 100)
-KS = (5, 7, 9)
+#: Repetitions per base clustering in the registered queries. The operators' default is the source's 100, which
+#: means 900 fits for the sweep of these queries.
+REPS = 12
+K = 5
 
 
 def _vectors(ctx):
@@ -28,14 +30,10 @@ def _map(ctx):
     return ctx._cached(("map",), lambda: CL.embed_2d(_vectors(ctx)).checkpoint(eager=True))
 
 
-def _k(ctx, k=5):
-    n = _map(ctx).count()
-    return min(k, max(n - 1, 1))
-
-
 def _sweep(ctx):
+    members = {k: _members(ctx, k) for k in GRID_KS}
     return ctx._cached(("sweep",), lambda: CL.silhouette_sweep(
-        _map(ctx), KS, reps=REPS, members=lambda k: _members(ctx, k)).checkpoint(eager=True))
+        _map(ctx), parameter_grid(ctx.spark), reps=REPS, members=members.get).checkpoint(eager=True))
 
 
 register("fund_vectors")(lambda ctx: _vectors(ctx).select("cod", "n", vector_to_array("features").alias("features")))
@@ -46,20 +44,16 @@ def _members(ctx, k, algorithms=CL.ALGORITHMS):
         _map(ctx), k, algorithms, REPS).checkpoint(eager=True))
 
 
-register("cluster_members")(lambda ctx: _members(ctx, _k(ctx)))
-register("consensus_cluster")(lambda ctx: CL.consensus_cluster(_members(ctx, _k(ctx)), _k(ctx)))
+register("cluster_members")(lambda ctx: _members(ctx, K))
+register("consensus_cluster")(lambda ctx: CL.consensus_cluster(_members(ctx, K), K))
 register("silhouette_sweep")(lambda ctx: _sweep(ctx))
 
 
 @register("cluster_assignment")
 def _cluster_assignment(ctx):
     """Best configuration of the sweep, its consensus labels, joined back."""
-    sweep = _sweep(ctx)
-    if sweep.isEmpty():
-        best_k, chosen = _k(ctx), list(CL.ALGORITHMS)
-    else:
-        best = best_config(sweep).first()
-        best_k, chosen = best["k"], best["algorithms"].split("+")
+    best = best_config(_sweep(ctx)).first()
+    best_k, chosen = best["k"], best["algorithms"].split("+")
     labels = CL.consensus_cluster(_members(ctx, best_k).where(F.col("algorithm").isin(*chosen)), best_k)
     dims = ctx.dims(2).select("cod", "nombre_entidad", "nombre_patrimonio")
     return CL.cluster_assignment(_map(ctx), labels, dims)

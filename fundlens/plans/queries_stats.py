@@ -181,12 +181,18 @@ DS_CTES = O.base5_chain() + [_TRM, _IPC, _FEST, """mb AS (SELECT cod, fecha_cort
     """cut AS (SELECT min(fecha_corte) AS c FROM (SELECT DISTINCT fecha_corte FROM model_rows
   ORDER BY fecha_corte DESC LIMIT 28) t)""",
     """test AS (SELECT * FROM model_rows WHERE fecha_corte >= (SELECT c FROM cut))""",
-    """naive7 AS (SELECT t.cod, t.fecha_corte, a.creci_dia AS mean FROM test t
-  JOIN model_rows a ON a.cod = t.cod AND a.fecha_corte = t.fecha_corte - 7)""",
-    """naive1 AS (SELECT t.cod, t.fecha_corte, a.creci_dia AS mean FROM test t
-  JOIN model_rows a ON a.cod = t.cod AND a.fecha_corte = t.fecha_corte - 1)""",
+    """naive7 AS (SELECT t.cod, t.fecha_corte, a.creci_dia AS mean FROM test t, cut
+  JOIN model_rows a ON a.cod = t.cod AND a.fecha_corte = cut.c + CAST((t.fecha_corte - cut.c) % 7 - 7 AS INTEGER))""",
+    """naive1 AS (SELECT t.cod, t.fecha_corte, a.creci_dia AS mean FROM test t, cut
+  JOIN model_rows a ON a.cod = t.cod AND a.fecha_corte = cut.c - 1)""",
+    """origins AS (SELECT CAST(cut.c - CAST(28 * k AS INTEGER) AS DATE) AS o FROM cut, range(1, 13) t(k))""",
+    """nres AS (SELECT t.creci_dia - a.creci_dia AS r FROM model_rows t
+  JOIN origins ON t.fecha_corte >= o AND t.fecha_corte < o + 28
+  JOIN model_rows a ON a.cod = t.cod AND a.fecha_corte = o + CAST((t.fecha_corte - o) % 7 - 7 AS INTEGER))""",
+    """band AS (SELECT quantile_cont(r, 0.05) AS b05, quantile_cont(r, 0.25) AS b25,
+  quantile_cont(r, 0.75) AS b75, quantile_cont(r, 0.95) AS b95 FROM nres)""",
     """mlast AS (SELECT cod, max(fecha_corte) AS last FROM model_rows GROUP BY cod)""",
-    """fc AS (SELECT f.cod, f.fecha_corte, a.creci_dia AS mean, a.creci_dia - 0.0005 AS q25, a.creci_dia + 0.0005 AS q75
+    """fc AS (SELECT f.cod, f.fecha_corte, a.creci_dia AS mean, a.creci_dia + (SELECT b25 FROM band) AS q25, a.creci_dia + (SELECT b75 FROM band) AS q75
   FROM (SELECT cod, last, last + CAST(unnest(range(1, 29)) AS INTEGER) AS fecha_corte FROM mlast) f
   LEFT JOIN model_rows a ON a.cod = f.cod
    AND a.fecha_corte = f.last + CAST((datediff('day', f.last, f.fecha_corte) - 1) % 7 - 6 AS INTEGER))"""]
@@ -194,7 +200,7 @@ DS_COLS = ["cod", "fecha_corte", "creci_dia", "trm", "ipc", "dia_no_habil"]
 
 
 def _ds(ctx):
-    return ctx._cached(("ds",), lambda: FC.model_dataset(ctx.base5(), *_macro(ctx)))
+    return ctx._cached(("ds",), lambda: FC.model_dataset(ctx.base5(), *_macro(ctx)).checkpoint(eager=True))
 
 
 def _model_rows(ctx):
@@ -202,8 +208,9 @@ def _model_rows(ctx):
 
 
 def _test_start(ctx):
-    return _model_rows(ctx).select("fecha_corte").distinct().orderBy(F.col("fecha_corte").desc()).limit(28) \
-        .agg(F.min("fecha_corte").alias("c"))
+    """First day of the last 28 distinct days."""
+    return ctx._cached(("test_start",), lambda: _model_rows(ctx).select("fecha_corte").distinct().orderBy(
+        F.col("fecha_corte").desc()).limit(28).agg(F.min("fecha_corte")).first()[0])
 
 
 def _naive(ctx, lag):
@@ -211,8 +218,14 @@ def _naive(ctx, lag):
     return FC.seasonal_naive(rows, _test_start(ctx), horizon=28, lag=lag)
 
 
+def _naive_residuals(ctx):
+    """Errors of the weekly control on twelve windows before the test window."""
+    return ctx._cached(("naive_residuals",), lambda: FC.naive_residuals(
+        _model_rows(ctx), _test_start(ctx), folds=12).checkpoint(eager=True))
+
+
 def _future(ctx):
-    return FC.with_bands(FC.seasonal_naive_future(_model_rows(ctx)))
+    return FC.residual_bands(FC.seasonal_naive_future(_model_rows(ctx)), _naive_residuals(ctx))
 
 
 register("model_dataset", O.with_ctes(DS_CTES, sel(DS_COLS, "ds")))(_ds)
@@ -269,10 +282,10 @@ def _leaderboard(ctx):
 
 register("holdout_eval", O.with_ctes(DS_CTES, sel(["rmse", "coverage_90", "coverage_50", "n"], """(
   SELECT sqrt(avg(pow(n.mean - t.creci_dia, 2))) AS rmse,
-         avg(CAST(t.creci_dia BETWEEN n.mean - 0.001 AND n.mean + 0.001 AS DOUBLE)) AS coverage_90,
-         avg(CAST(t.creci_dia BETWEEN n.mean - 0.0005 AND n.mean + 0.0005 AS DOUBLE)) AS coverage_50,
-         count(*) AS n FROM naive7 n JOIN test t USING (cod, fecha_corte)) t""")))(
-    lambda ctx: FC.holdout_eval(FC.with_bands(_naive(ctx, 7)), _model_rows(ctx)))
+         avg(CAST(t.creci_dia BETWEEN n.mean + b05 AND n.mean + b95 AS DOUBLE)) AS coverage_90,
+         avg(CAST(t.creci_dia BETWEEN n.mean + b25 AND n.mean + b75 AS DOUBLE)) AS coverage_50,
+         count(*) AS n FROM naive7 n JOIN test t USING (cod, fecha_corte), band) t""")))(
+    lambda ctx: FC.holdout_eval(FC.residual_bands(_naive(ctx, 7), _naive_residuals(ctx)), _model_rows(ctx)))
 
 REPORT_COLS = ["cod", "model_id", "model_desc", "key", "fecha", "value", "conf_lo", "conf_hi", "dia_no_habil"]
 REPORT_CTES = DS_CTES + ["""frep AS (
@@ -383,18 +396,38 @@ register("rolling_udf", O.with_ctes(P2, sel(_K + ["crecimiento_dia_max_30", "cre
                         "crecimiento_dia", 30, F.avg, "crecimiento_dia_avg_30"))
 
 
-def _series_summary(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per-fund statistics computed in pandas (the grouped-map surface)."""
-    g = pdf["crecimiento_dia"].dropna()
-    return pd.DataFrame({"cod": [pdf["cod"].iloc[0]], "n": [len(pdf)], "mean": [g.mean()],
-                         "std": [g.std(ddof=1)], "min": [g.min()], "max": [g.max()]})
+TRIMS = (0.0, 0.1, 0.25)
+
+
+def _trimmed_mean(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A user's function for one parameter row and fund: mean growth without
+    the ``trim`` share of lowest and of highest days."""
+    g = pdf["crecimiento_dia"].dropna().sort_values()
+    cut = int(len(g) * pdf["trim"].iloc[0])
+    kept = g.iloc[cut:len(g) - cut]
+    return pd.DataFrame({"cod": [pdf["cod"].iloc[0]], "trim": [pdf["trim"].iloc[0]], "n": [len(kept)],
+                         "trimmed_mean": [kept.mean() if len(kept) else None]})
+
+
+def per_parameter(df, grid, fn, schema: str, keys=("cod",)):
+    """Apply a user's pandas function once per group and parameter row.
+
+    ``grid`` maps a column name to its values; the rows are replicated per
+    parameter row, and a group is one (keys, parameters) combination."""
+    for name, values in grid.items():
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return df.groupBy(*keys, *grid).applyInPandas(fn, schema)
 
 
-register("grouped_map", O.with_ctes(O.base5_chain(), sel(["cod", "n", "mean", "std", "min", "max"], """(
-  SELECT cod, count(*) AS n, avg(crecimiento_dia) AS mean, stddev_samp(crecimiento_dia) AS std,
-         min(crecimiento_dia) AS min, max(crecimiento_dia) AS max FROM base5 GROUP BY cod) t""")))(
-    lambda ctx: ctx.base5().select("cod", "crecimiento_dia").groupBy("cod").applyInPandas(
-        _series_summary, "cod string, n long, mean double, std double, min double, max double"))
+NUM.update({"trim", "trimmed_mean"})
+register("grouped_map", O.with_ctes(O.base5_chain(), sel(["cod", "trim", "n", "trimmed_mean"], """(
+  SELECT cod, trim, count(*) AS n, avg(crecimiento_dia) AS trimmed_mean FROM (
+    SELECT cod, crecimiento_dia, row_number() OVER w AS pos, count(*) OVER (PARTITION BY cod) AS total
+    FROM base5 WHERE crecimiento_dia IS NOT NULL WINDOW w AS (PARTITION BY cod ORDER BY crecimiento_dia)) s
+  CROSS JOIN (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.25::DOUBLE)) v(trim)
+  WHERE pos > floor(total * trim) AND pos <= total - floor(total * trim) GROUP BY cod, trim) t""")))(
+    lambda ctx: per_parameter(ctx.base5().select("cod", "crecimiento_dia"), {"trim": TRIMS}, _trimmed_mean,
+                              "cod string, trim double, n long, trimmed_mean double"))
 
 
 # ============================== 2.11 reshape and report ==============================
@@ -553,23 +586,19 @@ ALGORITHMS = ("kmeans", "gmm", "bisecting")
 GRID_KS = (5, 7, 9)
 
 
-def parameter_grid(spark, n_items_df=None, algorithms=ALGORITHMS, ks=GRID_KS):
-    """All non-empty algorithm subsets x k (D8): a bitmask range crossed
-    with the k list; with ``n_items_df`` (one row, column ``n``) only the
-    k below the number of items to cluster are kept."""
+def parameter_grid(spark, algorithms=ALGORITHMS, ks=GRID_KS):
+    """All non-empty algorithm subsets x k (D8), the input of the sweep: a
+    bitmask range crossed with the k list."""
     masks = spark.range(1, 2 ** len(algorithms)).select(F.col("id").cast("int").alias("subset"))
     names = F.concat_ws("+", *[F.when((F.col("subset").bitwiseAND(1 << i)) != 0, F.lit(a))
                                for i, a in enumerate(algorithms)])
-    grid = masks.select("subset", names.alias("algorithms"),
-                        F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
-    if n_items_df is not None:
-        grid = grid.where(F.col("k") < n_items_df.select(n_items_df.columns[0]).scalar())
-    return grid
+    return masks.select("subset", names.alias("algorithms"), F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
 
 
 register("grid_cross", O.with_ctes(MOVING_CTES, """SELECT CAST(m AS INTEGER) AS subset,
   concat_ws('+', CASE WHEN m & 1 <> 0 THEN 'kmeans' END, CASE WHEN m & 2 <> 0 THEN 'gmm' END,
-            CASE WHEN m & 4 <> 0 THEN 'bisecting' END) AS algorithms, k
-  FROM range(1, 8) t(m) CROSS JOIN (VALUES (5), (7), (9)) v(k)
-  WHERE k < (SELECT count(DISTINCT cod) FROM moving)"""))(
-    lambda ctx: parameter_grid(ctx.spark, _moving(ctx).agg(F.countDistinct("cod").alias("n"))))
+            CASE WHEN m & 4 <> 0 THEN 'bisecting' END) AS algorithms, k,
+  k < (SELECT count(DISTINCT cod) FROM moving) AS feasible
+  FROM range(1, 8) t(m) CROSS JOIN (VALUES (5), (7), (9)) v(k)"""))(
+    lambda ctx: parameter_grid(ctx.spark).withColumn(
+        "feasible", F.col("k") < _moving(ctx).agg(F.countDistinct("cod").alias("n")).scalar()))

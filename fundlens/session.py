@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+_TABLES: list[tuple[SparkSession, str]] = []
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "fundlens") -> SparkSession:
@@ -86,17 +88,15 @@ def materialize_bucketed(df, keys, sort_by=(), buckets: int | None = None, name:
     if sort_by:
         writer = writer.sortBy(*sort_by)
     writer.saveAsTable(table)
+    _TABLES.append((spark, table))
     return spark.table(table)
 
 
-def materialize(df):
-    """Cut the lineage of an intermediate that several plans reuse.
-
-    Reliable ``checkpoint()`` into the session's checkpoint directory (the
-    shared folder on a cluster); the checkpointed plan keeps the
-    partitioning and ordering of ``df``, so a later window or aggregate on
-    the same keys needs no new exchange. Survives executor loss, unlike a
-    cache or a local checkpoint.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def drop_materialized() -> None:
+    """Drop the tables of ``materialize_bucketed`` from the catalogs of live
+    sessions. Their files stay in the checkpoint folder, whose life cycle is
+    the cluster's."""
+    while _TABLES:
+        spark, table = _TABLES.pop()
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")

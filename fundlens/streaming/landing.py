@@ -16,19 +16,22 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from fundlens.session import ensure_checkpoint_dir
 from fundlens.sources.landed import RAW_FACTS_SCHEMA, typed_facts
 
 
 def land_reports(spark: SparkSession, inbox: str, store: str, checkpoint: str | None = None,
                  fmt: str = "json", max_files_per_trigger: int | None = None):
-    """Start (and wait for) an ``availableNow`` landing run; returns the query."""
+    """Start (and wait for) an ``availableNow`` landing run; returns the query.
+
+    The checkpoint belongs to the store: by default it lies next to it, so a
+    restarted job, in whatever process, goes on where the last one stopped.
+    """
     reader = spark.readStream.schema(RAW_FACTS_SCHEMA).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.load(inbox)
     typed = typed_facts(raw).withColumn("anio", F.year("fecha_corte"))
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark)}/landing-{abs(hash((inbox, store)))}"
+    ckpt = checkpoint or f"{store.rstrip('/')}_checkpoint"
     query = (typed.writeStream.format("parquet").option("path", store)
              .option("checkpointLocation", ckpt).partitionBy("anio")
              .outputMode("append").trigger(availableNow=True).start())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fundlens.operators import cluster as CL
 from fundlens.operators import forecast as FC
 from fundlens.operators import stats as ST
+from fundlens.plans.queries_stats import parameter_grid
 
 D = dt.date
 
@@ -177,26 +178,89 @@ def test_vote_vectors_are_co_association(spark):
     assert ca["runs"] == 2 and ca["co_association"] == 0.5
 
 
-def test_cluster_pipeline(spark):
+def _blocks(spark, funds, days=60):
     rnd = random.Random(5)
     rows = []
-    for f in range(12):
+    for f in range(funds):
         centre = (f % 3) * 0.01
-        for i in range(60):
-            rows.append((f"f{f:02d}", D(2020, 1, 1) + dt.timedelta(days=i), centre + rnd.gauss(0, 0.001)))
-    df = spark.createDataFrame(rows, "cod string, fecha_corte date, crecimiento_dia double")
-    vecs = CL.fund_vectors(df)
+        for i in range(days):
+            rows.append((f"f{f:03d}", D(2020, 1, 1) + dt.timedelta(days=i), centre + rnd.gauss(0, 0.001)))
+    return spark.createDataFrame(rows, "cod string, fecha_corte date, crecimiento_dia double")
+
+
+def test_cluster_pipeline(spark):
+    vecs = CL.fund_vectors(_blocks(spark, 12))
     assert vecs.count() == 12 and {r["n"] for r in vecs.collect()} == {60}
     pts = CL.embed_2d(vecs).checkpoint()
-    labels = CL.member_labels(pts, 3, reps=2, fraction=1.0)
+    labels = CL.member_labels(pts, 3, reps=2)
     cons = CL.consensus_cluster(labels, 3).collect()
     assert len(cons) == 12
     groups = {}
     for r in cons:
         groups.setdefault(int(r["cod"][1:]) % 3, set()).add(r["cluster"])
     assert all(len(v) == 1 for v in groups.values())         # planted blocks recovered
-    sweep = CL.silhouette_sweep(pts, ks=(3,), reps=2).collect()
-    assert len(sweep) == 7 and all(-1 <= r["silhouette"] <= 1 for r in sweep)
+    sweep = CL.silhouette_sweep(pts, parameter_grid(spark, ks=(3, 40)), reps=2).collect()
+    assert len(sweep) == 14 and [r["n"] for r in sweep] == list(range(1, 15))
+    assert all(-1 <= r["silhouette"] <= 1 if r["k"] == 3 else r["silhouette"] is None for r in sweep)
+
+
+def test_every_fund_gets_a_label_however_rows_are_partitioned(spark):
+    pts = CL.embed_2d(CL.fund_vectors(_blocks(spark, 240, days=12))).checkpoint()
+    seen = []
+    for parts in (1, 64):
+        labels = CL.member_labels(pts.repartition(parts), 5, algorithms=("kmeans",), reps=3)
+        got = CL.consensus_cluster(labels, 5)
+        assert got.count() == got.select("cod").distinct().count() == 240
+        assert got.where("cluster IS NULL").isEmpty()
+        assert labels.where("label IS NULL").isEmpty() and labels.count() == 240 * 3
+        seen.append({r["run"]: r["n"] for r in labels.groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()})
+    assert seen[0] == seen[1]
+
+
+def test_too_few_funds_give_null_labels(spark):
+    pts = CL.embed_2d(CL.fund_vectors(_blocks(spark, 4))).checkpoint()
+    labels = CL.member_labels(pts, 4, reps=2)
+    assert labels.count() == 4 * 6 and labels.where("label IS NOT NULL").isEmpty()
+    assert [r["cluster"] for r in CL.consensus_cluster(labels, 4).collect()] == [None] * 4
+
+
+def test_naive_control_reads_nothing_from_its_window(spark):
+    rows = _panel(spark, funds=2, days=90)
+    last = rows.agg(F.max("fecha_corte")).first()[0]
+    start = last - dt.timedelta(days=27)
+    hidden = rows.where(F.col("fecha_corte") < F.lit(start)).unionByName(
+        rows.where(F.col("fecha_corte") >= F.lit(start)).withColumn("creci_dia", F.lit(99.0)))
+    for lag in (1, 7):
+        a = {(r["cod"], r["fecha_corte"]): r["mean"] for r in FC.seasonal_naive(rows, start, lag=lag).collect()}
+        b = {(r["cod"], r["fecha_corte"]): r["mean"] for r in FC.seasonal_naive(hidden, start, lag=lag).collect()}
+        assert a == b and len(a) == 2 * 28
+    res = FC.naive_residuals(rows, start, folds=2).count()
+    assert res == FC.naive_residuals(hidden, start, folds=2).count() == 2 * 52      # the oldest window lacks one day of the week before it
+    bands = FC.residual_bands(FC.seasonal_naive(rows, start), FC.naive_residuals(rows, start, folds=2)).collect()
+    assert all(r["q05"] <= r["q25"] <= r["q75"] <= r["q95"] for r in bands)
+
+
+def test_recursive_forecast_equals_a_plain_loop(spark):
+    ds = FC.extend_future(_panel(spark).select("cod", "fecha_corte", "creci_dia"), 28)
+    ds = ds.join(_panel(spark).select("fecha_corte", "trm", "ipc", "dia_no_habil").distinct(), "fecha_corte", "left")
+    feats, cols = FC.model_features(ds, FC.RECURSIVE_LAGS)
+    lr = FC.fit_recursive(feats, cols).stages[-1]
+    coef = dict(zip(cols, lr.coefficients))
+    got = {(r["cod"], r["fecha_corte"]): r["mean"] for r in FC.forecast_recursive(ds).collect()}
+    by_fund = {}
+    for r in ds.orderBy("fecha_corte").collect():
+        by_fund.setdefault(r["cod"], []).append(r)
+    assert len(got) == 28 * len(by_fund)
+    for cod, rows in by_fund.items():
+        values = [r["creci_dia"] for r in rows if r["creci_dia"] is not None]
+        n = len(values)
+        for i, r in enumerate(r for r in rows if r["creci_dia"] is None):
+            d = r["fecha_corte"]
+            x = {"day_of_week": d.weekday(), "day_of_month": d.day, "day_of_year": d.timetuple().tm_yday,
+                 "age": np.log10(2.0 + n + i), **{c: r[c] or 0.0 for c in FC.COVARIATES},
+                 **{f"lag_{k}": values[-k] if len(values) >= k else 0.0 for k in FC.RECURSIVE_LAGS}}
+            values.append(lr.intercept + sum(coef[c] * x[c] for c in cols))
+            assert got[cod, d] == pytest.approx(values[-1], rel=1e-9, abs=1e-12)
 
 
 def test_constant_series_gives_null_not_error(spark):
