@@ -416,9 +416,12 @@ def backtest(ds: DataFrame, folds: int = 13, horizon: int = HORIZON, kind: str =
     ``(model, fold, cod, fecha_corte, h, mean, actual)``.
 
     ``kind='linear'`` solves all folds from one aggregate pass and predicts
-    all windows in one join; ``kind='gbt'`` fits one Spark ML model per fold.
+    all windows in one join; ``kind='gbt'`` fits one Spark ML model per fold;
+    ``kind='recursive'`` fits and runs the one-step model (M7) per fold.
     """
     rows = ds.where(F.col(target).isNotNull())
+    if kind == "recursive":
+        return _backtest_recursive(rows.checkpoint(eager=True), folds, horizon, key, dc, target)
     feats, cols = model_features(rows, DIRECT_LAGS, key, dc, target)
     feats = feats.checkpoint(eager=True)
     bounds = fold_bounds(feats, folds, horizon, horizon, dc)
@@ -456,6 +459,55 @@ def backtest(ds: DataFrame, folds: int = 13, horizon: int = HORIZON, kind: str =
     return direct.unionByName(naive)
 
 
+def masked(rows: DataFrame, start: _dt.date, horizon: int = HORIZON, dc: str = "fecha_corte",
+           target: str = "creci_dia") -> DataFrame:
+    """The days before ``start`` and, with a NULL target, the ``horizon`` days from it on."""
+    kept = rows.where(F.col(dc) < F.lit(start + _dt.timedelta(horizon)))
+    return kept.withColumn(target, F.when(F.col(dc) < F.lit(start), F.col(target)))
+
+
+def _backtest_recursive(rows: DataFrame, folds: int, horizon: int, key: str, dc: str, target: str) -> DataFrame:
+    actual = rows.select(key, dc, F.col(target).alias("actual"))
+    out = None
+    for k, start, _ in fold_bounds(rows, folds, horizon, horizon, dc):
+        pred = forecast_recursive(masked(rows, start, horizon, dc, target), horizon, key=key, dc=dc, target=target)
+        part = pred.join(actual, [key, dc]).select(
+            F.lit("recursive_linear").alias("model"), F.lit(k).alias("fold"), key, dc,
+            (F.datediff(dc, F.lit(start)) + 1).alias("h"), "mean", "actual")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+MODELS = ("direct_linear", "direct_gbt", "recursive_linear", "seasonal_naive")
+
+
+def holdout_predictions(ds: DataFrame, horizon: int = HORIZON, folds: int = 3, key: str = "cod",
+                        dc: str = "fecha_corte", target: str = "creci_dia") -> DataFrame:
+    """Every model fitted on the days before the last ``horizon`` days and
+    forecast over these: ``(model, cod, fecha_corte, mean, q05, q25, q75,
+    q95)`` (M11). The bands are percentiles of each model's own errors on
+    ``folds`` earlier windows, so nothing on or after the test start is read."""
+    rows = ds.where(F.col(target).isNotNull())
+    start = rows.select(dc).distinct().orderBy(F.col(dc).desc()).limit(horizon).agg(F.min(dc)).first()[0]
+    data = masked(rows, start, horizon, dc, target).checkpoint(eager=True)
+    train = data.where(F.col(target).isNotNull())
+    feats, cols = model_features(data, DIRECT_LAGS, key, dc, target)
+    feats = feats.checkpoint(eager=True)
+    window = feats.where(F.col(target).isNull())
+    tests = {f"direct_{kind}": backtest(train, folds, horizon, kind, key, dc, target) for kind in ("linear", "gbt")}
+    tests["recursive_linear"] = backtest(train, folds, horizon, "recursive", key, dc, target)
+    tests["seasonal_naive"] = tests["direct_linear"]
+    preds = {f"direct_{kind}": predict(fit_direct(feats, cols, kind, target=target), window, key, dc) for kind in ("linear", "gbt")}
+    preds["recursive_linear"] = forecast_recursive(data, horizon, key=key, dc=dc, target=target)
+    preds["seasonal_naive"] = seasonal_naive(rows, start, horizon, key=key, dc=dc, value=target)
+    out = None
+    for model in MODELS:
+        errors = tests[model].where(F.col("model") == model).select("actual", "mean").dropna()
+        part = residual_bands(preds[model].select(F.lit(model).alias("model"), key, dc, "mean"), errors)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def forecast_quantiles(pred: DataFrame, residuals: DataFrame, levels: Sequence[float] = QUANTILE_LEVELS,
                        key: str = "cod", dc: str = "fecha_corte") -> DataFrame:
     """Quantile levels around the mean (M8): the exact percentile of the

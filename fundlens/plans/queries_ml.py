@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from fundlens.operators import cluster as CL
 from fundlens.operators import forecast as FC
-from fundlens.operators.universe import best_config
-from fundlens.plans.queries_stats import GRID_KS, _ds, _moving, parameter_grid
+from fundlens.operators.rolling import rolling_return_gross
+from fundlens.operators.stats import quantile_band
+from fundlens.operators.universe import best_config, cluster_peers
+from fundlens.plans.queries_stats import GRID_KS, _ds, _model_rows, _moving, parameter_grid
+from fundlens.plans.report import forecast_projection, forecast_report
 from fundlens.plans.catalog import register
 
 #: Repetitions per base clustering in the registered queries. The operators' default is the source's 100, which
@@ -99,3 +102,48 @@ def _model_store(ctx):
     FC.save_model(model, path)
     loaded = FC.load_model(path)
     return FC.predict(loaded, feats.where(F.col("creci_dia").isNull()))
+
+
+# ------- the same evaluation and report on fitted models; the keys without "_models" hold the control, which has a SQL twin
+def _holdout(ctx):
+    """Forecasts of all models over the last 28 days, fitted on the days before."""
+    return ctx._cached(("holdout",), lambda: FC.holdout_predictions(_ds(ctx)).checkpoint(eager=True))
+
+
+register("holdout_models")(_holdout)
+register("holdout_eval_models")(lambda ctx: FC.holdout_eval(_holdout(ctx), _model_rows(ctx), model="model"))
+register("leaderboard_models")(lambda ctx: FC.leaderboard(_holdout(ctx), _model_rows(ctx)).select("model", "rmse", "n", "rank"))
+
+
+@register("backtest_models")
+def _backtest_models(ctx):
+    """Backtest of the boosted and the recursive model, three windows each."""
+    return ctx._cached(("backtest_models",), lambda: FC.backtest(_ds(ctx), 3, kind="gbt").unionByName(
+        FC.backtest(_ds(ctx), 3, kind="recursive")).checkpoint(eager=True))
+
+
+def _report_models(ctx):
+    return forecast_report(_model_rows(ctx), _forecast_quantiles(ctx).select("cod", "fecha_corte", "mean", "q25", "q75"))
+
+
+register("forecast_report_models")(_report_models)
+register("forecast_projection_models")(lambda ctx: forecast_projection(_report_models(ctx), ctx.as_of, 30, 12))
+
+
+def _best_labels(ctx):
+    """Fund labels of the best configuration."""
+    return _cluster_assignment(ctx).select("cod", "cluster").where(F.col("cluster").isNotNull()).distinct()
+
+
+@register("cluster_bands")
+def _cluster_bands(ctx):
+    """Quartiles of the 30-day return per cluster and day, on the consensus labels."""
+    rows = rolling_return_gross(ctx.base5().where(F.col("fecha_corte") >= F.lit(ctx.years_back(1))), 30)
+    return quantile_band(rows.join(_best_labels(ctx), "cod").dropna(subset=["rent_brut_30"]), ["cluster", "fecha_corte"], "rent_brut_30")
+
+
+@register("cluster_peers_models")
+def _cluster_peers_models(ctx):
+    """The funds that share the consensus cluster of the first fund."""
+    labels = _best_labels(ctx)
+    return cluster_peers(labels, labels.agg(F.min("cod")).first()[0])
