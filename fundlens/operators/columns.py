@@ -8,12 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def column_range(df: DataFrame, first: str, last: str) -> list[str]:
-    """Columns from ``first`` to ``last`` inclusive, in frame order."""
-    cols = df.columns
-    return cols[cols.index(first): cols.index(last) + 1]
-
-
 def across_columns(df: DataFrame, cols: Sequence[str], fn: Callable[[Column], Column]) -> DataFrame:
     """Apply one column function to a set of columns (B5), in one projection."""
     return df.withColumns({c: fn(F.col(c)) for c in cols})

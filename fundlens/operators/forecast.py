@@ -28,19 +28,28 @@ TARGET_LAGS = [1, 2, 3, 4, 5, 6, 7, 8, 13, 14, 15, 20, 21, 22, 27, 28, 29, 30, 3
 
 # --- macro covariates (D5) ------------------------------------------------------
 
+BROADCAST_DAYS = 100_000
+
+
+def _calendar(table: DataFrame) -> DataFrame:
+    """The table, broadcast if its size is that of a calendar."""
+    few = table.limit(BROADCAST_DAYS + 1).count() <= BROADCAST_DAYS
+    return F.broadcast(table) if few else table
+
+
 def join_macro(df: DataFrame, trm_rows: DataFrame, ipc_rows: DataFrame, holiday_rows: DataFrame,
                dc: str = "fecha_corte") -> DataFrame:
     """Left join the daily rate, the daily-padded monthly index and the
     holiday flag on the date (D5).
 
-    The macro tables have one row per calendar day; no hint is given, so
-    AQE broadcasts them when their runtime size is under the broadcast
-    threshold and falls back to a shuffle join otherwise. Missing holidays
-    are FALSE.
+    The macro tables have one row per calendar day. They are counted, and
+    broadcast up to ``BROADCAST_DAYS`` rows, so that the panel is not moved
+    by date; larger ones are left to a shuffle join. Missing holidays are
+    FALSE.
     """
-    trm = macro_daily(trm_rows).withColumnRenamed("fecha", "_d_trm")
-    ipc = macro_monthly(ipc_rows).withColumnRenamed("fecha", "_d_ipc")
-    fest = holidays(holiday_rows).withColumnRenamed("fecha", "_d_fest")
+    trm = _calendar(macro_daily(trm_rows).withColumnRenamed("fecha", "_d_trm"))
+    ipc = _calendar(macro_monthly(ipc_rows).withColumnRenamed("fecha", "_d_ipc"))
+    fest = _calendar(holidays(holiday_rows).withColumnRenamed("fecha", "_d_fest"))
     out = (df.join(trm, F.col(dc) == F.col("_d_trm"), "left")
            .join(ipc, F.col(dc) == F.col("_d_ipc"), "left")
            .join(fest, F.col(dc) == F.col("_d_fest"), "left"))

@@ -25,16 +25,6 @@ def anti(df: DataFrame, other: DataFrame, keys: Sequence[str] | str) -> DataFram
     return df.join(other.select(*keys), keys, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def semi_null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Semi join where NULL keys match NULL keys (the source's join rule)."""
-    o = other.select(*[F.col(k).alias(f"_o_{k}") for k in keys])
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_o_{k}"))
-        cond = c if cond is None else cond & c
-    return df.join(o, cond, "left_semi")
-
-
 def natural_left(df: DataFrame, other: DataFrame) -> DataFrame:
     """Left join on all common columns."""
     common = [c for c in df.columns if c in other.columns]

@@ -20,11 +20,6 @@ from fundlens.operators.joins import semi
 from fundlens.operators.panel import DATE, SERIES
 
 
-def with_global(df: DataFrame, name: str, agg) -> DataFrame:
-    """Attach a scalar aggregate of ``df`` to every row (scalar subquery)."""
-    return df.withColumn(name, df.agg(agg).scalar())
-
-
 def filter_latest_date(df: DataFrame, dc: str = DATE) -> DataFrame:
     """Rows at the global last date."""
     return df.where(F.col(dc) == df.agg(F.max(dc)).scalar())

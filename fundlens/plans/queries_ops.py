@@ -31,7 +31,7 @@ PANEL = ["fecha_corte", "cod", "tipo_participacion", "rendimientos_abonados", "p
          "numero_inversionistas", "transaccciones_netas", "crecimiento_dia"]
 NUM = set(PANEL[3:]) | {"aportes_recibidos", "retiros_redenciones", "anulaciones", "factor_dia",
                         "rent_30", "rent_365", "vol_30", "vol_365", "trm", "ipc", "creci_dia",
-                        "mean", "actual", "anual"}
+                        "mean", "actual", "anual", "raiz", "magnitud", "redondeado"}
 
 
 def cols(names):
@@ -391,10 +391,12 @@ def _weekday_flags(ctx):
 
 
 register("math_power_rate", O.with_ctes([O.PARAMS, O.lines("lines_o", "O"), O.report("rep", "lines_o")], sel(
-    ["fecha_corte", "cod", "tipo_participacion", "factor_dia", "anual"],
-    "(SELECT *, pow(factor_dia, 365.0) - 1 AS anual FROM rep) t")))(
+    ["fecha_corte", "cod", "tipo_participacion", "factor_dia", "anual", "raiz", "magnitud", "redondeado"],
+    f"""(SELECT *, sqrt(factor_dia) AS raiz, abs(factor_dia - 1) AS magnitud, {O.r('factor_dia', 5)} AS redondeado
+  FROM (SELECT *, pow(factor_dia, 365.0) - 1 AS anual FROM rep) t0) t""")))(
     lambda ctx: ctx.report().select("fecha_corte", "cod", "tipo_participacion", "factor_dia",
-                                    annualise(F.col("factor_dia"), 1).alias("anual")))
+                                    annualise(F.col("factor_dia"), 1).alias("anual"), F.sqrt("factor_dia").alias("raiz"),
+                                    F.abs(F.col("factor_dia") - 1).alias("magnitud"), F.round("factor_dia", 5).alias("redondeado")))
 
 
 @register("null_handling", O.with_ctes(FACTS2_REPORT_CHAIN[:5], sel(

@@ -35,11 +35,6 @@ def rename_all(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.toDF(*names)
 
 
-def select_by_prefix(df: DataFrame, *prefixes: str) -> list[str]:
-    """Columns whose name starts with any prefix, in frame order."""
-    return [c for c in df.columns if c.startswith(prefixes)]
-
-
 def title_case(name: str) -> str:
     """First ``_`` -> blank, then title case (``rent_30`` -> ``Rent 30``)."""
     return name.replace("_", " ", 1).title()
