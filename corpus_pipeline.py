@@ -51,8 +51,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte covered by a 400-byte string that also starts elsewhere is
     removed; bytes of a character that a cut has split go with it."""
-    out = suffix_dedup.dedup_substrings(docs, width=400, carry=("lang", "source"))
-    return _documents(out.withColumn("text", suffix_dedup.whole_characters(F.col("kept"))))
+    out = suffix_dedup.dedup_substrings(docs, width=400, carry=("lang", "source"), as_text=True)
+    return _documents(out.withColumnRenamed("kept", "text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

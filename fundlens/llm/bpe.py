@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from fundlens.llm.common import byte_view, c, ragged, text_steps
+from fundlens.llm.common import arrow_map, byte_view, c, ragged, text_steps
 from fundlens.llm.words import WordEncoder
 
 END = "</w>"
-STEP = 1 << 20
+STEP = 1 << 19
 _NEVER = 1 << 60
 
 
@@ -113,7 +113,7 @@ class Vocabulary:
         key = a << 24 | b
         fit = self.fits.get(key)
         if fit is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 250_000:
                 self.fits.clear()
             fit = self.fits[key] = self._joins(a, b) == _NEVER
         return fit
@@ -175,7 +175,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 [part.column(0), pa.Array.from_buffers(pa.binary(), part.num_rows, [
                     None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])], names=["doc_id", "ids"])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    return arrow_map(rows, run, schema).withColumnRenamed("doc_id", id_col)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -189,7 +189,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
         pool, at = _decoder(path)
         size = np.diff(at)
         for rb in batches:
-            for part, data, offs in _binary_steps(rb, 1 << 20):
+            for part, data, offs in _binary_steps(rb, STEP):
                 ids = data.view("<u4").astype(np.int64)
                 ids = np.where(ids < len(size), ids, 0)
                 lengths = size[ids]
@@ -202,7 +202,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
                     [part.column(0), part.column(1), pa.Array.from_buffers(pa.string(), part.num_rows, [
                         None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(text[keep])])], names=["doc_id", "ids", "decoded"])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col).withColumnRenamed("ids", ids_col)
+    return arrow_map(rows, run, schema).withColumnRenamed("doc_id", id_col).withColumnRenamed("ids", ids_col)
 
 
 def _binary_steps(rb: pa.RecordBatch, step: int):

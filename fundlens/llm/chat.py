@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundlens.llm.common import byte_view, c, partitions, ragged
+from fundlens.llm.common import arrow_map, byte_view, c, partitions, ragged
 
 OPEN, ROLE, BODY, CLOSE = b"<s>", b"[INST]", b"[/INST]", b"</s>"
 #: byte -> the letter that follows ``\`` in its escaped form
@@ -161,7 +161,7 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
                 lo = hi
             last = ids[-1]
 
-    return rows.mapInArrow(run, PART_SCHEMA)
+    return arrow_map(rows, run, PART_SCHEMA)
 
 
 def parse_turns(formatted: bytes):
@@ -212,7 +212,7 @@ def read_back(parts: DataFrame) -> DataFrame:
         if done:
             yield _digest_batch(done)
 
-    return parts.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
+    return arrow_map(parts, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
                                  "loss_sha256 string, formatted_chars long")
 
 

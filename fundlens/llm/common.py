@@ -3,6 +3,9 @@ ragged copies, word hashing, and tables written to the shared folder."""
 
 from __future__ import annotations
 
+import ctypes
+import re
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from fundlens.session import ensure_checkpoint_dir
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def c(name: str) -> Column:
@@ -33,6 +36,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker: each task holds a few of them off heap.
+BATCH_BYTES = 8 << 20
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_BYTES`` (or what the
+    session asks for, if less). Texts differ in size by orders of magnitude,
+    so a row count does not bound a task's memory. The setting is the
+    session's, as the plan reads it when it runs. When a task ends, its Python
+    worker, which stays for later tasks, gives unused memory back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key, "64m").lower()
+    size = int(float(re.match(r"[0-9.]+", now)[0]) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1], 1))
+    if size <= 0 or size > BATCH_BYTES:
+        df.sparkSession.conf.set(key, f"{BATCH_BYTES}b")
+
+    def task(batches):
+        yield from run(batches)
+        release_memory()
+
+    return df.mapInArrow(task, schema)
+
+
+def release_memory() -> None:
+    """Return freed memory of this process to the system, where that is possible."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -89,7 +123,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """``base^i mod 2^64`` for i < n; grown by doubling and kept up to 4M."""
+    """``base^i mod 2^64`` for i < n; grown by doubling and kept up to 1M."""
     have = _POWERS.get(inverse)
     if have is None or len(have) < n:
         base = int(_BASE_INV if inverse else _BASE)
@@ -99,7 +133,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         while k < size:
             have[k:2 * k] = have[:k] * np.uint64(pow(base, k, 1 << 64))
             k *= 2
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _POWERS[inverse] = have
     return have[:n]
 

@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fundlens.llm.common import c, text_steps
+from fundlens.llm.common import arrow_map, c, text_steps
 
 ORDER = 3
 #: Labelled documents of a language that the trees are counted on, and their longest size.
 SAMPLE = 400
 LONGEST = 1 << 16
-STEP = 1 << 20
+STEP = 1 << 18
 
 _HASH = np.uint32(2654435761)
 
@@ -65,7 +65,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
                                            "n": pa.array(np.full(len(gram), n, np.int32)),
                                            "gram": pa.array(gram.astype(np.int64)), "hits": pa.array(hits.astype(np.int64))})
 
-    counts = texts.select("lang", "text").mapInArrow(run, "lang string, n int, gram long, hits long")
+    counts = arrow_map(texts.select("lang", "text"), run, "lang string, n int, gram long, hits long")
     return counts.groupBy("lang", "n", "gram").agg(F.sum("hits").alias("hits"))
 
 
@@ -242,7 +242,7 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text", lang_out
                 [rows.column(i) for i in range(len(names))] + [pa.array(lang, pa.string()), pa.array(score)],
                 names=[*names, "_lang", "_score"])
 
-    out = inner.mapInArrow(run, schema)
+    out = arrow_map(inner, run, schema)
     return out.select(*[F.col(f"_c{i}").alias(x) for i, x in enumerate(keep)],
                       F.col("_lang").alias(lang_out), F.col("_score").alias(score_out))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundlens.llm.common import c, mix64, partitions, powers, ragged, span_hashes, text_steps, written
+from fundlens.llm.common import arrow_map, c, mix64, partitions, powers, ragged, span_hashes, text_steps, written
 
 STAR = "<*>"
 LEAD = 4           # leading tokens of the path
@@ -30,7 +30,7 @@ MIN_DOCS = 10      # documents in which a template recurs
 SIMILAR = 0.7      # share of equal positions
 #: Tokens of one clustering step; a leaf with more is clustered in parts by line hash.
 CELLS = 1 << 22
-STEP = 1 << 20
+STEP = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -105,7 +105,7 @@ def _rows(docs: DataFrame, lead: int, min_tokens: int) -> DataFrame:
                 "start": pa.array(start[keep] - offs[text[keep]]), "len": pa.array(end[keep] - start[keep]),
                 "tokens": pa.array(count[keep]), "leaf": pa.array(leaf[keep].view(np.int64)), "line": pa.array(line[keep].view(np.int64))})
 
-    return docs.mapInArrow(run, "doc_id long, tk long, number long, start long, len long, tokens long, leaf long, line long")
+    return arrow_map(docs, run, "doc_id long, tk long, number long, start long, len long, tokens long, leaf long, line long")
 
 
 def _leaders(distinct: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
@@ -124,7 +124,7 @@ def _leaders(distinct: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
             yield pa.record_batch({**{k: items.field(k) for k in ("leaf", "part", "line", "n")},
                                    "body": pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(body)])})
 
-    bodies = texts.mapInArrow(fetch, "leaf long, part long, line long, n long, body binary")
+    bodies = arrow_map(texts, fetch, "leaf long, part long, line long, n long, body binary")
     # repeated rows fetch a line once each: keep one
     bodies = bodies.groupBy("leaf", "part", "line").agg(F.max("n").alias("n"), F.first("body").alias("body"))
     bodies = (bodies.repartition(partitions(docs.sparkSession), "leaf", "part")
@@ -151,7 +151,7 @@ def _leaders(distinct: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
         if held:
             yield done()
 
-    return bodies.mapInArrow(run, "leaf long, line long, leader long, template binary")
+    return arrow_map(bodies, run, "leaf long, line long, leader long, template binary")
 
 
 def find_templates(docs: DataFrame, lead: int = LEAD, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS,

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundlens.llm.common import CHUNK_BYTES, c, mix64, span_hashes, text_steps, written
+from fundlens.llm.common import CHUNK_BYTES, arrow_map, c, mix64, span_hashes, text_steps, written
 from fundlens.llm.graph import components
 
 MANTISSA = 10     # bits kept behind the leading one
@@ -128,7 +128,7 @@ def _profiles(df: DataFrame, size: int, k: int | None) -> DataFrame:
                 out["elements"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.record_batch(out)
 
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id long, n long, digest binary, {tail}")
+    return arrow_map(df.select("doc_id", "text"), run, f"doc_id long, n long, digest binary, {tail}")
 
 
 def _estimated(pairs: DataFrame, least: float) -> DataFrame:
@@ -147,7 +147,7 @@ def _estimated(pairs: DataFrame, least: float) -> DataFrame:
             keep = pa.array(est >= least)
             yield pa.record_batch({"a": rb.column("a"), "b": rb.column("b"), "est": pa.array(est)}).filter(keep)
 
-    return pairs.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a binary, b binary, est double")
+    return arrow_map(pairs.select("a", "b", "n_a", "n_b", "regs_a", "regs_b"), run, "a binary, b binary, est double")
 
 
 class _Search:

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundlens.llm.common import c, partitions, text_steps, written
+from fundlens.llm.common import arrow_map, c, partitions, text_steps, written
 from fundlens.llm.words import WordEncoder
 
-STEP = 1 << 20
+STEP = 1 << 19
 #: Column generation ends when the plan is proved to be within this share of the optimum, or after PIVOTS exchanges.
 GAP = 1e-3
 PIVOTS = 300
@@ -39,7 +39,12 @@ def _encoder(path: str) -> WordEncoder:
     tok.no_truncation()
     tok.no_padding()
     specials = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
-    return WordEncoder(lambda ws: [e.ids for e in tok.encode_batch_fast(ws, add_special_tokens=False)], specials)
+
+    def encode(words: list[str]) -> list[list[int]]:
+        # an encoding holds far more than its ids: few at a time
+        return [e.ids for k in range(0, len(words), 4096) for e in tok.encode_batch_fast(words[k:k + 4096], add_special_tokens=False)]
+
+    return WordEncoder(encode, specials)
 
 
 # --- the plan (driver, bounded by the capacity) ---------------------------------------------------------------------
@@ -227,7 +232,7 @@ def token_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 [part.column(0).take(pa.array(who, pa.int64())), *[pa.array(v, pa.int64()) for v in (start, length, crc, total)]],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return arrow_map(rows, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -32,20 +32,19 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fundlens.llm.common import c, mix64, partitions, powers, ragged, text_steps, written
+from fundlens.llm.common import arrow_map, c, mix64, partitions, powers, ragged, text_steps, written
 
 GRAM = 32
 #: Distinct pieces of one anchor that a task takes; beyond, windows are hashed.
 MOST = 32768
 #: Strings of one construction (whole anchors are added until this is reached).
 BATCH = 8192
-STEP = 1 << 20
+STEP = 1 << 19
 #: Longer texts are cut for the anchor search, with an overlap of one window.
 LONGEST = 1 << 23
 
@@ -122,8 +121,7 @@ def _occurrences(docs: DataFrame, width: int) -> DataFrame:
                     "len": pa.array(n.astype(np.int32)), "off": pa.array(off.astype(np.int32)),
                     "anchor": pa.array(anchor.view(np.int64)), "g1": pa.array(g1.view(np.int64)), "g2": pa.array(g2.view(np.int64))})
 
-    return docs.select("doc_id", "tk", "text").mapInArrow(
-        run, "doc_id long, tk long, start long, len int, off int, anchor long, g1 long, g2 long")
+    return arrow_map(docs.select("doc_id", "tk", "text"), run, "doc_id long, tk long, start long, len int, off int, anchor long, g1 long, g2 long")
 
 
 def repeated_windows(strings: np.ndarray, offs: np.ndarray, off: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
@@ -248,7 +246,7 @@ def _compared(strings: DataFrame, width: int) -> DataFrame:
         if held:
             yield construct(held)
 
-    return strings.mapInArrow(run, "doc_id long, tk long, lo long, hi long")
+    return arrow_map(strings, run, "doc_id long, tk long, lo long, hi long")
 
 
 def _windows(strings: DataFrame, width: int) -> DataFrame:
@@ -268,7 +266,7 @@ def _windows(strings: DataFrame, width: int) -> DataFrame:
                 "w1": pa.array(_span(first, at, at + width).view(np.int64)),
                 "w2": pa.array(_span(second, at, at + width).view(np.int64))})
 
-    return strings.mapInArrow(run, "doc_id long, tk long, lo long, n long, w1 long, w2 long")
+    return arrow_map(strings, run, "doc_id long, tk long, lo long, n long, w1 long, w2 long")
 
 
 def repeated_spans(docs: DataFrame, width: int = 400, most: int = MOST) -> DataFrame:
@@ -306,7 +304,7 @@ def repeated_spans(docs: DataFrame, width: int = 400, most: int = MOST) -> DataF
                 "n": items.field("n"), "start": items.field("start"), "off": items.field("off"), "kinds": items.field("kinds"),
                 "body": pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(body)])})
 
-    strings = texts.mapInArrow(bodies, "doc_id long, tk long, anchor long, n long, start long, off int, kinds long, body binary")
+    strings = arrow_map(texts, bodies, "doc_id long, tk long, anchor long, n long, start long, off int, kinds long, body binary")
     if kinds.where(F.col("kinds") > most).isEmpty():
         mine, hot = strings, None
     else:
@@ -339,11 +337,12 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400,
-                     most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
+                     most: int = MOST, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """``(id, n_bytes, spans, kept)``, one row per input row, and the columns
     named in ``carry``: the removed maximal byte spans
-    ``array<struct<lo, hi>>`` and the remaining bytes (binary; a cut may split
-    a UTF-8 character, see ``whole_characters``).
+    ``array<struct<lo, hi>>`` and the remaining bytes. These are binary, as a
+    cut may split a UTF-8 character; with ``as_text`` they are a string
+    without the rest of split characters.
 
     * texts are UTF-8 bytes, null counts as empty; matches never cross texts;
     * a text shorter than ``width`` bytes loses nothing;
@@ -360,7 +359,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))),
-        T.StructField("kept", T.BinaryType()), both.schema["carry"]])
+        T.StructField("kept", T.StringType() if as_text else T.BinaryType()), both.schema["carry"]])
 
     def run(batches):
         for rows, data, offs in text_steps(batches, "text", 2 * STEP):
@@ -378,20 +377,16 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 spans.append([{"lo": int(a), "hi": int(b)} for a, b in zip(lo, hi)])
             yield pa.record_batch({"doc_id": rows.column(0), "n_bytes": pa.array(np.diff(offs)),
                                    "spans": pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
-                                   "kept": pa.array(kept, pa.binary()), "carry": rows.column(4)})
+                                   "kept": pa.array([whole_characters(b) for b in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
+                                   "carry": rows.column(4)})
 
-    out = both.mapInArrow(run, schema)
+    out = arrow_map(both, run, schema)
     return out.select(F.col("doc_id").alias(id_col), "n_bytes", "spans", "kept", *[F.col("carry").getField(x).alias(x) for x in carry])
 
 
-def whole_characters(kept: Column) -> Column:
+def whole_characters(kept: bytes) -> str:
     """Remaining bytes as text; bytes of a character that a cut has split go."""
-
-    @F.pandas_udf("string")
-    def text(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return text(kept)
+    return kept.decode("utf-8", "ignore")
 
 
 def digest(result: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -94,7 +94,7 @@ class WordEncoder:
     distinct word, as long as the store holds (``most`` words, then it is
     emptied). ``specials`` maps strings of special tokens to their ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], specials: dict[str, int], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], specials: dict[str, int], most: int = 250_000):
         self.encode, self.specials, self.most = encode, specials, most
         self.cut = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
         self._clear()
