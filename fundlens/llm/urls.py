@@ -85,11 +85,11 @@ def judge_urls(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col
         keyed = F.broadcast(keyed)
     hits = (exprs.withColumn("_short", F.substring("_digest", 1, 8)).join(keyed, "_short")
             .where(F.col("_digest") == F.col("_rule_digest"))
-            .groupBy("_url")
-            .agg(F.min(F.struct((-F.length("rule")).alias("n"), F.col("rule"),
+            .groupBy("_url").agg(F.min(F.struct((-F.length("rule")).alias("n"), F.col("rule"),
                                 (F.col("verdict") != "block").alias("b"), F.col("verdict"))).alias("_hit")))
-    # two null-safe joins by URL would move html-sized keys twice; one left join of the hits is enough
-    out = pages.join(hits, "_url", "left")
+    # the second key makes both sides exchanges of the join, so that a frequent URL's pages can be split
+    again = F.xxhash64("_url")
+    out = pages.withColumn("_h", again).join(hits.withColumn("_h", again), ["_url", "_h"], "left")
     host, path = url_parts(F.col("_url"))
     return out.select(F.col("_id").alias(id_col), host.alias("host"), path.alias("path"),
                       F.col("_hit.rule").alias("rule"), F.coalesce("_hit.verdict", F.lit(default)).alias("verdict"))
