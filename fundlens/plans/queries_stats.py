@@ -140,7 +140,8 @@ IDX_CTES = O.base5_chain() + ["""idx AS (SELECT fecha_corte, quantile_cont(creci
 
 
 def _index(ctx):
-    return ST.cross_section_median(ctx.base5())
+    """The daily index, written once: one row per day, read several times by each diagnostic."""
+    return ctx._cached(("index",), lambda: ST.cross_section_median(ctx.base5()).checkpoint(eager=True))
 
 
 register("cross_section_median", O.with_ctes(IDX_CTES, sel(["fecha_corte", "mean_creci"], "idx")))(_index)
