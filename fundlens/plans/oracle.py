@@ -11,8 +11,23 @@ from __future__ import annotations
 
 import math
 
+from fundlens.functions.text import ENTITY_KEY_PATTERN, ENTITY_TYPE_RULES, FUND_NAME_BOILERPLATE
+
 SQRT365 = repr(math.sqrt(365))
 
+
+def entity_label(col: str) -> str:
+    """The classifier's rules (fixed values of ``functions.text``) as a CASE."""
+    test = {"startswith": "starts_with", "contains": "contains"}
+    whens = " ".join(f"WHEN {test[kind]}({col}, '{pattern}') THEN '{label}'" for kind, pattern, label in ENTITY_TYPE_RULES)
+    return f"CASE {whens} ELSE {col} END"
+
+
+def fund_name(col: str) -> str:
+    """Upper-cased name without boilerplate and outer white space."""
+    return f"regexp_replace(regexp_replace(upper({col}), '{FUND_NAME_BOILERPLATE}', '', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
 TYPE_CODE = ("CASE n.n_regionkey WHEN 0 THEN '5' WHEN 1 THEN '85' WHEN 2 THEN '87' "
              "WHEN 3 THEN '5' WHEN 4 THEN '85' END")
 TYPE_NAME = ("CASE n.n_regionkey WHEN 0 THEN 'SOCIEDADES FIDUCIARIAS' "
@@ -259,21 +274,16 @@ def dims_chain() -> list[str]:
   JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey, params
   WHERE CAST(l.l_shipdate AS DATE) BETWEEN params.y2 AND params.as_of
     AND CAST(l.l_suppkey % 8 AS VARCHAR) NOT IN ('7')
-)""", f"""short_names(cod_empresa, nombre_corto) AS (VALUES {short})""", """dims AS (
+)""", f"""short_names(cod_empresa, nombre_corto) AS (VALUES {short})""", f"""dims AS (
   SELECT d.cod,
-         CASE WHEN starts_with(d.nombre_tipo_entidad, 'SOCIEDADES ADMINISTRADORAS DE INVERSI') THEN 'ADMINISTRADORAS'
-              WHEN contains(d.nombre_tipo_entidad, 'COMISIONISTAS') THEN 'COMISIONISTAS'
-              WHEN contains(d.nombre_tipo_entidad, 'FIDUCIARIA') THEN 'FIDUCIARIAS'
-              ELSE d.nombre_tipo_entidad END AS nombre_tipo_entidad,
+         {entity_label('d.nombre_tipo_entidad')} AS nombre_tipo_entidad,
          coalesce(sn.nombre_corto, d.nombre_entidad) AS nombre_entidad,
-         regexp_replace(regexp_replace(upper(d.nombre_patrimonio),
-           'CARTERA COLECTIVA|CARTERA CON COMPARTIMENTOS|F.I.C.|CON PARTICIPACIONES DIFERENCIALES|FIC|FONDO DE INVERSI.*?N COLECTIVA|FONDO',
-           '', 'g'), '^\\s+|\\s+$', '', 'g') AS nombre_patrimonio
+         {fund_name('d.nombre_patrimonio')} AS nombre_patrimonio
   FROM (SELECT coalesce(tipo_entidad, 'NA') || '_' || coalesce(codigo_entidad, 'NA') || '_' ||
                coalesce(subtipo_negocio, 'NA') || '_' || coalesce(codigo_negocio, 'NA') AS cod,
                nombre_tipo_entidad, nombre_entidad, nombre_patrimonio
         FROM dims_raw) d
-  LEFT JOIN short_names sn ON sn.cod_empresa = regexp_extract(d.cod, '\\d*_\\d*')
+  LEFT JOIN short_names sn ON sn.cod_empresa = regexp_extract(d.cod, '{ENTITY_KEY_PATTERN}')
 )"""]
 
 

@@ -305,25 +305,20 @@ register("union_sources", O.with_ctes(O.panel_chain("y2")[:-1], sel(_MERGED_COLS
 
 # ============================== 2.10 scalar functions ==============================
 
-register("str_classify", O.with_ctes([O.PARAMS] + O.dims_chain()[:1], """SELECT DISTINCT
+register("str_classify", O.with_ctes([O.PARAMS] + O.dims_chain()[:1], f"""SELECT DISTINCT
   nombre_tipo_entidad AS nombre_original,
-  CASE WHEN starts_with(nombre_tipo_entidad, 'SOCIEDADES ADMINISTRADORAS DE INVERSI') THEN 'ADMINISTRADORAS'
-       WHEN contains(nombre_tipo_entidad, 'COMISIONISTAS') THEN 'COMISIONISTAS'
-       WHEN contains(nombre_tipo_entidad, 'FIDUCIARIA') THEN 'FIDUCIARIAS'
-       ELSE nombre_tipo_entidad END AS nombre_tipo_entidad FROM dims_raw"""))(
+  {O.entity_label('nombre_tipo_entidad')} AS nombre_tipo_entidad FROM dims_raw"""))(
     lambda ctx: ctx.dims_raw(2).select(
         F.col("nombre_tipo_entidad").alias("nombre_original"),
         classify_entity_type(F.col("nombre_tipo_entidad")).alias("nombre_tipo_entidad")).distinct())
 
 register("str_extract", O.with_ctes([O.PARAMS] + O.dims_chain(), """SELECT DISTINCT cod,
-  regexp_extract(cod, '\\d*_\\d*') AS cod_empresa FROM dims"""))(
+  regexp_extract(cod, '""" + O.ENTITY_KEY_PATTERN + """') AS cod_empresa FROM dims"""))(
     lambda ctx: ctx.dims(2).select("cod", entity_key(F.col("cod")).alias("cod_empresa")).distinct())
 
-register("str_clean_name", O.with_ctes([O.PARAMS] + O.dims_chain()[:1], """SELECT DISTINCT
+register("str_clean_name", O.with_ctes([O.PARAMS] + O.dims_chain()[:1], f"""SELECT DISTINCT
   nombre_patrimonio AS nombre_original,
-  regexp_replace(regexp_replace(upper(nombre_patrimonio),
-    'CARTERA COLECTIVA|CARTERA CON COMPARTIMENTOS|F.I.C.|CON PARTICIPACIONES DIFERENCIALES|FIC|FONDO DE INVERSI.*?N COLECTIVA|FONDO',
-    '', 'g'), '^\\s+|\\s+$', '', 'g') AS nombre_patrimonio FROM dims_raw"""))(
+  {O.fund_name('nombre_patrimonio')} AS nombre_patrimonio FROM dims_raw"""))(
     lambda ctx: ctx.dims_raw(2).select(
         F.col("nombre_patrimonio").alias("nombre_original"),
         clean_fund_name(F.col("nombre_patrimonio")).alias("nombre_patrimonio")).distinct())
