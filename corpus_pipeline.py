@@ -41,11 +41,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the smallest id.
+    """One document of each near-duplicate group stays: the smallest id (a
+    row that occurs twice under one id stays twice: it is one document).
     Groups are of five-word shingles with a similarity of 0.8 or more."""
-    groups = minhash.near_dedup(docs, size=5, percent=80)
-    kept = groups.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    groups = minhash.near_dedup(docs, size=5, percent=80, row_key="_row")
+    kept = groups.where("kept").select("_row").distinct()
+    rows = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,14 +26,34 @@ def c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+class Scratch:
+    """Tables of one operator run in the shared folder. ``discard`` deletes
+    them once everything that reads them has been written itself."""
+
+    def __init__(self):
+        self._made: list[tuple[SparkSession, str]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Cut the lineage: write ``df`` as Parquet to the shared folder that
+        ``spark.checkpoint.dir`` names and read it back. Survives lost
+        executors, and Python stages behind it run once however often it is
+        read."""
+        spark = df.sparkSession
+        path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self._made.append((spark, path))
+        return spark.read.schema(df.schema).parquet(path)
+
+    def discard(self) -> None:
+        while self._made:
+            spark, path = self._made.pop()
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder that
-    ``spark.checkpoint.dir`` names and read it back. Survives lost executors,
-    and Python stages behind it run once however often it is read."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``Scratch.written`` for a table that the result itself reads."""
+    return Scratch().written(df, name)
 
 
 #: Bytes of an Arrow batch between the JVM and a Python worker: each task holds a few of them off heap.
@@ -49,7 +69,7 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = df.sparkSession.conf.get(key, "64m").lower()
     size = int(float(re.match(r"[0-9.]+", now)[0]) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1], 1))
-    if size <= 0 or size > BATCH_BYTES:
+    if size > BATCH_BYTES:
         df.sparkSession.conf.set(key, f"{BATCH_BYTES}b")
 
     def task(batches):

@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundlens.llm.common import written
+from fundlens.llm.common import Scratch
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame | None:
+def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame | None:
     """``(node, root)`` of every linked node; ``root`` is the smallest node
-    it reaches. None if there is no link."""
+    it reaches. None if there is no link. Intermediate tables and the result
+    belong to ``scratch``."""
+    written = scratch.written
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                     .where(F.col("u") != F.col("v")).distinct(), "links")
     labels = None

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundlens.llm.common import arrow_map, c, mix64, partitions, powers, ragged, span_hashes, text_steps, written
+from fundlens.llm.common import Scratch, arrow_map, c, mix64, partitions, powers, ragged, span_hashes, text_steps, written
 
 STAR = "<*>"
 LEAD = 4           # leading tokens of the path
@@ -154,26 +154,27 @@ def _leaders(distinct: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
     return arrow_map(bodies, run, "leaf long, line long, leader long, template binary")
 
 
-def find_templates(docs: DataFrame, lead: int = LEAD, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS,
+def find_templates(docs: DataFrame, scratch: Scratch, lead: int = LEAD, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS,
                    similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """``(lines to drop: doc_id, tk, number; templates: leaf, leader,
-    documents, template)`` of documents with ``doc_id, tk, text``."""
-    rows = written(_rows(docs, lead, min_tokens), "lines")
-    leaves = written(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
-    rows = written(rows.join(leaves, "leaf"), "lines")
-    distinct = written(rows.groupBy("leaf", "line").agg(
+    documents, template)`` of documents with ``doc_id, tk, text``. Both read
+    tables of ``scratch``."""
+    rows = scratch.written(_rows(docs, lead, min_tokens), "lines")
+    leaves = scratch.written(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
+    rows = scratch.written(rows.join(leaves, "leaf"), "lines")
+    distinct = scratch.written(rows.groupBy("leaf", "line").agg(
         F.count(F.lit(1)).alias("n"), F.max("tokens").alias("tokens"), F.min(F.struct("doc_id", "tk", "start", "len")).alias("at"))
         .select("leaf", "line", "n", "tokens", "at.*"), "distinct")
-    kinds = written(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "leaves")
+    kinds = scratch.written(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "leaves")
     several = distinct.join(kinds, "leaf").withColumn(
         "part", F.pmod(F.col("line"), F.ceil(F.col("kinds") * F.col("tokens") / CELLS)))
-    leaders = written(_leaders(several, docs, similar), "leaders")
+    leaders = scratch.written(_leaders(several, docs, similar), "leaders")
     rows = (rows.join(leaders, ["leaf", "line"], "left")
             .select("doc_id", "tk", "number", "leaf", F.coalesce("leader", "line").alias("leader"), "template"))
     spread = (rows.groupBy("leaf", "leader", "doc_id", "tk").agg(F.first("template").alias("template"))
               .groupBy("leaf", "leader").agg(F.count(F.lit(1)).alias("documents"), F.first("template").alias("template"),
                                              F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tk")).alias("home")))
-    spread = written(spread.where(F.col("documents") >= min_docs), "templates")
+    spread = scratch.written(spread.where(F.col("documents") >= min_docs), "templates")
     hits = rows.drop("template").join(spread.select("leaf", "leader", "home"), ["leaf", "leader"])
     drop = hits.where(~(F.col("doc_id").eqNullSafe(F.col("home.doc_id")) & (F.col("tk") == F.col("home.tk"))))
     return drop.select("doc_id", "tk", "number"), spread.drop("home")
@@ -198,7 +199,10 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     text = F.coalesce(c(text_col).cast("string"), F.lit(""))
     docs = df.select(c(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"),
                      F.struct(F.lit(0).alias("_"), *[c(x) for x in carry]).alias("carry"))
-    drop, _ = find_templates(docs.drop("carry"), lead, min_tokens, min_docs, similar)
+    scratch = Scratch()
+    drop, _ = find_templates(docs.drop("carry"), scratch, lead, min_tokens, min_docs, similar)
+    drop = written(drop, "drop")
+    scratch.discard()
     per_doc = drop.distinct().groupBy("doc_id", "tk").agg(F.collect_list("number").alias("gone"))
     both = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["doc_id"]) & (docs["tk"] == per_doc["tk"]), "left")
     lines = F.split("text", "\n", -1)

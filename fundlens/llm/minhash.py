@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundlens.llm.common import CHUNK_BYTES, arrow_map, c, mix64, span_hashes, text_steps, written
+from fundlens.llm.common import CHUNK_BYTES, Scratch, arrow_map, c, mix64, span_hashes, text_steps, written
 from fundlens.llm.graph import components
 
 MANTISSA = 10     # bits kept behind the leading one
@@ -110,7 +110,7 @@ def chance_table() -> np.ndarray:
 
 
 def _profiles(df: DataFrame, size: int, k: int | None) -> DataFrame:
-    """``(doc_id, n, digest, regs | elements)`` of ``(doc_id, text)``."""
+    """``(doc_id, row_key, n, digest, regs | elements)`` of ``(doc_id, text, row_key)``."""
     tail = "regs binary" if k else "elements array<long>"
 
     def run(batches):
@@ -118,7 +118,7 @@ def _profiles(df: DataFrame, size: int, k: int | None) -> DataFrame:
             sets = shingles(data, offs, size)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             ids = rows.column(rows.schema.get_field_index("doc_id"))
-            out = {"doc_id": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array(digest, pa.binary())}
+            out = {"doc_id": ids, "row_key": rows.column(rows.schema.get_field_index("row_key")), "n": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array(digest, pa.binary())}
             if k:
                 full = [s for s in sets if len(s)]
                 regs = iter(sketch(full, k) if full else ())
@@ -128,7 +128,7 @@ def _profiles(df: DataFrame, size: int, k: int | None) -> DataFrame:
                 out["elements"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.record_batch(out)
 
-    return arrow_map(df.select("doc_id", "text"), run, f"doc_id long, n long, digest binary, {tail}")
+    return arrow_map(df.select("doc_id", "row_key", "text"), run, f"doc_id long, row_key long, n long, digest binary, {tail}")
 
 
 def _estimated(pairs: DataFrame, least: float) -> DataFrame:
@@ -153,8 +153,8 @@ def _estimated(pairs: DataFrame, least: float) -> DataFrame:
 class _Search:
     """One run of ``near_dedup``: its class table and how pairs are tested."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int, k: int):
-        self.docs, self.classes, self.size, self.percent = docs, classes, size, percent
+    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int, k: int, scratch: Scratch):
+        self.docs, self.classes, self.size, self.percent, self.scratch = docs, classes, size, percent, scratch
         t = percent / 100
         self.least = t - 6 * math.sqrt(t * (1 - t) / k)
 
@@ -171,8 +171,8 @@ class _Search:
         ids = nodes.join(self.classes.select(F.col("digest").alias("node"), "rep"), "node").select(F.col("rep").alias("_rep")).distinct()
         texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["_rep"]), "left_semi")
         # a row that occurs many times is one set
-        return written(_profiles(texts, self.size, None).where("n > 0").groupBy("digest")
-                       .agg(F.first("elements").alias("elements")), "sets")
+        return self.scratch.written(_profiles(texts, self.size, None).where("n > 0").groupBy("digest")
+                                    .agg(F.first("elements").alias("elements")), "sets")
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that are links on their full shingle sets."""
@@ -181,10 +181,10 @@ class _Search:
         both = pairs.select("a", "b").join(mine, "b").join(other, "a")
         inter = F.size(F.array_intersect("set_a", "set_b"))
         both = both.select("a", "b", inter.alias("i"), (F.size("set_a") + F.size("set_b")).alias("s"))
-        return written(both.where(100 * F.col("i") >= self.percent * (F.col("s") - F.col("i"))).select("a", "b").distinct(), "edges")
+        return self.scratch.written(both.where(100 * F.col("i") >= self.percent * (F.col("s") - F.col("i"))).select("a", "b").distinct(), "edges")
 
 
-def _open_pairs(members: DataFrame, minor: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(members: DataFrame, minor: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs of a bucket that can still be links, without pairing a bucket's
     members with each other.
 
@@ -199,14 +199,14 @@ def _open_pairs(members: DataFrame, minor: DataFrame, sets: DataFrame, percent:
     own = sets.select(F.col("digest").alias("node"), F.col("elements").alias("e"))
     whole = sets.select(F.col("digest").alias("pivot"), F.col("elements").alias("e_p"))
     info = members.where("node != pivot").join(own, "node").join(whole, "pivot")
-    info = written(info.select("pivot", "node", F.size("e").alias("n"), F.size(F.array_intersect("e", "e_p")).alias("i"),
+    info = scratch.written(info.select("pivot", "node", F.size("e").alias("n"), F.size(F.array_intersect("e", "e_p")).alias("i"),
                                F.array_except("e", "e_p").alias("rest")), "info")
-    common = written(sets.select(F.explode("elements").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "common")
+    common = scratch.written(sets.select(F.explode("elements").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "common")
     per_set = Window.partitionBy("pivot", "node")
     rest = info.select("pivot", "node", "n", "i", F.explode("rest").alias("s")).join(common, "s")
-    rest = written(rest.withColumns({"at": F.row_number().over(per_set.orderBy("c", "s")), "more": F.count(F.lit(1)).over(per_set)}), "rest")
+    rest = scratch.written(rest.withColumns({"at": F.row_number().over(per_set.orderBy("c", "s")), "more": F.count(F.lit(1)).over(per_set)}), "rest")
     smallest = info.groupBy("pivot").agg(F.min("n").alias("smallest"))
-    minor = written(info.select("pivot", "node", "n", "i").join(minor, ["pivot", "node"], "left_semi").join(smallest, "pivot"), "minor")
+    minor = scratch.written(info.select("pivot", "node", "n", "i").join(minor, ["pivot", "node"], "left_semi").join(smallest, "pivot"), "minor")
     side = lambda df, t: df.select("pivot", *[F.col(x).alias(f"{x}_{t}") for x in df.columns if x != "pivot"])
     sizes_fit = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
     need = percent * (F.col("n_x") + F.col("n_y"))
@@ -232,8 +232,10 @@ def _labelled(df: DataFrame, key: str, labels: DataFrame | None, out: str) -> Da
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
-               percent: int = 80) -> DataFrame:
-    """``(id, n_shingles, component_id, kept)``, one row per input row.
+               percent: int = 80, row_key: str | None = None) -> DataFrame:
+    """``(id, n_shingles, component_id, kept)``, one row per input row, and
+    under the name ``row_key`` (if given) ``xxhash64(id, text)`` as a handle
+    of the row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's
     set holds its distinct ``size``-word shingles, or its whole word sequence
@@ -246,7 +248,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     * documents with equal sets are one class, however many there are;
     * rows repeated under one id are separate rows with equal results if
       their texts are equal; a null id is never a component's id unless all
-      its members' ids are null;
+      its members' ids are null, and then one of their texts is kept;
     * other columns (whatever their names) are ignored; an empty table gives
       an empty result.
 
@@ -254,55 +256,59 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """
     k = bands_for(percent / 100) * ROWS
     docs = df.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
     profiles = written(_profiles(docs, size, k), "profiles")
-    classes = written(profiles.where("digest IS NOT NULL").groupBy("digest")
+    scratch = Scratch()
+    classes = scratch.written(profiles.where("digest IS NOT NULL").groupBy("digest")
                       .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
-    search = _Search(docs, classes, size, percent, k)
+    search = _Search(docs, classes, size, percent, k, scratch)
 
     band = classes.select("digest", "regs", F.explode(F.sequence(F.lit(0), F.lit(k // ROWS - 1))).alias("band"))
     rows = band.select(F.xxhash64("band", F.substring(F.col("regs"), F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("key"),
                        F.col("digest").alias("node"))
-    sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
-    met = written(rows.join(sizes, "key"), "met")
+    sizes = scratch.written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
+    met = scratch.written(rows.join(sizes, "key"), "met")
     # pivot: the member that shares its buckets with most others, as the original of a group of copies does
-    score = written(met.groupBy("node").agg(F.sum("m").alias("score")), "score")
-    pivots = written(met.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("p"))
+    score = scratch.written(met.groupBy("node").agg(F.sum("m").alias("score")), "score")
+    pivots = scratch.written(met.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("p"))
                      .select("key", F.col("p.node").alias("pivot")), "pivots")
-    met = written(met.select("key", "node").join(pivots, "key"), "met")
+    met = scratch.written(met.select("key", "node").join(pivots, "key"), "met")
     pairs = met.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    likely = written(search.estimate(pairs).join(score.withColumnRenamed("node", "a"), "a"), "likely")
+    likely = scratch.written(search.estimate(pairs).join(score.withColumnRenamed("node", "a"), "a"), "likely")
     sets = search.sets_of(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct())
 
     # first each member with one pivot, then the pairs that this leaves between components
     first = F.min(F.struct((F.col("est") < percent / 100).alias("low"), (-F.col("score")).alias("order"), "a"))
-    one = written(likely.groupBy("b").agg(first.alias("x")).select(F.col("x.a").alias("a"), "b"), "pairs")
+    one = scratch.written(likely.groupBy("b").agg(first.alias("x")).select(F.col("x.a").alias("a"), "b"), "pairs")
     edges = search.verify(one, sets)
-    labels = components(edges)
+    labels = components(edges, scratch)
     rest = _labelled(_labelled(likely, "a", labels, "root_a"), "b", labels, "root_b").where("root_a != root_b")
     more = search.verify(rest.join(one, ["a", "b"], "left_anti"), sets)
     if not more.isEmpty():
         edges = edges.union(more)
-        labels = components(edges)
+        labels = components(edges, scratch)
 
     # Buckets whose members ended in several components: of two unlinked members one at least is outside the
     # pivot's component.
     placed = _labelled(_labelled(met, "node", labels, "root"), "pivot", labels, "pivot_root")
-    minor = written(placed.where("root != pivot_root").select("key", "node", "pivot"), "minor")
+    minor = scratch.written(placed.where("root != pivot_root").select("key", "node", "pivot"), "minor")
     if not minor.isEmpty():
         members = met.join(minor.select("key").distinct(), "key", "left_semi").select("pivot", "node").distinct()
-        members = written(members, "members")
+        members = scratch.written(members, "members")
         sets = search.sets_of(members.select("node").union(members.select(F.col("pivot").alias("node"))).distinct())
-        pairs = _open_pairs(members, minor.select("pivot", "node").distinct(), sets, percent)
+        pairs = _open_pairs(members, minor.select("pivot", "node").distinct(), sets, percent, scratch)
         tested = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = _labelled(_labelled(pairs, "a", labels, "root_a"), "b", labels, "root_b").where("root_a != root_b")
         more = search.verify(search.estimate(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")), sets)
         if not more.isEmpty():
-            labels = components(edges.union(more))
+            labels = components(edges.union(more), scratch)
 
     rooted = _labelled(classes.select("digest", "rep"), "digest", labels, "root")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = written(rooted.join(least, "root").select("digest", "component_id"), "components")
-    out = profiles.select("doc_id", "n", "digest").join(final, "digest", "left")
+    final = written(rooted.join(least, "root").select("digest", "component_id", (F.col("digest") == F.col("root")).alias("first")), "components")
+    scratch.discard()
+    out = profiles.select("doc_id", "row_key", "n", "digest").join(final, "digest", "left")
     comp = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(comp).alias("kept"))
+                      (F.col("doc_id").eqNullSafe(comp) & (comp.isNotNull() | F.coalesce("first", F.lit(True)))).alias("kept"),
+                      *([F.col("row_key").alias(row_key)] if row_key else []))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fundlens.llm.common import arrow_map, c, mix64, partitions, powers, ragged, text_steps, written
+from fundlens.llm.common import Scratch, arrow_map, c, mix64, partitions, powers, ragged, text_steps, written
 
 GRAM = 32
 #: Distinct pieces of one anchor that a task takes; beyond, windows are hashed.
@@ -269,21 +269,23 @@ def _windows(strings: DataFrame, width: int) -> DataFrame:
     return arrow_map(strings, run, "doc_id long, tk long, lo long, n long, w1 long, w2 long")
 
 
-def repeated_spans(docs: DataFrame, width: int = 400, most: int = MOST) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, width: int = 400, most: int = MOST) -> DataFrame:
     """``(doc_id, tk, lo, hi)``: byte spans (they may overlap) that together
     cover what ``width``-byte repeats cover; ``docs`` has ``doc_id, tk, text``
-    where ``tk`` is a hash of the text."""
+    where ``tk`` is a hash of the text. The result reads tables of ``scratch``."""
     key = ["anchor", "g1", "g2"]
-    occ = written(_occurrences(docs, width), "pieces")
-    again = written(occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
-    occ = written(occ.join(again, "anchor"), "repeated")
-    strings = written(occ.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tk", "start", "len", "off")).alias("at"))
+    first = Scratch()
+    occ = first.written(_occurrences(docs, width), "pieces")
+    again = first.written(occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    occ = scratch.written(occ.join(again, "anchor"), "repeated")
+    first.discard()
+    strings = scratch.written(occ.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tk", "start", "len", "off")).alias("at"))
                       .select(*key, "n", "at.*"), "strings")
     whole = (occ.join(strings.where("n > 1").select(*key), key)
              .select("doc_id", "tk", F.col("start").alias("lo"), (F.col("start") + F.col("len")).alias("hi")))
 
     # anchors with several strings, one of them at least not yet known to be repeated
-    kinds = written(strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
+    kinds = scratch.written(strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
                     .where("kinds > 1 AND least = 1").select("anchor", "kinds"), "anchors")
     wanted = strings.join(kinds, "anchor")
     per_doc = wanted.groupBy("doc_id", "tk").agg(F.collect_list(F.struct(*key, "n", "start", "len", "off", "kinds")).alias("want"))
@@ -308,13 +310,13 @@ def repeated_spans(docs: DataFrame, width: int = 400, most: int = MOST) -> DataF
     if kinds.where(F.col("kinds") > most).isEmpty():
         mine, hot = strings, None
     else:
-        strings = written(strings, "bodies")
+        strings = scratch.written(strings, "bodies")
         mine, hot = strings.where(F.col("kinds") <= most), strings.where(F.col("kinds") > most)
     mine = mine.drop("kinds").repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
     spans = whole.unionByName(_compared(mine, width))
     if hot is not None:
-        windows = written(_windows(hot, width), "windows")
-        twice = written(windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "windows")
+        windows = scratch.written(_windows(hot, width), "windows")
+        twice = scratch.written(windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "windows")
         spans = spans.unionByName(windows.where("n = 1").join(twice, ["w1", "w2"])
                                   .select("doc_id", "tk", "lo", (F.col("lo") + width).alias("hi")))
     return spans
@@ -352,7 +354,9 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
       an empty table gives an empty result. Ids are integers.
     """
     docs = _keyed(df, id_col, text_col, carry)
-    spans = written(repeated_spans(docs.drop("carry"), width, most), "spans")
+    scratch = Scratch()
+    spans = written(repeated_spans(docs.drop("carry"), scratch, width, most), "spans")
+    scratch.discard()
     per_doc = spans.groupBy("doc_id", "tk").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     both = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["doc_id"]) & (docs["tk"] == per_doc["tk"]), "left")
     both = both.select(docs["doc_id"], "text", "lo", "hi", "carry")

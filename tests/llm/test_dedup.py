@@ -9,6 +9,7 @@ import pytest
 from brute import kept_lines, near_components, substring_digest
 
 from fundlens.llm import graph, lines, minhash, suffix_dedup
+from fundlens.llm.common import Scratch
 
 
 def word(rnd):
@@ -70,7 +71,7 @@ def test_registers_estimate_similarity():
 def test_components(spark):
     rnd = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60)] + [(rnd.randrange(100, 200), rnd.randrange(100, 200)) for _ in range(90)] + [(70, 70)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long"), Scratch()).collect()}
     parent = {x: x for e in links for x in e}
     top = lambda x: x if parent[x] == x else top(parent[x])
     for a, b in links:

@@ -59,3 +59,23 @@ def test_near_duplicates_leave_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_dedup(spark, docs, SMOKE).collect()
     assert sorted(r.doc_id for r in kept) == [3, 8]
+    lone = " ".join(f"other{k}" for k in range(200))
+    rows += [(None, lone, "en", "s", 0), (None, lone + " tail", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, SMOKE).collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 3, 8]          # one of the two without ids
+
+
+def test_arrow_batches_are_bounded(spark):
+    from fundlens.llm.common import BATCH_BYTES, arrow_map
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for setting, want in (("64m", BATCH_BYTES), ("1g", BATCH_BYTES), ("100000b", 100_000), ("4m", 4 << 20)):
+            spark.conf.set(key, setting)
+            arrow_map(spark.range(1), lambda it: it, "id long")
+            now = spark.conf.get(key)
+            assert int(now.rstrip("bm")) * (1 << 20 if now.endswith("m") else 1) == want
+    finally:
+        spark.conf.set(key, before)
