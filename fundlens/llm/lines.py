@@ -40,9 +40,23 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _HAS_DIGIT = re.compile(rb"[0-9]")
 
 
+def token_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each token of the texts; tokens are separated by
+    ASCII white space, and all that have a digit are one variable token."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~_SPACE[data]
+    first, final = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    edge = offs[1:-1][(offs[1:-1] > 0) & (offs[1:-1] < len(data))]
+    first[edge] = inside[1:-1][edge]
+    final[edge - 1] = inside[1:-1][edge - 1]
+    a, b = np.flatnonzero(first), np.flatnonzero(final) + 1
+    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
+    return np.where(digits[b] > digits[a], np.uint64(0x2545F4914F6CDD1D), span_hashes(data, a, b)), a
+
+
 def parse_lines(data: np.ndarray, offs: np.ndarray, lead: int):
     """Lines of the texts: ``(text, start, end, tokens, leaf hash, line hash)``.
-    Lines end at ``\\n``; tokens are separated by ASCII white space."""
+    Lines end at ``\\n``."""
     newline = np.flatnonzero(data == 10)
     # a text's start, and behind each newline; a newline that ends a text opens an empty last line there
     place = np.concatenate([offs[:-1], newline + 1])
@@ -51,15 +65,7 @@ def parse_lines(data: np.ndarray, offs: np.ndarray, lead: int):
     starts, text = place[order], owner[order]
     last = np.concatenate([text[1:] != text[:-1], [True]]) if len(text) else np.zeros(0, bool)
     ends = np.where(last, offs[text + 1], np.concatenate([starts[1:], [0]]) - 1) if len(text) else starts
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
-    first, final = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
-    edge = offs[1:-1][(offs[1:-1] > 0) & (offs[1:-1] < len(data))]
-    first[edge] = inside[1:-1][edge]
-    final[edge - 1] = inside[1:-1][edge - 1]
-    a, b = np.flatnonzero(first), np.flatnonzero(final) + 1
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    token = np.where(digits[b] > digits[a], np.uint64(0x2545F4914F6CDD1D), span_hashes(data, a, b))
+    token, a = token_hashes(data, offs)
     at = np.searchsorted(a, starts)
     stop = np.searchsorted(a, ends)
     count = stop - at
@@ -73,14 +79,15 @@ def tokens_of(line: bytes) -> list[bytes]:
     return [STAR.encode() if _HAS_DIGIT.search(w) else w for w in _WORD.findall(line)]
 
 
-def cluster(lines: list[list[bytes]], similar: float) -> tuple[np.ndarray, list[list[bytes]]]:
+def cluster(lines: list[bytes], similar: float) -> tuple[np.ndarray, dict[int, bytes]]:
     """Leader of each line (lines have equal token counts and come most
-    frequent first), and the template of each leader's cluster."""
-    code: dict[bytes, int] = {}
-    grid = np.array([[code.setdefault(w, len(code)) for w in line] for line in lines], np.int64)
+    frequent first), and the template of each leader's cluster. Tokens are
+    compared by hash, in one array of 8 bytes a token."""
+    token, _ = token_hashes(np.frombuffer(b"".join(lines), np.uint8), np.cumsum([0] + [len(x) for x in lines]))
+    grid = token.reshape(len(lines), -1)
     leader = np.full(len(lines), -1, np.int64)
     todo = np.arange(len(lines))
-    templates = []
+    templates = {}
     need = similar * grid.shape[1]
     while len(todo):
         same = grid[todo] == grid[todo[0]]
@@ -88,7 +95,7 @@ def cluster(lines: list[list[bytes]], similar: float) -> tuple[np.ndarray, list[
         join[0] = True
         leader[todo[join]] = todo[0]
         fixed = same[join].all(axis=0)
-        templates.append([w if f else STAR.encode() for w, f in zip(lines[todo[0]], fixed)])
+        templates[int(todo[0])] = b" ".join(w if f else STAR.encode() for w, f in zip(tokens_of(lines[todo[0]]), fixed))
         todo = todo[~join]
     return leader, templates
 
@@ -134,9 +141,7 @@ def _leaders(distinct: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
         held: list[tuple] = []
 
         def done():
-            leader, templates = cluster([tokens_of(r[4]) for r in held], similar)
-            heads = sorted(set(leader.tolist()))
-            text = dict(zip(heads, (b" ".join(t) for t in templates)))
+            leader, text = cluster([r[4] for r in held], similar)
             return pa.record_batch({
                 "leaf": pa.array([r[0] for r in held], pa.int64()), "line": pa.array([r[2] for r in held], pa.int64()),
                 "leader": pa.array([held[k][2] for k in leader], pa.int64()),

@@ -135,12 +135,15 @@ def repeated_windows(strings: np.ndarray, offs: np.ndarray, off: np.ndarray, gro
     lo, hi = -off, size - off
     columns = left + width
     text = np.zeros(columns * n, np.uint8)
-    who = np.repeat(np.arange(n), size)
-    text[(np.arange(len(strings)) - np.repeat(offs[:-1] + off, size) + left) * n + who] = strings
+    for a in range(0, n, 1024):                           # few strings at a time: an index takes 8 bytes a symbol
+        b = min(n, a + 1024)
+        part = strings[offs[a]:offs[b]]
+        place = np.arange(len(part)) - np.repeat(offs[a:b] - offs[a] + off[a:b], size[a:b]) + left
+        text[place * n + np.repeat(np.arange(a, b), size[a:b])] = part
     flags = np.zeros((width, n), bool)
     with tempfile.TemporaryFile() as file:                # columns, last one first: read in sequence
         text.reshape(columns, n)[::-1].tofile(file)
-        del text, who
+        del text
         file.seek(0)
         order = np.arange(n)
         edge = np.concatenate([[True], group[1:] != group[:-1]])     # group borders keep their places

@@ -91,20 +91,31 @@ class WordEncoder:
     """Token ids of texts through a bounded store of encoded words.
 
     ``encode(words)`` gives the ids of each word; it is asked once for each
-    distinct word, as long as the store holds (``most`` words, then it is
-    emptied). ``specials`` maps strings of special tokens to their ids."""
+    distinct word, as long as the store holds it: beyond ``most`` words those
+    seen once go, and at most half stay. ``specials`` maps strings of special tokens to their ids."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], specials: dict[str, int], most: int = 250_000):
         self.encode, self.specials, self.most = encode, specials, most
         self.cut = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
-        self._clear()
-
-    def _clear(self):
         self.place: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.begin, self.count, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self.used = 0
 
+    def _shrink(self):
+        keys = np.fromiter(self.place, np.uint64, len(self.place))       # in order of their slots
+        hits = self.hits[:len(keys)]
+        keep = np.flatnonzero(hits > 1)
+        if len(keep) > self.most // 2:
+            keep = np.sort(keep[np.argpartition(-hits[keep], self.most // 2)[:self.most // 2]])
+        sizes = self.count[keep]
+        flat = self.flat[ragged(self.begin[keep], sizes)]
+        self.place = dict(zip(keys[keep].tolist(), range(len(keep))))
+        self.used = len(flat)
+        self.flat[:self.used] = flat
+        self.begin[:len(keep)], self.count[:len(keep)] = np.cumsum(sizes) - sizes, sizes
+        self.hits[:] = 0
+
     def _room(self, name: str, need: int):
         have = getattr(self, name)
         if need > len(have):
@@ -117,7 +128,7 @@ class WordEncoder:
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         new = np.fromiter((x for ids in got for x in ids), np.uint32, int(sizes.sum()))
         first = len(self.place)
-        for name, need in (("begin", first + len(got)), ("count", first + len(got)), ("flat", self.used + len(new))):
+        for name, need in (*((n, first + len(got)) for n in ("begin", "count", "hits")), ("flat", self.used + len(new))):
             self._room(name, need)
         self.begin[first:first + len(got)] = self.used + np.cumsum(sizes) - sizes
         self.count[first:first + len(got)] = sizes
@@ -160,7 +171,7 @@ class WordEncoder:
                 cps[at[d]:at[d + 1]] = 0x20
         low, starts, ends = split_safe(cps, at)
         if len(self.place) > self.most:
-            self._clear()
+            self._shrink()
         codes, keys = pd.factorize(span_hashes(low, starts, ends))
         first = np.zeros(len(keys), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
@@ -172,6 +183,7 @@ class WordEncoder:
             before = len(self.place)
             self._add(keys[missing].tolist(), [small[a:b] for a, b in zip(s, e)])
             where[missing] = np.arange(before, before + len(missing))
+        self.hits[where] += np.bincount(codes, minlength=len(keys))
         slot = where[codes]
         sizes = self.count[slot]
         ids = self.flat[ragged(self.begin[slot], sizes)]

@@ -53,6 +53,17 @@ def test_bpe_matches_the_library(texts):
         assert ids[at[k]:at[k + 1]].tolist() == ids_of(t)
 
 
+def test_a_full_store_of_words_keeps_the_ids_right():
+    rnd = random.Random(8)
+    encoder = bpe.WordEncoder(bpe._encoder(VOCABULARY)[0].encode_words, {}, most=50)
+    for _ in range(30):
+        texts = [" ".join(rnd.choice(["the", "and", "house", "".join(rnd.choice("abcdef") for _ in range(5))]) for _ in range(20)) for _ in range(4)]
+        data = [t.encode() for t in texts]
+        ids, at = encoder.texts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(b) for b in data]))
+        assert [ids[at[k]:at[k + 1]].tolist() for k in range(4)] == [ids_of(t) for t in texts]
+        assert len(encoder.place) <= 50 + 80
+
+
 @pytest.mark.parametrize("capacity,seed", [(16, 1), (64, 2), (2048, 3)])
 def test_plan_uses_every_piece_once(capacity, seed):
     rnd = random.Random(seed)
