@@ -92,12 +92,15 @@ def partitions(spark: SparkSession) -> int:
 
 
 def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(data, offsets)`` of a string column as UTF-8 bytes; null is empty.
+    """``(data, offsets)`` of a string column as UTF-8 bytes, or of a binary
+    column, whose bytes need not be UTF-8; null is empty.
 
     ``offsets`` are absolute positions in ``data``."""
     if col.null_count:
-        col = pc.fill_null(col, pa.scalar("", col.type))
-    col = col.cast(pa.large_string()).cast(pa.large_binary())
+        col = pc.fill_null(col, pa.scalar(b"", pa.binary()).cast(col.type))
+    if not (pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type)):
+        col = col.cast(pa.large_string())
+    col = col.cast(pa.large_binary())
     _, offs, data = col.buffers()
     offsets = np.frombuffer(offs, np.int64)[col.offset:col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets

@@ -4,12 +4,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brute import kept_lines, near_components, substring_digest
 
 from fundlens.llm import graph, lines, minhash, suffix_dedup
-from fundlens.llm.common import Scratch
+from fundlens.llm.common import Scratch, byte_view
 
 
 def word(rnd):
@@ -91,6 +92,29 @@ def test_substrings(spark, width, most):
     assert sorted(map(tuple, got), key=repr) == sorted(((i, *w) for (i, _), w in zip(rows, want)), key=repr)
 
 
+def test_byte_view_of_split_characters():
+    """Pieces start and end at any byte of a character."""
+    for kind in (pa.binary(), pa.large_binary()):
+        data, offs = byte_view(pa.array([b"\xa9 a", None, b"a \xc3"], kind))
+        assert data.tobytes() == b"\xa9 aa \xc3" and offs.tolist() == [0, 3, 3, 6]
+    data, offs = byte_view(pa.array(["é", None, "a"]))
+    assert data.tobytes() == "éa".encode() and offs.tolist() == [0, 2, 2, 3]
+
+
+def test_substrings_of_a_hot_passage_between_accented_text(spark):
+    """More than ``most`` documents share a passage; the pieces at its borders
+    differ in each and cut characters of two and three bytes."""
+    rnd = random.Random(11)
+    around = lambda n: "".join(rnd.choice("éñü€") for _ in range(n))
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(70))
+    rows = [(i, around(40) + passage + around(40)) for i in range(12)] + [(12, around(90)), (13, passage[:39] + around(9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.digest(suffix_dedup.dedup_substrings(df, width=40, most=4)).collect()
+    want = substring_digest([t for _, t in rows], 40)
+    assert sorted(map(tuple, got)) == sorted((i, *w) for (i, _), w in zip(rows, want))
+    assert all(r.n_removed >= 70 for r in got if r.doc_id < 12)
+
+
 def test_substrings_empty_and_carried(spark):
     df = spark.createDataFrame([(1, "abc" * 200, "s")], "doc_id long, text string, `so.urce` string")
     assert suffix_dedup.dedup_substrings(df.limit(0)).collect() == []
