@@ -160,6 +160,37 @@ def test_lines(spark, monkeypatch, cells):
     assert lines.drop_lines(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("cells", [1 << 22, 300, 40])
+def test_a_large_leaf_has_the_clusters_of_a_small_one(spark, monkeypatch, cells):
+    """Templates that recur with different wording in few documents more than ``min_docs``."""
+    monkeypatch.setattr(lines, "CELLS", cells)
+    rnd = random.Random(8)
+    bases = [["at", "a", "b", "c"] + [rnd.choice("uvwxyz") for _ in range(8)] for _ in range(4)]
+    texts = {}
+    for i in range(30):
+        body = []
+        for base in rnd.sample(bases, 2):
+            w = list(base)
+            for _ in range(rnd.randrange(5)):
+                w[rnd.randrange(4, 12)] = rnd.choice("uvwxyz")
+            body.append(" ".join(w))
+        texts[i] = "\n".join(body + ["own text here " + word(rnd)])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    hashed = lambda tk: lines.parse_lines(*_bytes(tk), lines.LEAD)[5].view(np.int64)[0]
+    want = kept_lines(texts, lines.tokens_of, hashed, lines.LEAD, lines.MIN_TOKENS, 10, lines.SIMILAR)
+    assert sum(w != texts[i] for i, w in want.items()) > 10
+    assert {r.doc_id: r.text for r in lines.drop_lines(df).collect()} == want
+    docs = df.selectExpr("doc_id", "xxhash64(text) AS tk", "text")
+    scratch = Scratch()
+    _, templates = lines.find_templates(docs, scratch)
+    found = sorted((r.documents, bytes(r.template)) for r in templates.collect())
+    scratch.discard()
+    monkeypatch.setattr(lines, "CELLS", 1 << 22)
+    _, templates = lines.find_templates(docs, scratch)
+    assert found == sorted((r.documents, bytes(r.template)) for r in templates.collect())
+    scratch.discard()
+
+
 def _bytes(tokens):
     data = np.frombuffer(b" ".join(b"0" if t == b"<*>" else t for t in tokens), np.uint8)
     return data, np.array([0, len(data)])
