@@ -66,6 +66,20 @@ def test_near_duplicates_leave_one(spark):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 3, 8]          # one of the two without ids
 
 
+def test_a_passage_of_51_words_goes(spark):
+    """Two different documents share it: no other stage removes it."""
+    passage = " ".join(f"w{k:03d}" for k in range(51))
+    rows = [(i, " ".join(f"{side}{k}" for k in range(120)) + " " + passage + " " + " ".join(f"{side}z{k}" for k in range(120)), "en", "s", 0)
+            for i, side in enumerate(("left", "right"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, SMOKE)
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    assert sorted(kept) == [0, 1]
+    for i, side in enumerate(("left", "right")):
+        assert kept[i].startswith(f"{side}0 ") and kept[i].endswith(f" {side}z119") and "w025" not in kept[i]
+
+
 def test_arrow_batches_are_bounded(spark):
     from fundlens.llm.common import BATCH_BYTES, arrow_map
 
