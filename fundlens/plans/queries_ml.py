@@ -16,9 +16,10 @@ from fundlens.plans.queries_stats import GRID_KS, _ds, _model_rows, _moving, par
 from fundlens.plans.report import forecast_projection, forecast_report
 from fundlens.plans.catalog import register
 
-#: Repetitions per base clustering in the registered queries. The operators' default is the source's 100, which
-#: means 900 fits for the sweep of these queries.
-REPS = 12
+#: Repetitions per base clustering in the registered queries, as in the source: 900 fits for the sweep of these queries.
+REPS = 100
+#: Windows of the backtests and of the holdout bands of all models, as in the source.
+FOLDS = 13
 K = 5
 
 
@@ -80,7 +81,7 @@ register("forecast_recursive")(lambda ctx: FC.forecast_recursive(_ds(ctx)))
 
 
 def _backtest(ctx):
-    return ctx._cached(("backtest",), lambda: FC.backtest(_ds(ctx), 13, kind="linear").checkpoint(eager=True))
+    return ctx._cached(("backtest",), lambda: FC.backtest(_ds(ctx), FOLDS, kind="linear").checkpoint(eager=True))
 
 
 register("backtest")(_backtest)
@@ -107,7 +108,7 @@ def _model_store(ctx):
 # ------- the same evaluation and report on fitted models; the keys without "_models" hold the control, which has a SQL twin
 def _holdout(ctx):
     """Forecasts of all models over the last 28 days, fitted on the days before."""
-    return ctx._cached(("holdout",), lambda: FC.holdout_predictions(_ds(ctx)).checkpoint(eager=True))
+    return ctx._cached(("holdout",), lambda: FC.holdout_predictions(_ds(ctx), folds=FOLDS).checkpoint(eager=True))
 
 
 register("holdout_models")(_holdout)
@@ -117,9 +118,9 @@ register("leaderboard_models")(lambda ctx: FC.leaderboard(_holdout(ctx), _model_
 
 @register("backtest_models")
 def _backtest_models(ctx):
-    """Backtest of the boosted and the recursive model, three windows each."""
-    return ctx._cached(("backtest_models",), lambda: FC.backtest(_ds(ctx), 3, kind="gbt").unionByName(
-        FC.backtest(_ds(ctx), 3, kind="recursive")).checkpoint(eager=True))
+    """Backtest of the boosted and the recursive model, ``FOLDS`` windows each."""
+    return ctx._cached(("backtest_models",), lambda: FC.backtest(_ds(ctx), FOLDS, kind="gbt").unionByName(
+        FC.backtest(_ds(ctx), FOLDS, kind="recursive")).checkpoint(eager=True))
 
 
 def _report_models(ctx):

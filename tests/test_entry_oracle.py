@@ -74,6 +74,19 @@ def test_backtest_scores_both_models(spark):
     assert {r["model"] for r in E.queries()["backtest"](spark, SMOKE).select("model").distinct().collect()} >= {"direct_linear", "seasonal_naive"}
 
 
+def test_backtest_of_the_models_has_every_window(spark):
+    """As many windows as the linear backtest."""
+    folds = {r["fold"] for r in E.queries()["backtest"](spark, SMOKE).select("fold").distinct().collect()}
+    got = E.queries()["backtest_models"](spark, SMOKE).select("model", "fold").distinct().collect()
+    for model in ("direct_gbt", "recursive_linear"):
+        assert {r["fold"] for r in got if r["model"] == model} == folds and len(folds) == 13
+
+
+def test_base_clusterings_have_every_repetition(spark):
+    got = E.queries()["cluster_members"](spark, SMOKE).groupBy("cod", "algorithm").count().collect()
+    assert got and {r["count"] for r in got} == {100}
+
+
 def test_clear_cache_leaves_no_table(spark):
     from fundlens.plans import context
 
