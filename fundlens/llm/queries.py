@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundlens.llm import bpe, chat, exact, langid, lines, minhash, packing, suffix_dedup, topk, urls
+from fundlens.llm import bpe, chat, exact, langid, lines, minhash, packing, suffix_dedup, topk, trie, urls
 
 #: Vocabulary file of the registered queries; the operators take any path.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -95,3 +95,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicate groups of all documents."""
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+@_query(trie.ORACLE)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all rebuilt conversations, one row per node."""
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
