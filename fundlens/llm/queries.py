@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundlens.llm import bpe, chat, exact, langid, lines, minhash, packing, suffix_dedup, topk, trie, urls
+from fundlens.llm import bpe, chat, exact, langid, lines, minhash, negatives, packing, suffix_dedup, topk, trie, urls
 
 #: Vocabulary file of the registered queries; the operators take any path.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -101,3 +101,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of all rebuilt conversations, one row per node."""
     return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+@_query(negatives.ORACLE)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector; every seventh vector's label is moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
