@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundlens.llm import bpe, chat, exact, langid, lines, minhash, negatives, packing, suffix_dedup, topk, trie, urls
+from fundlens.llm import bpe, chat, exact, genetic, langid, lines, minhash, negatives, packing, suffix_dedup, topk, trie, urls
 
 #: Vocabulary file of the registered queries; the operators take any path.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -103,6 +103,12 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+@_query()
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into few sequences of at most 4096 tokens, cutting only longer ones."""
+    return genetic.pack(_table(spark, sf_dir, "documents"), VOCABULARY, capacity=4096, end_id=1)
+
+
 @_query(negatives.ORACLE)
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every 50th vector; every seventh vector's label is moved on by one."""
