@@ -1,18 +1,18 @@
-"""Behavioural clustering of funds as Spark ML jobs.
+"""Behavioural clustering of funds as Spark jobs.
 
 * ``fund_vectors``: one date-ordered vector of standardised daily growth per
   fund (``array_sort(collect_list(struct))`` -> ``array_to_vector``); a
   fund's list is bounded by its days in the window.
 * ``embed_2d``: 2-d map of the funds (PCA).
-* ``member_labels``: base clusterings (k-means, Gaussian mixture, bisecting
-  k-means) over repetitions; each is fitted on a hash subsample and labels
-  every fund, long ``(cod, run, label)``.
-* ``consensus_cluster``: each fund becomes the one-hot vector of its labels
-  across runs; the dot product of two such vectors is their co-association
-  count, so k-means on them partitions the co-association similarity
-  without materialising fund pairs.
-* ``silhouette_sweep``: every (algorithm subset, k) of the grid, scored by
-  Spark's silhouette on the 2-d map; ``best_config`` picks the winner.
+* ``member_arrays`` / ``member_labels``: base clusterings (k-means, Gaussian
+  mixture, bisecting k-means) over repetitions, all fitted in lockstep
+  (``lockstep``); each is fitted on a hash subsample and labels every fund.
+  Wide: one array of labels per fund; long: ``(cod, algorithm, k, run, label)``.
+* ``consensus_cluster``: partition of the co-association similarity (share of
+  runs in which two funds agree) by its leading eigenvectors, without a fund
+  pair.
+* ``silhouette_sweep``: every (algorithm subset, k) of the grid, scored by the
+  squared-Euclidean silhouette on the 2-d map; ``best_config`` picks the winner.
 
 ``k`` is never changed: with fewer than ``k + 1`` funds there is no
 clustering, and labels and scores are NULL.
@@ -21,18 +21,16 @@ clustering, and labels and scores are NULL.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fundlens.operators import lockstep as LS
+
 SEED = 4981
-ALGORITHMS = ("kmeans", "gmm", "bisecting")
-PARALLEL_FITS = 8
+ALGORITHMS = LS.ALGORITHMS
 
 
 def fund_vectors(df: DataFrame, col: str = "crecimiento_dia", key: str = "cod",
@@ -61,81 +59,68 @@ def embed_2d(vecs: DataFrame, key: str = "cod", k: int = 2) -> DataFrame:
     return out.select(key, arr[0].alias("x"), arr[1].alias("y"), "map")
 
 
-def _estimator(name: str, k: int, seed: int, features: str):
-    if name == "kmeans":
-        return KMeans(k=k, seed=seed, featuresCol=features, predictionCol="label", maxIter=30)
-    if name == "gmm":
-        return GaussianMixture(k=k, seed=seed, featuresCol=features, predictionCol="label", maxIter=50)
-    if name == "bisecting":
-        return BisectingKMeans(k=k, seed=seed, featuresCol=features, predictionCol="label", maxIter=30)
-    raise ValueError(f"unknown algorithm {name!r}")
+def member_arrays(points: DataFrame, ks: Sequence[int], algorithms: Sequence[str] = ALGORITHMS, reps: int = 100, seed: int = SEED,
+                  fraction: float = 0.8, key: str = "cod", features: str = "map") -> tuple[DataFrame, list[LS.Fit]]:
+    """Base clusterings of every k (L3), wide: ``(cod, labels)`` with one label per fit, and the fits.
+
+    Each (algorithm, repetition) is fitted on a subsample of its own, about
+    ``fraction`` of the funds chosen by hash (so it does not depend on how
+    the rows are partitioned), and then labels **all** funds. A fit whose
+    subsample holds no more than ``k`` funds is fitted on all of them. A k
+    that is not below the number of funds has no fits.
+    """
+    n = points.count()
+    fits = [LS.Fit(a, r, k) for k in ks if 2 <= k < n for a in algorithms for r in range(reps)]
+    if not fits:
+        return points.select(key, F.array().cast("array<int>").alias("labels")), []
+    ready = LS.prepare(points, key, features).checkpoint(eager=True)
+    return LS.label_many(ready, LS.fit_many(ready, fits, seed, fraction), key).checkpoint(eager=True), fits
 
 
-def _pool(tasks: Sequence, run) -> list:
-    """Run independent fits concurrently: the jobs of one are small next to a cluster."""
-    with ThreadPoolExecutor(max_workers=min(PARALLEL_FITS, max(1, len(tasks)))) as pool:
-        return list(pool.map(run, tasks))
+def long_labels(arrays: DataFrame, fits: Sequence[LS.Fit], k: int, algorithms: Sequence[str], reps: int, key: str = "cod") -> DataFrame:
+    """``(cod, algorithm, k, run, label)`` of ``member_arrays`` for one k; NULL labels where k has no fits."""
+    wanted = [(a, r) for a in algorithms for r in range(reps)]
+    at = {(f.algorithm, f.rep): i for i, f in enumerate(fits) if f.k == k}
+    entries = F.array(*[F.struct(F.lit(a).alias("algorithm"), F.lit(f"{a}-{r}").alias("run"), F.lit(at.get((a, r), -1)).alias("at")) for a, r in wanted])
+    each = arrays.select(key, "labels", F.explode(entries).alias("x"))
+    return each.select(key, "x.algorithm", F.lit(k).alias("k"), "x.run", F.get("labels", F.col("x.at")).alias("label"))
 
 
 def member_labels(points: DataFrame, k: int, algorithms: Sequence[str] = ALGORITHMS, reps: int = 100,
                   seed: int = SEED, fraction: float = 0.8, key: str = "cod", features: str = "map") -> DataFrame:
-    """Base clusterings ``(cod, algorithm, k, run, label)`` (L3).
+    """Base clusterings ``(cod, algorithm, k, run, label)`` of one k (L3), see ``member_arrays``.
 
-    Each (algorithm, repetition) is fitted on a subsample of its own, about
-    ``fraction`` of the funds chosen by hash (so it does not depend on how
-    the rows are partitioned), and then labels **all** funds. A run whose
-    subsample holds no more than ``k`` funds is fitted on all of them. With
-    ``k`` funds or fewer every label is NULL.
-    """
-    pts = points.select(key, features)
-    runs = [(a, r) for a in algorithms for r in range(reps)]
-    tagged = lambda df, a, r: df.select(key, F.lit(a).alias("algorithm"), F.lit(k).alias("k"), F.lit(f"{a}-{r}").alias("run"), "label")
-    def part(a, r):
-        return F.pmod(F.xxhash64(F.col(key), F.lit(a), F.lit(r), F.lit(seed)), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000))
-    sizes = pts.agg(F.count(F.lit(1)), *[F.count_if(part(a, r)) for a, r in runs]).first()
-    if not 2 <= k < sizes[0]:
-        empty = pts.withColumn("label", F.lit(None).cast("int"))
-        return _union([tagged(empty, a, r) for a, r in runs])
+    With ``k`` funds or fewer every label is NULL."""
+    arrays, fits = member_arrays(points, [k], algorithms, reps, seed, fraction, key, features)
+    return long_labels(arrays, fits, k, algorithms, reps, key)
 
-    def fit(task):
-        i, (a, r) = task
-        sample = pts.where(part(a, r)) if sizes[i + 1] > k else pts
-        model = _estimator(a, k, seed + r, features).fit(sample)
-        return tagged(model.transform(pts).select(key, F.col("label").cast("int").alias("label")), a, r)
 
-    return _union(_pool(list(enumerate(runs)), fit))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    """Balanced union: plans of depth log(n)."""
-    while len(parts) > 1:
-        parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0]
+def label_arrays(labels: DataFrame, key: str = "cod") -> tuple[DataFrame, int]:
+    """Long labels as ``(cod, labels)``, an entry per run in order of its name (-1 where a fund has none), and the number of runs."""
+    # one row per run (algorithms x repetitions): a handful
+    names = sorted(r[0] for r in labels.select("run").distinct().collect())
+    by = labels.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("run", "label"))).alias("_m"))
+    return by.select(key, F.transform(F.array(*map(F.lit, names)), lambda r: F.coalesce(F.col("_m")[r], F.lit(-1))).alias("labels")), len(names)
 
 
 def label_vectors(labels: DataFrame, k: int, key: str = "cod") -> DataFrame:
     """One-hot label vector per fund over all runs: position
     ``run_index * k + label``. ``<v_i, v_j>`` = runs where i and j agree."""
-    # one row per run (algorithms x repetitions): a handful, numbered on the driver
-    names = sorted(r[0] for r in labels.select("run").distinct().collect())
-    runs = labels.sparkSession.createDataFrame(list(enumerate(names)), "_r int, run string")
-    n_runs = len(names)
-    idx = labels.join(F.broadcast(runs), "run").select(key, (F.col("_r") * k + F.col("label")).alias("_pos"))
-    per = idx.groupBy(key).agg(F.collect_set("_pos").alias("_hot"))
-    dim = n_runs * k
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.when(F.array_contains("_hot", i), F.lit(1.0)).otherwise(F.lit(0.0)))
-    return per.select(key, array_to_vector(dense).alias("votes"))
+    arrays, _ = label_arrays(labels, key)
+    one_hot = F.flatten(F.transform("labels", lambda x: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (x == j).cast("double"))))
+    return arrays.select(key, array_to_vector(one_hot).alias("votes"))
 
 
-def co_association(labels: DataFrame, a: str, b: str, key: str = "cod") -> DataFrame:
+def co_association(labels: DataFrame, a: str, b: str | None = None, key: str = "cod") -> DataFrame:
     """Share of runs in which funds ``a`` and ``b`` share a label, among
-    runs that labelled both (for inspecting one pair; no all-pairs matrix)."""
+    runs that labelled both; without ``b`` of ``a`` and every other fund, one row
+    each (linear in the labels; no all-pairs matrix)."""
     la = labels.where(F.col(key) == a).select("run", F.col("label").alias("_la"))
-    lb = labels.where(F.col(key) == b).select("run", F.col("label").alias("_lb"))
-    j = la.join(lb, "run")
-    return j.agg(F.avg((F.col("_la") == F.col("_lb")).cast("double")).alias("co_association"),
-                 F.count(F.lit(1)).alias("runs"))
+    lb = labels.where(F.col(key) == b if b is not None else F.col(key) != a).select(key, "run", F.col("label").alias("_lb"))
+    # one fund's labels: an entry per run
+    j = lb.join(F.broadcast(la), "run")
+    aggs = [F.avg((F.col("_la") == F.col("_lb")).cast("double")).alias("co_association"), F.count(F.lit(1)).alias("runs")]
+    return j.agg(*aggs) if b is not None else j.groupBy(key).agg(*aggs)
 
 
 def consensus_cluster(labels: DataFrame, k: int, seed: int = SEED, key: str = "cod") -> DataFrame:
@@ -143,49 +128,48 @@ def consensus_cluster(labels: DataFrame, k: int, seed: int = SEED, key: str = "c
     one row per fund; NULL where the base labels are (``k`` funds or fewer)."""
     if not labels.where(F.col("label").isNull()).isEmpty():
         return labels.select(key).distinct().withColumn("cluster", F.lit(None).cast("int"))
-    votes = label_vectors(labels, k, key)
-    model = KMeans(k=k, seed=seed, featuresCol="votes", predictionCol="cluster", maxIter=50).fit(votes)
-    return model.transform(votes).select(key, F.col("cluster").cast("int").alias("cluster"))
-
-
-def silhouette(points: DataFrame, assignment: DataFrame, key: str = "cod", features: str = "map",
-               label: str = "cluster") -> float | None:
-    """Spark's silhouette (squared Euclidean) of an assignment on the map."""
-    j = points.select(key, features).join(assignment.select(key, label), key)
-    if j.select(label).distinct().count() < 2:
-        return None     # undefined for a single cluster (NULL sorts last in best_config)
-    ev = ClusteringEvaluator(featuresCol=features, predictionCol=label)
-    return float(ev.evaluate(j))
-
-
-def silhouette_sweep(points: DataFrame, grid: DataFrame, reps: int = 100, seed: int = SEED,
-                     key: str = "cod", members=None) -> DataFrame:
-    """Score every row ``(subset, algorithms, k)`` of the grid.
-
-    Base clusterings are fitted once per (algorithm, k, repetition) and
-    shared by all subsets that contain the algorithm (``members(k)`` may
-    supply them, e.g. from a table). The configurations are scored
-    concurrently. Returns ``(n, subset, algorithms, k, silhouette)``, one
-    row per grid row; the score is NULL where ``k`` is not below the number
+    arrays, runs = label_arrays(labels, key)
+    arrays = arrays.checkpoint(eager=True)
+    got = LS.partition_many(arrays, LS.consensus_many(arrays, [range(runs)], [k], seed))
+    return got.select(key, F.col("clusters")[0].alias("cluster"))
+
+
+def sweep_partitions(points: DataFrame, grid: DataFrame, reps: int = 100, seed: int = SEED, key: str = "cod", features: str = "map",
+                     members: tuple[DataFrame, list[LS.Fit]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every row ``(subset, algorithms, k)`` of the grid clustered and scored (L5, D8): ``(n, subset, algorithms, k,
+    silhouette)``, one row per grid row, and ``(cod, clusters)`` with the cluster of configuration n at place n - 1.
+
+    Base clusterings are fitted once per (algorithm, k, repetition), or given
+    by ``members`` (``member_arrays``), and shared by all subsets that contain
+    the algorithm; consensus and scores of all configurations advance in
+    lockstep. Score and cluster are NULL where ``k`` is not below the number
     of funds.
     """
     spark = points.sparkSession
-    n_points = points.count()
     configs = [(r["subset"], r["algorithms"], r["k"]) for r in grid.orderBy("k", "subset").collect()]
     names = sorted({a for _, algos, _ in configs for a in algos.split("+")}, key=ALGORITHMS.index)
-    base = {}
-    for k in sorted({k for *_, k in configs if 2 <= k < n_points}):
-        base[k] = members(k) if members is not None else member_labels(points, k, names, reps, seed, key=key).checkpoint(eager=True)
-
-    def score(task):
-        n, (subset, algos, k) = task
-        if k not in base:
-            return n, subset, algos, k, None
-        cons = consensus_cluster(base[k].where(F.col("algorithm").isin(*algos.split("+"))), k, seed, key)
-        return n, subset, algos, k, silhouette(points, cons, key)
-
-    rows = _pool(list(enumerate(configs, 1)), score)
-    return spark.createDataFrame(rows, "n int, subset int, algorithms string, k int, silhouette double")
+    arrays, fits = members or member_arrays(points, sorted({k for *_, k in configs}), names, reps, seed, key=key, features=features)
+    some = {f.k for f in fits}
+    live = [i for i, (_, _, k) in enumerate(configs) if k in some]
+    scores: dict[int, float | None] = {}
+    clusters = points.select(key, F.array().cast("array<int>").alias("clusters"))
+    if live:
+        ks = [configs[i][2] for i in live]
+        sets = [[at for at, f in enumerate(fits) if f.k == configs[i][2] and f.algorithm in configs[i][1].split("+")] for i in live]
+        clusters = LS.partition_many(arrays, LS.consensus_many(arrays, sets, ks, seed))
+        rows = LS.prepare(points, key, features).join(clusters, key).select(key, "x", "clusters").checkpoint(eager=True)
+        scores = dict(zip(live, LS.silhouettes(rows, ks)))
+        clusters = rows.select(key, "clusters")
+    place = {i: at for at, i in enumerate(live)}
+    spread = F.array(*[F.get("clusters", F.lit(place[i])) if i in place else F.lit(None).cast("int") for i in range(len(configs))])
+    table = [(i + 1, subset, algos, k, scores.get(i)) for i, (subset, algos, k) in enumerate(configs)]
+    return (spark.createDataFrame(table, "n int, subset int, algorithms string, k int, silhouette double"),
+            clusters.select(key, spread.alias("clusters")))
+
+
+def silhouette_sweep(points: DataFrame, grid: DataFrame, reps: int = 100, seed: int = SEED, key: str = "cod") -> DataFrame:
+    """The scores of ``sweep_partitions``."""
+    return sweep_partitions(points, grid, reps, seed, key)[0]
 
 
 def cluster_assignment(points: DataFrame, labels: DataFrame, dims: DataFrame | None = None,

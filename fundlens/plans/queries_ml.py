@@ -16,7 +16,7 @@ from fundlens.plans.queries_stats import GRID_KS, _ds, _model_rows, _moving, par
 from fundlens.plans.report import forecast_projection, forecast_report
 from fundlens.plans.catalog import register
 
-#: Repetitions per base clustering in the registered queries, as in the source: 900 fits for the sweep of these queries.
+#: Repetitions per base clustering in the registered queries, as in the source: 900 fits for the sweep, in lockstep.
 REPS = 100
 #: Windows of the backtests and of the holdout bands of all models, as in the source.
 FOLDS = 13
@@ -34,33 +34,43 @@ def _map(ctx):
     return ctx._cached(("map",), lambda: CL.embed_2d(_vectors(ctx)).checkpoint(eager=True))
 
 
+def _members(ctx):
+    """Base clusterings of every k of the grid, fitted once per session: label arrays and the fits."""
+    return ctx._cached(("members",), lambda: CL.member_arrays(_map(ctx), GRID_KS, reps=REPS))
+
+
 def _sweep(ctx):
-    members = {k: _members(ctx, k) for k in GRID_KS}
-    return ctx._cached(("sweep",), lambda: CL.silhouette_sweep(
-        _map(ctx), parameter_grid(ctx.spark), reps=REPS, members=members.get).checkpoint(eager=True))
+    """Scores of all configurations, and the clusters of each fund in all of them."""
+    def build():
+        scores, clusters = CL.sweep_partitions(_map(ctx), parameter_grid(ctx.spark), members=_members(ctx))
+        return scores.checkpoint(eager=True), clusters
+    return ctx._cached(("sweep",), build)
 
 
 register("fund_vectors")(lambda ctx: _vectors(ctx).select("cod", "n", vector_to_array("features").alias("features")))
 register("embed_2d")(lambda ctx: _map(ctx).select("cod", "x", "y"))
-def _members(ctx, k, algorithms=CL.ALGORITHMS):
-    """Base clusterings, fitted once per session and (k, algorithms)."""
-    return ctx._cached(("members", k, tuple(algorithms)), lambda: CL.member_labels(
-        _map(ctx), k, algorithms, REPS).checkpoint(eager=True))
+register("cluster_members")(lambda ctx: CL.long_labels(*_members(ctx), K, CL.ALGORITHMS, REPS))
+register("silhouette_sweep")(lambda ctx: _sweep(ctx)[0])
+
+
+def _clusters(ctx, n):
+    """``(cod, cluster)`` of configuration n."""
+    return _sweep(ctx)[1].select("cod", F.get("clusters", F.lit(n - 1)).alias("cluster"))
 
 
-register("cluster_members")(lambda ctx: _members(ctx, K))
-register("consensus_cluster")(lambda ctx: CL.consensus_cluster(_members(ctx, K), K))
-register("silhouette_sweep")(lambda ctx: _sweep(ctx))
+@register("consensus_cluster")
+def _consensus_cluster(ctx):
+    """The consensus of all algorithms at ``K`` clusters."""
+    every = _sweep(ctx)[0].where((F.col("k") == K) & (F.col("algorithms") == "+".join(CL.ALGORITHMS))).first()
+    return _clusters(ctx, every["n"])
 
 
 @register("cluster_assignment")
 def _cluster_assignment(ctx):
     """Best configuration of the sweep, its consensus labels, joined back."""
-    best = best_config(_sweep(ctx)).first()
-    best_k, chosen = best["k"], best["algorithms"].split("+")
-    labels = CL.consensus_cluster(_members(ctx, best_k).where(F.col("algorithm").isin(*chosen)), best_k)
+    best = best_config(_sweep(ctx)[0]).first()
     dims = ctx.dims(2).select("cod", "nombre_entidad", "nombre_patrimonio")
-    return CL.cluster_assignment(_map(ctx), labels, dims)
+    return CL.cluster_assignment(_map(ctx), _clusters(ctx, best["n"]), dims)
 
 
 def _direct_model(ctx, kind="gbt"):

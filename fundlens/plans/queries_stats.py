@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fundlens.functions.dates import py_add_months
 from fundlens.operators import forecast as FC
 from fundlens.operators import stats as ST
+from fundlens.operators.cluster import co_association
 from fundlens.operators.joins import align_prediction, semi
 from fundlens.operators.panel import CARRY, SERIES, accrue_from_rate, daily_growth, fill_flows, merge_sources, pad_daily
 from fundlens.operators.rolling import rolling, rolling_return_ann, rolling_return_gross, rolling_vol_ann
@@ -29,7 +30,7 @@ NUM.update({"rent_brut_30", "q1", "q2", "q3", "mean_creci", "acf", "ccf", "obser
             "remainder", "value", "min", "max", "q25", "median", "q75", "mediana", "mediana_emp",
             "cercania", "conf_lo", "conf_hi", "dia_no_habil", "rmse", "coverage_90", "coverage_50",
             "age", "observed_flag", "creci_dia_filled", "scale", "creci_dia_scaled", "q05", "q95",
-            "crecimiento_dia_max_30", "crecimiento_dia_avg_30", "std", "rent"})
+            "crecimiento_dia_max_30", "crecimiento_dia_avg_30", "std", "rent", "co_association"})
 
 
 def _macro(ctx):
@@ -109,6 +110,18 @@ def _first_code(df):
     return df.agg(F.min("cod")).first()[0]
 
 
+@register("co_association", O.with_ctes(LABEL_CTES + ["""runs AS (
+  SELECT cod, run, CAST(split_part(cod, '_', 4) AS INTEGER) % run AS label FROM labels CROSS JOIN range(2, 10) t(run))"""],
+    """SELECT b.cod, avg(CAST(a.label = b.label AS DOUBLE)) AS co_association, count(*) AS runs
+  FROM runs a JOIN runs b ON a.run = b.run AND a.cod <> b.cod WHERE a.cod = (SELECT min(cod) FROM labels) GROUP BY b.cod"""))
+def _co_association(ctx):
+    """Co-association of the first base fund with every other, on eight stand-in runs (``codigo_negocio % run``)."""
+    code = F.split("cod", "_").getItem(3).cast("int")
+    each = ctx.base5().select("cod").distinct().select("cod", F.explode(F.sequence(F.lit(2), F.lit(9))).alias("_r"))
+    runs = each.select("cod", F.col("_r").cast("string").alias("run"), (code % F.col("_r")).alias("label"))
+    return co_association(runs, _first_code(runs))
+
+
 register("cluster_peers", O.with_ctes(LABEL_CTES, "SELECT cod, cluster FROM peers"))(
     lambda ctx: cluster_peers(_labels(ctx), _first_code(_labels(ctx))))
 
