@@ -129,6 +129,8 @@ class Vocabulary:
                 last[end], size[end] = token, n
         out, at = [], len(raw)
         while at:
+            if last[at] < 0:
+                raise ValueError(f"the vocabulary has no tokens for {word!r}: it lacks a byte")
             out.append(last[at])
             at -= size[at]
         out.reverse()

@@ -139,36 +139,79 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SYMBOL = mix64(np.arange(1, 0x3001, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-_POWERS: dict[int, np.ndarray] = {}
+#: Two odd bases and their inverses modulo 2^64.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
+def powers(n: int, inverse: bool = False, base: int = 0) -> np.ndarray:
     """``base^i mod 2^64`` for i < n; grown by doubling and kept up to 1M."""
-    have = _POWERS.get(inverse)
+    have = _POWERS.get((base, inverse))
     if have is None or len(have) < n:
-        base = int(_BASE_INV if inverse else _BASE)
+        b = pow(_BASES[base], -1 if inverse else 1, 1 << 64)
         size = 1 << max(12, int(n - 1).bit_length())
         have = np.ones(size, np.uint64)
         k = 1
         while k < size:
-            have[k:2 * k] = have[:k] * np.uint64(pow(base, k, 1 << 64))
+            have[k:2 * k] = have[:k] * np.uint64(pow(b, k, 1 << 64))
             k *= 2
         if size <= 1 << 20:
-            _POWERS[inverse] = have
+            _POWERS[base, inverse] = have
     return have[:n]
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each byte of ``data`` on as one little-endian number (zeros behind the end); a view of a copy."""
+    raw = np.concatenate([np.ascontiguousarray(data).view(np.uint8), np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+
+#: Mask of the first n bytes of a lane.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes that are folded lane by lane; a longer span is the span of its blocks' hashes.
+_BLOCK = 1024
+
+
+def _fold(view: np.ndarray, at: np.ndarray, size: np.ndarray, level: int = 0) -> np.ndarray:
+    h = mix64(size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(2 * level + 1))
+    short = size <= _BLOCK
+    live = np.flatnonzero(short & (size > 0))
+    pos, left = at[live], size[live]
+    while len(live):
+        h[live] = mix64(h[live] ^ (view[pos] & _BYTES[np.minimum(left, 8)]))
+        keep = left > 8
+        live, pos, left = live[keep], pos[keep] + 8, left[keep] - 8
+    long = np.flatnonzero(~short)
+    if len(long):
+        count = -(-size[long] // _BLOCK)
+        first = np.cumsum(count) - count
+        inside = _BLOCK * (np.arange(int(count.sum())) - np.repeat(first, count))
+        blocks = _fold(view, np.repeat(at[long], count) + inside, np.minimum(_BLOCK, np.repeat(size[long], count) - inside), level + 1)
+        h[long] ^= _fold(lanes(blocks), 8 * first, 8 * count, level + 2)
+    return h
+
+
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span ``symbols[start:end]`` (symbols below 0x3000),
-    from one prefix sum of symbol values times powers of an odd base."""
-    n = len(symbols)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_SYMBOL[symbols] * powers(n), out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * powers(n + 1, True)[starts]
-    return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+    """64-bit hash of each span ``symbols[start:end]``: its bytes in lanes of
+    eight, chained through ``mix64``, so that no sum of symbol values can cancel."""
+    width = symbols.itemsize
+    return _fold(lanes(symbols), np.asarray(starts, np.int64) * width, (np.asarray(ends, np.int64) - starts) * width)
+
+
+def same_bytes(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes are equal at places of two lane views (``lanes``)."""
+    out = np.ones(len(size), bool)
+    live = np.flatnonzero((size > 0) & (size <= _BLOCK))
+    left = size[live]
+    step = 0
+    while len(live):
+        out[live] &= ((a[at_a[live] + step] ^ b[at_b[live] + step]) & _BYTES[np.minimum(left, 8)]) == 0
+        keep = left > 8
+        live, left, step = live[keep], left[keep] - 8, step + 8
+    for i in np.flatnonzero(size > _BLOCK).tolist():
+        n, x, y = int(size[i]), int(at_a[i]), int(at_b[i])
+        out[i] = np.array_equal(a[x:x + n - 7:8], b[y:y + n - 7:8]) and a[x + n - 8] == b[y + n - 8]
+    return out
 
 
 def signed(x: np.ndarray) -> pa.Array:

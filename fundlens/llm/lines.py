@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundlens.llm.common import Scratch, arrow_map, byte_view, c, mix64, partitions, powers, ragged, span_hashes, text_steps, written
+from fundlens.llm.common import Scratch, arrow_map, byte_view, c, mix64, partitions, ragged, span_hashes, text_steps, written
 
 STAR = "<*>"
 LEAD = 4           # leading tokens of the path
@@ -73,10 +73,9 @@ def parse_lines(data: np.ndarray, offs: np.ndarray, lead: int):
     at = np.searchsorted(a, starts)
     stop = np.searchsorted(a, ends)
     count = stop - at
-    chain = np.zeros(len(token) + 1, np.uint64)
-    np.cumsum(token * powers(len(token)), out=chain[1:])
-    fold = lambda s, e: mix64((chain[e] - chain[s]) * powers(len(chain), True)[s] + (count.astype(np.uint64) << np.uint64(40)))
-    return text, starts, ends, count, fold(at, np.minimum(at + lead, stop)), fold(at, stop)
+    whole = span_hashes(token, at, stop)
+    leaf = mix64(span_hashes(token, at, np.minimum(at + lead, stop)) ^ (count.astype(np.uint64) << np.uint64(40)))
+    return text, starts, ends, count, leaf, whole
 
 
 def tokens_of(line: bytes) -> list[bytes]:

@@ -54,7 +54,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove the bytes of all documents that 400-byte repeats cover."""
-    return suffix_dedup.digest(suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), width=400))
+    return suffix_dedup.digest(suffix_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), width=400), text=True)
 
 
 @_query()

@@ -8,8 +8,8 @@ is removed. The strings that can be equal are brought together first:
    (shorter than ``2 * width`` bytes, whatever the length of the text). Equal
    windows have equal anchors at equal offsets, so only pieces with the same
    anchor hash need to be compared. Anchors that occur once end here.
-2. Equal pieces are one string with a count: all windows of a piece that
-   occurs twice are repeated.
+2. Equal pieces (by a 128-bit BLAKE2b digest) are one string with a count:
+   all windows of a piece that occurs twice are repeated.
 3. The distinct pieces of an anchor are a collection of strings aligned on
    it. Its Burrows-Wheeler transform is built column by column from the right:
    each round inserts one symbol of every string, stably re-sorts the
@@ -30,6 +30,7 @@ are read from the text.
 from __future__ import annotations
 
 import tempfile
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fundlens.llm.common import Scratch, arrow_map, c, mix64, partitions, powers, ragged, text_steps, written
+from fundlens.llm.common import Scratch, arrow_map, c, lanes, mix64, partitions, powers, ragged, text_steps, written
 
 GRAM = 32
 #: Distinct pieces of one anchor that a task takes; beyond, windows are hashed.
@@ -48,19 +49,22 @@ STEP = 1 << 19
 #: Longer texts are cut for the anchor search, with an overlap of one window.
 LONGEST = 1 << 23
 
-_FIRST = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-_SECOND = mix64(np.arange(301, 557, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
+#: Factors of the two halves of a window's hash.
+_FACTORS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
 
-def _prefix(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values)), out=out[1:])
+def _prefix(data: np.ndarray, step: int, half: int) -> np.ndarray:
+    """Prefix sums of ``value * base^i``; the value of a place is a mixed hash of the ``step`` bytes from there on."""
+    n = max(0, len(data) - step + 1)
+    value = mix64((lanes(data)[:n] & np.uint64((1 << 8 * step) - 1)) * np.uint64(_FACTORS[half]) + np.uint64(half + 1))
+    out = np.zeros(n + 1, np.uint64)
+    np.cumsum(value * powers(n, base=half), out=out[1:])
     return out
 
 
-def _span(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix64((prefix[ends] - prefix[starts]) * powers(len(prefix), True)[starts]
-                 + (ends - starts).astype(np.uint64))
+def _span(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int, half: int) -> np.ndarray:
+    """Hash of the bytes ``start:end``, at least ``step`` of them."""
+    return mix64((prefix[ends - step + 1] - prefix[starts]) * powers(len(prefix), True, half)[starts])
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -74,15 +78,16 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 def pieces(data: np.ndarray, offs: np.ndarray, width: int):
     """Pieces of the texts ``data[offs[i]:offs[i+1]]``: ``(text, start, length,
-    anchor offset, anchor hash, content hash 1, content hash 2)``."""
+    anchor offset, anchor hash, and the two halves of the content's BLAKE2b digest)``."""
     gram = min(GRAM, width)
     sizes = np.diff(offs)
     starts = ragged(offs[:-1], np.maximum(0, sizes - width + 1))     # every window that lies in one text
     if not len(starts):
         return None
-    first, second = _prefix(_FIRST[data]), _prefix(_SECOND[data])
     n = len(data) - gram + 1
-    grams = mix64((first[gram:] - first[:n]) * powers(n, True))
+    step = min(8, gram)
+    every = np.arange(n)
+    grams = _span(_prefix(data, step, 0), every, every + gram, step, 0)
     place = np.uint64((1 << 24) - 1)                                 # smallest hash, then leftmost position
     low = _sliding_min((grams & ~place) | np.arange(n, dtype=np.uint64), width - gram + 1)
     anchor = (low[starts] & place).astype(np.int64)
@@ -91,7 +96,10 @@ def pieces(data: np.ndarray, offs: np.ndarray, width: int):
     lo = starts[head]
     hi = starts[np.concatenate([head[1:] - 1, [len(starts) - 1]])] + width
     a, text = anchor[head], owner[head]
-    return text, lo - offs[text], hi - lo, a - lo, grams[a], _span(first, lo, hi), _span(second, lo, hi)
+    view = memoryview(np.ascontiguousarray(data))
+    content = b"".join([blake2b(view[s:e], digest_size=16).digest() for s, e in zip(lo.tolist(), hi.tolist())])
+    content = np.frombuffer(content, "<u8").reshape(-1, 2)
+    return text, lo - offs[text], hi - lo, a - lo, grams[a], content[:, 0].copy(), content[:, 1].copy()
 
 
 def _cut(data: np.ndarray, offs: np.ndarray, width: int):
@@ -257,7 +265,7 @@ def _windows(strings: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for rows, data, offs in text_steps(batches, "body", 1 << 18):
-            first, second = _prefix(_FIRST[data]), _prefix(_SECOND[data])
+            step = min(8, width)
             count = np.diff(offs) - width + 1
             at = ragged(offs[:-1], count)
             who = np.repeat(np.arange(len(count)), count)
@@ -266,8 +274,7 @@ def _windows(strings: DataFrame, width: int) -> DataFrame:
             yield pa.record_batch({
                 "doc_id": col("doc_id"), "tk": col("tk"),
                 "lo": pa.array(col("start").to_numpy() + at - offs[who]), "n": col("n"),
-                "w1": pa.array(_span(first, at, at + width).view(np.int64)),
-                "w2": pa.array(_span(second, at, at + width).view(np.int64))})
+                **{name: pa.array(_span(_prefix(data, step, half), at, at + width, step, half).view(np.int64)) for half, name in enumerate(("w1", "w2"))}})
 
     return arrow_map(strings, run, "doc_id long, tk long, lo long, n long, w1 long, w2 long")
 
@@ -396,8 +403,10 @@ def whole_characters(kept: bytes) -> str:
     return kept.decode("utf-8", "ignore")
 
 
-def digest(result: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and digest of ``dedup_substrings``' output."""
+def digest(result: DataFrame, id_col: str = "doc_id", text: bool = False) -> DataFrame:
+    """Counts and digest of ``dedup_substrings``' output; with ``text`` also the remaining text (a split
+    character shows as U+FFFD)."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["hi"] - s["lo"])
+    rest = [F.make_valid_utf8(F.col("kept").cast("string")).alias("text")] if text else []
     return result.select(id_col, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-                         F.sha2("kept", 256).alias("kept_sha256"))
+                         F.sha2("kept", 256).alias("kept_sha256"), *rest)

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import regex
 
-from fundlens.llm.common import ragged, span_hashes
+from fundlens.llm.common import lanes, ragged, same_bytes, span_hashes
 
 #: Contractions of the vocabulary's split pattern: fixed values.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -92,7 +92,9 @@ class WordEncoder:
 
     ``encode(words)`` gives the ids of each word; it is asked once for each
     distinct word, as long as the store holds it: beyond ``most`` words those
-    seen once go, and at most half stay. ``specials`` maps strings of special tokens to their ids."""
+    seen once go, and at most half stay. Words are found by hash and then
+    compared; a text with a word whose hash another word has is split on its
+    own. ``specials`` maps strings of special tokens to their ids."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], specials: dict[str, int], most: int = 250_000):
         self.encode, self.specials, self.most = encode, specials, most
@@ -101,6 +103,10 @@ class WordEncoder:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin, self.count, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self.used = 0
+        # the words themselves, in the order of their slots
+        self.letters = np.zeros(1 << 16, np.uint16)
+        self.spell, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.spelt = 0
 
     def _shrink(self):
         keys = np.fromiter(self.place, np.uint64, len(self.place))       # in order of their slots
@@ -115,6 +121,11 @@ class WordEncoder:
         self.flat[:self.used] = flat
         self.begin[:len(keep)], self.count[:len(keep)] = np.cumsum(sizes) - sizes, sizes
         self.hits[:] = 0
+        sizes = self.size[keep]
+        letters = self.letters[ragged(self.spell[keep], sizes)]
+        self.spelt = len(letters)
+        self.letters[:self.spelt] = letters
+        self.spell[:len(keep)], self.size[:len(keep)] = np.cumsum(sizes) - sizes, sizes
 
     def _room(self, name: str, need: int):
         have = getattr(self, name)
@@ -123,13 +134,19 @@ class WordEncoder:
             grown[:len(have)] = have
             setattr(self, name, grown)
 
-    def _add(self, keys: list[int], words: list[str]):
+    def _add(self, keys: list[int], words: list[str], low: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         got = self.encode(words)
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         new = np.fromiter((x for ids in got for x in ids), np.uint32, int(sizes.sum()))
         first = len(self.place)
-        for name, need in (*((n, first + len(got)) for n in ("begin", "count", "hits")), ("flat", self.used + len(new))):
+        spelt = ends - starts
+        for name, need in (*((n, first + len(got)) for n in ("begin", "count", "hits", "spell", "size")), ("flat", self.used + len(new)),
+                           ("letters", self.spelt + int(spelt.sum()))):
             self._room(name, need)
+        self.spell[first:first + len(got)] = self.spelt + np.cumsum(spelt) - spelt
+        self.size[first:first + len(got)] = spelt
+        self.letters[self.spelt:self.spelt + int(spelt.sum())] = low[ragged(starts, spelt)]
+        self.spelt += int(spelt.sum())
         self.begin[first:first + len(got)] = self.used + np.cumsum(sizes) - sizes
         self.count[first:first + len(got)] = sizes
         self.flat[self.used:self.used + len(new)] = new
@@ -146,6 +163,14 @@ class WordEncoder:
                     out += ids
         return np.array(out, np.uint32)
 
+    def _strangers(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray, at: np.ndarray) -> list[int]:
+        """Texts that hold a word other than the stored one of its hash."""
+        sizes = ends - starts
+        same = self.size[slots] == sizes
+        check = np.flatnonzero(same)
+        same[check] = same_bytes(lanes(low), 2 * starts[check], lanes(self.letters[:self.spelt]), 2 * self.spell[slots[check]], 2 * sizes[check])
+        return np.unique(np.searchsorted(at, starts[~same], "right") - 1).tolist()
+
     def texts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the UTF-8 texts ``data[offs[i]:offs[i+1]]``, one after
         another, and each text's offsets in them."""
@@ -181,8 +206,11 @@ class WordEncoder:
             small = low.astype("<u2").tobytes().decode("utf-16-le")
             s, e = starts[first[missing]].tolist(), ends[first[missing]].tolist()
             before = len(self.place)
-            self._add(keys[missing].tolist(), [small[a:b] for a, b in zip(s, e)])
+            self._add(keys[missing].tolist(), [small[a:b] for a, b in zip(s, e)], low, starts[first[missing]], ends[first[missing]])
             where[missing] = np.arange(before, before + len(missing))
+        for d in self._strangers(low, starts, ends, where[codes], at):
+            if d not in done:
+                done[d] = self._slow(text[at[d]:at[d + 1]])
         self.hits[where] += np.bincount(codes, minlength=len(keys))
         slot = where[codes]
         sizes = self.count[slot]

@@ -10,7 +10,7 @@ import pytest
 from brute import kept_lines, near_components, substring_digest
 
 from fundlens.llm import graph, lines, minhash, suffix_dedup
-from fundlens.llm.common import Scratch, byte_view
+from fundlens.llm.common import Scratch, byte_view, lanes as lane_view, same_bytes, span_hashes
 
 
 def word(rnd):
@@ -201,3 +201,46 @@ def test_lines_of_repeated_rows(spark):
     df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
     got = sorted(((r.doc_id, r.n_dropped, r.source) for r in lines.drop_lines(df, min_docs=4, carry=("source",)).collect()), key=repr)
     assert got == sorted([(1, 0, "s"), (1, 0, "s"), (2, 1, "s"), (3, 1, "s"), (None, 1, "s")], key=repr)
+
+
+def test_remaining_text(spark):
+    rows = [(1, "é" + "x" * 50 + "end"), (2, "start" + "x" * 50 + "è"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = suffix_dedup.digest(suffix_dedup.dedup_substrings(df, width=50), text=True)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "éend", 2: "startè", 3: ""}
+
+
+def thue_morse(n, zero, one):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return [(zero, one)[b] for b in bits], [(one, zero)[b] for b in bits]
+
+
+def test_hashes_of_thue_morse_words_and_lines():
+    """What cancels in a polynomial modulo 2^64 does not here: words of op6, lines of op7."""
+    for n in (1024, 2048, 4096):
+        a, b = ("".join(x) for x in thue_morse(n, "a", "b"))
+        data = np.frombuffer(f"{a} one two three {b} one two three".encode(), np.uint8)
+        h, _ = minhash.words(data, np.array([0, len(data)]))
+        assert len(set(h.tolist())) == 5
+        a, b = (" ".join(x) for x in thue_morse(n, "left", "right"))
+        data = np.frombuffer(f"{a}\n{b}\n{a}".encode(), np.uint8)
+        *_, leaf, whole = lines.parse_lines(data, np.array([0, len(data)]), 4)
+        assert whole[0] != whole[1] and whole[0] == whole[2] and leaf[0] == leaf[2]
+
+
+def test_span_hashes_of_long_spans():
+    rng = np.random.default_rng(1)
+    for symbols in (rng.integers(0, 256, 6000).astype(np.uint8), rng.integers(0, 600, 6000).astype(np.uint16)):
+        twice = np.concatenate([symbols, symbols[:1], symbols])
+        for n in (0, 1, 7, 8, 9, 511, 512, 513, 1023, 1024, 1025, 2048, 5000):
+            at = np.array([3, 6004])
+            one, two = span_hashes(twice, at, at + n)
+            assert one == two
+            view, w = lane_view(twice), twice.itemsize
+            assert same_bytes(view, at[:1] * w, view, at[1:] * w, np.array([n * w]))[0]
+            if n:
+                other = twice.copy()
+                other[3 + n - 1] ^= 1
+                one, two = span_hashes(other, at, at + n)
+                assert one != two
+                assert not same_bytes(lane_view(other), at[:1] * w, view, at[1:] * w, np.array([n * w]))[0]

@@ -53,6 +53,45 @@ def test_bpe_matches_the_library(texts):
         assert ids[at[k]:at[k + 1]].tolist() == ids_of(t)
 
 
+def thue_morse(n, letters="ab"):
+    word = "".join(letters[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans(letters, letters[::-1]))
+
+
+def encoded(encoder, texts):
+    data = [t.encode() for t in texts]
+    ids, at = encoder.texts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(b) for b in data]))
+    return [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+
+
+@pytest.mark.parametrize("make", [lambda: bpe._encoder(VOCABULARY)[1], lambda: packing._encoder(VOCABULARY)])
+def test_words_of_two_letters(make):
+    """A Thue-Morse word and its complement cancel in any polynomial modulo 2^64; random long words of two letters."""
+    rnd = random.Random(4)
+    pairs = [thue_morse(n, ab) for n in (512, 1024, 2048, 4096) for ab in ("ab", "éè")]
+    texts = [f"{a} {b}" for a, b in pairs] + [" ".join("".join(rnd.choice("ab") for _ in range(rnd.choice([3, 900, 1100]))) for _ in range(12)) for _ in range(8)]
+    assert encoded(make(), texts) == [ids_of(t) for t in texts]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """Even with a hash that sees only lengths the ids are right: words are compared."""
+    monkeypatch.setattr("fundlens.llm.words.span_hashes", lambda low, s, e: (e - s).astype(np.uint64))
+    encoder = bpe.WordEncoder(bpe._encoder(VOCABULARY)[0].encode_words, {}, most=50)
+    texts = ["the cat", "cat the dog", "", "a " + "x" * 2000, "b " + "y" * 2000, "one two six", "the cat"]
+    for _ in range(2):
+        assert encoded(encoder, texts) == [ids_of(t) for t in texts]
+
+
+def test_a_vocabulary_without_a_byte(tmp_path):
+    spec = {"added_tokens": [], "model": {"vocab": {"a": 0, "a</w>": 1}, "merges": []}}
+    path = tmp_path / "tiny.json"
+    path.write_text(__import__("json").dumps(spec))
+    vocabulary = bpe.Vocabulary(str(path))
+    assert vocabulary.encode_word("aa") == [0, 1]
+    with pytest.raises(ValueError, match="lacks a byte"):
+        vocabulary.encode_word("ab")
+
+
 def test_a_full_store_of_words_keeps_the_ids_right():
     rnd = random.Random(8)
     encoder = bpe.WordEncoder(bpe._encoder(VOCABULARY)[0].encode_words, {}, most=50)
