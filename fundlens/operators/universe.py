@@ -34,13 +34,14 @@ def active_series(df: DataFrame, sk: Sequence[str] = SERIES, dc: str = DATE) ->
 
 def active_long_series(df: DataFrame, days: int = 365, sk: Sequence[str] = SERIES,
                        dc: str = DATE) -> DataFrame:
-    """U1 then U2 in one aggregate pass (U4's screen).
+    """U1 then U2 in one aggregate pass (U4's screen); rows may be runs (column ``dias``).
 
     Per-series last date and row count in one ``groupBy`` (no exchange when
     ``df`` is already partitioned by the series key); the global last date
     is the max of the per-series maxima, a tiny aggregate.
     """
-    per = df.groupBy(*sk).agg(F.max(dc).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    days_of = F.sum("dias") if "dias" in df.columns else F.count(F.lit(1))
+    per = df.groupBy(*sk).agg(F.max(dc).alias("_last"), days_of.alias("_n"))
     keep = (per.where((F.col("_last") == per.agg(F.max("_last")).scalar()) & (F.col("_n") > days))
             .select(*sk))
     return semi(df, keep, sk)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fundlens.functions.dates import py_add_months, py_floor_year
 from fundlens.operators.dims import clean_dims
-from fundlens.operators.panel import clean_panel
+from fundlens.operators.runs import expand_days, run_panel
 from fundlens.sources import adapter
 from fundlens.session import drop_materialized, materialize_bucketed, session_key
 from fundlens.sources.landed import fund_dims_raw, fund_facts, report_rows
@@ -78,11 +78,14 @@ class Ctx:
         Written once per session as a table bucketed by series; ``lazy``
         gives the plan instead, for a query that reads it a single time.
         """
+        plan = expand_days(self.runs(years, lazy=True))
+        return plan if lazy else self._cached(("panel", years), lambda: self._bucketed(plan, "panel"))
+
+    def runs(self, years: int = 2, lazy: bool = False) -> DataFrame:
+        """The same panel as runs: observed rows with the days that each stands for."""
         def plan():
-            return clean_panel(self.facts(years), self.report(), self.as_of)
-        if lazy:
-            return plan()
-        return self._cached(("panel", years), lambda: self._bucketed(plan(), "panel"))
+            return run_panel(self.facts(years), self.report(), self.as_of)
+        return plan() if lazy else self._cached(("runs", years), lambda: self._bucketed(plan(), "runs"))
 
     def _bucketed(self, df: DataFrame, name: str) -> DataFrame:
         """A series table; the number of buckets follows the rows of the fact source (a footer count)."""
@@ -111,6 +114,11 @@ class Ctx:
         from fundlens.plans.report import dashboard_tables
         return dashboard_tables(self.panel(1), self.dims(2))
 
+    def dashboard_runs(self) -> tuple[DataFrame, DataFrame]:
+        """``dashboard`` with the facts as runs, for what needs no list of days."""
+        from fundlens.plans.report import dashboard_tables
+        return dashboard_tables(self.runs(1), self.dims(2))
+
     def scratch_path(self, name: str) -> str:
         """A fresh folder under the session's checkpoint directory."""
         import uuid

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from fundlens.operators.panel import clean_panel
-from fundlens.operators.rolling import multi_period_risk
-from fundlens.operators.universe import active_series, long_series
+from fundlens.operators.runs import list_days, rolling_runs
 from fundlens.plans import oracle as O
 from fundlens.plans.catalog import register, sql_select_rounded
 from fundlens.plans.report import summary_table
@@ -49,8 +47,8 @@ _RISK_SQL = O.with_ctes(
 @register("multi_period_risk", _RISK_SQL)
 def _multi_period_risk(ctx):
     """Annualised 30- and 365-day return and volatility on every panel row."""
-    p = ctx.panel(2, lazy=True).select("fecha_corte", "cod", "tipo_participacion", "crecimiento_dia")
-    return multi_period_risk(p, (30, 365))
+    days = list_days(rolling_runs(ctx.runs(2, lazy=True), (30, 365)))
+    return days.select("fecha_corte", "cod", "tipo_participacion", "crecimiento_dia", "rent_30", "rent_365", "vol_30", "vol_365")
 
 
 # --- J4 / J5 dashboard ---------------------------------------------------------------------
@@ -82,5 +80,5 @@ _SUMMARY_SQL = O.with_ctes(SUMMARY_CTES,
 @register("summary_table", _SUMMARY_SQL)
 def _summary_table(ctx):
     """Flagship: last-day summary of the dashboard universe (periods 30/365)."""
-    facts, dims = ctx.dashboard()
+    facts, dims = ctx.dashboard_runs()
     return summary_table(facts, dims, 30, 365)

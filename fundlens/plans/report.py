@@ -19,6 +19,7 @@ from fundlens.functions.numeric import fixed_label, millions_label, percent_labe
 from fundlens.functions.text import ellipsis
 from fundlens.operators.joins import semi
 from fundlens.operators.rolling import DAYS_PER_YEAR, clamp_period, multi_period_risk, rolling_generic
+from fundlens.operators.runs import DAYS, last_day_stats
 from fundlens.operators.universe import active_long_series, filter_latest_date
 
 # --- fixed values: display names of the dashboard tables --------------------
@@ -41,13 +42,13 @@ def title_case(name: str) -> str:
 
 
 def dashboard_tables(panel: DataFrame, dims: DataFrame, min_days: int = 365) -> tuple[DataFrame, DataFrame]:
-    """Dashboard facts and dims.
+    """Dashboard facts and dims (J4); the panel's rows may be runs, and the facts then are.
 
     Facts: active series with more than ``min_days`` rows, display names.
     Dims: only funds present in the facts (semi join), display names.
     """
     facts = active_long_series(panel, min_days)
-    facts = rename_all(facts, DASHBOARD_FACT_NAMES)
+    facts = rename_all(facts, DASHBOARD_FACT_NAMES + ([DAYS] if DAYS in facts.columns else []))
     d = semi(dims, facts, "cod")
     return facts, rename_all(d, DASHBOARD_DIM_NAMES)
 
@@ -77,7 +78,8 @@ def _last_rows_stats(facts: DataFrame, periods: Sequence[int], sk: Sequence[str]
 def summary_table(facts: DataFrame, dims: DataFrame, n1=30, n2=365, titles: bool = False) -> DataFrame:
     """Flagship dashboard table (J5): one row per series on the last day.
 
-    ``facts``/``dims`` are the dashboard tables (display names). Periods
+    ``facts``/``dims`` are the dashboard tables (display names); facts as
+    runs give the same rows without listing a day. Periods
     are clamped to [1, 365] (defaults 30 / 365); equal periods are computed
     once. Columns: entity, fund, participation, ``rent_*``, ``vol_*``,
     close, yield, flow, investors, units, unit value (2 digits).
@@ -89,8 +91,11 @@ def summary_table(facts: DataFrame, dims: DataFrame, n1=30, n2=365, titles: bool
     last = filter_latest_date(facts, dc)
     # statistics of every series' last rows; the left join from the last-day
     # rows keeps only series present on that day (no extra semi join needed)
-    stats = _last_rows_stats(facts, periods, sk, dc, "crecimiento_dia")
-    rows = last.drop("precierre_fondo_dia_t", "crecimiento_dia").join(stats, list(sk), "left")
+    if DAYS in facts.columns:
+        stats = last_day_stats(facts, periods, "crecimiento_dia", "Valor Cierre", sk, dc)
+    else:
+        stats = _last_rows_stats(facts, periods, sk, dc, "crecimiento_dia")
+    rows = last.drop("precierre_fondo_dia_t", "crecimiento_dia", DAYS).join(stats, list(sk), "left")
     rows = rows.join(dims.drop("Tipo Entidad"), "cod", "left")
     rent = [f"rent_{p}" for p in periods]
     vol = [f"vol_{p}" for p in periods]
