@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundlens.functions.dates import is_weekend
+from fundlens.operators.quantiles import exact_quantiles
 from fundlens.sources.landed import holidays, macro_daily, macro_monthly
 
 HORIZON = 28
@@ -186,7 +187,7 @@ def seasonal_naive_future(model_rows: DataFrame, horizon: int = HORIZON, season:
     return steps.join(src, [key, "_src"], "left").select(key, dc, "mean")
 
 
-def naive_residuals(model_rows: DataFrame, start: _dt.date, folds: int = 12, horizon: int = HORIZON, season: int = 7,
+def naive_residuals(model_rows: DataFrame, start: _dt.date, folds: int = 13, horizon: int = HORIZON, season: int = 7,
                     key: str = "cod", dc: str = "fecha_corte", value: str = "creci_dia") -> DataFrame:
     """Errors ``(actual, mean)`` of the seasonal-naive control on the
     ``folds`` windows of ``horizon`` days before ``start``; each window only
@@ -201,9 +202,9 @@ def residual_bands(pred: DataFrame, residuals: DataFrame) -> DataFrame:
     """Interval bands q05 / q25 / q75 / q95 around a point forecast: the
     percentiles of ``actual - mean`` of earlier forecasts, added to the mean."""
     levels = {"q05": 0.05, "q25": 0.25, "q75": 0.75, "q95": 0.95}
-    qs = residuals.agg(F.percentile(F.col("actual") - F.col("mean"), list(levels.values())).alias("q")).first()["q"]
-    qs = qs or [None] * len(levels)
-    return pred.withColumns({n: F.col("mean") + F.lit(q).cast("double") for n, q in zip(levels, qs)})
+    errors = residuals.select((F.col("actual") - F.col("mean")).alias("_r"))
+    qs = exact_quantiles(errors, [], "_r", list(levels.values())).scalar()
+    return pred.withColumns({n: F.col("mean") + F.get(qs, F.lit(i)) for i, n in enumerate(levels)})
 
 
 # --- evaluation (D9, E6, M10, M11) -----------------------------------------------
@@ -490,7 +491,7 @@ def _backtest_recursive(rows: DataFrame, folds: int, horizon: int, key: str, dc:
 MODELS = ("direct_linear", "direct_gbt", "recursive_linear", "seasonal_naive")
 
 
-def holdout_predictions(ds: DataFrame, horizon: int = HORIZON, folds: int = 3, key: str = "cod",
+def holdout_predictions(ds: DataFrame, horizon: int = HORIZON, folds: int = 13, key: str = "cod",
                         dc: str = "fecha_corte", target: str = "creci_dia") -> DataFrame:
     """Every model fitted on the days before the last ``horizon`` days and
     forecast over these: ``(model, cod, fecha_corte, mean, q05, q25, q75,
@@ -523,7 +524,7 @@ def forecast_quantiles(pred: DataFrame, residuals: DataFrame, levels: Sequence[f
     backtest residuals (actual - mean) per horizon step, added to the mean.
     Monotone in the level by construction."""
     res = residuals.select("h", (F.col("actual") - F.col("mean")).alias("_r")).dropna()
-    qs = res.groupBy("h").agg(F.percentile("_r", list(levels)).alias("_q"))
+    qs = exact_quantiles(res, ["h"], "_r", levels)
     first = pred.groupBy(key).agg(F.min(dc).alias("_first"))
     p = pred.join(first, key).withColumn("h", F.datediff(dc, "_first") + 1).drop("_first")
     out = p.join(F.broadcast(qs), "h", "left")
@@ -532,11 +533,65 @@ def forecast_quantiles(pred: DataFrame, residuals: DataFrame, levels: Sequence[f
                                              for i, lv in enumerate(levels)])
 
 
-def save_model(model, path: str) -> None:
-    """Persist a fitted pipeline (A10)."""
-    model.write().overwrite().save(path)
+_CURRENT = "CURRENT"
+
+
+def _hadoop(spark, path: str):
+    """The path's file system and its path class (any store that Spark writes)."""
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    return new(path).getFileSystem(spark._jsc.hadoopConfiguration()), new
+
+
+def save_model(model, path: str) -> str:
+    """Publish a fitted pipeline as a whole (A10); the new version's folder.
+
+    A version is written to a folder of its own; only then the pointer file
+    ``CURRENT`` is replaced, by renaming a complete one over it. A reader never meets a
+    half-written model, and a save that fails leaves the published one.
+    Earlier versions stay (a reader may be loading one) until ``drop_versions``."""
+    import uuid
+
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    version = f"version-{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    model.write().save(f"{path}/{version}")
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        _hadoop(spark, path)[1](path).toUri(), spark._jsc.hadoopConfiguration())
+    fs, new = _hadoop(spark, path)
+    draft = new(f"{path}/.{version}")
+    out = fs.create(draft, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    swap = spark.sparkContext._gateway.new_array(options, 1)
+    swap[0] = options.OVERWRITE
+    context.rename(context.makeQualified(draft), context.makeQualified(new(f"{path}/{_CURRENT}")), swap)
+    return f"{path}/{version}"
+
+
+def current_version(path: str) -> str:
+    """Folder of the published version."""
+    from pyspark.sql import SparkSession
+
+    text = SparkSession.getActiveSession().read.text(f"{path}/{_CURRENT}", wholetext=True).first()
+    return f"{path}/{text[0].strip()}"
 
 
 def load_model(path: str):
+    """The published version of ``save_model``."""
     from pyspark.ml import PipelineModel
-    return PipelineModel.load(path)
+    return PipelineModel.load(current_version(path))
+
+
+def drop_versions(path: str) -> list[str]:
+    """Delete all versions but the published one; their names."""
+    from pyspark.sql import SparkSession
+
+    fs, new = _hadoop(SparkSession.getActiveSession(), path)
+    now = current_version(path).rsplit("/", 1)[1]
+    old = [s.getPath().getName() for s in fs.listStatus(new(path)) if s.getPath().getName().startswith("version-")]
+    old = [name for name in old if name != now]
+    for name in old:
+        fs.delete(new(f"{path}/{name}"), True)
+    return old

@@ -1,30 +1,34 @@
 """Cross-sectional statistics and series diagnostics (E3, E4, E7, F12, K1-K5,
 J1, J2).
 
-All statistics are exact (``percentile`` = linear interpolation between
-order statistics). Lagged products for ACF/CCF are equi-joins on a row
-index, so their cost is linear in rows x lags and they partition by the
-series key when one is given.
+All statistics are exact (quantiles interpolate linearly between order
+statistics, groups of any size). Lagged products and centred means work on
+blocks of a series with borders (``blocks``): no series is one task's work,
+and rows are not multiplied by lags.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fundlens.operators.blocks import lag_sums, positions, with_borders
+from fundlens.operators.quantiles import exact_quantiles
+
 
 def cross_section_median(df: DataFrame, col: str = "crecimiento_dia", dc: str = "fecha_corte",
                          name: str = "mean_creci") -> DataFrame:
     """One value per day: the median over funds (the index, E3)."""
-    return df.groupBy(dc).agg(F.percentile(col, 0.5).alias(name))
+    return exact_quantiles(df, [dc], col, [0.5]).select(dc, F.col("_q")[0].alias(name))
 
 
 def quantile_band(df: DataFrame, keys: Sequence[str], col: str,
                   qs: Sequence[float] = (0.25, 0.5, 0.75), names: Sequence[str] = ("q1", "q2", "q3")) -> DataFrame:
-    """Exact quantiles of ``col`` per group (E4), one aggregate pass."""
-    agg = df.groupBy(*keys).agg(F.percentile(col, list(qs)).alias("_q"))
+    """Exact quantiles of ``col`` per group (E4), of groups of any size."""
+    agg = exact_quantiles(df, keys, col, qs)
     return agg.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
 
@@ -46,35 +50,21 @@ def grouped_min_median(df: DataFrame, outer: str, inner: str, col: str) -> DataF
     return per.withColumn("mediana_emp", emp)
 
 
-def with_index(df: DataFrame, dc: str = "fecha_corte", by: Sequence[str] = (), name: str = "_i") -> DataFrame:
-    """Position of each row within its series (1-based), ordered by date."""
-    w = Window.partitionBy(*by).orderBy(dc) if by else Window.orderBy(dc)
-    return df.withColumn(name, F.row_number().over(w))
-
-
 def acf(df: DataFrame, col: str, lags: Sequence[int], dc: str = "fecha_corte",
         by: Sequence[str] = ()) -> DataFrame:
     """Sample autocorrelation at the given positional lags (K2).
 
     ``r_k = sum_t (x_t - m)(x_{t+k} - m) / sum_t (x_t - m)^2`` with ``m``
-    the series mean. Rows are paired by an equi-join on the row index.
-    Without ``by`` the input is one series of one row per day.
+    the series mean. Lagged products are summed inside blocks of the series
+    (``blocks``). Without ``by`` the input is one series of one row per day.
     """
-    x = df.select(*by, dc, F.col(col).alias("_x")).dropna(subset=["_x"])
-    x = with_index(x, dc, by)
+    x = positions(df.select(*by, dc, F.col(col).alias("_x")).dropna(subset=["_x"]), dc, by)
     if by:   # per-series means: a grouped aggregate joined on the series key
         x = x.join(x.groupBy(*by).agg(F.avg("_x").alias("_m")), list(by))
     else:    # one series: the mean is a scalar subquery
         x = x.withColumn("_m", x.agg(F.avg("_x")).scalar())
     x = x.withColumn("_d", F.col("_x") - F.col("_m"))
-    # each row meets each lag once: explode the lag list, then an equi-join
-    # on the row index pairs x_t with x_{t+k}
-    left = x.select(*by, "_i", F.col("_d").alias("_a"),
-                    F.explode(F.array(*[F.lit(int(k)) for k in lags])).alias("lag"))
-    left = left.withColumn("_j", F.col("_i") + F.col("lag"))
-    right = x.select(*by, F.col("_i").alias("_j"), F.col("_d").alias("_b"))
-    num = left.join(right, [*by, "_j"]).groupBy(*by, "lag").agg(
-        F.sum(F.col("_a") * F.col("_b")).alias("_num"))
+    num = lag_sums(x, {"_num": ("_d", "_d")}, lags, by)
     if by:
         denom = x.groupBy(*by).agg(F.sum(F.col("_d") * F.col("_d")).alias("_den"))
         out = num.join(denom, list(by))
@@ -91,22 +81,13 @@ def ccf(df: DataFrame, col: str, others: Sequence[str], lags: Sequence[int],
     population standard deviations, over rows complete in all columns.
     """
     cols = [col, *others]
-    x = df.select(dc, *cols).dropna()
-    x = with_index(x, dc)
+    x = positions(df.select(dc, *cols).dropna(), dc)
     # scalar subqueries over the same input (merged into one aggregate by the optimizer)
-    x = x.withColumns({"_n": x.agg(F.count(F.lit(1))).scalar(),
-                       **{f"_m_{c}": x.agg(F.avg(c)).scalar() for c in cols},
-                       **{f"_s_{c}": x.agg(F.stddev_pop(c)).scalar() for c in cols}})
-    x = x.withColumns({f"_d_{c}": F.col(c) - F.col(f"_m_{c}") for c in cols})
-    ys = x.select("_i", "_n", *[F.col(f"_d_{o}").alias(f"_y_{o}") for o in others],
-                  *[F.col(f"_s_{c}") for c in cols],
-                  F.explode(F.array(*[F.lit(int(k)) for k in lags])).alias("lag"))
-    ys = ys.withColumn("_j", F.col("_i") + F.col("lag"))
-    xs = x.select(F.col("_i").alias("_j"), F.col(f"_d_{col}").alias("_xd"))
-    pairs = ys.join(xs, "_j")
-    aggs = [F.try_divide(F.sum(F.col("_xd") * F.col(f"_y_{o}")) / F.first("_n"),
-                         F.first(f"_s_{col}") * F.first(f"_s_{o}")).alias(o) for o in others]
-    wide = pairs.groupBy("lag").agg(*aggs)
+    facts = {"_n": x.agg(F.count(F.lit(1))).scalar(), **{f"_s_{c}": x.agg(F.stddev_pop(c)).scalar() for c in cols}}
+    d = x.withColumns({f"_m_{c}": x.agg(F.avg(c)).scalar() for c in cols})
+    d = d.withColumns({f"_d_{c}": F.col(c) - F.col(f"_m_{c}") for c in cols})
+    sums = lag_sums(d, {f"_p_{o}": (f"_d_{col}", f"_d_{o}") for o in others}, lags).withColumns(facts)
+    wide = sums.select("lag", *[F.try_divide(F.col(f"_p_{o}") / F.col("_n"), F.col(f"_s_{col}") * F.col(f"_s_{o}")).alias(o) for o in others])
     return wide.unpivot("lag", list(others), "variable", "ccf")
 
 
@@ -115,16 +96,17 @@ def decompose(df: DataFrame, col: str, dc: str = "fecha_corte", period: int = 7,
     """Observed / trend / season / remainder (K1), moving-average form.
 
     Trend: centred mean over ``trend`` rows (NULL where the frame is not
-    full). Season: mean of the detrended value per position modulo
-    ``period``, centred to sum zero. Remainder: the rest.
+    full), in blocks with ``trend // 2`` border rows on either side. Season:
+    mean of the detrended value per position modulo ``period``, centred to
+    sum zero. Remainder: the rest.
     """
     half = trend // 2
-    x = with_index(df.select(*by, dc, F.col(col).alias("observed")), dc, by)
-    w = (Window.partitionBy(*by).orderBy(dc) if by else Window.orderBy(dc)).rowsBetween(-half, half)
-    x = x.withColumn("trend", F.when(F.count("observed").over(w) == 2 * half + 1, F.avg("observed").over(w)))
+    x = with_borders(positions(df.select(*by, dc, F.col(col).alias("observed")), dc, by), half, half)
+    w = Window.partitionBy(*by, "_block").orderBy("_i").rowsBetween(-half, half)
+    x = x.withColumn("trend", F.when(F.count("observed").over(w) == 2 * half + 1, F.avg("observed").over(w))).where("_own")
     x = x.withColumn("_phase", (F.col("_i") - 1) % period)
     phase = x.groupBy(*by, "_phase").agg(F.avg(F.col("observed") - F.col("trend")).alias("_s"))
-    wp = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    wp = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))       # ``period`` rows a series
     phase = phase.withColumn("season", F.col("_s") - F.avg("_s").over(wp)).drop("_s")
     # ``period`` rows per series: broadcast only for the single-series case
     out = x.join(phase if by else F.broadcast(phase), [*by, "_phase"], "left")
@@ -162,10 +144,27 @@ def seasonal_profile(df: DataFrame, col: str, feature: str, dc: str = "fecha_cor
 
 def pivot_wide(df: DataFrame, key: str, pivot_col: str, value: str, values: Sequence) -> DataFrame:
     """One row per key, one column per listed value (J1); explicit values
-    only -- long value lists belong in arrays (see ``cluster.fund_vectors``)."""
+    only, so no job looks for them."""
     return df.groupBy(key).pivot(pivot_col, list(values)).agg(F.first(value))
 
 
+def pivot_days(df: DataFrame, key: str, value: str, first: _dt.date, days: int, dc: str = "fecha_corte", prefix: str = "d_") -> DataFrame:
+    """One row per key, one column per calendar day (J1): ``d_0`` is ``first``, ``d_<n>`` the n-th day after it.
+    ``df`` has one row per key and day.
+
+    The days of a key become one array, by a single aggregate; its places
+    are found by date, so that a missing day is NULL. The columns are places
+    of that array: neither the aggregate nor its code grows with the days."""
+    at = F.date_diff(dc, F.lit(first))
+    rows = df.where((at >= 0) & (at < days)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col(value).alias("v")))).alias("_p"))
+    # fill the gaps: before each entry as many NULLs as days lie between it and the one before
+    none = F.lit(None).cast(df.schema[value].dataType)
+    gaps = F.transform("_p", lambda x, i: F.concat(
+        F.array_repeat(none, F.greatest(x["at"] - F.when(i == 0, F.lit(0)).otherwise(F.col("_p")[i - 1]["at"] + 1), F.lit(0)).cast("int")), F.array(x["v"])))
+    dense = rows.select(key, F.flatten(gaps).alias("_v"))
+    return dense.select(key, *[F.get("_v", F.lit(i)).alias(f"{prefix}{i}") for i in range(days)])
+
+
 def unpivot_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str = "name",
                  value: str = "value") -> DataFrame:
     """Columns -> (name, value) rows."""

@@ -30,7 +30,7 @@ NUM.update({"rent_brut_30", "q1", "q2", "q3", "mean_creci", "acf", "ccf", "obser
             "remainder", "value", "min", "max", "q25", "median", "q75", "mediana", "mediana_emp",
             "cercania", "conf_lo", "conf_hi", "dia_no_habil", "rmse", "coverage_90", "coverage_50",
             "age", "observed_flag", "creci_dia_filled", "scale", "creci_dia_scaled", "q05", "q95",
-            "crecimiento_dia_max_30", "crecimiento_dia_avg_30", "std", "rent", "co_association"})
+            "crecimiento_dia_max_30", "crecimiento_dia_avg_30", "std", "rent", "co_association"} | {f"d_{i}" for i in range(731)})
 
 
 def _macro(ctx):
@@ -199,7 +199,7 @@ DS_CTES = O.base5_chain() + [_TRM, _IPC, _FEST, """mb AS (SELECT cod, fecha_cort
   JOIN model_rows a ON a.cod = t.cod AND a.fecha_corte = cut.c + CAST((t.fecha_corte - cut.c) % 7 - 7 AS INTEGER))""",
     """naive1 AS (SELECT t.cod, t.fecha_corte, a.creci_dia AS mean FROM test t, cut
   JOIN model_rows a ON a.cod = t.cod AND a.fecha_corte = cut.c - 1)""",
-    """origins AS (SELECT CAST(cut.c - CAST(28 * k AS INTEGER) AS DATE) AS o FROM cut, range(1, 13) t(k))""",
+    """origins AS (SELECT CAST(cut.c - CAST(28 * k AS INTEGER) AS DATE) AS o FROM cut, range(1, 14) t(k))""",
     """nres AS (SELECT t.creci_dia - a.creci_dia AS r FROM model_rows t
   JOIN origins ON t.fecha_corte >= o AND t.fecha_corte < o + 28
   JOIN model_rows a ON a.cod = t.cod AND a.fecha_corte = o + CAST((t.fecha_corte - o) % 7 - 7 AS INTEGER))""",
@@ -233,9 +233,9 @@ def _naive(ctx, lag):
 
 
 def _naive_residuals(ctx):
-    """Errors of the weekly control on twelve windows before the test window."""
+    """Errors of the weekly control on thirteen windows before the test window, as in the source."""
     return ctx._cached(("naive_residuals",), lambda: FC.naive_residuals(
-        _model_rows(ctx), _test_start(ctx), folds=12).checkpoint(eager=True))
+        _model_rows(ctx), _test_start(ctx), folds=13).checkpoint(eager=True))
 
 
 def _future(ctx):
@@ -446,17 +446,19 @@ register("grouped_map", O.with_ctes(O.base5_chain(), sel(["cod", "trim", "n", "t
 
 # ============================== 2.11 reshape and report ==============================
 
+#: Days of the pivot's window: from 1 January of the year before last to the end of a second year, a leap day included.
+PIVOT_DAYS = 731
+
+
 @register("pivot_wide", O.with_ctes(O.base5_chain() + ["""lastw AS (SELECT cod, crecimiento_dia,
-  'd_' || CAST(datediff('day', fecha_corte, (SELECT max(fecha_corte) FROM base5)) + 1 AS VARCHAR) AS k
-  FROM base5 WHERE fecha_corte > (SELECT max(fecha_corte) FROM base5) - 7)"""],
-    "SELECT cod, " + ", ".join(f"{O.r8(f'max(CASE WHEN k = {chr(39)}d_{i}{chr(39)} THEN crecimiento_dia END)')} AS d_{i}"
-                               for i in range(1, 8)) + " FROM lastw GROUP BY cod"))
+  datediff('day', params.y1, fecha_corte) AS k FROM base5, params WHERE fecha_corte >= params.y1)"""],
+    "SELECT cod, " + ", ".join(f"{O.r8(f'max(CASE WHEN k = {i} THEN crecimiento_dia END)')} AS d_{i}"
+                               for i in range(PIVOT_DAYS)) + " FROM lastw GROUP BY cod"))
 def _pivot_wide(ctx):
-    b = ctx.base5()
-    last = b.agg(F.max("fecha_corte")).scalar()
-    w = b.where(F.col("fecha_corte") > F.date_sub(last, 7))
-    w = w.withColumn("k", F.concat(F.lit("d_"), (F.datediff(last, "fecha_corte") + 1).cast("string")))
-    return ST.pivot_wide(w, "cod", "k", "crecimiento_dia", [f"d_{i}" for i in range(1, 8)])
+    """Daily growth of the base funds, one column per calendar day since 1 January of the year before ``as_of``."""
+    since = ctx.years_back(1)
+    rows = ctx.base5().where(F.col("fecha_corte") >= F.lit(since))
+    return ST.pivot_days(rows, "cod", "crecimiento_dia", since, PIVOT_DAYS)
 
 
 _IDS = ["nombre_entidad", "fondo", "participacion"]
