@@ -28,8 +28,9 @@ def quantised(col: pa.ChunkedArray, dim: int, scale: float) -> np.ndarray:
     return np.floor(flat * scale).reshape(len(arr), dim)
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vecs: np.ndarray, k: int):
-    """Top k rows of ``vecs`` for each query: ``(query index, row, score)``.
+def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vecs: np.ndarray, k: int, most: int | None = None):
+    """Top k rows of ``vecs`` for each query: ``(query index, row, score)``;
+    with ``most``, rows with a larger absolute score are passed over.
 
     Exact while scores stay below 2^53 (float64 holds every integer there);
     beyond, Python integers are used."""
@@ -38,7 +39,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vecs: np.nda
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)
     peak = float(np.abs(q).max(initial=0)) * float(np.abs(vecs).max(initial=0)) * max(dim, 1)
     if peak >= 2.0 ** 52:
-        return _search_big(q_ids, q, ids, vecs, k)
+        return _search_big(q_ids, q, ids, vecs, k, most)
     cols = np.ascontiguousarray(vecs.T)                       # vertical layout
     cuts = list(range(0, dim, DIM_BLOCK)) + [dim]
     norms = lambda m: np.sqrt(np.concatenate(                 # noqa: E731  mass of the dimensions from each cut on
@@ -67,12 +68,13 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vecs: np.nda
     return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_s)
 
 
-def _search_big(q_ids, q, ids, vecs, k):
+def _search_big(q_ids, q, ids, vecs, k, most):
     exact = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
     qi, vi = exact(q), exact(vecs)
     out = []
     for i in range(len(qi)):
         best = sorted((-int(vi[r] @ qi[i]) if len(qi[i]) else 0, int(ids[r]), r) for r in np.flatnonzero(ids != q_ids[i]))
+        best = [x for x in best if most is None or abs(x[0]) <= most]
         out += [(i, r, -s) for s, _, r in best[:k]]
     cols = list(zip(*out)) or [[], [], []]
     return np.array(cols[0], np.int64), np.array(cols[1], np.int64), np.array(cols[2], object)
@@ -86,7 +88,9 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
 
     * vectors that are null or hold null, NaN or infinite components, and
       rows with a null id, take no part;
+    * so does a vector with a component that is infinite once scaled;
     * only vectors of the query's own length are compared with it;
+    * a pair whose score does not fit a long takes no part;
     * rows that share the query's id count as its own row and are left out;
       a query id that occurs in several rows gives the best of them all;
     * other columns are ignored; an empty table gives an empty result.
@@ -95,7 +99,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     with the table, only the number of block pairs does.
     """
     x = c(vec_col)
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * scale) != float("inf")))
     rows = df.where(c(id_col).isNotNull() & x.isNotNull() & finite)
     vecs = rows.select(c(id_col).cast("long").alias("id"), x.cast("array<double>").alias("v"), F.size(x).alias("dim"),
                        F.monotonically_increasing_id().alias("at"), is_query.alias("q"))
@@ -116,7 +120,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
         if not cand.num_rows or not quer.num_rows:
             return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
         ids, q_ids = cand["id"].to_numpy(), quer["id"].to_numpy()
-        qi, ri, s = search_block(q_ids, quantised(quer["v"], dim, scale), ids, quantised(cand["v"], dim, scale), k)
+        qi, ri, s = search_block(q_ids, quantised(quer["v"], dim, scale), ids, quantised(cand["v"], dim, scale), k, (1 << 63) - 1)
         return pa.table({"query_id": pa.array(q_ids[qi]), "vec_id": pa.array(ids[ri]),
                          "score": pa.array([int(v) for v in s], pa.int64())})
 

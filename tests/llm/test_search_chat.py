@@ -20,7 +20,7 @@ def best(rows, k, scale=256):
         for qi, qv in vecs:
             if qi == q:
                 for at, (i, v) in enumerate(vecs):
-                    if i != q and len(v) == len(qv):
+                    if i != q and len(v) == len(qv) and abs(sum(a * b for a, b in zip(qv, v))) < 1 << 63:
                         s = sum(a * b for a, b in zip(qv, v))
                         found[at] = max(found.get(at, (s, -i)), (s, -i))
         for rank, (s, i) in enumerate(sorted(found.values(), reverse=True)[:k], 1):
@@ -34,10 +34,10 @@ def test_top_k(spark, blocks):
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(40)]) for i in range(150)]
     rows += [(i, rows[7][1]) for i in range(200, 230)]                         # ties
     rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 40), (350, [float("inf")] * 40), (None, rows[0][1]),
-             (400, [0.5, 0.25]), (401, [0.5, -0.25]), (450, []), (451, []), (7, rows[7][1]), (500, [1e30] * 2)]
-    df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows if i != 500], "vec_id long, embedding array<double>, rank int, score double")
+             (400, [0.5, 0.25]), (401, [0.5, -0.25]), (450, []), (451, []), (7, rows[7][1]), (500, [1e30] * 2), (550, [2.0 ** 20] * 2), (600, [1e307] * 2)]
+    df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows], "vec_id long, embedding array<double>, rank int, score double")
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, k=5, query_block=blocks[0], row_block=blocks[1]).collect()
-    assert {tuple(r) for r in got} == best([r for r in rows if r[0] != 500], 5)
+    assert {tuple(r) for r in got} == best([r for r in rows if r[0] != 600], 5)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 

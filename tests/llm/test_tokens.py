@@ -118,6 +118,22 @@ def test_plan_uses_every_piece_once(capacity, seed):
     assert packing.plan({}, capacity) == []
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_every_solve_prices_and_proves_its_bound(seed):
+    """Also where the first filling is good: the generation ends on the dual bound only."""
+    rnd = random.Random(seed)
+    for capacity, sizes in ((2048, [rnd.randrange(1, 2048) for _ in range(900)]), (300, [rnd.choice([110, 120, 155, 80]) for _ in range(500)]),
+                            (100, [1] * 1000), (1000, [rnd.randrange(200, 900) for _ in range(700)])):
+        histogram = {s: sizes.count(s) for s in set(sizes)}
+        trace = []
+        plan = packing.solve_patterns(histogram, capacity, trace=trace)
+        total, bound = trace[-1]
+        assert trace and total <= bound * (1 + packing.GAP)
+        assert sum(v for _, v in plan) == pytest.approx(total)
+        for s, n in histogram.items():
+            assert sum(p.get(s, 0) * v for p, v in plan) == pytest.approx(n, rel=1e-6)
+
+
 def test_column_generation_reaches_the_bound():
     """Three lengths whose greedy patterns waste space: the program must mix them."""
     solved = packing.solve_patterns({6: 100, 5: 200, 4: 100}, 15)
