@@ -316,30 +316,36 @@ def forecast_recursive(ds: DataFrame, horizon: int = HORIZON, lags: Sequence[int
     """
     feats, cols = model_features(ds, lags, key, dc, target)
     lr = fit_recursive(feats, cols, target).stages[-1]
-    coef = dict(zip(cols, [float(c) for c in lr.coefficients]))
-
+    weights = F.array(*[F.lit(float(v)) for v in (lr.intercept, *lr.coefficients)])
     hist = ds.where(F.col(target).isNotNull())
     last = hist.groupBy(key).agg(F.max(dc).alias("_last"), F.count(F.lit(1)).alias("_n"))
-    recent = (hist.join(last, key).where(F.col(dc) > F.date_sub("_last", max(lags)))
-              .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(dc, target))).alias("_past")))
-    future = ds.where(F.col(target).isNull()).join(last, key)
-    known = F.lit(float(lr.intercept)) + coef["age"] * F.log10(F.lit(2.0) + F.col("_n") + F.datediff(dc, "_last") - 1)
-    future = calendar_features(future, dc)
+    recent = hist.join(last, key).where(F.col(dc) > F.date_sub("_last", max(lags)))
+    future = ds.where(F.col(target).isNull()).join(last, key).withColumn("_w", weights)
+    return _recursive_paths(recent, future, [key], cols, lags, dc, target)
+
+
+def _recursive_paths(recent: DataFrame, future: DataFrame, by: Sequence[str], cols: Sequence[str], lags: Sequence[int],
+                     dc: str, target: str) -> DataFrame:
+    """``(by, date, mean)``: the steps of every group of ``future`` rows (with ``_last``, ``_n`` and the weights
+    ``_w``: the intercept, then ``cols``), started from its ``recent`` rows; one ``aggregate`` per group."""
+    weight = {c: F.col("_w")[i] for i, c in enumerate(cols, 1)}
+    known = F.col("_w")[0] + weight["age"] * F.log10(F.lit(2.0) + F.col("_n") + F.datediff(dc, "_last") - 1)
     for c in COVARIATES + CALENDAR:
-        known = known + coef[c] * F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    steps = future.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(dc), known.alias("known")))).alias("_steps"))
+        known = known + weight[c] * F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    steps = calendar_features(future, dc).groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(dc), known.alias("known")))).alias("_steps"), F.first("_w").alias("_w"))
+    past = recent.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(dc, target))).alias("_past"))
 
     def step(values: Column, row: Column) -> Column:
         y = row["known"]
         for n in lags:
-            y = y + coef[f"lag_{n}"] * F.coalesce(F.try_element_at(values, F.lit(-n)), F.lit(0.0))
+            y = y + weight[f"lag_{n}"] * F.coalesce(F.try_element_at(values, F.lit(-n)), F.lit(0.0))
         return F.concat(values, F.array(y))
 
-    past = F.transform("_past", lambda p: p[target].cast("double"))
-    path = F.aggregate("_steps", past, step)
-    out = steps.join(recent, key).select(key, "_steps", F.slice(path, F.size("_past") + 1, F.size("_steps")).alias("_y"))
-    return out.select(key, F.explode(F.arrays_zip(F.col("_steps")[dc].alias(dc), F.col("_y").alias("mean"))).alias("_r")).select(
-        key, F.col("_r")[dc].alias(dc), F.col("_r")["mean"].alias("mean"))
+    path = F.aggregate("_steps", F.transform("_past", lambda p: p[target].cast("double")), step)
+    out = steps.join(past, list(by)).select(*by, "_steps", F.slice(path, F.size("_past") + 1, F.size("_steps")).alias("_y"))
+    return out.select(*by, F.explode(F.arrays_zip(F.col("_steps")[dc].alias(dc), F.col("_y").alias("mean"))).alias("_r")).select(
+        *by, F.col("_r")[dc].alias(dc), F.col("_r")["mean"].alias("mean"))
 
 
 def fold_bounds(rows: DataFrame, folds: int = 13, assess: int = HORIZON, skip: int = HORIZON,
@@ -427,7 +433,7 @@ def backtest(ds: DataFrame, folds: int = 13, horizon: int = HORIZON, kind: str =
 
     ``kind='linear'`` solves all folds from one aggregate pass and predicts
     all windows in one join; ``kind='gbt'`` fits one Spark ML model per fold;
-    ``kind='recursive'`` fits and runs the one-step model (M7) per fold.
+    ``kind='recursive'`` fits and runs the one-step model (M7) of all folds in one pass.
     """
     rows = ds.where(F.col(target).isNotNull())
     if kind == "recursive":
@@ -477,15 +483,25 @@ def masked(rows: DataFrame, start: _dt.date, horizon: int = HORIZON, dc: str = "
 
 
 def _backtest_recursive(rows: DataFrame, folds: int, horizon: int, key: str, dc: str, target: str) -> DataFrame:
-    actual = rows.select(key, dc, F.col(target).alias("actual"))
-    out = None
-    for k, start, _ in fold_bounds(rows, folds, horizon, horizon, dc):
-        pred = forecast_recursive(masked(rows, start, horizon, dc, target), horizon, key=key, dc=dc, target=target)
-        part = pred.join(actual, [key, dc]).select(
-            F.lit("recursive_linear").alias("model"), F.lit(k).alias("fold"), key, dc,
-            (F.datediff(dc, F.lit(start)) + 1).alias("h"), "mean", "actual")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All windows in one pass: the coefficients of every fold from one grouped aggregate, the paths of every
+    (fund, fold) from another. Equal to ``forecast_recursive`` on the days before each window."""
+    spark = rows.sparkSession
+    feats, cols = model_features(rows, RECURSIVE_LAGS, key, dc, target)
+    feats = feats.checkpoint(eager=True)
+    bounds = fold_bounds(rows, folds, horizon, horizon, dc)
+    weights = spark.createDataFrame(_linear_fold_coefficients(feats, cols, bounds, dc, target, ridge=1e-13), "fold int, _w array<double>")
+    starts = spark.createDataFrame([(k, s) for k, s, _ in bounds], "fold int, _start date")
+    # a fund's days before each window: a training bucket counts for the folds up to its number
+    buckets = rows.groupBy(key, _train_bucket(dc, bounds).alias("_b")).agg(F.max(dc).alias("_last"), F.count(F.lit(1)).alias("_n")).where("_b > 0")
+    seen = (buckets.withColumn("fold", F.explode(F.sequence(F.lit(1), "_b"))).groupBy(key, "fold")
+            .agg(F.max("_last").alias("_last"), F.sum("_n").alias("_n")))
+    recent = rows.join(seen.select(key, "fold", "_last"), key).where(
+        (F.col(dc) <= F.col("_last")) & (F.col(dc) > F.date_sub("_last", max(RECURSIVE_LAGS))))
+    test = rows.withColumn("fold", _fold_of(dc, bounds)).where(F.col("fold").isNotNull())
+    future = test.join(seen, [key, "fold"]).join(F.broadcast(weights), "fold")
+    pred = _recursive_paths(recent, future, [key, "fold"], cols, RECURSIVE_LAGS, dc, target)
+    return pred.join(test.select(key, "fold", dc, F.col(target).alias("actual")), [key, "fold", dc]).join(F.broadcast(starts), "fold").select(
+        F.lit("recursive_linear").alias("model"), "fold", key, dc, (F.datediff(dc, "_start") + 1).alias("h"), "mean", "actual")
 
 
 MODELS = ("direct_linear", "direct_gbt", "recursive_linear", "seasonal_naive")

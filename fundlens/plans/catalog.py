@@ -2,8 +2,9 @@
 DuckDB oracle SQL. Every query reads the driver tables through the
 stand-in adapter, so its work grows with them.
 
-Query outputs round doubles to 8 decimals (the oracle does the same) so
-that last-bit differences between engines do not count as mismatches.
+``QUERIES`` round doubles to 8 decimals (the oracle does the same) so that
+last-bit differences between engines do not count as mismatches; ``FULL``
+holds the same queries in full precision.
 """
 
 from __future__ import annotations
@@ -18,16 +19,21 @@ from fundlens.plans import oracle as O
 from fundlens.plans.context import Ctx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FULL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
     def deco(fn: Callable[[Ctx], DataFrame]):
+        def full(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(Ctx(spark, sf_dir))
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return round_doubles(fn(Ctx(spark, sf_dir)))
+            return round_doubles(full(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        FULL[name] = full
         if sql is not None:
             SQL[name] = sql
         return fn

@@ -269,3 +269,21 @@ def test_constant_series_gives_null_not_error(spark):
     assert FC.standardize(df, ["v"]).first()["v"] is None
     assert ST.acf(df, "v", [1]).first()["acf"] is None
     assert ST.ccf(df, "v", ["w"], [0]).first()["ccf"] is None
+
+
+def test_recursive_windows_in_one_pass_equal_one_window_at_a_time(spark):
+    rnd = random.Random(12)
+    days = 200
+    rows = [(f"f{f}", D(2021, 1, 1) + dt.timedelta(days=i), rnd.gauss(0, 1) + (i % 7) * 0.1, rnd.gauss(0, 1), float(i % 30), float(i % 7 > 4))
+            for f in range(4) for i in range(0 if f < 3 else 90, days - (10 if f == 2 else 0))]
+    ds = spark.createDataFrame(rows, "cod string, fecha_corte date, creci_dia double, trm double, ipc double, dia_no_habil double").checkpoint()
+    got = {(r["fold"], r["cod"], r["fecha_corte"]): r for r in FC.backtest(ds, 3, 28, "recursive").collect()}
+    want = 0
+    for k, start, _ in FC.fold_bounds(ds, 3, 28, 28):
+        alone = FC.forecast_recursive(FC.masked(ds, start, 28), 28)
+        for r in alone.join(ds, ["cod", "fecha_corte"]).collect():
+            mine = got[k, r["cod"], r["fecha_corte"]]
+            assert mine["mean"] == pytest.approx(r["mean"], abs=1e-9) and mine["actual"] == r["creci_dia"]
+            assert mine["h"] == (r["fecha_corte"] - start).days + 1
+            want += 1
+    assert want == len(got) > 200
