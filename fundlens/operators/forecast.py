@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundlens.functions.dates import is_weekend
+from fundlens.operators import boosting
 from fundlens.operators.quantiles import exact_quantiles
 from fundlens.sources.landed import holidays, macro_daily, macro_monthly
 
@@ -277,22 +278,25 @@ def model_features(ds: DataFrame, lags: Sequence[int], key: str = "cod", dc: str
     return out, lag_cols + COVARIATES + CALENDAR + ["age"]
 
 
-def fit_direct(train: DataFrame, feature_cols: Sequence[str], kind: str = "gbt", seed: int = 4981,
-               target: str = "creci_dia"):
+def _vector(cols: Sequence[str]) -> Column:
+    return F.array(*[F.col(c).cast("double") for c in cols]).alias("x")
+
+
+def fit_direct(train: DataFrame, feature_cols: Sequence[str], kind: str = "gbt", target: str = "creci_dia"):
     """Global direct model (M6): features only use lags >= horizon, so one
-    fitted model serves all 28 steps. ``kind``: ``gbt`` or ``linear``."""
+    fitted model serves all 28 steps. ``kind``: ``gbt`` (``boosting``) or ``linear``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, LinearRegression
+    from pyspark.ml.regression import LinearRegression
 
-    asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
-    if kind == "gbt":
-        reg = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="mean",
-                           maxDepth=4, maxIter=30, seed=seed)
-    else:
-        reg = LinearRegression(featuresCol="features", labelCol=target, predictionCol="mean",
-                               regParam=0.0, solver="normal")
     rows = train.where(F.col(target).isNotNull())
+    if kind == "gbt":
+        data = rows.select(_vector(feature_cols), F.col(target).alias("y"), F.lit(1).alias("b"))
+        edges = boosting.feature_edges(data, len(feature_cols))
+        return boosting.as_pipeline(boosting.fit_folds(data, 1, edges)[0], feature_cols)
+    asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
+    reg = LinearRegression(featuresCol="features", labelCol=target, predictionCol="mean",
+                           regParam=0.0, solver="normal")
     return Pipeline(stages=[asm, reg]).fit(rows)
 
 
@@ -432,7 +436,7 @@ def backtest(ds: DataFrame, folds: int = 13, horizon: int = HORIZON, kind: str =
     ``(model, fold, cod, fecha_corte, h, mean, actual)``.
 
     ``kind='linear'`` solves all folds from one aggregate pass and predicts
-    all windows in one join; ``kind='gbt'`` fits one Spark ML model per fold;
+    all windows in one join; ``kind='gbt'`` grows the boosted models of all folds together, a pass per tree level;
     ``kind='recursive'`` fits and runs the one-step model (M7) of all folds in one pass.
     """
     rows = ds.where(F.col(target).isNotNull())
@@ -457,15 +461,12 @@ def backtest(ds: DataFrame, folds: int = 13, horizon: int = HORIZON, kind: str =
             F.lit("direct_linear").alias("model"), "fold", key, dc, "h", dot.alias("mean"),
             F.col(target).alias("actual"))
     else:
-        parts = []
-        for k, start, end in bounds:
-            model = fit_direct(feats.where(F.col(dc) < F.lit(start)), cols, kind)
-            part = model.transform(test.where(F.col("fold") == k))
-            parts.append(part.select(F.lit(f"direct_{kind}").alias("model"), "fold", key, dc, "h", "mean",
-                                     F.col(target).alias("actual")))
-        direct = parts[0]
-        for p in parts[1:]:
-            direct = direct.unionByName(p)
+        data = feats.select(_vector(cols), F.col(target).alias("y"), _train_bucket(dc, bounds).alias("b")).checkpoint(eager=True)
+        # bins from the rows that train every fold: no window is looked into
+        edges = boosting.feature_edges(data.where(F.col("b") == data.agg(F.max("b")).scalar()), len(cols))
+        models = boosting.fit_folds(data, len(bounds), edges)
+        direct = boosting.predict_folds(test.select("fold", key, dc, "h", F.col(target).alias("actual"), _vector(cols)), models)
+        direct = direct.select(F.lit(f"direct_{kind}").alias("model"), "fold", key, dc, "h", "mean", "actual")
 
     # seasonal naive: the last observed week before the window, repeated
     src = test.withColumn("_src", F.date_add("_start", ((F.col("h") - 1) % 7) - 7))
