@@ -9,9 +9,9 @@
 3. A pair's Jaccard similarity is estimated from equal registers, corrected
    for registers that agree by chance; pairs far below the threshold go.
 4. The rest are verified on the full shingle sets; verified links form
-   components. Members of a bucket that ended in another component than its
-   pivot are settled exactly, whatever the bucket's size: a link that is left
-   needs shingles outside the pivot's set that both have (``_open_pairs``).
+   components. Where members of a bucket ended in another component than its
+   pivot, its members are settled by an exact prefix filter between components,
+   whatever the bucket's size (``_open_pairs``).
 """
 
 from __future__ import annotations
@@ -184,44 +184,41 @@ class _Search:
         return self.scratch.written(both.where(100 * F.col("i") >= self.percent * (F.col("s") - F.col("i"))).select("a", "b").distinct(), "edges")
 
 
-def _open_pairs(members: DataFrame, minor: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs of a bucket that can still be links, without pairing a bucket's
-    members with each other.
+def _open_pairs(nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``(a, b)``, with repeats: pairs of ``nodes`` (node, root) of different
+    roots that can be links, by an exact prefix filter.
 
-    ``members`` (pivot, node) are the buckets' members, ``minor`` those that
-    are not linked with their pivot p. Sets x and y are a link only if
-    (100 + percent) * |x & y| >= percent * (|x| + |y|). What x and y share
-    lies in p, at most min(|x & p|, |y & p|), or is one of the shingles
-    outside p that occur in several sets. A minor x lacks k of these for
-    the smallest y: y shares one of its rarest such shingles, all but k - 1
-    of them. For a y so small that k is 0, sizes alone select it.
+    Two sets x and y, x not the smaller, are a link only if they share
+    percent * (|x| + |y|) / (100 + percent) shingles. What they share occurs
+    under several roots: only such shingles count, in one order for all sets,
+    rare ones first. From the first shared one on, x and y must each have that
+    many left. As |y| <= |x|, this leaves y few shingles to be met under, in
+    the class of its size, and a shingle of x gives the largest |y| and so the
+    classes to look into. Copies that are linked already have one root and
+    are not joined at all; sets with many shingles of their own have too few left.
     """
-    own = sets.select(F.col("digest").alias("node"), F.col("elements").alias("e"))
-    whole = sets.select(F.col("digest").alias("pivot"), F.col("elements").alias("e_p"))
-    info = members.where("node != pivot").join(own, "node").join(whole, "pivot")
-    info = scratch.written(info.select("pivot", "node", F.size("e").alias("n"), F.size(F.array_intersect("e", "e_p")).alias("i"),
-                               F.array_except("e", "e_p").alias("rest")), "info")
-    common = scratch.written(sets.select(F.explode("elements").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "common")
-    per_set = Window.partitionBy("pivot", "node")
-    rest = info.select("pivot", "node", "n", "i", F.explode("rest").alias("s")).join(common, "s")
-    rest = scratch.written(rest.withColumns({"at": F.row_number().over(per_set.orderBy("c", "s")), "more": F.count(F.lit(1)).over(per_set)}), "rest")
-    smallest = info.groupBy("pivot").agg(F.min("n").alias("smallest"))
-    minor = scratch.written(info.select("pivot", "node", "n", "i").join(minor, ["pivot", "node"], "left_semi").join(smallest, "pivot"), "minor")
-    side = lambda df, t: df.select("pivot", *[F.col(x).alias(f"{x}_{t}") for x in df.columns if x != "pivot"])
-    sizes_fit = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    need = percent * (F.col("n_x") + F.col("n_y"))
-    lacks = F.greatest(F.lit(1), F.ceil(percent * (F.col("n") + F.col("smallest")) / (100 + percent)).cast("int") - F.col("i"))
-    rare = (rest.join(minor.select("pivot", "node", lacks.alias("k")), ["pivot", "node"]).where(F.col("at") <= F.col("more") - F.col("k") + 1)
-            .select("pivot", "node", "n", "i", "s", "more"))
-    by_shingle = (side(rare, "x").withColumnRenamed("s_x", "s").join(
-        side(rest.select("pivot", "node", "n", "i", "s", "more"), "y").withColumnRenamed("s_y", "s"), ["pivot", "s"])
-        .where((F.col("node_x") != F.col("node_y")) & sizes_fit
-               & ((100 + percent) * (F.least("i_x", "i_y") + F.least("more_x", "more_y")) >= need)))
-    reach = minor.where((100 + percent) * F.col("i") >= percent * (F.col("n") + F.col("smallest"))).select("pivot", "node", "n", "i")
-    by_size = (side(reach, "x").join(side(info.select("pivot", "node", "n", "i"), "y"), "pivot")
-               .where((F.col("node_x") != F.col("node_y")) & sizes_fit & ((100 + percent) * F.least("i_x", "i_y") >= need)))
-    pairs = by_shingle.select("node_x", "node_y").union(by_size.select("node_x", "node_y"))
-    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    numbers = scratch.written(nodes.select("root").distinct().select("root", F.monotonically_increasing_id().alias("r")), "roots")
+    own = nodes.join(numbers, "root").join(sets.select(F.col("digest").alias("node"), F.col("elements").alias("e")), "node")
+    items = scratch.written(own.select("node", "r", F.size("e").cast("long").alias("n"), F.explode("e").alias("s")), "items")
+    common = (items.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+              .where("lo != hi").select("s", "c"))
+    per_set = Window.partitionBy("node")
+    placed = items.join(common, "s").withColumns({"at": F.row_number().over(per_set.orderBy("c", "s")),
+                                                  "more": F.count(F.lit(1)).over(per_set)})
+    placed = scratch.written(placed.select("node", "r", "n", "s", (F.col("more") - F.col("at") + 1).alias("left")), "placed")
+    step = math.log(100 / percent) / 8 if percent < 100 else 1.0
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / step).cast("int")      # noqa: E731
+    least = F.ceil(percent * F.col("n") / 100)
+    most = F.least(F.col("n"), F.floor((100 + percent) * F.col("left") / percent) - F.col("n"))
+    x = (placed.select("node", "r", "n", "s", "left", least.alias("least"), most.alias("most")).where("least <= most")
+         .select(F.col("node").alias("a"), F.col("r").alias("r_a"), F.col("n").alias("n_a"), "s", F.col("left").alias("left_a"), "least", "most",
+                 F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most")))).alias("g")))
+    y = (placed.where((100 + percent) * F.col("left") >= 2 * percent * F.col("n"))
+         .select(F.col("node").alias("b"), F.col("r").alias("r_b"), F.col("n").alias("n_b"), "s", F.col("left").alias("left_b"), size_class(F.col("n")).alias("g")))
+    return (x.join(y, ["s", "g"])
+            .where((F.col("r_a") != F.col("r_b")) & F.col("n_b").between(F.col("least"), F.col("most"))
+                   & ((100 + percent) * F.col("left_b") >= percent * (F.col("n_a") + F.col("n_b"))))
+            .select("a", "b"))
 
 
 def _labelled(df: DataFrame, key: str, labels: DataFrame | None, out: str) -> DataFrame:
@@ -291,15 +288,15 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     # Buckets whose members ended in several components: of two unlinked members one at least is outside the
     # pivot's component.
     placed = _labelled(_labelled(met, "node", labels, "root"), "pivot", labels, "pivot_root")
-    minor = scratch.written(placed.where("root != pivot_root").select("key", "node", "pivot"), "minor")
-    if not minor.isEmpty():
-        members = met.join(minor.select("key").distinct(), "key", "left_semi").select("pivot", "node").distinct()
-        members = scratch.written(members, "members")
-        sets = search.sets_of(members.select("node").union(members.select(F.col("pivot").alias("node"))).distinct())
-        pairs = _open_pairs(members, minor.select("pivot", "node").distinct(), sets, percent, scratch)
+    placed = scratch.written(placed.select("key", "node", "root", (F.col("root") != F.col("pivot_root")).alias("minor")), "minor")
+    open_keys = placed.where("minor").select("key").distinct()
+    if not open_keys.isEmpty():
+        nodes = scratch.written(placed.join(open_keys, "key", "left_semi").select("node", "root").distinct(), "members")
+        sets = search.sets_of(nodes.select("node"))
+        pairs = _open_pairs(nodes, sets, percent, scratch)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         tested = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = _labelled(_labelled(pairs, "a", labels, "root_a"), "b", labels, "root_b").where("root_a != root_b")
-        more = search.verify(search.estimate(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")), sets)
+        more = search.verify(search.estimate(pairs.join(tested, ["a", "b"], "left_anti")), sets)
         if not more.isEmpty():
             labels = components(edges.union(more), scratch)
 

@@ -58,6 +58,50 @@ def test_near_dedup_settles_a_bucket_without_a_common_link(spark):
     assert got == {i: want[k][1] for k, (i, _) in enumerate(rows)}
 
 
+def open_pairs(spark, sets, roots, percent):
+    """Joined rows of ``_open_pairs`` for sets of integers."""
+    name = [k.to_bytes(4, "big") for k in range(len(sets))]
+    nodes = spark.createDataFrame([(name[k], name[r]) for k, r in enumerate(roots)], "node binary, root binary")
+    table = spark.createDataFrame([(name[k], sorted(s)) for k, s in enumerate(sets)], "digest binary, elements array<long>")
+    found = minhash._open_pairs(nodes, table, percent, Scratch()).collect()
+    return [tuple(sorted(int.from_bytes(bytes(v), "big") for v in r)) for r in found]
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_open_pairs_lose_no_link(spark, percent):
+    """Every link between different roots is among the pairs, ties at the threshold included."""
+    rnd = random.Random(percent)
+    sets = []
+    for g in range(6):
+        base = rnd.sample(range(g * 40, g * 40 + 90), rnd.choice([1, 4, 9, 36, 45]))
+        for _ in range(12):
+            keep = rnd.sample(base, max(1, len(base) - rnd.randrange(0, 1 + len(base) // 4)))
+            sets.append(set(keep) | set(rnd.sample(range(1000), rnd.randrange(0, 1 + len(base) // 9))))
+    roots = [rnd.randrange(len(sets)) if rnd.random() < 0.5 else 3 for _ in sets]
+    got = set(open_pairs(spark, sets, roots, percent))
+    want = {(x, y) for y in range(len(sets)) for x in range(y) if roots[x] != roots[y]
+            and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y])}
+    assert want and want <= got and all(roots[x] != roots[y] for x, y in got)
+
+
+def test_open_pairs_of_a_hot_text_grow_with_its_members(spark):
+    """2,000 excerpts of one text, and 2,000 copies with words of their own: of 4 million pairs, no more rows are joined
+    than a member has shingles that it is met under (20 of 100)."""
+    rnd = random.Random(5)
+    starts = sorted(rnd.randrange(4000) for _ in range(2000))
+    sets = [set(range(s, s + 100)) for s in starts]              # neighbours are linked: a new root where the distance is too large
+    roots = [0] * 2000
+    for k in range(1, 2000):
+        roots[k] = roots[k - 1] if starts[k] - starts[k - 1] <= 11 else k
+    sets.append(set(range(4100)))                                # the text itself is linked with none of them
+    roots.append(2000)
+    other = [set(rnd.sample(range(10_000, 10_100), 85)) | {20_000 + 20 * k + j for j in range(15)} for k in range(2000)]
+    shift = len(sets)
+    got = open_pairs(spark, sets + other, roots + [shift + k for k in range(2000)], 80)
+    assert len(got) <= 20 * (len(sets) + len(other))
+    assert not [p for p in got if p[1] >= shift]                 # no two of the copies are joined
+
+
 def test_registers_estimate_similarity():
     rnd = np.random.default_rng(3)
     a = np.unique(rnd.integers(0, 2 ** 63, 2000, dtype=np.int64).view(np.uint64))
