@@ -84,3 +84,27 @@ def test_few_rows(spark):
     df = spark.createDataFrame([([1.0, float("nan")], 3.0, 1), ([1.0, 2.0], None, 1)], "x array<double>, y double, b int")
     one, none = B.fit_folds(df, 2, B.feature_edges(df, 2), trees=2)
     assert one.predict(np.zeros((1, 2), int))[0] == 3.0 and none.predict(np.zeros((1, 2), int))[0] == 0.0
+
+
+def test_passes_take_the_smaller_sides_of_few_tasks(data, monkeypatch):
+    df, _, _, _ = data
+    asked = []
+    summed = B.summed
+
+    def spy(rows, part, size):
+        asked.append((rows.rdd.getNumPartitions(), size))
+        return summed(rows, part, size)
+
+    monkeypatch.setattr(B, "summed", spy)
+    edges = B.feature_edges(df, 3, 8)
+    B.fit_folds(df, 3, edges, trees=2, depth=3)
+    width = max(len(e) for e in edges) + 1
+    node = 3 * width * 2
+    # a level asks for at most one histogram per split of the level above: 1, 1 and 2 nodes a fold, not 1, 2 and 4
+    assert [size // node // 3 for _, size in asked[1:]] == [1, 1, 2] * 2
+    # 240 rows are one task's work, and more rows are dealt by their number
+    assert {n for n, _ in asked} == {1}
+    monkeypatch.setattr(B, "TASK_ROWS", 50)
+    asked.clear()
+    B.fit_folds(df, 3, edges, trees=1, depth=1)
+    assert asked[0][0] == 4
