@@ -12,6 +12,8 @@ among those of equal length: rank ranges map to sequence and offset.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from bisect import bisect_right, insort
 from functools import lru_cache
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundlens.llm.common import arrow_map, c, partitions, text_steps, written
-from fundlens.llm.words import WordEncoder
+from fundlens.llm.words import LIMIT, WordEncoder
 
 STEP = 1 << 19
 #: Column generation ends when its dual bound proves the plan to be within this share of the optimum.
@@ -36,14 +38,32 @@ def _encoder(path: str) -> WordEncoder:
     """The library's encoder behind a store of words, one per Python worker."""
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")       # a task has one core
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
     specials = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
+    suffix = json.loads(tok.to_str())["model"].get("end_of_word_suffix")
+    last = np.zeros(max([*tok.get_vocab().values(), *specials.values()], default=0) + 1, bool)
+    if suffix:
+        last[[i for t, i in tok.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+
+    def apart(words: list[str]) -> list[list[int]]:
+        return [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode(words: list[str]) -> list[list[int]]:
-        # an encoding holds far more than its ids: few at a time
-        return [e.ids for k in range(0, len(words), 4096) for e in tok.encode_batch_fast(words[k:k + 4096], add_special_tokens=False)]
+        # words below U+0250 as one text, each ending at its token with the suffix; few at a time: an encoding holds far more than its ids
+        out = []
+        for k in range(0, len(words), 4096):
+            some = words[k:k + 4096]
+            text = " ".join(some)
+            if not suffix or len(some) < 2 or max(text) >= chr(LIMIT):
+                out += apart(some)
+                continue
+            [ids] = apart([text])
+            ends = (np.flatnonzero(last[ids]) + 1).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(some) else apart(some)
+        return out
 
     return WordEncoder(encode, specials)
 

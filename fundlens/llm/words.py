@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -87,6 +88,57 @@ def split_safe(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return low, starts[word], ends[word]
 
 
+class Numbers:
+    """Numbers from 0 on for distinct 64-bit hashes, looked up and added many
+    at a time (open addressing, at most half full)."""
+
+    def __init__(self, keys: np.ndarray | None = None):
+        self.keys = np.zeros(1 << 14, np.uint64)                         # in the order of their numbers
+        self.used = 0
+        self._empty(1 << 15)
+        if keys is not None:
+            self.add(keys)
+
+    def __len__(self) -> int:
+        return self.used
+
+    def _empty(self, size: int):
+        self.key, self.number, self.mask = np.zeros(size, np.uint64), np.full(size, -1, np.int32), np.uint64(size - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        live, place = np.arange(len(keys)), keys & self.mask
+        while len(live):
+            number, same = self.number[place], self.key[place] == keys
+            taken = number >= 0
+            hit = np.flatnonzero(taken & same)
+            out[live[hit]] = number[hit]
+            on = np.flatnonzero(taken & ~same)
+            live, keys, place = live[on], keys[on], (place[on] + np.uint64(1)) & self.mask
+        return out
+
+    def _put(self, keys: np.ndarray, number: np.ndarray):
+        place = keys & self.mask
+        while len(keys):
+            free = self.number[place] < 0
+            self.number[place[free]] = number[free]
+            on = self.number[place] != number                            # taken before, or by another of these keys
+            self.key[place[~on]] = keys[~on]
+            keys, number, place = keys[on], number[on], (place[on] + np.uint64(1)) & self.mask
+
+    def add(self, keys: np.ndarray):
+        """Number distinct ``keys``, none of which has a number."""
+        first, self.used = self.used, self.used + len(keys)
+        if self.used > len(self.keys):
+            self.keys = np.concatenate([self.keys[:first], np.zeros(max(self.used, 2 * len(self.keys)) - first, np.uint64)])
+        self.keys[first:self.used] = keys
+        if 2 * self.used > len(self.key):
+            self._empty(1 << (4 * self.used - 1).bit_length())
+            first = 0
+        self._put(self.keys[first:self.used], np.arange(first, self.used, dtype=np.int32))
+
+
 class WordEncoder:
     """Token ids of texts through a bounded store of encoded words.
 
@@ -99,7 +151,7 @@ class WordEncoder:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], specials: dict[str, int], most: int = 250_000):
         self.encode, self.specials, self.most = encode, specials, most
         self.cut = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
-        self.place: dict[int, int] = {}
+        self.place = Numbers()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin, self.count, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self.used = 0
@@ -109,14 +161,13 @@ class WordEncoder:
         self.spelt = 0
 
     def _shrink(self):
-        keys = np.fromiter(self.place, np.uint64, len(self.place))       # in order of their slots
-        hits = self.hits[:len(keys)]
+        hits = self.hits[:len(self.place)]
         keep = np.flatnonzero(hits > 1)
         if len(keep) > self.most // 2:
             keep = np.sort(keep[np.argpartition(-hits[keep], self.most // 2)[:self.most // 2]])
         sizes = self.count[keep]
         flat = self.flat[ragged(self.begin[keep], sizes)]
-        self.place = dict(zip(keys[keep].tolist(), range(len(keep))))
+        self.place = Numbers(self.place.keys[keep])
         self.used = len(flat)
         self.flat[:self.used] = flat
         self.begin[:len(keep)], self.count[:len(keep)] = np.cumsum(sizes) - sizes, sizes
@@ -134,10 +185,10 @@ class WordEncoder:
             grown[:len(have)] = have
             setattr(self, name, grown)
 
-    def _add(self, keys: list[int], words: list[str], low: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    def _add(self, keys: np.ndarray, words: list[str], low: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         got = self.encode(words)
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        new = np.fromiter((x for ids in got for x in ids), np.uint32, int(sizes.sum()))
+        new = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
         first = len(self.place)
         spelt = ends - starts
         for name, need in (*((n, first + len(got)) for n in ("begin", "count", "hits", "spell", "size")), ("flat", self.used + len(new)),
@@ -151,7 +202,7 @@ class WordEncoder:
         self.count[first:first + len(got)] = sizes
         self.flat[self.used:self.used + len(new)] = new
         self.used += len(new)
-        self.place.update(zip(keys, range(first, first + len(got))))
+        self.place.add(keys)
 
     def _slow(self, text: str) -> np.ndarray:
         out: list[int] = []
@@ -197,22 +248,20 @@ class WordEncoder:
         low, starts, ends = split_safe(cps, at)
         if len(self.place) > self.most:
             self._shrink()
-        codes, keys = pd.factorize(span_hashes(low, starts, ends))
-        first = np.zeros(len(keys), np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
-        where = np.fromiter((self.place.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
-        missing = np.flatnonzero(where < 0)
+        hashes = span_hashes(low, starts, ends)
+        slot = self.place.find(hashes)
+        missing = np.flatnonzero(slot < 0)
         if len(missing):
+            codes, keys = pd.factorize(hashes[missing])
+            first = np.zeros(len(keys), np.int64)
+            first[codes[::-1]] = missing[::-1]
             small = low.astype("<u2").tobytes().decode("utf-16-le")
-            s, e = starts[first[missing]].tolist(), ends[first[missing]].tolist()
-            before = len(self.place)
-            self._add(keys[missing].tolist(), [small[a:b] for a, b in zip(s, e)], low, starts[first[missing]], ends[first[missing]])
-            where[missing] = np.arange(before, before + len(missing))
-        for d in self._strangers(low, starts, ends, where[codes], at):
+            slot[missing] = len(self.place) + codes
+            self._add(keys, [small[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], low, starts[first], ends[first])
+        for d in self._strangers(low, starts, ends, slot, at):
             if d not in done:
                 done[d] = self._slow(text[at[d]:at[d + 1]])
-        self.hits[where] += np.bincount(codes, minlength=len(keys))
-        slot = where[codes]
+        self.hits[:len(self.place)] += np.bincount(slot, minlength=len(self.place))
         sizes = self.count[slot]
         ids = self.flat[ragged(self.begin[slot], sizes)]
         bounds = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, at)]

@@ -16,6 +16,7 @@ from conftest import SMOKE
 
 from fundlens.llm import bpe, langid, packing
 from fundlens.llm.queries import QUERIES, VOCABULARY
+from fundlens.llm.words import Numbers
 
 TOK = Tokenizer.from_file(VOCABULARY)
 ODD = ["", "   ", None, "it's don't 're''s a!'s 'tis 're 'll've x'd's", "'", "''s", "'restaurant", "<|endoftext|> a <|startoftext|>b<|endoftext|",
@@ -73,6 +74,48 @@ def test_words_of_two_letters(make):
     assert encoded(make(), texts) == [ids_of(t) for t in texts]
 
 
+def test_new_words_are_encoded_together(monkeypatch):
+    """The library gets thousands of Latin words as one text, and each gets the ids of its own; other words go alone."""
+    asked = []
+
+    class Counted:
+        def __init__(self, tok):
+            self.tok = tok
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+        def encode_batch_fast(self, texts, **more):
+            asked.append(len(texts))
+            return self.tok.encode_batch_fast(texts, **more)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", type("T", (), {"from_file": staticmethod(lambda path: Counted(Tokenizer.from_file(path)))}))
+    encoder = packing._encoder.__wrapped__(VOCABULARY)
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choice("abcdeorst\u00e9\u00df'!7") for _ in range(rnd.randrange(1, 12))) for _ in range(500)) for _ in range(10)]
+    assert encoded(encoder, texts) == [ids_of(t) for t in texts]
+    assert sum(asked) <= 5
+    odd = [t for t in ODD if t] + ["</w> </ w > w</w>", "don't 's ''s 's't", "a \u0308b"]
+    assert encoded(encoder, odd) == [ids_of(t) for t in odd]
+    assert encoder.encode(["a", "\u65e5\u672c", "b"]) == [ids_of("a"), ids_of("\u65e5\u672c"), ids_of("b")]
+
+
+def test_numbers_of_hashes():
+    """Numbers follow the order of arrival, through growth and for neighbouring keys."""
+    rnd = np.random.default_rng(3)
+    numbers, seen = Numbers(), {}
+    for most in (1 << 4, 1 << 12, 1 << 63):
+        for _ in range(6):
+            keys = rnd.integers(0, most, 30_000, dtype=np.uint64)
+            got = numbers.find(keys)
+            assert got.tolist() == [seen.get(k, -1) for k in keys.tolist()]
+            new = np.unique(keys[got < 0])
+            numbers.add(new)
+            for k in new.tolist():
+                seen[k] = len(seen)
+            assert len(numbers) == len(seen) and numbers.keys[:len(numbers)].tolist() == list(seen)
+
+
 def test_words_of_one_hash_are_told_apart(monkeypatch):
     """Even with a hash that sees only lengths the ids are right: words are compared."""
     monkeypatch.setattr("fundlens.llm.words.span_hashes", lambda low, s, e: (e - s).astype(np.uint64))
