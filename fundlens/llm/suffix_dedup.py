@@ -30,6 +30,7 @@ are read from the text.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -348,13 +349,30 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[head], hi[np.concatenate([head[1:] - 1, [len(hi) - 1]])]
 
 
+def remaining(texts: list[np.ndarray], los: pa.Array, his: pa.Array) -> tuple[list[bytes], list[list[dict]]]:
+    """What remains of each text without its spans, and the spans, merged."""
+    kept, spans = [], []
+    for i, text in enumerate(texts):
+        if not los[i].is_valid:
+            kept.append(text.tobytes())
+            spans.append([])
+            continue
+        lo, hi = merged(los[i].values.to_numpy(), his[i].values.to_numpy())
+        cuts = np.concatenate([[0], np.stack([lo, hi], 1).ravel(), [len(text)]])
+        kept.append(b"".join(text[a:b].tobytes() for a, b in zip(cuts[0::2], cuts[1::2])))
+        spans.append([{"lo": int(a), "hi": int(b)} for a, b in zip(lo, hi)])
+    return kept, spans
+
+
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400,
-                     most: int = MOST, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+                     most: int = MOST, carry: tuple[str, ...] = (), as_text: bool = False, also: int | None = None) -> DataFrame:
     """``(id, n_bytes, spans, kept)``, one row per input row, and the columns
     named in ``carry``: the removed maximal byte spans
     ``array<struct<lo, hi>>`` and the remaining bytes. These are binary, as a
     cut may split a UTF-8 character; with ``as_text`` they are a string
-    without the rest of split characters.
+    without the rest of split characters. With ``also``, a second width, a
+    column ``kept_<also>`` holds what remains of the text as it came in when
+    repeats of that width go.
 
     * texts are UTF-8 bytes, null counts as empty; matches never cross texts;
     * a text shorter than ``width`` bytes loses nothing;
@@ -364,38 +382,35 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
       an empty table gives an empty result. Ids are integers.
     """
     docs = _keyed(df, id_col, text_col, carry)
-    scratch = Scratch()
-    spans = written(repeated_spans(docs.drop("carry"), scratch, width, most), "spans")
-    scratch.discard()
-    per_doc = spans.groupBy("doc_id", "tk").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    widths = [width] if also is None else [width, also]
+    found = []
+    for i, w in enumerate(widths):
+        scratch = Scratch()
+        found.append(written(repeated_spans(docs.drop("carry"), scratch, w, most), "spans").withColumn("of", F.lit(i)))
+        scratch.discard()
+    lists = [F.collect_list(F.when(F.col("of") == i, F.col(x))).alias(f"{x}{i}") for i in range(len(widths)) for x in ("lo", "hi")]
+    per_doc = reduce(DataFrame.unionByName, found).groupBy("doc_id", "tk").agg(*lists)
     both = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["doc_id"]) & (docs["tk"] == per_doc["tk"]), "left")
-    both = both.select(docs["doc_id"], "text", "lo", "hi", "carry")
+    both = both.select(docs["doc_id"], "text", "carry", *per_doc.columns[2:])
+    kinds = T.StringType() if as_text else T.BinaryType()
+    names = ["kept"] + [f"kept_{w}" for w in widths[1:]]
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))),
-        T.StructField("kept", T.StringType() if as_text else T.BinaryType()), both.schema["carry"]])
+        *[T.StructField(x, kinds) for x in names], both.schema["carry"]])
 
     def run(batches):
         for rows, data, offs in text_steps(batches, "text", 2 * STEP):
-            los, his = rows.column(2), rows.column(3)
-            kept, spans = [], []
-            for i in range(rows.num_rows):
-                text = data[offs[i]:offs[i + 1]]
-                if not los[i].is_valid:
-                    kept.append(text.tobytes())
-                    spans.append([])
-                    continue
-                lo, hi = merged(los[i].values.to_numpy(), his[i].values.to_numpy())
-                cuts = np.concatenate([[0], np.stack([lo, hi], 1).ravel(), [len(text)]])
-                kept.append(b"".join(text[a:b].tobytes() for a, b in zip(cuts[0::2], cuts[1::2])))
-                spans.append([{"lo": int(a), "hi": int(b)} for a, b in zip(lo, hi)])
+            texts = [data[a:b] for a, b in zip(offs, offs[1:])]
+            cols = [remaining(texts, rows.column(3 + 2 * i), rows.column(4 + 2 * i)) for i in range(len(widths))]
             yield pa.record_batch({"doc_id": rows.column(0), "n_bytes": pa.array(np.diff(offs)),
-                                   "spans": pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
-                                   "kept": pa.array([whole_characters(b) for b in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
-                                   "carry": rows.column(4)})
+                                   "spans": pa.array(cols[0][1], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
+                                   **{x: pa.array([whole_characters(b) for b in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                                      for x, (kept, _) in zip(names, cols)},
+                                   "carry": rows.column(2)})
 
     out = arrow_map(both, run, schema)
-    return out.select(F.col("doc_id").alias(id_col), "n_bytes", "spans", "kept", *[F.col("carry").getField(x).alias(x) for x in carry])
+    return out.select(F.col("doc_id").alias(id_col), "n_bytes", "spans", *names, *[F.col("carry").getField(x).alias(x) for x in carry])
 
 
 def whole_characters(kept: bytes) -> str:
@@ -403,10 +418,11 @@ def whole_characters(kept: bytes) -> str:
     return kept.decode("utf-8", "ignore")
 
 
-def digest(result: DataFrame, id_col: str = "doc_id", text: bool = False) -> DataFrame:
+def digest(result: DataFrame, id_col: str = "doc_id", text: bool = False, also: int | None = None) -> DataFrame:
     """Counts and digest of ``dedup_substrings``' output; with ``text`` also the remaining text (a split
-    character shows as U+FFFD)."""
+    character shows as U+FFFD), with ``also`` the one of that second width."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["hi"] - s["lo"])
-    rest = [F.make_valid_utf8(F.col("kept").cast("string")).alias("text")] if text else []
+    shown = ([("kept", "text")] if text else []) + ([(f"kept_{also}", f"text_{also}")] if also else [])
+    rest = [F.make_valid_utf8(F.col(kept).cast("string")).alias(name) for kept, name in shown]
     return result.select(id_col, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                          F.sha2("kept", 256).alias("kept_sha256"), *rest)

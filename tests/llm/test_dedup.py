@@ -1,5 +1,6 @@
 """Near-duplicates, substrings and lines against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -11,6 +12,7 @@ from brute import kept_lines, near_components, substring_digest
 
 from fundlens.llm import graph, lines, minhash, suffix_dedup
 from fundlens.llm.common import Scratch, byte_view, lanes as lane_view, same_bytes, span_hashes
+from fundlens.llm.queries import QUERIES
 
 
 def word(rnd):
@@ -254,6 +256,45 @@ def test_remaining_text(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "éend", 2: "startè", 3: ""}
 
 
+@pytest.mark.parametrize("most", [32768, 1])
+def test_two_widths(spark, most):
+    """The second width is judged on the text as it came in, whatever the first removes."""
+    rnd = random.Random(most)
+    base = ["".join(rnd.choice("abc é") for _ in range(rnd.randrange(0, 200))) for _ in range(8)]
+    texts = base + [base[1], base[2][:60] + "XY" + base[3][20:], base[4][:15] + base[5][9:30], None, "", "a" * 70, base[6][:39]]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, base[3]), (3, "other " * 9), (None, base[6]), (None, "null id " * 3)]
+    df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, of int, lo0 string")
+    for width, also in ((40, 12), (12, 40)):
+        out = suffix_dedup.dedup_substrings(df, width=width, most=most, also=also)
+        got = suffix_dedup.digest(out).collect()
+        first, second = (substring_digest([t for _, t in rows], w) for w in (width, also))
+        assert sorted(map(tuple, got), key=repr) == sorted(((i, *w) for (i, _), w in zip(rows, first)), key=repr)
+        got = out.selectExpr("doc_id", f"sha2(kept_{also}, 256)").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(((i, w[3]) for (i, _), w in zip(rows, second)), key=repr)
+
+
+def test_op4_and_passages_below_400_bytes(spark, tmp_path):
+    """``op4``'s digests stay those of 400 bytes; its further text loses shared passages of 51 words."""
+    rnd = random.Random(5)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghijklmn") for _ in range(rnd.randrange(4, 7))) for _ in range(n))
+    short, long = words(51), words(90)
+    assert 240 <= len(short) < 400 <= len(long)
+    rows = [(1, f"{words(80)} {short} {words(30)}"), (2, f"é {short} {words(60)}"), (3, f"{words(70)} {long}"), (4, f"{long} {words(9)}"),
+            (5, words(150)), (6, words(5)), (7, None), (None, f"{words(40)} {words(30)}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op4_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    texts = [t for _, t in rows]
+    for (i, text), want, shorter in zip(rows, substring_digest(texts, 400), substring_digest(texts, 240)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
+        assert hashlib.sha256(got[i].text_240.encode()).hexdigest() == shorter[3]
+        gone = {1: short, 2: short, 3: long, 4: long}.get(i)
+        if gone:
+            assert (gone in got[i].text) == (gone is short) and not set(gone.split()) & set(got[i].text_240.split())
+        else:
+            assert got[i].text == got[i].text_240 == (text or "")
+
+
 def thue_morse(n, zero, one):
     bits = [bin(i).count("1") % 2 for i in range(n)]
     return [(zero, one)[b] for b in bits], [(one, zero)[b] for b in bits]
