@@ -108,3 +108,53 @@ def test_passes_take_the_smaller_sides_of_few_tasks(data, monkeypatch):
     asked.clear()
     B.fit_folds(df, 3, edges, trees=1, depth=1)
     assert asked[0][0] == 4
+
+
+def test_a_task_a_fold_equals_passes(data, monkeypatch):
+    df, x, _, b = data
+    edges = B.feature_edges(df, 3, 8)
+    codes = B.bin_codes(x, edges)
+    passes = B.fit_folds(df, 3, edges, trees=5, depth=3, write_every=2)
+    monkeypatch.setattr(B, "summed", lambda *_: pytest.fail("a pass over rows that one task can hold"))
+    alone = B.grow_folds(df, 3, edges, trees=5, depth=3)
+    monkeypatch.undo()
+    monkeypatch.setattr(B, "MEMORY_ROWS", 10)
+    read = B.grow_folds(df, 3, edges, trees=5, depth=3)
+    for k, (one, two, three) in enumerate(zip(passes, alone, read), 1):
+        np.testing.assert_allclose(one.predict(codes[b >= k]), two.predict(codes[b >= k]), atol=1e-9)
+        np.testing.assert_allclose(one.predict(codes), three.predict(codes), atol=1e-9)
+
+
+def test_equal_rows_are_one_group(data):
+    """Rows that fall into the same bins are read once, wherever they lie; those of other folds are not mixed in."""
+    df, x, y, b = data
+    edges = B.feature_edges(df, 3, 4)
+    many = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(7)))).drop("copy").repartition(6)
+    blocks, groups = B.pack(many, 2, edges)
+    want = {}
+    for code, t, k in zip(B.bin_codes(x, edges).tolist(), y, np.minimum(b, 2)):
+        if k:
+            held = want.setdefault((*code, int(k)), [0.0, 0])
+            held[0], held[1] = held[0] + 7 * t, held[1] + 7
+    got = {}
+    for r in blocks.collect():
+        codes = np.frombuffer(r["codes"], np.uint8).reshape(3, r["m"]).T.tolist()
+        for code, k, t, n in zip(codes, *(np.frombuffer(r[c], t) for c, t in (("b", np.int32), ("y", float), ("n", float)))):
+            assert (*code, int(k)) not in got
+            got[*code, int(k)] = t, n
+    assert groups == len(got) < 240 and got.keys() == want.keys()
+    for key, (t, n) in got.items():
+        assert n == want[key][1] and t == pytest.approx(want[key][0], abs=1e-9)
+
+
+def test_edges_are_exact_and_do_not_depend_on_the_partitions(spark):
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.normal(size=4000), np.where(rng.random(4000) < 0.05, rng.normal(size=4000), 0.0), rng.exponential(1e6, 4000)], axis=1)
+    x[0], x[1] = [np.nan, -0.0, np.inf], [-np.inf, np.nan, 0.0]
+    data = [(v.tolist(),) for v in x]
+    data[2][0][2] = None
+    df = spark.createDataFrame(data, "x array<double>")
+    want = [np.unique([v[max(1, -(-i * len(v) // 32)) - 1] for i in range(1, 32)]) for v in (np.sort([r[j] for (r,) in data if r[j] is not None]) for j in range(3))]
+    for n in (1, 7):
+        got = B.feature_edges(df.repartition(n), 3)
+        assert all(np.array_equal(a, c, equal_nan=True) for a, c in zip(got, want))
