@@ -153,3 +153,27 @@ def test_co_association_with_every_other_fund(spark):
     labels = spark.createDataFrame([("a", "r0", 0), ("b", "r0", 0), ("c", "r0", 1), ("a", "r1", 2), ("b", "r1", 1), ("a", "r2", 0), ("c", "r2", 0)],
                                    "cod string, run string, label int")
     assert {(r["cod"], r["co_association"], r["runs"]) for r in CL.co_association(labels, "a").collect()} == {("b", 0.5, 2), ("c", 0.5, 2)}
+
+
+def test_passes_start_a_task_for_some_hundred_points(spark, monkeypatch):
+    """Points that come in a partition per bucket are dealt anew, and the consensus' k-means reads rows that are written once."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.3, (30, 2)) for c in ((0, 0), (4, 1), (1, 5))])
+    df = spark.createDataFrame([(f"p{i:03d}", v.tolist()) for i, v in enumerate(x)], "cod string, map array<double>").repartition(40)
+    asked = []
+    summed = LS.summed
+
+    def spy(rows, part, size):
+        asked.append((rows.rdd.getNumPartitions(), rows.columns))
+        return summed(rows, part, size)
+
+    monkeypatch.setattr(LS, "summed", spy)
+    grid = spark.createDataFrame([(1, "kmeans", 3), (2, "kmeans+bisecting", 3)], "subset int, algorithms string, k int")
+    scores, clusters = CL.sweep_partitions(df, grid, reps=3)
+    assert {n for n, _ in asked} == {1}
+    assert sum("labels" in columns for _, columns in asked) == LS.STEPS + 2      # the degrees and the steps; k-means reads written rows
+    found = clusters.join(df, "cod").collect()
+    assert len(found) == 90 and len({(r["clusters"][0], r["cod"] < "p030", r["cod"] < "p060") for r in found}) == 3
+    assert scores.where("silhouette > 0.8").count() == 2
+    monkeypatch.setattr(LS, "LEAST_POINTS", 30)
+    assert LS.dealt(df, 90).rdd.getNumPartitions() == 3
