@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fundlens.operators.panel import clean_panel
 from fundlens.operators.rolling import multi_period_risk
-from fundlens.operators.runs import expand_days, last_day_stats, list_days, rolling_runs, run_panel
+from fundlens.operators.runs import expand_days, last_day_stats, list_days, rolling_days, rolling_runs, run_panel
 
 SCHEMA = ("fecha_corte date, cod string, tipo_participacion int, rendimientos_abonados double, precierre_fondo_dia_t double, "
           "numero_unidades_fondo_cierre double, valor_unidad_operaciones double, valor_fondo_cierre_dia_t double, "
@@ -81,3 +81,32 @@ def test_one_sort_and_no_listed_day(spark):
     events = plan[:plan.index("Generate")]                    # above the events
     assert events.count("Sort [") == 1 and events.count("Window [") == 1
     assert "sequence(" not in plan
+
+
+@pytest.mark.parametrize("seed,twice", [(1, False), (2, False), (3, True)])
+def test_days_with_windows_keep_all_columns(spark, seed, twice):
+    """Equal to the windows over listed days, also where a series' days come twice."""
+    df = facts(spark, seed, series=12)
+    df = df.union(df.where("cod < 'f2'")) if twice else df
+    periods = (1, 7, 30)
+    want = multi_period_risk(expand_days(run_panel(df)), periods)
+    got = rolling_days(run_panel(df), periods)
+    assert got.columns == want.columns
+    if twice:                                                 # rows of one day have no order of their own
+        listed = [sorted(map(repr, x.drop(*[c for c in x.columns if c[:4] in ("rent", "vol_")]).collect())) for x in (got, want)]
+        assert listed[0] == listed[1]
+        count = lambda rows: {(r["cod"], r["tipo_participacion"]): (r["n"], r["w"]) for r in rows.groupBy("cod", "tipo_participacion").agg(
+            F.count("*").alias("n"), F.count("rent_30").alias("w")).collect()}
+        assert count(got) == count(want)
+    else:
+        equal(got, want, want.columns, 1e-10)
+    equal(rolling_days(run_panel(df), periods, full=True), got.dropna(subset=[f"{k}_{p}" for k in ("rent", "vol") for p in periods]), ["fecha_corte"])
+
+
+def test_rows_without_nulls_are_listed_last(spark):
+    """``drop_nulls`` sorts and windows stored runs, not the days that it lists."""
+    import __spark_entry__ as E
+
+    plan = E.queries()["drop_nulls"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    listing = plan[:plan.index("Window [")]
+    assert "sequence(" in listing and "Sort [" not in listing[:listing.index("sequence(")]
