@@ -147,7 +147,7 @@ def test_equal_rows_are_one_group(data):
         assert n == want[key][1] and t == pytest.approx(want[key][0], abs=1e-9)
 
 
-def test_edges_are_exact_and_do_not_depend_on_the_partitions(spark):
+def test_edges_of_many_rows_are_exact_and_do_not_depend_on_the_partitions(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = np.stack([rng.normal(size=4000), np.where(rng.random(4000) < 0.05, rng.normal(size=4000), 0.0), rng.exponential(1e6, 4000)], axis=1)
     x[0], x[1] = [np.nan, -0.0, np.inf], [-np.inf, np.nan, 0.0]
@@ -155,6 +155,7 @@ def test_edges_are_exact_and_do_not_depend_on_the_partitions(spark):
     data[2][0][2] = None
     df = spark.createDataFrame(data, "x array<double>")
     want = [np.unique([v[max(1, -(-i * len(v) // 32)) - 1] for i in range(1, 32)]) for v in (np.sort([r[j] for (r,) in data if r[j] is not None]) for j in range(3))]
-    for n in (1, 7):
+    for n, most in ((1, 0), (7, 0), (7, 1 << 20)):                          # 4,000 rows: sketches are exact as well
+        monkeypatch.setattr(B, "SKETCH_ROWS", most)
         got = B.feature_edges(df.repartition(n), 3)
         assert all(np.array_equal(a, c, equal_nan=True) for a, c in zip(got, want))
